@@ -43,6 +43,7 @@ def directory(keys: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_bits: int
     levels = levels.withColumn("prefix", F.expr(f"shiftright(cell, {most_bits} - depth)"))
     held = levels.groupBy("depth", "prefix").agg(F.sum("held").alias("held"))
     fits = held.filter((F.col("held") <= bucket_bytes) | (F.col("depth") == most_bits)).select("depth", "prefix")
+    fits = F.broadcast(fits)  # fewer than 2**(most_bits + 1) rows
     found = levels.select("cell", "depth", "prefix").join(fits, ["depth", "prefix"])
     return found.groupBy("cell").agg(F.min("depth").alias("depth")).select("cell", "depth", F.expr(f"shiftright(cell, {most_bits} - depth)").alias("bucket"))
 

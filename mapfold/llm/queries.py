@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, sharding
+from . import bpe, exact_dedup, licenses, sharding, token_blocks, token_counts
 from .shared import table
 
 
@@ -20,7 +21,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_proportional_shards, op9_license_notices, op10_exact_dedup)}
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op3_token_files, op6_token_counts, op7_proportional_shards, op8_byte_bpe, op9_license_notices, op10_exact_dedup,)}
 
 SQL: dict[str, str] = {
     "op7_proportional_shards": r"""
