@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, licenses, sharding, token_blocks, token_counts
+from . import bpe, exact_dedup, licenses, sharding, simhash, token_blocks, token_counts
 from .shared import table
 
 
@@ -33,7 +33,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op6_token_counts, op7_proportional_shards, op8_byte_bpe, op9_license_notices, op10_exact_dedup,)}
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
+
+
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_simhash_near_dedup, op6_token_counts, op7_proportional_shards, op8_byte_bpe, op9_license_notices, op10_exact_dedup,)}
 
 SQL: dict[str, str] = {
     "op7_proportional_shards": r"""
