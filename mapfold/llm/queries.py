@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, licenses, sharding, simhash, token_blocks, token_counts
+from . import bpe, decontaminate, exact_dedup, licenses, sharding, simhash, token_blocks, token_counts, warc
 from .shared import table
 
 
@@ -37,9 +37,27 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_simhash_near_dedup, op6_token_counts, op7_proportional_shards, op8_byte_bpe, op9_license_notices, op10_exact_dedup,)}
+def op1_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_pages, op3_token_files, op4_simhash_near_dedup, op5_benchmark_templates, op6_token_counts, op7_proportional_shards, op8_byte_bpe, op9_license_notices, op10_exact_dedup,)}
 
 SQL: dict[str, str] = {
+    "op1_warc_pages": r"""
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM firsts
+""",
     "op7_proportional_shards": r"""
 WITH RECURSIVE crc_step AS (
   SELECT b, b AS c, 0 AS k FROM (SELECT unnest(range(256)) AS b)
