@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, licenses, sharding, simhash, token_blocks, token_counts, warc
+from . import bpe, decontaminate, exact_dedup, licenses, sharding, simhash, token_blocks, token_counts, toxicity, warc
 from .shared import table
 
 
@@ -45,7 +45,11 @@ def op5_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_pages, op3_token_files, op4_simhash_near_dedup, op5_benchmark_templates, op6_token_counts, op7_proportional_shards, op8_byte_bpe, op9_license_notices, op10_exact_dedup,)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_toxicity, op3_token_files, op4_simhash_near_dedup, op5_benchmark_templates, op6_token_counts, op7_proportional_shards, op8_byte_bpe, op9_license_notices, op10_exact_dedup,)}
 
 SQL: dict[str, str] = {
     "op1_warc_pages": r"""
