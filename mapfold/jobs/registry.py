@@ -24,8 +24,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_SQL)
+
+
+def load() -> None:
+    """Registers the queries of all modules."""
+    from . import changes, density, scalars, spatial  # noqa: F401
