@@ -84,7 +84,7 @@ def join_state(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("source", "fid", F.array_join(F.array_sort(F.map_keys("state")), ",").alias("set_keys"))
 
 
-@query(f"""SELECT entity_id AS scenario_id, event_id, 1704067200000 + CAST(ceil((time_ms - 1704067200000) / 3600000e0) AS BIGINT) * 3600000 AS tick_ms FROM {FRAMES} WHERE time_ms <= 1704067200000 + 720 * 3600000""")
+@query(f"""SELECT entity_id AS scenario_id, event_id, 1704067200000 + CAST(ceil((time_ms - 1704067200000) / 3600000e0) AS BIGINT) * CAST(3600000 AS BIGINT) AS tick_ms FROM {FRAMES} WHERE time_ms <= 1704067200000 + 2592000000""")
 def st_dispatch(spark: SparkSession, d: str) -> DataFrame:
     """Events that each hour's tick of a replay clock emits."""
     frames = view(spark, d, "keyframes").withColumnRenamed("entity_id", "scenario_id")
