@@ -62,7 +62,7 @@ CHANNEL = "CAST(CAST(floor({} + 0.5) AS BIGINT) AS VARCHAR)"
 
 @query(f"""SELECT event_id, {M.format('CASE WHEN k <= 10 THEN 1 WHEN k < 50 THEN 1 + (k - 10) / 40 * 9 WHEN k < 90 THEN 10 + (pow(1, 0) * (k - 50) / 40) * 20 ELSE 30 END')} AS size,
 {M.format('CASE WHEN k <= 0 THEN 0 WHEN k < 100 THEN 100 * (pow(1.02e0, k) - 1) / (pow(1.02e0, 100) - 1) ELSE 100 END')} AS grown,
-CASE WHEN v IS NOT NULL THEN 'rgba(' || {CHANNEL.format('greatest(0, least(100, v)) * 2.55')} || ',0,' || {CHANNEL.format('255 - greatest(0, least(100, v)) * 2.55')} || ',1)' END AS color FROM {E}""")
+CASE WHEN v IS NOT NULL THEN 'rgba(' || {CHANNEL.format('greatest(0, least(100, v)) / 100 * 255')} || ',0,' || {CHANNEL.format('255 - greatest(0, least(100, v)) / 100 * 255')} || ',1)' END AS color FROM {E}""")
 def ex_interp(spark: SparkSession, d: str) -> DataFrame:
     rows = ask(
         spark, d,

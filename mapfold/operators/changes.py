@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,12 +169,13 @@ def edit_log(steps: DataFrame, history: int = 20) -> DataFrame:
     A document's log is one group: it is what a user edits.
     """
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("seq")
-        now, undo, redo = replay(list(zip(rows["op"], rows["fid"], rows["value"])), history)
-        return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "fids": [",".join(sorted(now))], "undo": [undo], "redo": [redo]})
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            done = [replay([(s["op"], s["fid"], s["value"]) for s in steps], history) for steps in frame["steps"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "fids": [",".join(sorted(now)) for now, _, _ in done], "undo": [u for _, u, _ in done], "redo": [r for _, _, r in done]})
 
-    return steps.groupBy("doc_id").applyInPandas(work, "doc_id long, fids string, undo long, redo long")
+    logs = steps.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "fid", "value"))).alias("steps"))
+    return logs.mapInPandas(work, "doc_id long, fids string, undo long, redo long")
 
 
 def corridor(positions: DataFrame, distance: Column, width: int = 1, most: int = 16) -> DataFrame:

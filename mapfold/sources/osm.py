@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,16 +119,23 @@ def relation_rings(lines: DataFrame) -> DataFrame:
     A relation is one group: it holds the ways of one map object.
     """
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        relation, out, codes = frame["relation_id"].iloc[0], [], [c for c in frame["code"] if c is not None]
-        for role, group in frame.sort_values("pos").groupby("role", sort=True):
-            rings = None if codes else stitch([[(p["x"], p["y"]) for p in line] for line in group["line"]])
+    columns = ["relation_id", "role", "ring_no", "ring", "code"]
+
+    def rows(relation: int, parts: list) -> list[tuple]:
+        out, codes = [], [p["code"] for p in parts if p["code"] is not None]
+        for role in sorted({p["role"] for p in parts}):
+            rings = None if codes else stitch([[(q["x"], q["y"]) for q in p["line"]] for p in parts if p["role"] == role])
             if rings is None:
-                return pd.DataFrame([(relation, None, None, None, codes[0] if codes else f"open-{role}")], columns=["relation_id", "role", "ring_no", "ring", "code"])
-            out += [(relation, role, i, [{"x": x, "y": y} for x, y in r], None) for i, r in enumerate(rings)]
-        return pd.DataFrame(out, columns=["relation_id", "role", "ring_no", "ring", "code"])
+                return [(relation, None, None, None, codes[0] if codes else f"open-{role}")]
+            out += [(relation, role, i, [{"x": x, "y": y} for x, y in ring], None) for i, ring in enumerate(rings)]
+        return out
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([r for relation, parts in zip(frame["relation_id"], frame["parts"]) for r in rows(relation, list(parts))], columns=columns)
 
-    return lines.groupBy("relation_id").applyInPandas(work, "relation_id long, role string, ring_no int, ring array<struct<x:double,y:double>>, code string")
+    grouped = lines.groupBy("relation_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "line", "code"))).alias("parts"))
+    return grouped.mapInPandas(work, "relation_id long, role string, ring_no int, ring array<struct<x:double,y:double>>, code string")
 
 
 def delta_arcs(deltas: DataFrame, scale: tuple[float, float] | None = None, translate: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
