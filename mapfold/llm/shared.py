@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text that a Python worker turns into Python strings at once.
 SLICE_BYTES = 1 << 20
+#: Ids of 8 bytes that may be broadcast at most.
+BROADCAST_IDS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs whose id isn't in gone(_gone), with all their columns; null ids stay.
+
+    Up to `most` ids are broadcast, so that the texts needn't be shuffled; more
+    are joined on the id.
+    """
+    ids = written(gone.filter("_gone is not null").distinct(), "gone")
+    if ids.count() <= most:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col] == ids["_gone"], "left_anti")
+
+
 def worker_state(name: str, build: Callable[[], object]) -> object:
     """What build() returns, made once in each Python worker process."""
     box = sys.modules.get("_mapfold_worker_state")

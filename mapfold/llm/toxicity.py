@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, worker_state
+from .shared import slices, without, worker_state
 
 #: Labelled rows that the model is fitted on, taken by hash: at most this many.
 FIT_ROWS = 8000
@@ -324,5 +324,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not predicted to be toxic, with all their columns."""
-    gone = toxicity(docs, labels, id_col, text_col).filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = toxicity(docs, labels, id_col, text_col).filter("predicted = 1").select(F.col("doc_id").alias("_gone"))
+    return without(docs, gone, id_col)
