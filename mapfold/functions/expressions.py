@@ -332,7 +332,7 @@ class Compiler:
 
     def place(self, needle: Value, hay: Value) -> Column:
         """The place of a scalar in a JSON array, or -1."""
-        wanted = F.coalesce(F.to_json(F.array(needle.str)), F.concat(F.lit("["), number_text(needle.num), F.lit("]")), F.concat(F.lit("["), needle.bool.cast("string"), F.lit("]")))
+        wanted = F.coalesce(F.when(needle.str.isNotNull(), F.to_json(F.array(needle.str))), F.concat(F.lit("["), number_text(needle.num), F.lit("]")), F.concat(F.lit("["), needle.bool.cast("string"), F.lit("]")))
         items = F.from_json(hay.json, "array<variant>")
         return F.array_position(F.transform(items, lambda v: F.to_json(F.array(v))), wanted) - 1
 

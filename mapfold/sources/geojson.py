@@ -110,7 +110,7 @@ def detect(spark: SparkSession, path: str) -> DataFrame:
     """source and format of each file: geojsonseq, osm, topojson, geojson or null."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value", F.try_parse_json("value").alias("v"))
     kind = text_of(F.col("v"), "$.type")
-    found = F.when(F.ltrim("value").startswith(RS), "geojsonseq").when(F.schema_of_variant(F.try_variant_get("v", "$.elements", "variant")).startswith("ARRAY"), "osm").when(kind == "Topology", "topojson").when(kind.isin("FeatureCollection", "Feature", *TYPES), "geojson")
+    found = F.when(F.col("value").rlike(r"^\s*\x1e"), "geojsonseq").when(F.schema_of_variant(F.try_variant_get("v", "$.elements", "variant")).startswith("ARRAY"), "osm").when(kind == "Topology", "topojson").when(kind.isin("FeatureCollection", "Feature", *TYPES), "geojson")
     return files.select("source", found.alias("format"))
 
 
