@@ -92,13 +92,20 @@ def read_feature_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return to_rows(lines.select("source", "record", F.try_parse_json("value").alias("v")))
 
 
-def read_geojson_seq(spark: SparkSession, path: str, on_error: str = "fail") -> tuple[DataFrame, DataFrame]:
-    """Records framed by RS. Text before the first must be blank; blank records are skipped but counted."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.posexplode(F.split("value", RS)).alias("record", "value"))
-    kept = files.filter(F.length(F.trim(F.regexp_replace("value", r"\s", ""))) > 0)
+def sequence_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows and errors of files(source, value) of records framed by RS.
+
+    Text before the first must be blank; blank records are skipped but counted.
+    """
+    each = files.select("source", F.posexplode(F.split("value", RS)).alias("record", "value"))
+    kept = each.filter(F.col("value").rlike(r"\S"))
     lead = kept.filter("record = 0").select("source", F.lit(0).cast("long").alias("record"), F.lit("leading-text").alias("code"))
     rows, errors = to_rows(kept.filter("record > 0").select("source", F.col("record").cast("long").alias("record"), F.try_parse_json("value").alias("v")))
-    errors = errors.unionByName(lead)
+    return rows, errors.unionByName(lead)
+
+
+def read_geojson_seq(spark: SparkSession, path: str, on_error: str = "fail") -> tuple[DataFrame, DataFrame]:
+    rows, errors = sequence_rows(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value"))
     if on_error == "fail":
         first = errors.orderBy("source", "record").first()
         if first is not None:
@@ -106,12 +113,16 @@ def read_geojson_seq(spark: SparkSession, path: str, on_error: str = "fail") ->
     return rows, errors
 
 
+def format_of(value: Column) -> Column:
+    """geojsonseq, osm, topojson, geojson or null."""
+    v = F.try_parse_json(value)
+    kind = text_of(v, "$.type")
+    return F.when(value.rlike(r"^\s*\x1e"), "geojsonseq").when(F.schema_of_variant(F.try_variant_get(v, "$.elements", "variant")).startswith("ARRAY"), "osm").when(kind == "Topology", "topojson").when(kind.isin("FeatureCollection", "Feature", *TYPES), "geojson")
+
+
 def detect(spark: SparkSession, path: str) -> DataFrame:
-    """source and format of each file: geojsonseq, osm, topojson, geojson or null."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value", F.try_parse_json("value").alias("v"))
-    kind = text_of(F.col("v"), "$.type")
-    found = F.when(F.col("value").rlike(r"^\s*\x1e"), "geojsonseq").when(F.schema_of_variant(F.try_variant_get("v", "$.elements", "variant")).startswith("ARRAY"), "osm").when(kind == "Topology", "topojson").when(kind.isin("FeatureCollection", "Feature", *TYPES), "geojson")
-    return files.select("source", found.alias("format"))
+    """source and format of each file."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), format_of(F.col("value")).alias("format"))
 
 
 def feature_json(fid: Column, fid_type: Column, geometry: Column, props: Column) -> Column:

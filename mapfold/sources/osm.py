@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.changes import last_per_key
@@ -20,6 +20,11 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     remark = files.filter(F.try_variant_get("v", "$.remark", "string").isNotNull()).first()
     if remark is not None:
         raise ValueError(f"{remark.source} has a remark: it isn't whole")
+    return elements_of(files)
+
+
+def elements_of(files: DataFrame) -> DataFrame:
+    """The elements of files(source, v)."""
     each = files.select("source", F.posexplode(F.try_variant_get("v", "$.elements", "array<variant>")).alias("idx", "e"))
     get = lambda path, kind: F.try_variant_get("e", path, kind)
     member = "array<struct<type:string,ref:bigint,role:string>>"
@@ -140,8 +145,6 @@ def relation_rings(lines: DataFrame) -> DataFrame:
 
 def delta_arcs(deltas: DataFrame, scale: tuple[float, float] | None = None, translate: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """arc_id, pos, x, y of deltas(arc_id, pos, x, y): running sums, scaled and moved; as they are without a scale."""
-    from pyspark.sql import Window
-
     if scale is None:
         return deltas
     line = Window.partitionBy("arc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -162,3 +165,27 @@ def stitch_arcs(refs: DataFrame, arcs: DataFrame) -> DataFrame:
     meets = F.forall(F.sequence(F.lit(0), F.col("n") - 2), lambda i: F.element_at(F.get(paths_of, i.cast("int")), -1) == F.get(F.get(paths_of, (i + 1).cast("int")), F.lit(0)))
     joined = F.flatten(F.transform(paths_of, lambda p, i: F.when(i == 0, p).otherwise(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))))
     return rows.filter((F.col("n") == 1) | meets).select("line_id", joined.alias("line"))
+
+
+def topology_lines(files: DataFrame) -> DataFrame:
+    """source, object, place, line of the LineString objects of topologies files(source, v): their arcs joined.
+
+    Arcs are decoded with the topology's transform, if it has one.
+    """
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    read = files.select("source", get("$.arcs", "array<array<array<double>>>").alias("arcs"), F.coalesce(get("$.transform.scale", "array<double>"), F.array(F.lit(1.0), F.lit(1.0))).alias("k"), F.coalesce(get("$.transform.translate", "array<double>"), F.array(F.lit(0.0), F.lit(0.0))).alias("t"), get("$.transform", "variant").isNotNull().alias("delta"), get("$.objects", "map<string,variant>").alias("objects"))
+    flat = read.select("source", "k", "t", "delta", F.posexplode("arcs").alias("arc_id", "path")).select("source", "k", "t", "delta", "arc_id", F.posexplode("path").alias("pos", "p"))
+    line = Window.partitionBy("source", "arc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda i: F.when(F.col("delta"), F.sum(F.col("p")[i]).over(line) * F.col("k")[i] + F.col("t")[i]).otherwise(F.col("p")[i])
+    key = lambda n: F.concat("source", F.lit("\n"), F.col(n).cast("string"))
+    arcs = flat.select(key("arc_id").alias("arc_key"), "pos", at(0).alias("x"), at(1).alias("y"))
+    paths = arcs.groupBy("arc_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("path"))
+    members = read.select("source", F.explode("objects").alias("object", "o")).withColumn("kind", F.try_variant_get("o", "$.type", "string"))
+    single = members.filter("kind = 'LineString'").select("source", "object", F.lit(0).alias("place"), "o")
+    several = members.filter("kind = 'GeometryCollection'").select("source", "object", F.posexplode(F.try_variant_get("o", "$.geometries", "array<variant>")).alias("place", "o"))
+    refs = single.unionByName(several).select("source", "object", "place", F.posexplode(F.try_variant_get("o", "$.arcs", "array<bigint>")).alias("seq", "arc"))
+    refs = refs.withColumn("own", F.when(F.col("arc") < 0, -F.col("arc") - 1).otherwise(F.col("arc"))).withColumn("arc_key", key("own"))
+    met = refs.join(paths, "arc_key").withColumn("path", F.when(F.col("arc") < 0, F.reverse("path")).otherwise(F.col("path")))
+    rows = met.groupBy("source", "object", "place").agg(F.array_sort(F.collect_list(F.struct("seq", "path"))).alias("parts"))
+    joined = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, p["path"]).otherwise(F.slice(p["path"], 2, F.greatest(F.size(p["path"]) - 1, F.lit(0))))))
+    return rows.select("source", "object", "place", joined.alias("line"))

@@ -223,3 +223,36 @@ def read_archive_index(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["source", "tile_id", "run", "offset", "length", "error"])
 
     return files.select("path", "content").mapInArrow(work, "source string, tile_id long, run long, offset long, length long, error string")
+
+
+def varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def message(*fields: tuple[int, int | bytes]) -> bytes:
+    return b"".join(varint(k << 3 | (0 if isinstance(v, int) else 2)) + (varint(v) if isinstance(v, int) else varint(len(v)) + v) for k, v in fields)
+
+
+def zigzag(n: int) -> int:
+    return n << 1 if n >= 0 else (-n << 1) - 1
+
+
+def encode_points(layer: str, rows: list[tuple[int, int, int, str]], extent: int = 4096) -> bytes:
+    """A tile with one layer of points (id, x, y, value of the property `kind`)."""
+    values = sorted({r[3] for r in rows})
+    place = {v: i for i, v in enumerate(values)}
+    features = [(2, message((1, fid), (2, varint(0) + varint(place[kind])), (3, 1), (4, varint(9) + varint(zigzag(x)) + varint(zigzag(y))))) for fid, x, y, kind in rows]
+    return message((3, message((15, 2), (1, layer.encode()), *features, (3, b"kind"), *((4, message((1, v.encode()))) for v in values), (5, extent))))
+
+
+def encode_directory(entries: list[tuple[int, int, int, int]]) -> bytes:
+    """The inverse of directory(): entries in ascending order of tile ids."""
+    ids = [e[0] for e in entries]
+    steps = [b - a for a, b in zip([0, *ids], ids)]
+    offsets = [0 if i and e[2] == entries[i - 1][2] + entries[i - 1][3] else e[2] + 1 for i, e in enumerate(entries)]
+    return b"".join(map(varint, [len(entries), *steps, *(e[1] for e in entries), *(e[3] for e in entries), *offsets]))

@@ -332,3 +332,26 @@ def test_tile_archives(spark):
 
 def test_tolerance():
     assert geometry.lod_tolerance(14, 0.1) > 0 and geometry.lod_tolerance(14, 100) == 0
+
+
+def test_kernels():
+    from mapfold.operators import shapes
+
+    line = np.array([(0, 0), (1, 0.01), (2, 0), (3, 1)], float)
+    assert shapes.simplified(line, 0.1, False).tolist() == [[0, 0], [2, 0], [3, 1]]
+    triangle = np.array([(0, 0), (0.01, 0), (0, 0.01), (0, 0)], float)
+    assert len(shapes.simplified(triangle, 5, True)) == 4
+    square = shapes.clipped(np.array([(-1, -1), (3, -1), (3, 3), (-1, 3)], float), 0, 2)
+    assert sorted(map(tuple, square.tolist())) == [(0, 0), (0, 2), (2, 0), (2, 2)]
+    assert len(shapes.clipped(np.array([(5, 5), (6, 5), (6, 6)], float), 0, 2)) == 0
+    assert shapes.merge_lines([[(0, 0), (1, 0)], [(2, 0), (3, 0)], [(1, 0), (2, 0)]]) == [[(0, 0), (1, 0), (2, 0), (3, 0)]]
+    assert shapes.merge_lines([[(0, 0), (1, 0)], [(2, 0), (1, 0)]]) == [[(0, 0), (1, 0)], [(2, 0), (1, 0)]]
+    assert shapes.place_labels([(0, 0, 0, 0, 2, 2, False, False), (1, 0, 1, 1, 3, 3, False, False), (0, 1, 3, 3, 4, 4, False, False), (0, 2, 0, 0, 1, 1, True, True)]) == [False, True, True, True]
+    assert shapes.grid_interval(2) == 15 and shapes.grid_interval(10) == 0.05
+    assert len(shapes.color_table([(0, "transparent"), (1, "red")])) == 256
+
+
+def test_windows_of_history_and_ids(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, "x-1"), (5, None)], "feature_seq long, fid string")
+    assert [r.fid for r in changes.repair_ids(df, "x").orderBy("feature_seq").collect()] == ["a", "x-2", "x-3", "x-1", "x-4"]
+    assert changes.keep_last(df, "fid", "feature_seq", 0).count() == 0
