@@ -16,9 +16,10 @@ at any block.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .shared import shared_path, slices, worker_state, written
 from .token_counts import load_tokenizer
 from .units import Cache
 
-BLOCK = 1024
+BLOCK = 4096
 PERCENT = 90
 MAGIC = b"MFPFOR01"
 TRAILER = 32 + len(MAGIC)
@@ -47,8 +48,9 @@ def pack_blocks(ids: np.ndarray) -> list[bytes]:
         rest = part - least
         width = int(np.partition(rest, k := (len(rest) * PERCENT - 1) // 100)[k]).bit_length()
         places = np.flatnonzero(rest >> width)
-        low = (rest & ((1 << width) - 1)).astype(">u4").view(np.uint8).reshape(-1, 4)
-        packed = np.packbits(np.unpackbits(low, axis=1)[:, 32 - width :]).tobytes() if width else b""
+        size = 2 if width <= 16 else 4
+        low = (rest & ((1 << width) - 1)).astype(f">u{size}").view(np.uint8).reshape(-1, size)
+        packed = np.packbits(np.unpackbits(low, axis=1)[:, 8 * size - width :]).tobytes() if width else b""
         head = np.array([least], "<u4").tobytes() + bytes([width, 0]) + np.array([len(places)], "<u2").tobytes()
         out.append(head + packed + places.astype("<u2").tobytes() + (rest[places] >> width).astype("<u4").tobytes())
     return out
@@ -58,10 +60,11 @@ def unpack_block(block: bytes, n: int) -> np.ndarray:
     """The n ids of a block."""
     least, width, exceptions = int(np.frombuffer(block, "<u4", 1)[0]), block[4], int(np.frombuffer(block, "<u2", 1, 6)[0])
     end = 8 + (n * width + 7) // 8
-    bits = np.zeros((n, 32), np.uint8)
+    size = 2 if width <= 16 else 4
+    bits = np.zeros((n, 8 * size), np.uint8)
     if width:
-        bits[:, 32 - width :] = np.unpackbits(np.frombuffer(block, np.uint8, end - 8, 8), count=n * width).reshape(n, width)
-    ids = np.packbits(bits, axis=1).view(">u4").ravel().astype(np.int64)
+        bits[:, 8 * size - width :] = np.unpackbits(np.frombuffer(block, np.uint8, end - 8, 8), count=n * width).reshape(n, width)
+    ids = np.packbits(bits, axis=1).view(f">u{size}").ravel().astype(np.int64)
     places = np.frombuffer(block, "<u2", exceptions, end)
     ids[places] |= np.frombuffer(block, "<u4", exceptions, end + 2 * exceptions).astype(np.int64) << width
     return (ids + least).astype(np.uint32)
@@ -123,14 +126,37 @@ def read_ids(file: OldFile, starts: np.ndarray, total: int, first: int, end: int
     return np.concatenate(blocks)[first - a * BLOCK : end - a * BLOCK]
 
 
+#: Beyond these letters, lower case and composition may depend on each other.
+UNUSUAL = re.compile("[^\\x00-\u024f]|\u0130")
+#: A comma or full stop that belongs to a run of punctuation.
+RUN = re.compile(r"[\W_][.,] ")
+
+
 def chunks(text: str) -> list[str]:
-    """The stretches between ASCII white space, which that kind of tokenizer drops."""
+    """Stretches of text that the tokenizer encodes as it would the whole text.
+
+    It drops white space, makes letters small and never joins letters with
+    punctuation, so stretches end at ASCII white space, and a comma or full stop
+    after a word is one of its own. Small letters make more of them alike.
+    """
     for space in "\n\t\r\x0b\x0c":
         if space in text:
             text = text.replace(space, " ")
+    if not UNUSUAL.search(text):
+        text = text.lower()
+        if not RUN.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ")
     return text.split(" ")
 
 
+def packed_ids(encodings: list) -> list[bytes]:
+    """The ids of each encoding as little-endian 32-bit numbers."""
+    ids = [e.ids for e in encodings]
+    flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+    ends = list(accumulate(4 * len(x) for x in ids))
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def write_id_files(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes docs to files in ascending order of their ids; the files: part, uri, n_docs, n_ids.
 
@@ -146,8 +172,7 @@ def write_id_files(docs: DataFrame, vocabulary: str, end_id: int, id_col: str =
         tok = load_tokenizer(vocabulary)
         tok.no_padding(), tok.no_truncation()
         special = sorted({t.content for t in tok.get_added_tokens_decoder().values()})
-        encode = lambda missing: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(missing, add_special_tokens=False)]
-        return tok, special, Cache(encode)
+        return tok, special, Cache(lambda missing: packed_ids(tok.encode_batch_fast(missing, add_special_tokens=False)), 500_000)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, special, cache = worker_state(f"id_files_{vocabulary}", load)
