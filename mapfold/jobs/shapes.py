@@ -248,16 +248,16 @@ def udf_edge_cost(spark: SparkSession, d: str) -> DataFrame:
     return gedges(spark, d).withColumn("v", v).select("edge_id", F.when((F.col("v") >= 0) & (F.col("v") < float("inf")), scaled(F.col("v"), 1)).alias("cost"))
 
 
-@query(f"""WITH RECURSIVE {REACH_SQL.replace("SELECT to_id, from_id, cost FROM " + GEDGES_SQL + " WHERE NOT closed AND NOT one_way AND", "SELECT to_id, from_id, cost FROM " + GEDGES_SQL + " WHERE false AND")} SELECT origin, node AS target, cost FROM r""")
+@query(f"""WITH RECURSIVE {REACH_SQL.replace("SELECT to_id, from_id, cost FROM " + GEDGES_SQL + " WHERE NOT closed AND NOT one_way AND", "SELECT to_id, from_id, cost FROM " + GEDGES_SQL + " WHERE false AND")} SELECT origin, node AS target, cost FROM r WHERE (origin, node) IN (SELECT src, dst FROM e)""")
 def gr_adjacency_route(spark: SparkSession, d: str) -> DataFrame:
-    """Routes on a graph given as lists of arcs by node: directed."""
+    """Routes to the ends of each origin's arcs on a graph given as lists of arcs by node: directed."""
     nested = open_edges(spark, d).filter("cost is not null").groupBy("from_id").agg(F.collect_list(F.struct("to_id", "cost", "edge_id")).alias("arcs"))
     flat = nested.select("from_id", F.explode("arcs").alias("a")).select("a.edge_id", "from_id", "a.to_id", "a.cost", F.lit(True).alias("one_way"))
-    pairs = origins(spark, d).crossJoin(F.broadcast(view(spark, d, "gnodes").select(F.col("node_id").alias("target"))))  # a stated set of origins against all nodes
+    pairs = origins(spark, d).join(flat, F.col("origin") == F.col("from_id")).filter(F.col("cost") <= COST).select("origin", F.col("to_id").alias("target")).distinct()
     return graph.routes(pairs, flat, COST).filter("cost is not null").select("origin", "target", F.col("cost").cast("long").alias("cost"))
 
 
-def tiled(spark: SparkSession, d: str) -> DataFrame:
+def tiled(spark: SparkSession, d: str, encode=T.encode_points) -> DataFrame:
     """z, x, y, data: the world's points as vector tiles of zoom 6, by event type."""
     p, n = view(spark, d, "pts_world"), 64
     wx, wy = M.world_x(p.lon) * n, M.world_y(p.lat) * n
@@ -266,7 +266,7 @@ def tiled(spark: SparkSession, d: str) -> DataFrame:
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            data = [T.encode_points("events", [(r["event_id"], r["px"], r["py"], r["event_type"]) for r in items]) for items in frame["items"]]
+            data = [encode("events", [(r["event_id"], r["px"], r["py"], r["event_type"]) for r in items]) for items in frame["items"]]
             yield frame[["z", "x", "y"]].assign(data=data)
 
     return packed.mapInPandas(work, "z int, x long, y long, data binary")
@@ -278,6 +278,12 @@ def io_mvt(spark: SparkSession, d: str) -> DataFrame:
     return T.decode_mvt(tiled(spark, d)).select("fid", F.col("parts")[0][0]["x"].alias("px"), F.col("parts")[0][0]["y"].alias("py"), "props")
 
 
+@query(f"SELECT event_id AS fid, CAST(floor((wx - floor(wx)) * 4096) AS INTEGER) AS px, CAST(floor((wy - floor(wy)) * 4096) AS INTEGER) AS py, '{{\"kind\":\"' || event_type || '\"}}' AS props FROM (SELECT event_id, event_type, {X} * 64 AS wx, {Y} * 64 AS wy FROM {WORLD})")
+def io_mmt(spark: SparkSession, d: str) -> DataFrame:
+    """Points written as columnar tiles and decoded again."""
+    return T.decode_mvt(tiled(spark, d, T.encode_columnar_points), T.decode_columnar).select("fid", F.col("parts")[0][0]["x"].alias("px"), F.col("parts")[0][0]["y"].alias("py"), "props")
+
+
 @query("SELECT count(*) AS features, 0 AS errors FROM events")
 def udf_decoder(spark: SparkSession, d: str) -> DataFrame:
     """A user's decoder, of tiles that hold JSON."""

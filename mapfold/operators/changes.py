@@ -44,13 +44,15 @@ def repair_ids(features: DataFrame, prefix: str, order: str = "feature_seq") ->
     return out.withColumn("fid", F.when(F.col("_again"), F.col("_name")).otherwise(F.col("fid").cast("string"))).drop("_again", "_at", "_name")
 
 
-def ranked(rows: DataFrame, order: str, cell: int = 4096) -> DataFrame:
-    """rows with `_rank` from 1 in the order of a numeric column of different values.
+def ranked(rows: DataFrame, order: str, cell: int = 4096, most_cells: int = 1 << 18) -> DataFrame:
+    """rows with `_rank` from 1 in the order of a whole-number column of different values.
 
-    Ranges of the column are counted, the counts added up, and rows ranked
-    within their range.
+    Ranges of the column, at most most_cells, are counted, the counts added up,
+    and rows ranked within their range.
     """
-    at = rows.withColumn("_cell", F.floor(F.col(order) / cell))
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    size = max(cell, ((high or 0) - (low or 0)) // most_cells + 1)
+    at = rows.withColumn("_cell", F.floor((F.col(order) - F.lit(low or 0)) / size))
     counts = at.groupBy("_cell").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_cell", before.alias("_before"))

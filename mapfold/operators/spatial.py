@@ -153,7 +153,7 @@ def snapshot(frames: DataFrame, times: DataFrame) -> DataFrame:
     line = Window.partitionBy("entity_id").orderBy("time_ms")
     next_of = frames.withColumn("t1", F.lead("time_ms").over(line)).withColumn("lon1", F.lead("lon").over(line)).withColumn("lat1", F.lead("lat").over(line))
     # frames first among equal times
-    asked = frames.select("entity_id").distinct().crossJoin(F.broadcast(times)).select("entity_id", "time_ms", F.lit(1).alias("probe"))
+    asked = frames.select("entity_id").distinct().crossJoin(times).select("entity_id", "time_ms", F.lit(1).alias("probe"))
     held = next_of.select("entity_id", "time_ms", F.lit(0).alias("probe"), F.struct(F.col("time_ms").alias("t0"), "lon", "lat", "status", "t1", "lon1", "lat1").alias("f"))
     both = held.unionByName(asked, allowMissingColumns=True)
     seen = F.last("f", ignorenulls=True).over(Window.partitionBy("entity_id").orderBy("time_ms", "probe").rowsBetween(Window.unboundedPreceding, 0))

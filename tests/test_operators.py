@@ -355,3 +355,11 @@ def test_windows_of_history_and_ids(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, "x-1"), (5, None)], "feature_seq long, fid string")
     assert [r.fid for r in changes.repair_ids(df, "x").orderBy("feature_seq").collect()] == ["a", "x-2", "x-3", "x-1", "x-4"]
     assert changes.keep_last(df, "fid", "feature_seq", 0).count() == 0
+
+
+def test_columnar_tiles():
+    data = tiles.encode_columnar_points("p", [(7, 3, -4, "a"), (-9, 5, 6, "b"), (2**40, 0, 0, "a")])
+    assert [(r[3], r[5], r[6]) for r in tiles.decode_columnar(data)] == [(7, [[(3, -4)]], '{"kind":"a"}'), (-9, [[(5, 6)]], '{"kind":"b"}'), (2**40, [[(0, 0)]], '{"kind":"a"}')]
+    for bad in (data + b"x", data[:-1], b"MMT\x02" + data[4:]):
+        with pytest.raises(ValueError):
+            tiles.decode_columnar(bad)
