@@ -58,7 +58,7 @@ def test_expressions(spark, expression, props, want):
     assert evaluate(spark, expression, props, 5.0) == want
 
 
-def test_bad_expressions():
+def test_bad_expressions(spark):
     for bad in (["nope", 1], ["var", "x"], ["interpolate", ["linear"], 1, 5, 0, 5, 1], [1, 2]):
         with pytest.raises((ValueError, KeyError)):
             X.compile_expression(bad, X.Row())
