@@ -15,16 +15,18 @@ have more than MOST_WINDOWS windows, as then it would let most windows pass.
 
 from __future__ import annotations
 
-import hashlib
+import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import worker_state, written
+from .shared import slices, without, worker_state, written
 
 WORDS, SHARE = 5, 0.8
 #: Words of a window that must not be placeholders.
@@ -46,62 +48,86 @@ MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(WORDS)
 
 
 def hash64(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(data)
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = hashes ^ (hashes >> np.uint64(32))
+    hashes *= np.uint64(0xD6E8FEB86659FD93)
+    return hashes ^ (hashes >> np.uint64(32))
 
 
 class Canon:
     """Words of texts as rows of numbers: hash, flags. Stretches between spaces are remembered."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 300_000):
         self.units, self.known, self.most = set(UNITS), {}, most
         self.holders = np.array([0, *(hash64(b"\0<%d>" % k) for k in (NUMBER, NAME, UNIT))], np.uint64)
 
+    def word(self, word: str) -> tuple[int, int]:
+        low = word.lower()
+        flags = DIGITS if word[0].isdigit() else TITLE * (word[0].isupper() and word[1:] == low[1:]) | MEASURE * (low in self.units)
+        return hash64(low.encode()), flags
+
     def stretch(self, text: str) -> bytes:
+        if text.isalpha():
+            return struct.pack("=QQ", *self.word(text))
+        if text[-1] in ".,!?:;" and text[:-1].isalpha():
+            found, flags = self.word(text[:-1])
+            return struct.pack("=QQ", found, flags | ENDS * (text[-1] in ".!?:"))
         out, found = [], list(PIECE.finditer(text))
         for m in found:
-            word = m[0]
-            flags = DIGITS if word[0].isdigit() else TITLE * (word[0].isupper() and word[1:] == word[1:].lower()) | MEASURE * (word.lower() in self.units)
-            if m is found[-1] and regex.search(r"[.!?:]", text[m.end() :]):
-                flags |= ENDS
-            out += [hash64(word.lower().encode()), flags]
-        return np.array(out, np.uint64).tobytes()
-
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of each word, and the kind of placeholder that stands for it, or 0."""
-        parts, known = text.split(), self.known
-        for part in set(parts).difference(known):
-            if len(known) >= self.most:
-                self.known = known = {p: known[p] for p in set(parts) if p in known}
+            word, flags = self.word(m[0])
+            out.append(struct.pack("=QQ", word, flags | ENDS * (m is found[-1] and any(c in ".!?:" for c in text[m.end() :]))))
+        return b"".join(out)
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of words of each text, and for all words the hash and the kind of placeholder, or 0."""
+        parts, known = [t.split() for t in texts], self.known
+        wanted = set(chain.from_iterable(parts))
+        missing = wanted.difference(known)
+        if len(known) + len(missing) > self.most:
+            self.known = known = {p: known[p] for p in wanted if p in known}
+        for part in missing:
             known[part] = self.stretch(part)
-        rows = np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint64).reshape(-1, 2)
-        flags = rows[:, 1].astype(np.int64)
-        before = np.append(ENDS, flags[:-1])[: len(flags)]
-        kind = np.where(flags & DIGITS, NUMBER, np.where((flags & MEASURE > 0) & (before & DIGITS > 0), UNIT, np.where((flags & TITLE > 0) & (before & ENDS == 0), NAME, 0)))
-        return rows[:, 0], kind
-
-    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, hash and whether it has placeholders, of all windows of a text."""
-        words, kind = self.words(text)
-        n = len(words) - WORDS + 1
-        if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
-        literal, template, slots = np.zeros(n, np.uint64), np.full(n, 1, np.uint64), np.zeros(n, np.int64)
-        held = np.where(kind > 0, self.holders[kind], words)
+        data = [b"".join(map(known.__getitem__, p)) for p in parts]
+        counts = np.array([len(x) // 16 for x in data], np.int64)
+        rows = np.frombuffer(b"".join(data), np.uint64).reshape(-1, 2)
+        flags = rows[:, 1].astype(np.uint8)
+        before = np.empty_like(flags)
+        before[1:] = flags[:-1]
+        firsts = np.cumsum(counts) - counts
+        before[firsts[counts > 0]] = ENDS
+        kind = np.zeros(len(flags), np.int8)
+        kind[(flags & TITLE > 0) & (before & ENDS == 0)] = NAME
+        kind[(flags & MEASURE > 0) & (before & DIGITS > 0)] = UNIT
+        kind[flags & DIGITS > 0] = NUMBER
+        return counts, rows[:, 0], kind
+
+    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the text, place, hash and whether it has placeholders, of all windows of all texts."""
+        counts, words, kind = self.words(texts)
+        n = max(0, len(words) - WORDS + 1)
+        of_text = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+        place = np.arange(len(words), dtype=np.int64) - np.repeat(np.cumsum(counts) - counts, counts)
+        inside = np.flatnonzero(of_text[:n] == of_text[WORDS - 1 :]) if n else np.empty(0, np.int64)
+        literal = np.zeros(n, np.uint64)
         for k, multiplier in enumerate(MULTIPLIERS):
             literal += words[k : n + k] * np.uint64(multiplier)
-            template += held[k : n + k] * np.uint64(multiplier)
-            slots += kind[k : n + k] > 0
-        typed = np.flatnonzero((slots > 0) & (WORDS - slots >= LITERAL))
-        hashes = np.concatenate([literal, template[typed]])
-        hashes ^= hashes >> np.uint64(32)
-        hashes *= np.uint64(0xD6E8FEB86659FD93)
-        hashes ^= hashes >> np.uint64(32)
-        return np.append(np.arange(n), typed), hashes, np.arange(len(hashes)) >= n
+        sums = np.append(0, np.cumsum(kind > 0))
+        slots = sums[WORDS : n + WORDS] - sums[:n]
+        typed = inside[(slots[inside] > 0) & (WORDS - slots[inside] >= LITERAL)]
+        template = np.ones(len(typed), np.uint64)
+        for k, multiplier in enumerate(MULTIPLIERS):
+            at = typed + k
+            template += np.where(kind[at] > 0, self.holders[kind[at]], words[at]) * np.uint64(multiplier)
+        where = np.concatenate([inside, typed])
+        return of_text[where], place[where], mixed(np.concatenate([literal[inside], template])), np.arange(len(where)) >= len(inside)
 
     def slots(self, text: str, places: list[int]) -> list[list[str]]:
         """What the placeholders of the windows at these places stand for, with their kinds."""
         words = [m.lower() for m in PIECE.findall(" ".join(text.split()))]
-        kind = self.words(text)[1].tolist()
+        kind = self.words([text])[2].tolist()
         return [[f"{kind[i]}:{words[i]}" for i in range(at, at + WORDS) if kind[i]] for at in places]
 
 
@@ -116,19 +142,22 @@ def text_windows(texts: DataFrame, id_col: str, text_col: str, table=None) -> Da
         bits = table.value if table is not None else None
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or ""
-                places, hashes, typed = canon.windows(text)
+            ids, found = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in slices([len(t) for t in found]):
+                of_text, places, hashes, typed = canon.windows(found[a:b])
                 if bits is not None:
-                    near = bits[hashes >> np.uint64(64 - TABLE_BITS)]
-                    places, hashes, typed = places[near], hashes[near], typed[near]
-                if len(places):
-                    slots = iter(canon.slots(text, places[typed].tolist()) if typed.any() else [])
-                    columns[0] += [doc_id] * len(places)
-                    columns[1] += places.tolist()
-                    columns[2] += hashes.view(np.int64).tolist()
-                    columns[3] += typed.tolist()
-                    columns[4] += [next(slots) if t else [] for t in typed.tolist()]
+                    near = np.flatnonzero(bits[hashes >> np.uint64(64 - TABLE_BITS)])
+                    of_text, places, hashes, typed = of_text[near], places[near], hashes[near], typed[near]
+                slots: list[list[str]] = [[] for _ in places]
+                for t in np.unique(of_text[typed]).tolist():
+                    mine = np.flatnonzero(typed & (of_text == t))
+                    for at, values in zip(mine.tolist(), canon.slots(found[a + t], places[mine].tolist())):
+                        slots[at] = values
+                columns[0] += [ids[a + t] for t in of_text.tolist()]
+                columns[1] += places.tolist()
+                columns[2] += hashes.view(np.int64).tolist()
+                columns[3] += typed.tolist()
+                columns[4] += slots
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "place", "hash", "typed", "slots"])
 
@@ -190,5 +219,5 @@ def decontamination(docs: DataFrame, items: DataFrame, share: float = SHARE, id_
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    gone = contamination(docs, items, share, id_col, text_col).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = contamination(docs, items, share, id_col, text_col).select(F.col("doc_id").alias("_gone"))
+    return without(docs, gone, id_col)
