@@ -99,7 +99,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     tokenizer = load_tokenizer(vocabulary)
     tokenizer.no_padding(), tokenizer.no_truncation()
     table = [s for s, _ in unpack(frequent_units(texts.select("text"), top))]
-    lengths = [len(e.ids) for e in tokenizer.encode_batch([" " + s for s in table], add_special_tokens=False)]
+    lengths = [len(e.ids) for e in tokenizer.encode_batch([unit_text(s) for s in table], add_special_tokens=False)]
     shared = spark.sparkContext.broadcast(pack(list(zip(table, lengths))))
     special = sorted({t.content for t in tokenizer.get_added_tokens_decoder().values()})
 

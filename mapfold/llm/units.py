@@ -11,12 +11,18 @@ import re
 from collections.abc import Callable
 
 _ODD = re.compile(r" (?:\s|\Z)")
+#: A comma or full stop that belongs to a run of punctuation.
+_RUN = re.compile(r"[\W_][.,] ")
+#: Stand for a comma and a full stop after a word, which are pre-tokens of their own.
+COMMA, STOP = "\x01", "\x02"
 #: The first stretch of a text has no space before it; it is the only member of a tuple.
 Unit = str | tuple[str]
 
 
 def units(text: str) -> list[Unit]:
-    """The stretches of text, without the space that each but the first begins with."""
+    """The stretches of text, without the space that each but the first begins with; COMMA and STOP have none."""
+    if COMMA not in text and STOP not in text and not _RUN.search(text):
+        text = text.replace(", ", f" {COMMA} ").replace(". ", f" {STOP} ")
     parts = text.split(" ")
     if not _ODD.search(text):
         return [(parts[0],), *parts[1:]]
@@ -30,7 +36,10 @@ def units(text: str) -> list[Unit]:
 
 
 def unit_text(unit: Unit) -> str:
-    return unit[0] if type(unit) is tuple else " " + unit
+    if type(unit) is tuple:
+        return unit[0]
+    mark = "," if unit[0] == COMMA else "." if unit[0] == STOP else None
+    return " " + unit if mark is None else mark + unit[1:]
 
 
 class Cache:
