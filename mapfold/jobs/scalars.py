@@ -169,9 +169,6 @@ def zone_features(spark: SparkSession, d: str) -> DataFrame:
     return z.withColumn("parts", F.when(z.zone_id % 2 == 0, F.array(outer, hole)).otherwise(F.array(outer)))
 
 
-CORNERS = "(VALUES (0, 0, 0), (0, 1, 0), (0, 1, 1), (0, 0, 1), (0, 0, 0))"
-
-
 @query(f"""SELECT zone_id, CAST(part AS INTEGER) AS part, CAST(5 AS INTEGER) AS positions, {scaled_sql("CASE WHEN part = 0 THEN (e - w) * (n - s) ELSE -(e - w) * (n - s) / 9 END")} AS area
 FROM {ZONES}, (SELECT unnest([0, 1]) AS part) WHERE part = 0 OR zone_id % 2 = 0""")
 def sc_geom_parts(spark: SparkSession, d: str) -> DataFrame:

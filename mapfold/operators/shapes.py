@@ -180,13 +180,13 @@ def thin_labels(labels: DataFrame, by: list[str]) -> DataFrame:
 
 
 # Distances of grid lines in degrees.
-INTERVALS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1, 2, 5, 10, 15, 30, 45)
+INTERVALS = (90, 45, 30, 15, 10, 5, 2, 1, 0.5, 0.25, 0.1, 0.05, 0.01)
 
 
-def grid_interval(zoom: float) -> float:
-    """The interval whose lines are closest to 100 pixels apart."""
-    degrees = 100 * 360 / (512 * 2**zoom)
-    return min(INTERVALS, key=lambda i: abs(math.log(i / degrees)))
+def grid_interval(zoom: float, latitude: float = 0.0) -> float:
+    """The interval whose lines are closest to 100 pixels apart, the larger of equally close ones."""
+    pixels = 256 * 2**zoom / 360 * max(0.01, math.cos(math.radians(latitude)))
+    return min(INTERVALS, key=lambda i: abs(math.log(max(1.0, pixels * i) / 100)))
 
 
 def graticule(views: DataFrame, interval: float) -> DataFrame:

@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 
 from ..operators.changes import last_per_key
 
-# Tags that make a closed way an area, whatever their value but "no".
-AREA_TAGS = ["building", "landuse", "leisure", "amenity", "natural", "place", "shop", "tourism", "historic", "boundary", "office", "aeroway", "area:highway"]
+# Tags that make a closed way an area, whatever their value.
+AREA_TAGS = "landuse landcover amenity shop tourism office military".split()
+# Tags that do so unless they have this value.
+AREA_UNLESS = {"building": "no", "building:part": "no", "leisure": "track"}
+# Tags that do so with one of these values.
+AREA_VALUES = {
+    "natural": "water wood scrub wetland grassland heath sand beach bare_rock scree shingle glacier mud fell".split(),
+    "waterway": ["riverbank"],
+    "aeroway": "aerodrome apron helipad".split(),
+}
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -51,12 +59,15 @@ def broken_ways(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def is_area(tags: Column) -> Column:
-    """area=yes or no decides; else one of AREA_TAGS that isn't no."""
-    area = tags["area"]
-    any_tag = F.lit(False)
+    """area=yes or no decides, else the tags above; an empty value is none."""
+    area, found = tags["area"], F.lit(False)
     for tag in AREA_TAGS:
-        any_tag = any_tag | (F.coalesce(tags[tag], F.lit("no")) != "no")
-    return F.when(area == "yes", True).when(area == "no", False).otherwise(any_tag)
+        found = found | (F.coalesce(tags[tag], F.lit("")) != "")
+    for tag, but in AREA_UNLESS.items():
+        found = found | ~F.coalesce(tags[tag], F.lit("")).isin("", but)
+    for tag, values in AREA_VALUES.items():
+        found = found | F.coalesce(tags[tag].isin(*values), F.lit(False))
+    return F.when(area == "yes", True).when(area == "no", False).otherwise(found)
 
 
 def way_class(lines: DataFrame) -> DataFrame:

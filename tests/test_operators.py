@@ -347,7 +347,7 @@ def test_kernels():
     assert shapes.merge_lines([[(0, 0), (1, 0)], [(2, 0), (3, 0)], [(1, 0), (2, 0)]]) == [[(0, 0), (1, 0), (2, 0), (3, 0)]]
     assert shapes.merge_lines([[(0, 0), (1, 0)], [(2, 0), (1, 0)]]) == [[(0, 0), (1, 0)], [(2, 0), (1, 0)]]
     assert shapes.place_labels([(0, 0, 0, 0, 2, 2, False, False), (1, 0, 1, 1, 3, 3, False, False), (0, 1, 3, 3, 4, 4, False, False), (0, 2, 0, 0, 1, 1, True, True)]) == [False, True, True, True]
-    assert shapes.grid_interval(2) == 15 and shapes.grid_interval(10) == 0.05
+    assert shapes.grid_interval(2) == 30 and shapes.grid_interval(10) == 0.1 and shapes.grid_interval(10, 80) == 1
     assert len(shapes.color_table([(0, "transparent"), (1, "red")])) == 256
 
 
@@ -363,3 +363,9 @@ def test_columnar_tiles():
     for bad in (data + b"x", data[:-1], b"MMT\x02" + data[4:]):
         with pytest.raises(ValueError):
             tiles.decode_columnar(bad)
+
+
+def test_area_tags(spark):
+    rows = [(1, {"building": "no"}), (2, {"building": "yes"}), (3, {"landuse": "farm", "area": "no"}), (4, {"highway": "path", "area": "yes"}), (5, {"natural": "water"}), (6, {"natural": "tree"}), (7, {"leisure": "track"}), (8, {"leisure": "park"}), (9, {"shop": ""}), (10, {})]
+    df = spark.createDataFrame(rows, "i int, tags map<string,string>")
+    assert {r.i for r in df.filter(osm.is_area(F.col("tags"))).collect()} == {2, 4, 5, 8}
