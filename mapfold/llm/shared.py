@@ -57,13 +57,19 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, most: int = BROADCAST
 
 
 def worker_state(name: str, build: Callable[[], object]) -> object:
-    """What build() returns, made once in each Python worker process."""
+    """What build() returns, made once in each Python worker process.
+
+    A worker keeps one such state, the last that was asked for, so stages of
+    different operators don't add up in its memory.
+    """
     box = sys.modules.get("_mapfold_worker_state")
     if box is None:
         box = sys.modules["_mapfold_worker_state"] = types.ModuleType("_mapfold_worker_state")
-    if not hasattr(box, name):
-        setattr(box, name, build())
-    return getattr(box, name)
+        box.name = box.state = None
+    if box.name != name:
+        box.state = None
+        box.name, box.state = name, build()
+    return box.state
 
 
 def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

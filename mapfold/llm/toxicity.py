@@ -141,7 +141,7 @@ def word_of(part: str) -> str:
 class Scanner:
     """What the stretches between spaces of a text are: codes of HIT, NEAR, OPEN, CLOSE and SAID."""
 
-    def __init__(self, terms: list[str], clean: list[str], most: int = 400_000):
+    def __init__(self, terms: list[str], clean: list[str], most: int = 200_000):
         self.automaton, self.clean, self.known, self.most = Automaton(terms), set(clean), {}, most
 
     def code(self, part: str) -> int:
