@@ -119,7 +119,16 @@ SELECT 6 AS z, CAST(floor(event_id * 31 % 64 + 0.5 + sin(b) * step + cos(b) * si
 FROM (SELECT event_id, (event_id % 628) / 100e0 AS b FROM events WHERE event_id % 40 = 0), (SELECT unnest(range(0, 5)) AS step), (SELECT unnest(range(-1, 2)) AS side)) WHERE y >= 0 AND y < 64""")
 def st_corridor(spark: SparkSession, d: str) -> DataFrame:
     """Tiles ahead of moving positions."""
-    at = table(spark, d, "events").filter("event_id % 40 = 0").selectExpr("6 AS z", "event_id * 31 % 64 AS x", "event_id * 17 % 64 AS y", "(event_id % 628) / 100e0 AS bearing")
+    return corridor(table(spark, d, "events").filter("event_id % 40 = 0"))
+
+
+@query()
+def st_corridor_all(spark: SparkSession, d: str) -> DataFrame:
+    return corridor(table(spark, d, "events"))
+
+
+def corridor(events: DataFrame) -> DataFrame:
+    at = events.selectExpr("6 AS z", "event_id * 31 % 64 AS x", "event_id * 17 % 64 AS y", "(event_id % 628) / 100e0 AS bearing")
     return C.corridor(at, F.lit(4.0)).select("z", "x", "y").distinct()
 
 
@@ -135,8 +144,8 @@ def open_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges.withColumn("cost", G.edge_cost().cast("long"))
 
 
-def origins(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "gnodes").filter("node_id % 100 = 0").select(F.col("node_id").alias("origin"))
+def origins(spark: SparkSession, d: str, part: str = "node_id % 100 = 0") -> DataFrame:
+    return view(spark, d, "gnodes").filter(part).select(F.col("node_id").alias("origin"))
 
 
 @query(f"WITH RECURSIVE {REACH_SQL} SELECT * FROM r")
@@ -144,18 +153,38 @@ def gr_reachable(spark: SparkSession, d: str) -> DataFrame:
     return G.reachable(origins(spark, d), open_edges(spark, d), COST)
 
 
+@query()
+def gr_reachable_all(spark: SparkSession, d: str) -> DataFrame:
+    """From every node."""
+    return G.reachable(origins(spark, d, "true"), open_edges(spark, d), COST)
+
+
 @query(f"WITH RECURSIVE {REACH_SQL} SELECT a.origin, g.edge_id FROM {GEDGES_SQL} g JOIN r a ON a.node = g.from_id JOIN r b ON b.node = g.to_id AND b.origin = a.origin WHERE NOT g.closed")
 def join_reachable_edges(spark: SparkSession, d: str) -> DataFrame:
     edges = open_edges(spark, d)
     return G.reachable_edges(G.reachable(origins(spark, d), edges, COST), edges)
 
 
+@query()
+def join_reachable_edges_all(spark: SparkSession, d: str) -> DataFrame:
+    edges = open_edges(spark, d)
+    return G.reachable_edges(G.reachable(origins(spark, d, "true"), edges, COST), edges)
+
+
 @query(f"""WITH RECURSIVE {REACH_SQL}, o AS (SELECT node_id AS origin, (node_id * k + 3) % (SELECT count(*) FROM customer) AS target FROM {GNODES}, (SELECT unnest([0, 7, 11, 13]) AS k) WHERE node_id % 100 = 0)
 SELECT o.origin, o.target, r.cost FROM (SELECT DISTINCT * FROM o) o LEFT JOIN r ON r.origin = o.origin AND r.node = o.target""")
 def gr_route(spark: SparkSession, d: str) -> DataFrame:
+    return G.routes(asked_routes(spark, d, origins(spark, d)), open_edges(spark, d), COST).select("origin", "target", F.col("cost").cast("long").alias("cost"))
+
+
+@query()
+def gr_route_all(spark: SparkSession, d: str) -> DataFrame:
+    return G.routes(asked_routes(spark, d, origins(spark, d, "true")), open_edges(spark, d), COST).select("origin", "target", F.col("cost").cast("long").alias("cost"))
+
+
+def asked_routes(spark: SparkSession, d: str, starts: DataFrame) -> DataFrame:
     n = table(spark, d, "customer").agg(F.count("*").alias("n"))
-    pairs = origins(spark, d).crossJoin(F.broadcast(n)).withColumn("k", F.explode(F.array(*map(F.lit, (0, 7, 11, 13))))).selectExpr("origin", "(origin * k + 3) % n AS target").distinct()
-    return G.routes(pairs, open_edges(spark, d), COST).select("origin", "target", F.col("cost").cast("long").alias("cost"))
+    return starts.crossJoin(F.broadcast(n)).withColumn("k", F.explode(F.array(*map(F.lit, (0, 7, 11, 13))))).selectExpr("origin", "(origin * k + 3) % n AS target").distinct()
 
 
 @query(f"""SELECT edge_id, CASE WHEN closed OR mode = 'foot' THEN NULL ELSE cost END AS usable, CASE WHEN closed THEN NULL ELSE {scaled_sql("cost / 1000e0 / (CASE WHEN mode = 'bike' THEN 15 ELSE 30 END / 3.6)")} END AS ms FROM {GEDGES_SQL}""")

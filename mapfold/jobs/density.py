@@ -62,6 +62,11 @@ def agg_heat_gauss(spark: SparkSession, d: str) -> DataFrame:
     return D.style_heat(view(spark, d, "pts_city").filter("event_id % 4 = 0"), 10, 8, 0.01).withColumn("density", scaled(F.col("density")))
 
 
+@query()
+def agg_heat_gauss_all(spark: SparkSession, d: str) -> DataFrame:
+    return D.style_heat(view(spark, d, "pts_city"), 10, 8, 0.01).withColumn("density", scaled(F.col("density")))
+
+
 @query(f"SELECT region, {scaled_sql('min(w)')} AS w, {scaled_sql('min(s)')} AS s, {scaled_sql('max(e)')} AS e, {scaled_sql('max(n)')} AS n FROM {ZONES} GROUP BY region")
 def agg_extent(spark: SparkSession, d: str) -> DataFrame:
     return D.extent(view(spark, d, "zones"), "region").select("region", *(scaled(F.col(c)).alias(c) for c in "wsen"))

@@ -1,0 +1,23 @@
+"""The queries named _all against the SQL of their partial namesakes, with nothing left out."""
+
+import re
+
+import pytest
+
+from mapfold.jobs import registry
+
+from .test_queries import SQL, con, shown  # noqa: F401
+
+WHOLE = "join_within_px join_box join_nearest join_query_layers top_hits agg_heat_gauss st_corridor io_topojson gr_reachable join_reachable_edges gr_route gr_adjacency_route".split()
+PART = r"\b(?:p\.)?(?:event_id|node_id) % (?:10|20|50|4|40|100) = \d+\b"
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_table(spark, sf_dir, con, name):  # noqa: F811
+    whole, n = re.subn(PART, "TRUE", SQL[name])
+    assert n
+    df = registry.queries()[f"{name}_all"](spark, sf_dir)
+    cursor = con.execute(whole)
+    columns = [c[0] for c in cursor.description]
+    want = sorted(tuple(map(shown, r)) for r in cursor.fetchall())
+    assert sorted(tuple(shown(r[c]) for c in columns) for r in df.collect()) == want
