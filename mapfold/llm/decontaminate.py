@@ -4,9 +4,13 @@ Texts become word sequences in which numbers, names (capitalised words inside a
 sentence) and units (after a number) have typed placeholders. Windows of WORDS
 words are hashed twice, as they stand and with placeholders, and documents'
 windows are hash-joined with the items'. What the placeholders stand for must
-be consistent: within a document and item, one value of the item stands for one
-value in the document. A document is contaminated by an item if it holds at
-least SHARE of the item's windows.
+be consistent: within an occurrence of an item, one value of the item stands for
+one value in the document. A document is contaminated by an item if an
+occurrence, with the windows that the document has as they stand, holds at least
+SHARE of the item's windows.
+
+A first join counts the windows of an item that a document has at all; only
+pairs that could reach SHARE are matched again with values and judged.
 
 Before the join, documents' windows are tested against a bit table of the
 items' hashes; it has a fixed size and is broadcast. It is left out if the items
@@ -23,14 +27,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, without, worker_state, written
+from .shared import BROADCAST_IDS, slices, without, worker_state, written
 
 WORDS, SHARE = 5, 0.8
 #: Words of a window that must not be placeholders.
 LITERAL = 3
+#: Places of an occurrence may be shifted against the item's by this much from one to the next.
+SHIFT = WORDS - 1
 MOST_WINDOWS, TABLE_BITS = 1 << 21, 24
 NUMBER, NAME, UNIT = 1, 2, 3
 
@@ -131,17 +137,18 @@ class Canon:
         return [[f"{kind[i]}:{words[i]}" for i in range(at, at + WORDS) if kind[i]] for at in places]
 
 
-WINDOWS = "id long, place int, hash long, typed boolean, slots array<string>"
+#: part tells texts of one id apart.
+WINDOWS = "id long, part long, place int, hash long, typed boolean, slots array<string>"
 
 
-def text_windows(texts: DataFrame, id_col: str, text_col: str, table=None) -> DataFrame:
-    """WINDOWS of all texts; with a broadcast bit table, only of those that may be in it."""
+def text_windows(texts: DataFrame, id_col: str, text_col: str, table=None, values: bool = True) -> DataFrame:
+    """WINDOWS of all texts; with a broadcast bit table, only of those that may be in it; without values, slots are empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = worker_state("decontaminate", Canon)
         bits = table.value if table is not None else None
         for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             ids, found = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices([len(t) for t in found]):
                 of_text, places, hashes, typed = canon.windows(found[a:b])
@@ -149,17 +156,19 @@ def text_windows(texts: DataFrame, id_col: str, text_col: str, table=None) -> Da
                     near = np.flatnonzero(bits[hashes >> np.uint64(64 - TABLE_BITS)])
                     of_text, places, hashes, typed = of_text[near], places[near], hashes[near], typed[near]
                 slots: list[list[str]] = [[] for _ in places]
-                for t in np.unique(of_text[typed]).tolist():
+                for t in np.unique(of_text[typed]).tolist() if values else ():
                     mine = np.flatnonzero(typed & (of_text == t))
-                    for at, values in zip(mine.tolist(), canon.slots(found[a + t], places[mine].tolist())):
-                        slots[at] = values
+                    for at, stand in zip(mine.tolist(), canon.slots(found[a + t], places[mine].tolist())):
+                        slots[at] = stand
+                parts = {t: hash64(found[a + t].encode("utf-8", "surrogatepass")) - (1 << 63) for t in set(of_text.tolist())}
                 columns[0] += [ids[a + t] for t in of_text.tolist()]
-                columns[1] += places.tolist()
-                columns[2] += hashes.view(np.int64).tolist()
-                columns[3] += typed.tolist()
-                columns[4] += slots
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "place", "hash", "typed", "slots"])
+                columns[1] += [parts[t] for t in of_text.tolist()]
+                columns[2] += places.tolist()
+                columns[3] += hashes.view(np.int64).tolist()
+                columns[4] += typed.tolist()
+                columns[5] += slots
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "part", "place", "hash", "typed", "slots"])
 
     return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, WINDOWS)
 
@@ -171,7 +180,7 @@ def contamination(docs: DataFrame, items: DataFrame, share: float = SHARE, id_co
     reparameterised is true if some of them are there with other values only.
     """
     spark = docs.sparkSession
-    ours = written(text_windows(items, item_col, item_text_col).filter("id is not null").distinct(), "benchmark-windows")
+    ours = written(text_windows(items, item_col, item_text_col).drop("part").filter("id is not null").distinct(), "benchmark-windows")
     totals = ours.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("total"))
     n, table = ours.count(), None
     if n <= most_windows:
@@ -179,20 +188,50 @@ def contamination(docs: DataFrame, items: DataFrame, share: float = SHARE, id_co
         rows = ours.select("hash").toArrow()["hash"].to_numpy()  # most_windows numbers at most
         bits[rows.view(np.uint64) >> np.uint64(64 - TABLE_BITS)] = True
         table = spark.sparkContext.broadcast(bits)
-    theirs = text_windows(docs, id_col, text_col, table)
+    small = F.broadcast if n <= 1 << 16 else lambda df: df  # 65536 rows at most
     ours = ours.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "hash", "typed", F.col("slots").alias("item_slots"))
-    if n <= 1 << 16:
-        ours = F.broadcast(ours)  # 65536 rows at most
-    met = theirs.join(ours, ["hash", "typed"]).select(F.col("id").alias("doc_id"), "item_id", "item_place", "typed", F.when(F.col("typed"), F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))).alias("slots"))
     # one row for each document and window of an item, however often the document repeats it
-    met = written(met.groupBy("doc_id", "item_id", "item_place").agg(F.max(~F.col("typed")).alias("as_is"), F.min("slots").alias("slots")), "benchmark-matches")
-    # values of an item that stand for several values: their windows don't count, but for those that are there as they stand
-    pairs = met.filter("not as_is").select("doc_id", "item_id", F.explode("slots").alias("slot"))
-    broken = pairs.groupBy("doc_id", "item_id", "slot.item").agg(F.countDistinct("slot.doc").alias("n")).filter("n > 1").groupBy("doc_id", "item_id").agg(F.collect_set("item").alias("values"))
-    kept = met.join(broken, ["doc_id", "item_id"], "left").filter(F.col("as_is") | F.col("values").isNull() | ~F.exists("slots", lambda s: F.array_contains("values", s["item"])))
-    held = kept.groupBy("doc_id", "item_id").agg(F.count("*").alias("held"), F.min("as_is").alias("as_is"))
-    found = held.join(totals, "item_id").withColumn("containment", F.col("held") / F.col("total"))
-    return found.filter(F.col("containment") >= share).select("doc_id", "item_id", "containment", (~F.col("as_is")).alias("reparameterised"))
+    theirs = text_windows(docs, id_col, text_col, table, values=False).filter("id is not null").select(F.col("id").alias("doc_id"), "hash", "typed")
+    hits = theirs.join(small(ours.drop("item_slots")), ["hash", "typed"]).select("doc_id", "item_id", "item_place").distinct()
+    hopes = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("hits")).join(totals, "item_id")
+    hopes = written(hopes.filter(F.col("hits") / F.col("total") >= share).select("doc_id", "item_id", "total"), "benchmark-hopes")
+    ids = hopes.select(F.col("doc_id").alias("id")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    theirs = text_windows(texts, "id", "text", table).withColumnRenamed("id", "doc_id").join(hopes.drop("total"), "doc_id")
+    values = F.when(F.col("typed"), F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))))
+    met = theirs.join(small(ours), ["item_id", "hash", "typed"]).select("doc_id", "item_id", "item_place", "part", (F.col("place") - F.col("item_place")).alias("shift"), "typed", values.alias("slots"))
+    held = held_windows(written(met.distinct(), "benchmark-matches"))
+    found = hopes.join(held, ["doc_id", "item_id"]).withColumn("containment", (F.col("as_they_stand") + F.col("changed")) / F.col("total"))
+    return found.filter(F.col("containment") >= share).select("doc_id", "item_id", "containment", (F.col("changed") > 0).alias("reparameterised"))
+
+
+def held_windows(met: DataFrame) -> DataFrame:
+    """doc_id, item_id, as_they_stand, changed: windows of an item that a document has as they stand, and the most others that one occurrence has.
+
+    Occurrences are the matches of equal shift in a text, and those of shifts that
+    follow each other by SHIFT at most. All matches of the document are taken
+    for one too, for copies that are in pieces. Values that stand for
+    several values in an occurrence: their windows don't count in it.
+    """
+    pair = ["doc_id", "item_id"]
+    as_is = met.filter("not typed").select(*pair, "item_place").distinct()
+    typed = met.filter("typed").join(as_is, [*pair, "item_place"], "left_anti")
+    text = Window.partitionBy(*pair, "part").orderBy("shift")
+    typed = typed.withColumn("new", (F.col("shift") - F.lag("shift").over(text) > SHIFT).cast("int")).withColumn("chain", F.coalesce(F.sum("new").over(text), F.lit(0)))
+    typed = typed.withColumn("n", F.count("*").over(Window.partitionBy(*pair, "part", "shift")))
+    named = lambda kind, part, at: F.struct(F.lit(kind).alias("kind"), part.cast("long").alias("part"), at.cast("long").alias("at"))
+    kinds = F.array(named("shift", F.col("part"), F.col("shift")), named("chain", F.col("part"), F.col("chain")), named("whole", F.lit(0), F.lit(0)), named("least", F.lit(0), F.lit(0)))
+    # of several matches of a window, that of the shift with the most matches counts
+    first = F.max(F.struct("n", (-F.size("slots")).alias("few"), "shift", "part", "slots"))["slots"]
+    dealt = typed.withColumn("place", F.explode(kinds)).groupBy(*pair, "place", "item_place").agg(first.alias("first"), F.min("slots").alias("least"))
+    dealt = dealt.select(*pair, "place", "item_place", F.when(F.col("place.kind") == "least", F.col("least")).otherwise(F.col("first")).alias("slots"))
+    stands = dealt.select(*pair, "place", F.explode("slots").alias("slot")).groupBy(*pair, "place", "slot.item").agg(F.countDistinct("slot.doc").alias("n"))
+    broken = stands.filter("n > 1").groupBy(*pair, "place").agg(F.collect_set("item").alias("values"))
+    kept = dealt.join(broken, [*pair, "place"], "left").filter(F.col("values").isNull() | ~F.exists("slots", lambda s: F.array_contains("values", s["item"])))
+    changed = kept.groupBy(*pair, "place").agg(F.count("*").alias("n")).groupBy(*pair).agg(F.max("n").alias("changed"))
+    stand = as_is.groupBy(*pair).agg(F.count("*").alias("as_they_stand"))
+    return stand.join(changed, pair, "full").select(*pair, F.coalesce("as_they_stand", F.lit(0)).alias("as_they_stand"), F.coalesce("changed", F.lit(0)).alias("changed"))
 
 
 def decontamination(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_windows: int = MOST_WINDOWS) -> DataFrame:

@@ -82,6 +82,15 @@ def test_op5_planted(spark, most):
     assert decontaminate.decontamination(docs.limit(0), items).collect() == []
 
 
+def test_op5_each_copy_has_its_own_values(spark):
+    """Copies with other values, a stray piece of a copy, and copies in texts of one id: each is judged on its own."""
+    second = CHANGED.replace("Madrid", "Oslo").replace("Lisbon", "Rome").replace("at 7", "at 6").replace("95", "70").replace("60", "40")
+    stray = "a train leaves Bonn at 5 and runs 3 km per hour toward Ulm"
+    docs = [(1, f"{CHANGED} {second}"), (2, f"{second} Then {CHANGED}"), (3, f"So {stray}. {CHANGED}"), (4, CHANGED), (4, second), (5, f"{MIXED} {MIXED}"), (6, f"{stray} {stray}")]
+    rows = decontaminate.decontamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(10, ITEM)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.contaminated, r.reparameterised) for r in rows} == {1: (True, True), 2: (True, True), 3: (True, True), 4: (True, True), 5: (False, False), 6: (False, False)}
+
+
 def test_op5_whole_table(spark, sf_dir):
     """Against the share of five-word windows, as they stand, by brute force."""
     sf_dir = sf_dir.replace("0.001", "0.01")
