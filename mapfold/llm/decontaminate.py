@@ -2,15 +2,18 @@
 
 Texts become word sequences in which numbers, names (capitalised words inside a
 sentence) and units (after a number) have typed placeholders. Windows of WORDS
-words are hashed twice, as they stand and with placeholders, and documents'
-windows are hash-joined with the items'. What the placeholders stand for must
+words are hashed as they stand, with placeholders, and where a sentence begins
+with a capitalised word also with that word as a name; documents' windows are hash-joined with the items'. What the placeholders stand for must
 be consistent: within an occurrence of an item, one value of the item stands for
 one value in the document. A document is contaminated by an item if an
 occurrence, with the windows that the document has as they stand, holds at least
 SHARE of the item's windows.
 
-A first join counts the windows of an item that a document has at all; only
-pairs that could reach SHARE are matched again with values and judged.
+A first join counts the windows of an item that a document has at all, without
+the loose ones of few literal words, which many texts have; only pairs that
+could reach SHARE with those are matched again, with all windows and values, and
+judged. Items that could reach it by loose windows alone have all theirs in the
+first join.
 
 Before the join, documents' windows are tested against a bit table of the
 items' hashes; it has a fixed size and is broadcast. It is left out if the items
@@ -33,12 +36,14 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_IDS, slices, without, worker_state, written
 
 WORDS, SHARE = 5, 0.8
-#: Words of a window that must not be placeholders.
+#: Windows with fewer words that are no placeholders are loose.
 LITERAL = 3
 #: Places of an occurrence may be shifted against the item's by this much from one to the next.
 SHIFT = WORDS - 1
 MOST_WINDOWS, TABLE_BITS = 1 << 21, 24
 NUMBER, NAME, UNIT = 1, 2, 3
+#: Forms of a window: as it stands, with placeholders, and with the first words of sentences as names too.
+LITERALLY, TYPED, FIRSTS = 0, 1, 2
 
 # Units of measure, as they are written after a number.
 UNITS = """
@@ -87,8 +92,8 @@ class Canon:
             out.append(struct.pack("=QQ", word, flags | ENDS * (m is found[-1] and any(c in ".!?:" for c in text[m.end() :]))))
         return b"".join(out)
 
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The number of words of each text, and for all words the hash and the kind of placeholder, or 0."""
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The number of words of each text, and for all words the hash and the kind of placeholder, or 0, in the forms TYPED and FIRSTS."""
         parts, known = [t.split() for t in texts], self.known
         wanted = set(chain.from_iterable(parts))
         missing = wanted.difference(known)
@@ -108,11 +113,11 @@ class Canon:
         kind[(flags & TITLE > 0) & (before & ENDS == 0)] = NAME
         kind[(flags & MEASURE > 0) & (before & DIGITS > 0)] = UNIT
         kind[flags & DIGITS > 0] = NUMBER
-        return counts, rows[:, 0], kind
+        return counts, rows[:, 0], kind, np.where((kind == 0) & (flags & TITLE > 0), np.int8(NAME), kind)
 
-    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Number of the text, place, hash and whether it has placeholders, of all windows of all texts."""
-        counts, words, kind = self.words(texts)
+    def windows(self, texts: list[str], least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the text, place, hash and form of all windows of all texts, with `least` literal words at least."""
+        counts, words, *kinds = self.words(texts)
         n = max(0, len(words) - WORDS + 1)
         of_text = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
         place = np.arange(len(words), dtype=np.int64) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -120,29 +125,35 @@ class Canon:
         literal = np.zeros(n, np.uint64)
         for k, multiplier in enumerate(MULTIPLIERS):
             literal += words[k : n + k] * np.uint64(multiplier)
-        sums = np.append(0, np.cumsum(kind > 0))
-        slots = sums[WORDS : n + WORDS] - sums[:n]
-        typed = inside[(slots[inside] > 0) & (WORDS - slots[inside] >= LITERAL)]
-        template = np.ones(len(typed), np.uint64)
-        for k, multiplier in enumerate(MULTIPLIERS):
-            at = typed + k
-            template += np.where(kind[at] > 0, self.holders[kind[at]], words[at]) * np.uint64(multiplier)
-        where = np.concatenate([inside, typed])
-        return of_text[where], place[where], mixed(np.concatenate([literal[inside], template])), np.arange(len(where)) >= len(inside)
-
-    def slots(self, text: str, places: list[int]) -> list[list[str]]:
+        where, hashes, before = [inside], [literal[inside]], np.zeros(n, np.int64)
+        for kind in kinds:
+            sums = np.append(0, np.cumsum(kind > 0))
+            slots = sums[WORDS : n + WORDS] - sums[:n]
+            typed = inside[(slots[inside] > before[inside]) & (WORDS - slots[inside] >= least)]
+            template = np.ones(len(typed), np.uint64)
+            for k, multiplier in enumerate(MULTIPLIERS):
+                at = typed + k
+                template += np.where(kind[at] > 0, self.holders[kind[at]], words[at]) * np.uint64(multiplier)
+            before = slots
+            where.append(typed)
+            hashes.append(template)
+        form = np.repeat(np.array([LITERALLY, TYPED, FIRSTS], np.int8), [len(w) for w in where])
+        all_of = np.concatenate(where)
+        return of_text[all_of], place[all_of], mixed(np.concatenate(hashes)), form
+
+    def slots(self, text: str, places: list[int], forms: list[int]) -> list[list[str]]:
         """What the placeholders of the windows at these places stand for, with their kinds."""
         words = [m.lower() for m in PIECE.findall(" ".join(text.split()))]
-        kind = self.words([text])[2].tolist()
-        return [[f"{kind[i]}:{words[i]}" for i in range(at, at + WORDS) if kind[i]] for at in places]
+        kinds = [None, *(k.tolist() for k in self.words([text])[2:])]
+        return [[f"{kinds[form][i]}:{words[i]}" for i in range(at, at + WORDS) if kinds[form][i]] for at, form in zip(places, forms)]
 
 
 #: part tells texts of one id apart.
-WINDOWS = "id long, part long, place int, hash long, typed boolean, slots array<string>"
+WINDOWS = "id long, part long, place int, hash long, form byte, slots array<string>"
 
 
-def text_windows(texts: DataFrame, id_col: str, text_col: str, table=None, values: bool = True) -> DataFrame:
-    """WINDOWS of all texts; with a broadcast bit table, only of those that may be in it; without values, slots are empty."""
+def text_windows(texts: DataFrame, id_col: str, text_col: str, table=None, values: bool = True, least: int = 0) -> DataFrame:
+    """WINDOWS of all texts; with a broadcast bit table, only of those that may be in it; without values, slots are empty. Those with placeholders have `least` literal words at least."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = worker_state("decontaminate", Canon)
@@ -151,24 +162,24 @@ def text_windows(texts: DataFrame, id_col: str, text_col: str, table=None, value
             columns: list[list] = [[], [], [], [], [], []]
             ids, found = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices([len(t) for t in found]):
-                of_text, places, hashes, typed = canon.windows(found[a:b])
+                of_text, places, hashes, form = canon.windows(found[a:b], least)
                 if bits is not None:
                     near = np.flatnonzero(bits[hashes >> np.uint64(64 - TABLE_BITS)])
-                    of_text, places, hashes, typed = of_text[near], places[near], hashes[near], typed[near]
+                    of_text, places, hashes, form = of_text[near], places[near], hashes[near], form[near]
                 slots: list[list[str]] = [[] for _ in places]
-                for t in np.unique(of_text[typed]).tolist() if values else ():
-                    mine = np.flatnonzero(typed & (of_text == t))
-                    for at, stand in zip(mine.tolist(), canon.slots(found[a + t], places[mine].tolist())):
+                for t in np.unique(of_text[form > 0]).tolist() if values else ():
+                    mine = np.flatnonzero((form > 0) & (of_text == t))
+                    for at, stand in zip(mine.tolist(), canon.slots(found[a + t], places[mine].tolist(), form[mine].tolist())):
                         slots[at] = stand
                 parts = {t: hash64(found[a + t].encode("utf-8", "surrogatepass")) - (1 << 63) for t in set(of_text.tolist())}
                 columns[0] += [ids[a + t] for t in of_text.tolist()]
                 columns[1] += [parts[t] for t in of_text.tolist()]
                 columns[2] += places.tolist()
                 columns[3] += hashes.view(np.int64).tolist()
-                columns[4] += typed.tolist()
+                columns[4] += form.tolist()
                 columns[5] += slots
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "part", "place", "hash", "typed", "slots"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int8(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "part", "place", "hash", "form", "slots"])
 
     return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, WINDOWS)
 
@@ -181,26 +192,36 @@ def contamination(docs: DataFrame, items: DataFrame, share: float = SHARE, id_co
     """
     spark = docs.sparkSession
     ours = written(text_windows(items, item_col, item_text_col).drop("part").filter("id is not null").distinct(), "benchmark-windows")
-    totals = ours.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("total"))
-    n, table = ours.count(), None
+    ours = ours.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "hash", (F.col("form") > 0).alias("typed"), F.col("form").alias("item_form"), F.col("slots").alias("item_slots"))
+    ours = ours.withColumn("loose", F.col("typed") & (WORDS - F.size("item_slots") < LITERAL))
+    places = ours.groupBy("item_id", "item_place").agg(F.max("loose").alias("late"))
+    totals = places.groupBy("item_id").agg(F.count("*").alias("total"), F.count_if("late").alias("n_late"))
+    totals = totals.withColumn("all_first", F.col("n_late") / F.col("total") >= share)
+    # places whose loose windows aren't in the first join
+    late = F.col("late") & ~F.col("all_first")
+    early = ours.join(places, ["item_id", "item_place"]).join(totals, "item_id").filter(~F.col("loose") | F.col("all_first"))
+    early = written(early.select("item_id", "item_place", "hash", "typed", "loose", late.alias("late")), "benchmark-first")
+    n, tables = ours.count(), [None, None]
     if n <= most_windows:
-        bits = np.zeros(1 << TABLE_BITS, bool)
-        rows = ours.select("hash").toArrow()["hash"].to_numpy()  # most_windows numbers at most
-        bits[rows.view(np.uint64) >> np.uint64(64 - TABLE_BITS)] = True
-        table = spark.sparkContext.broadcast(bits)
+        for k, df in enumerate((early, ours)):
+            bits = np.zeros(1 << TABLE_BITS, bool)
+            rows = df.select("hash").toArrow()["hash"].to_numpy()  # most_windows numbers at most
+            bits[rows.view(np.uint64) >> np.uint64(64 - TABLE_BITS)] = True
+            tables[k] = spark.sparkContext.broadcast(bits)
     small = F.broadcast if n <= 1 << 16 else lambda df: df  # 65536 rows at most
-    ours = ours.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "hash", "typed", F.col("slots").alias("item_slots"))
     # one row for each document and window of an item, however often the document repeats it
-    theirs = text_windows(docs, id_col, text_col, table, values=False).filter("id is not null").select(F.col("id").alias("doc_id"), "hash", "typed")
-    hits = theirs.join(small(ours.drop("item_slots")), ["hash", "typed"]).select("doc_id", "item_id", "item_place").distinct()
-    hopes = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("hits")).join(totals, "item_id")
-    hopes = written(hopes.filter(F.col("hits") / F.col("total") >= share).select("doc_id", "item_id", "total"), "benchmark-hopes")
+    theirs = text_windows(docs, id_col, text_col, tables[0], False, LITERAL if early.filter("loose").isEmpty() else 0)
+    theirs = theirs.filter("id is not null").select(F.col("id").alias("doc_id"), "hash", (F.col("form") > 0).alias("typed"))
+    hits = theirs.join(small(early.drop("loose")), ["hash", "typed"]).select("doc_id", "item_id", "item_place", "late").distinct()
+    hopes = hits.groupBy("doc_id", "item_id").agg(F.count_if(~F.col("late")).alias("hits")).join(totals, "item_id")
+    most = F.col("hits") + F.when(F.col("all_first"), 0).otherwise(F.col("n_late"))
+    hopes = written(hopes.filter(most / F.col("total") >= share).select("doc_id", "item_id", "total"), "benchmark-hopes")
     ids = hopes.select(F.col("doc_id").alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    theirs = text_windows(texts, "id", "text", table).withColumnRenamed("id", "doc_id").join(hopes.drop("total"), "doc_id")
+    theirs = text_windows(texts, "id", "text", tables[1]).withColumnRenamed("id", "doc_id").withColumn("typed", F.col("form") > 0).join(hopes.drop("total"), "doc_id")
     values = F.when(F.col("typed"), F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))))
-    met = theirs.join(small(ours), ["item_id", "hash", "typed"]).select("doc_id", "item_id", "item_place", "part", (F.col("place") - F.col("item_place")).alias("shift"), "typed", values.alias("slots"))
+    met = theirs.join(small(ours), ["item_id", "hash", "typed"]).select("doc_id", "item_id", "item_place", "part", (F.col("place") - F.col("item_place")).alias("shift"), "typed", (F.col("loose") | (F.col("form") == FIRSTS) | (F.col("item_form") == FIRSTS)).alias("wide"), values.alias("slots"))
     held = held_windows(written(met.distinct(), "benchmark-matches"))
     found = hopes.join(held, ["doc_id", "item_id"]).withColumn("containment", (F.col("as_they_stand") + F.col("changed")) / F.col("total"))
     return found.filter(F.col("containment") >= share).select("doc_id", "item_id", "containment", (F.col("changed") > 0).alias("reparameterised"))
@@ -212,15 +233,18 @@ def held_windows(met: DataFrame) -> DataFrame:
     Occurrences are the matches of equal shift in a text, and those of shifts that
     follow each other by SHIFT at most. All matches of the document are taken
     for one too, for copies that are in pieces. Values that stand for
-    several values in an occurrence: their windows don't count in it.
+    several values in an occurrence: their windows don't count in it. Each is
+    judged without the wide windows, those that are loose or take the first
+    words of sentences as names, and with them.
     """
     pair = ["doc_id", "item_id"]
     as_is = met.filter("not typed").select(*pair, "item_place").distinct()
     typed = met.filter("typed").join(as_is, [*pair, "item_place"], "left_anti")
-    text = Window.partitionBy(*pair, "part").orderBy("shift")
+    typed = typed.filter("not wide").unionByName(typed.withColumn("wide", F.lit(True)))
+    text = Window.partitionBy(*pair, "wide", "part").orderBy("shift")
     typed = typed.withColumn("new", (F.col("shift") - F.lag("shift").over(text) > SHIFT).cast("int")).withColumn("chain", F.coalesce(F.sum("new").over(text), F.lit(0)))
-    typed = typed.withColumn("n", F.count("*").over(Window.partitionBy(*pair, "part", "shift")))
-    named = lambda kind, part, at: F.struct(F.lit(kind).alias("kind"), part.cast("long").alias("part"), at.cast("long").alias("at"))
+    typed = typed.withColumn("n", F.count("*").over(Window.partitionBy(*pair, "wide", "part", "shift")))
+    named = lambda kind, part, at: F.struct("wide", F.lit(kind).alias("kind"), part.cast("long").alias("part"), at.cast("long").alias("at"))
     kinds = F.array(named("shift", F.col("part"), F.col("shift")), named("chain", F.col("part"), F.col("chain")), named("whole", F.lit(0), F.lit(0)), named("least", F.lit(0), F.lit(0)))
     # of several matches of a window, that of the shift with the most matches counts
     first = F.max(F.struct("n", (-F.size("slots")).alias("few"), "shift", "part", "slots"))["slots"]

@@ -91,6 +91,18 @@ def test_op5_each_copy_has_its_own_values(spark):
     assert {r.doc_id: (r.contaminated, r.reparameterised) for r in rows} == {1: (True, True), 2: (True, True), 3: (True, True), 4: (True, True), 5: (False, False), 6: (False, False)}
 
 
+def test_op5_short_sentences_and_loose_windows(spark):
+    """Names that begin sentences, and windows of few literal words."""
+    clips = "Natalia sold 48 clips in April. Mary then sold 24 clips in May. How many clips did they sell?"
+    other = "Weng sold 30 clips in June. Tom then sold 15 clips in July. How many clips did they sell?"
+    mixed = "Weng sold 30 clips in June. Tom then sold 30 tins in July. How many tins did they sell?"
+    loose, again = "Tom gave Mary 3 kg and Ann 4 kg but Bob 5 kg", "Jim gave Sue 7 lb and Eva 8 lb but Max 9 lb"
+    docs = [(1, other), (2, "So it goes. " + other), (3, mixed), (4, again), (5, again.replace("8 lb", "8 kg")), (6, clips), (7, "Weng sold 30 clips in June.")]
+    items = spark.createDataFrame([(10, clips), (11, loose)], "item_id long, text string")
+    rows = decontaminate.decontamination(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {r.doc_id: (list(r.item_ids), r.reparameterised) for r in rows} == {1: ([10], True), 2: ([10], True), 3: ([], False), 4: ([11], True), 5: ([], False), 6: ([10], False), 7: ([], False)}
+
+
 def test_op5_whole_table(spark, sf_dir):
     """Against the share of five-word windows, as they stand, by brute force."""
     sf_dir = sf_dir.replace("0.001", "0.01")
