@@ -123,12 +123,16 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 0.25, few: i
     if named.limit(few + 1).count() <= few:
         pairs = points.join(F.broadcast(named)).withColumn("metres", metres)  # `few` rows at most
         return best(pairs).select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.metres").alias("metres"))
-    dealt = named.withColumn("cx", F.floor(F.col("nlon") / cell)).withColumn("cy", F.floor(F.col("nlat") / cell))
+    # columns go round the world, in n of at least `cell` degrees
+    n = int(360 // cell)
+    column = lambda lon: F.pmod(F.floor((lon + 180.0) * n / 360.0), F.lit(n))
+    dealt = named.withColumn("cx", column(F.col("nlon"))).withColumn("cy", F.floor(F.col("nlat") / cell))
     left, done, reach = points, None, 1
     while True:
         span = F.sequence(F.lit(-reach), F.lit(reach))
-        at = left.withColumn("ox", F.floor(F.col("lon") / cell)).withColumn("oy", F.floor(F.col("lat") / cell))
-        asked = at.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).withColumn("cx", F.col("ox") + F.col("dx")).withColumn("cy", F.col("oy") + F.col("dy"))
+        around = F.sequence(F.lit(-reach), F.lit(min(reach, n - 1 - reach))) if reach < n else F.sequence(F.lit(0), F.lit(n - 1))
+        at = left.withColumn("ox", column(F.col("lon"))).withColumn("oy", F.floor(F.col("lat") / cell))
+        asked = at.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(span)).withColumn("cx", F.pmod(F.col("ox") + F.col("dx"), F.lit(n))).withColumn("cy", F.col("oy") + F.col("dy"))
         pairs = asked.join(dealt, ["cx", "cy"]).withColumn("metres", metres)
         found = left.join(best(pairs), "point_id", "left")
         # whatever is beyond the ring is at least this far away in latitude, or in longitude at this latitude

@@ -197,6 +197,13 @@ def test_nearest_by_rings_or_broadcast(spark, few):
     assert {i: got[i] for i in inner} == {i: want[i] for i in inner}
 
 
+@pytest.mark.parametrize("cell", [0.25, 20, 50])
+def test_nearest_node_across_the_antimeridian(spark, cell):
+    points = spark.createDataFrame([(1, 179.9, 10.0), (2, -179.9, -20.0), (3, 0.0, 0.0)], "point_id long, lon double, lat double")
+    nodes = spark.createDataFrame([(1, -179.95, 10.0), (2, 179.7, 10.0), (3, 179.99, -20.0), (4, -179.6, -20.0), (5, 0.1, 0.0)], "node_id long, lon double, lat double")
+    assert {r.point_id: r.node_id for r in spatial.nearest_node(points, nodes, cell=cell, few=0).collect()} == {1: 1, 2: 3, 3: 5}
+
+
 def test_bounds_cross_the_antimeridian(spark):
     row = density.bounds(spark.createDataFrame([(170.0, -8.0), (175.0, 2.0), (-170.0, 12.0)], "lon double, lat double")).first()
     assert (row.w, row.s, row.e, row.n) == (170, -8, -170, 12)
