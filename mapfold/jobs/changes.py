@@ -116,27 +116,32 @@ def st_edit_log(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT DISTINCT z, ((x % 64) + 64) % 64 AS x, y FROM (
 SELECT 6 AS z, CAST(floor(event_id * 31 % 64 + 0.5 + sin(b) * step + cos(b) * side) AS BIGINT) AS x, CAST(floor(event_id * 17 % 64 + 0.5 - cos(b) * step + sin(b) * side) AS BIGINT) AS y
-FROM (SELECT event_id, (event_id % 628) / 100e0 AS b FROM events WHERE event_id % 40 = 0), (SELECT unnest(range(0, 5)) AS step), (SELECT unnest(range(-1, 2)) AS side)) WHERE y >= 0 AND y < 64""")
+FROM (SELECT event_id, (event_id % 628) / 100e0 AS b FROM events), (SELECT unnest(range(0, 5)) AS step), (SELECT unnest(range(-1, 2)) AS side)) WHERE y >= 0 AND y < 64""")
 def st_corridor(spark: SparkSession, d: str) -> DataFrame:
     """Tiles ahead of moving positions."""
-    return corridor(table(spark, d, "events").filter("event_id % 40 = 0"))
+    at = table(spark, d, "events").selectExpr("6 AS z", "event_id * 31 % 64 AS x", "event_id * 17 % 64 AS y", "(event_id % 628) / 100e0 AS bearing")
+    return C.corridor(at, F.lit(4.0)).select("z", "x", "y").distinct()
 
 
-@query()
-def st_corridor_all(spark: SparkSession, d: str) -> DataFrame:
-    return corridor(table(spark, d, "events"))
+COST = 8_000_000
+ARCS_SQL = f"""SELECT from_id AS src, to_id AS dst, cost, edge_id FROM {GEDGES_SQL} WHERE NOT closed AND cost <= {COST}"""
+BACK_SQL = f"""SELECT to_id, from_id, cost, edge_id FROM {GEDGES_SQL} WHERE NOT closed AND NOT one_way AND cost <= {COST}"""
 
 
-def corridor(events: DataFrame) -> DataFrame:
-    at = events.selectExpr("6 AS z", "event_id * 31 % 64 AS x", "event_id * 17 % 64 AS y", "(event_id % 628) / 100e0 AS bearing")
-    return C.corridor(at, F.lit(4.0)).select("z", "x", "y").distinct()
+def reach_sql(arcs: str) -> str:
+    """r: cost, stops and path (nodes and edges) of each origin's best ways to all nodes: the cheapest, of these the shortest, of these by the last edge's id."""
+    return f"""e AS MATERIALIZED ({arcs}),
+l(origin, node, cost, hops) USING KEY (origin, node) AS (SELECT node_id, node_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM {GNODES}
+UNION SELECT n.origin, n.node, n.label.cost, n.label.hops FROM (SELECT l.origin, e.dst AS node, min({{'cost': l.cost + e.cost, 'hops': l.hops + 1}}) AS label FROM l JOIN e ON e.src = l.node WHERE l.cost + e.cost <= {COST} GROUP BY l.origin, e.dst) n
+LEFT JOIN recurring.l k ON k.origin = n.origin AND k.node = n.node WHERE k.cost IS NULL OR n.label < {{'cost': k.cost, 'hops': k.hops}}),
+t AS MATERIALIZED (SELECT b.origin, b.node, min({{'edge': s.edge_id, 'prev': s.src}}) AS step FROM l b JOIN (SELECT a.origin, e.dst, a.cost + e.cost AS cost, a.hops + 1 AS hops, e.edge_id, e.src FROM l a JOIN e ON e.src = a.node) s
+ON s.origin = b.origin AND s.dst = b.node AND s.cost = b.cost AND s.hops = b.hops GROUP BY b.origin, b.node),
+w AS (SELECT origin, node, node AS at, [CAST(node AS BIGINT)] AS stops, CAST([] AS BIGINT[]) AS path FROM l
+UNION ALL SELECT w.origin, w.node, t.step.prev, list_prepend(t.step.prev, stops), list_prepend(t.step.edge, path) FROM w JOIN t ON t.origin = w.origin AND t.node = w.at WHERE w.at <> w.origin),
+r AS MATERIALIZED (SELECT w.origin, w.node, l.cost, stops, path FROM w JOIN l ON l.origin = w.origin AND l.node = w.node WHERE w.at = w.origin)"""
 
 
-COST = 8_000_000
-REACH_SQL = f"""e AS MATERIALIZED (SELECT from_id AS src, to_id AS dst, cost FROM {GEDGES_SQL} WHERE NOT closed AND cost <= {COST} UNION ALL SELECT to_id, from_id, cost FROM {GEDGES_SQL} WHERE NOT closed AND NOT one_way AND cost <= {COST}),
-p AS (SELECT node_id AS origin, node_id AS node, CAST(0 AS BIGINT) AS cost FROM {GNODES} WHERE node_id % 100 = 0
-UNION ALL SELECT p.origin, e.dst, p.cost + e.cost FROM p JOIN e ON e.src = p.node WHERE p.cost + e.cost <= {COST}),
-r AS (SELECT origin, node, min(cost) AS cost FROM p GROUP BY origin, node)"""
+REACH_SQL = reach_sql(f"{ARCS_SQL} UNION ALL {BACK_SQL}")
 
 
 def open_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -144,19 +149,14 @@ def open_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges.withColumn("cost", G.edge_cost().cast("long"))
 
 
-def origins(spark: SparkSession, d: str, part: str = "node_id % 100 = 0") -> DataFrame:
-    return view(spark, d, "gnodes").filter(part).select(F.col("node_id").alias("origin"))
+def origins(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "gnodes").select(F.col("node_id").alias("origin"))
 
 
-@query(f"WITH RECURSIVE {REACH_SQL} SELECT * FROM r")
+@query(f"WITH RECURSIVE {REACH_SQL} SELECT origin, node, cost FROM r")
 def gr_reachable(spark: SparkSession, d: str) -> DataFrame:
-    return G.reachable(origins(spark, d), open_edges(spark, d), COST)
-
-
-@query()
-def gr_reachable_all(spark: SparkSession, d: str) -> DataFrame:
     """From every node."""
-    return G.reachable(origins(spark, d, "true"), open_edges(spark, d), COST)
+    return G.reachable(origins(spark, d), open_edges(spark, d), COST)
 
 
 @query(f"WITH RECURSIVE {REACH_SQL} SELECT a.origin, g.edge_id FROM {GEDGES_SQL} g JOIN r a ON a.node = g.from_id JOIN r b ON b.node = g.to_id AND b.origin = a.origin WHERE NOT g.closed")
@@ -165,26 +165,39 @@ def join_reachable_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.reachable_edges(G.reachable(origins(spark, d), edges, COST), edges)
 
 
-@query()
-def join_reachable_edges_all(spark: SparkSession, d: str) -> DataFrame:
-    edges = open_edges(spark, d)
-    return G.reachable_edges(G.reachable(origins(spark, d, "true"), edges, COST), edges)
+def shown_routes(found: DataFrame) -> DataFrame:
+    ids = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.select("origin", "target", F.col("cost").cast("long").alias("cost"), ids("node_ids"), ids("edge_ids"))
 
 
-@query(f"""WITH RECURSIVE {REACH_SQL}, o AS (SELECT node_id AS origin, (node_id * k + 3) % (SELECT count(*) FROM customer) AS target FROM {GNODES}, (SELECT unnest([0, 7, 11, 13]) AS k) WHERE node_id % 100 = 0)
-SELECT o.origin, o.target, r.cost FROM (SELECT DISTINCT * FROM o) o LEFT JOIN r ON r.origin = o.origin AND r.node = o.target""")
-def gr_route(spark: SparkSession, d: str) -> DataFrame:
-    return G.routes(asked_routes(spark, d, origins(spark, d)), open_edges(spark, d), COST).select("origin", "target", F.col("cost").cast("long").alias("cost"))
+SHOWN_SQL = "array_to_string(r.stops, ',') AS node_ids, array_to_string(r.path, ',') AS edge_ids"
 
 
-@query()
-def gr_route_all(spark: SparkSession, d: str) -> DataFrame:
-    return G.routes(asked_routes(spark, d, origins(spark, d, "true")), open_edges(spark, d), COST).select("origin", "target", F.col("cost").cast("long").alias("cost"))
+@query(f"""WITH RECURSIVE {REACH_SQL}, o AS (SELECT node_id AS origin, (node_id * k + 3) % (SELECT count(*) FROM customer) AS target FROM {GNODES}, (SELECT unnest([0, 7, 11, 13]) AS k))
+SELECT o.origin, o.target, r.cost, {SHOWN_SQL} FROM (SELECT DISTINCT * FROM o) o LEFT JOIN r ON r.origin = o.origin AND r.node = o.target""")
+def gr_route(spark: SparkSession, d: str) -> DataFrame:
+    """Routes from every node to four others."""
+    return shown_routes(G.routes(asked_routes(spark, d), open_edges(spark, d), COST))
 
 
-def asked_routes(spark: SparkSession, d: str, starts: DataFrame) -> DataFrame:
+def asked_routes(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "customer").agg(F.count("*").alias("n"))
-    return starts.crossJoin(F.broadcast(n)).withColumn("k", F.explode(F.array(*map(F.lit, (0, 7, 11, 13))))).selectExpr("origin", "(origin * k + 3) % n AS target").distinct()
+    return origins(spark, d).crossJoin(F.broadcast(n)).withColumn("k", F.explode(F.array(*map(F.lit, (0, 7, 11, 13))))).selectExpr("origin", "(origin * k + 3) % n AS target").distinct()
+
+
+@query(f"""WITH RECURSIVE {REACH_SQL}, s AS (SELECT origin, node AS target, unnest(path) AS edge_id FROM r),
+g AS (SELECT edge_id, {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS metres FROM {GEDGES_SQL} JOIN {GNODES} a ON a.node_id = from_id JOIN {GNODES} b ON b.node_id = to_id),
+m AS (SELECT origin, target, sum(metres) AS metres FROM s JOIN g USING (edge_id) GROUP BY origin, target)
+SELECT r.origin, r.node AS target, {scaled_sql('coalesce(metres, 0)', 10)} AS decimetres, CAST(len(stops) AS INTEGER) AS positions, {scaled_sql('first.lon', 100)} AS x, {scaled_sql('last.lat', 100)} AS y
+FROM r LEFT JOIN m ON m.origin = r.origin AND m.target = r.node JOIN {GNODES} first ON first.node_id = r.origin JOIN {GNODES} last ON last.node_id = r.node""")
+def gr_route_shape(spark: SparkSession, d: str) -> DataFrame:
+    """The lines and lengths of the routes from every node to all that it reaches: edges are straight between their nodes."""
+    nodes, edges = view(spark, d, "gnodes"), open_edges(spark, d)
+    pairs = G.reachable(origins(spark, d), edges, COST).select("origin", F.col("node").alias("target"))
+    end = lambda c, at: nodes.select(F.col("node_id").alias(c), F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias(at))
+    shapes = G.with_distance(nodes, edges).join(end("from_id", "a"), "from_id").join(end("to_id", "b"), "to_id").withColumn("line", F.array("a", "b"))
+    found = G.route_shapes(G.routes(pairs, edges, COST), nodes, shapes)
+    return found.select("origin", "target", scaled(F.col("distance"), 10).alias("decimetres"), F.size("line").alias("positions"), scaled(F.get("line", F.lit(0))["x"], 100).alias("x"), scaled(F.element_at("line", -1)["y"], 100).alias("y"))
 
 
 @query(f"""SELECT edge_id, CASE WHEN closed OR mode = 'foot' THEN NULL ELSE cost END AS usable, CASE WHEN closed THEN NULL ELSE {scaled_sql("cost / 1000e0 / (CASE WHEN mode = 'bike' THEN 15 ELSE 30 END / 3.6)")} END AS ms FROM {GEDGES_SQL}""")

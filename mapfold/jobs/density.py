@@ -57,13 +57,8 @@ def agg_heat_raster(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT px, py, {scaled_sql('sum(least(1, strength * 0.3989422804 * exp(-4.5 * (dx * dx + dy * dy) / 64e0)))')} AS density FROM (
 SELECT CAST(floor({X} * 524288) AS BIGINT) + dx AS px, CAST(floor({Y} * 524288) AS BIGINT) + dy AS py, weight * 0.01 AS strength, dx, dy
-FROM {CITY}, (SELECT unnest(range(-7, 8)) AS dx), (SELECT unnest(range(-7, 8)) AS dy) WHERE event_id % 4 = 0) WHERE strength > 0 AND (dx * dx + dy * dy) / 64e0 < 1 GROUP BY px, py""")
+FROM {CITY}, (SELECT unnest(range(-7, 8)) AS dx), (SELECT unnest(range(-7, 8)) AS dy)) WHERE strength > 0 AND (dx * dx + dy * dy) / 64e0 < 1 GROUP BY px, py""")
 def agg_heat_gauss(spark: SparkSession, d: str) -> DataFrame:
-    return D.style_heat(view(spark, d, "pts_city").filter("event_id % 4 = 0"), 10, 8, 0.01).withColumn("density", scaled(F.col("density")))
-
-
-@query()
-def agg_heat_gauss_all(spark: SparkSession, d: str) -> DataFrame:
     return D.style_heat(view(spark, d, "pts_city"), 10, 8, 0.01).withColumn("density", scaled(F.col("density")))
 
 

@@ -26,17 +26,17 @@ def join_way_nodes(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("way_id", F.size("line").cast("long").alias("n"), scaled(weighed("x"), 100).alias("x"), scaled(weighed("y"), 100).alias("y"))
 
 
-@query(f"SELECT n.node_id FROM {NODES} n WHERE tag IS NOT NULL OR node_id NOT IN (SELECT node_id FROM {WAYS_SQL} WHERE way_id % 10 = 0)")
+@query(f"SELECT n.node_id FROM {NODES} n WHERE tag IS NOT NULL OR node_id NOT IN (SELECT node_id FROM {WAYS_SQL})")
 def join_helper_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return O.helper_nodes(view(spark, d, "osm_nodes"), ways(spark, d).filter("way_id % 10 = 0")).select("node_id")
+    return O.helper_nodes(view(spark, d, "osm_nodes"), ways(spark, d)).select("node_id")
 
 
-MEMBERS_SQL = "(SELECT o_custkey AS relation_id, CAST(o_orderkey AS BIGINT) AS pos, CASE WHEN o_orderkey % 11 = 0 THEN 'node' ELSE 'way' END AS type, o_orderkey AS ref, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'inner' WHEN 2 THEN 'label' ELSE 'outer' END AS role FROM orders WHERE o_orderkey % 3 = 0)"
+MEMBERS_SQL = "(SELECT o_custkey AS relation_id, CAST(o_orderkey AS BIGINT) AS pos, CASE WHEN o_orderkey % 11 = 0 THEN 'node' ELSE 'way' END AS type, o_orderkey AS ref, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'inner' WHEN 2 THEN 'label' ELSE 'outer' END AS role FROM orders)"
 GOOD_WAYS = f"(SELECT way_id FROM {WAYS_SQL} w LEFT JOIN {NODES} n ON n.node_id = w.node_id AND n.node_id % 50 <> 0 GROUP BY way_id HAVING count(*) = count(lon) AND count(*) >= 2)"
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").filter("o_orderkey % 3 = 0").selectExpr("o_custkey AS relation_id", "o_orderkey AS pos", "CASE WHEN o_orderkey % 11 = 0 THEN 'node' ELSE 'way' END AS type", "o_orderkey AS ref", "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'inner' WHEN 2 THEN 'label' ELSE 'outer' END AS role")
+    return table(spark, d, "orders").selectExpr("o_custkey AS relation_id", "o_orderkey AS pos", "CASE WHEN o_orderkey % 11 = 0 THEN 'node' ELSE 'way' END AS type", "o_orderkey AS ref", "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'inner' WHEN 2 THEN 'label' ELSE 'outer' END AS role")
 
 
 RELATION_SQL = f"""(SELECT relation_id, pos, ref, r AS role, CASE WHEN type <> 'way' THEN 'not-a-way' WHEN r NOT IN ('outer', 'inner') THEN 'role' WHEN g.way_id IS NULL THEN 'missing-way' END AS code

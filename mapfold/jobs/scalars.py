@@ -198,11 +198,11 @@ def sc_anchor(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), '\s+', ' ', 'g')), 1, 160) AS label,
-lower(substr(trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), '\s+', ' ', 'g')), 1, 160)) AS folded FROM documents WHERE lang = 'en'""")
+lower(substr(trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), '\s+', ' ', 'g')), 1, 160)) AS folded FROM documents""")
 def sc_clean_text(spark: SparkSession, d: str) -> DataFrame:
     from .inputs import table
 
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", geo.clean_label(F.col("text")).alias("label")).withColumn("folded", F.lower("label"))
+    return table(spark, d, "documents").select("doc_id", geo.clean_label(F.col("text")).alias("label")).withColumn("folded", F.lower("label"))
 
 
 @query(f"""SELECT user_id, {scaled_sql("least(14, least(log2(800 / (512 * greatest(x1 - x0, 1e-9))), log2(600 / (512 * greatest(y1 - y0, 1e-9)))))")} AS zoom,

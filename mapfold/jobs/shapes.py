@@ -16,7 +16,7 @@ from ..sources import geojson as J
 from ..sources import osm as O
 from ..sources import tiles as T
 from . import density as density_jobs
-from .changes import COST, REACH_SQL, open_edges, origins
+from .changes import ARCS_SQL, COST, SHOWN_SQL, open_edges, reach_sql, shown_routes
 from .inputs import GEDGES_SQL, gedges, scaled, scaled_sql, sql, table, view
 from .registry import query
 from .scenes import city_items, shared
@@ -164,14 +164,14 @@ def top_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 HITS = f"""(SELECT p.event_id AS point_id, f.event_id AS feature_id, f.event_type AS layer FROM {CITY} p JOIN {CITY} f ON (p.lon - f.lon) * (p.lon - f.lon) + (p.lat - f.lat) * (p.lat - f.lat) <= 0.0005 * 0.0005
-WHERE p.event_id % 50 = 9 AND f.event_type IN ('click', 'view', 'purchase'))"""
+WHERE f.event_type IN ('click', 'view', 'purchase'))"""
 ORDER = "CASE layer WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END"
 
 
-def hits(spark: SparkSession, d: str, part: str = "event_id % 50 = 9") -> DataFrame:
+def hits(spark: SparkSession, d: str) -> DataFrame:
     """point_id, feature_id, layer, place: features under a point, of the layers click, view and purchase, the last on top."""
     p = view(spark, d, "pts_city")
-    points = p.filter(part).select(F.col("event_id").alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    points = p.select(F.col("event_id").alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     drawn = p.filter("event_type in ('click', 'view', 'purchase')")
     dots = drawn.select(F.col("event_id").alias("line_id"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
     near = spatial.points_near_segments(points, dots, 0.0005).withColumnRenamed("line_id", "feature_id")
@@ -181,18 +181,9 @@ def hits(spark: SparkSession, d: str, part: str = "event_id % 50 = 9") -> DataFr
 
 @query(f"SELECT point_id, feature_id, layer, row_number() OVER (PARTITION BY point_id ORDER BY {ORDER} DESC, feature_id DESC) AS rank FROM {HITS}")
 def join_query_layers(spark: SparkSession, d: str) -> DataFrame:
-    return ranked_hits(hits(spark, d))
-
-
-@query()
-def join_query_layers_all(spark: SparkSession, d: str) -> DataFrame:
     """Features under every point."""
-    return ranked_hits(hits(spark, d, "true"))
-
-
-def ranked_hits(found: DataFrame) -> DataFrame:
     top = Window.partitionBy("point_id").orderBy(F.desc("place"), F.desc("feature_id"))
-    return found.select("point_id", "feature_id", "layer", F.row_number().over(top).cast("long").alias("rank"))
+    return hits(spark, d).select("point_id", "feature_id", "layer", F.row_number().over(top).cast("long").alias("rank"))
 
 
 @query(f"SELECT point_id, feature_id FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY {ORDER} DESC, feature_id DESC) AS k FROM {HITS}) WHERE k = 1")
@@ -200,11 +191,6 @@ def top_hits(spark: SparkSession, d: str) -> DataFrame:
     return join_query_layers(spark, d).filter("rank = 1").select("point_id", "feature_id")
 
 
-@query()
-def top_hits_all(spark: SparkSession, d: str) -> DataFrame:
-    return join_query_layers_all(spark, d).filter("rank = 1").select("point_id", "feature_id")
-
-
 @query()
 def join_query_source(spark: SparkSession, d: str) -> DataFrame:
     """Level 9 of a clustered source: clusters of at least 20 points, with the zones, which aren't points."""
@@ -263,22 +249,13 @@ def udf_edge_cost(spark: SparkSession, d: str) -> DataFrame:
     return gedges(spark, d).withColumn("v", v).select("edge_id", F.when((F.col("v") >= 0) & (F.col("v") < float("inf")), scaled(F.col("v"), 1)).alias("cost"))
 
 
-@query(f"""WITH RECURSIVE {REACH_SQL.replace("SELECT to_id, from_id, cost FROM " + GEDGES_SQL + " WHERE NOT closed AND NOT one_way AND", "SELECT to_id, from_id, cost FROM " + GEDGES_SQL + " WHERE false AND")} SELECT origin, node AS target, cost FROM r WHERE (origin, node) IN (SELECT src, dst FROM e)""")
+@query(f"WITH RECURSIVE {reach_sql(ARCS_SQL)} SELECT origin, node AS target, cost, {SHOWN_SQL} FROM r WHERE (origin, node) IN (SELECT src, dst FROM e)")
 def gr_adjacency_route(spark: SparkSession, d: str) -> DataFrame:
-    """Routes to the ends of each origin's arcs on a graph given as lists of arcs by node: directed."""
-    return adjacency_routes(spark, d, origins(spark, d))
-
-
-@query()
-def gr_adjacency_route_all(spark: SparkSession, d: str) -> DataFrame:
-    return adjacency_routes(spark, d, origins(spark, d, "true"))
-
-
-def adjacency_routes(spark: SparkSession, d: str, starts: DataFrame) -> DataFrame:
+    """Routes to the ends of each node's arcs on a graph given as lists of arcs by node: directed."""
     nested = open_edges(spark, d).filter("cost is not null").groupBy("from_id").agg(F.collect_list(F.struct("to_id", "cost", "edge_id")).alias("arcs"))
     flat = nested.select("from_id", F.explode("arcs").alias("a")).select("a.edge_id", "from_id", "a.to_id", "a.cost", F.lit(True).alias("one_way"))
-    pairs = starts.join(flat, F.col("origin") == F.col("from_id")).filter(F.col("cost") <= COST).select("origin", F.col("to_id").alias("target")).distinct()
-    return graph.routes(pairs, flat, COST).filter("cost is not null").select("origin", "target", F.col("cost").cast("long").alias("cost"))
+    pairs = flat.filter(F.col("cost") <= COST).select(F.col("from_id").alias("origin"), F.col("to_id").alias("target")).distinct()
+    return shown_routes(graph.routes(pairs, flat, COST).filter("cost is not null"))
 
 
 def tiled(spark: SparkSession, d: str, encode=T.encode_points) -> DataFrame:
@@ -360,18 +337,10 @@ def io_osm(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.size("nodes").cast("long").alias("refs"), F.aggregate("nodes", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
-@query("SELECT event_id, CAST(3 AS INTEGER) AS positions, CAST(floor((10 + event_id % 90 * 0.1) * 1000 + 0.5) AS BIGINT) AS x, CAST(floor((40 + 2 * 0.5) * 1000 + 0.5) AS BIGINT) AS y FROM events WHERE event_id % 20 = 0")
+@query("SELECT event_id, CAST(3 AS INTEGER) AS positions, CAST(floor((10 + event_id % 90 * 0.1) * 1000 + 0.5) AS BIGINT) AS x, CAST(floor((40 + 2 * 0.5) * 1000 + 0.5) AS BIGINT) AS y FROM events")
 def io_topojson(spark: SparkSession, d: str) -> DataFrame:
     """A topology an event: two arcs that meet, joined to a line."""
-    return topologies(table(spark, d, "events").filter("event_id % 20 = 0"))
-
-
-@query()
-def io_topojson_all(spark: SparkSession, d: str) -> DataFrame:
-    return topologies(table(spark, d, "events"))
-
-
-def topologies(events: DataFrame) -> DataFrame:
+    events = table(spark, d, "events")
     x = "event_id % 90"
     text = F.expr(f"""concat('{{"type":"Topology","transform":{{"scale":[0.1,0.5],"translate":[10,40]}},"arcs":[[[0,0],[', {x}, ',0]],[[', {x}, ',2],[0,-2]]],"objects":{{"a":{{"type":"LineString","arcs":[0,-2]}}}}}}')""")
     files = events.select(F.col("event_id").cast("string").alias("source"), F.try_parse_json(text).alias("v"))

@@ -1,9 +1,13 @@
 """Costs, reachability and routes on weighted graphs.
 
-Two engines give the same costs. Up to MOST_EDGES edges the adjacency is
-broadcast as arrays and each request is searched by a heap within a task. A
+Two engines give the same rows. Up to MOST_EDGES edges the adjacency is
+broadcast as arrays and each origin is searched by a heap within a task. A
 larger graph is searched by rounds of joins: the frontier, all improved nodes
 of all origins, is joined with the edges on their start until nothing improves.
+
+Both give a tree for each origin: of the cheapest ways to a node that with the
+fewest edges, and of those that whose last edge has the least id. So a route is
+one and the same, whichever engine found it.
 """
 
 from __future__ import annotations
@@ -13,11 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 2M edges in both directions are 4M rows of 24 bytes.
+#: 2M edges in both directions are 4M arcs of 24 bytes.
 MOST_EDGES = 2_000_000
+#: What is known of a node: prev and edge_id are the step that leads to it, null at the origin.
+TREE = ["origin", "node", "cost", "hops", "edge_id", "prev"]
 
 
 def edge_cost(kind: str = "cost", mode: str | None = None, default_speed: float = 30.0) -> Column:
@@ -41,19 +48,113 @@ def arcs(edges: DataFrame) -> DataFrame:
     return there.unionByName(back).drop("one_way")
 
 
-def reachable(origins: DataFrame, edges: DataFrame, max_cost: float) -> DataFrame:
-    """origin, node, cost of all nodes within max_cost (included) of origins(origin), by rounds of joins."""
-    ways = arcs(edges).filter(F.col("cost") <= max_cost).select("src", "dst", F.col("cost").alias("step"))
+class Adjacency:
+    """Arcs by start; nodes by number. The arrays are made once, on the driver, and broadcast."""
+
+    def __init__(self, frame: pd.DataFrame):
+        src, dst, edge = (frame[c].to_numpy() for c in ("src", "dst", "edge_id"))
+        self.nodes = np.unique(np.concatenate([src, dst]))
+        src, dst = np.searchsorted(self.nodes, src), np.searchsorted(self.nodes, dst)
+        order = np.lexsort((edge, src))
+        self.starts = np.searchsorted(src[order], np.arange(len(self.nodes) + 1))
+        self.ends, self.costs, self.edges = dst[order], frame["cost"].to_numpy()[order], edge[order]
+
+    def number(self, node: int) -> int:
+        """The number of a node, -1 if no arc has it."""
+        at = int(np.searchsorted(self.nodes, node))
+        return at if at < len(self.nodes) and self.nodes[at] == node else -1
+
+    def search(self, origin: int, max_cost: float, targets: set[int] | None = None) -> dict[int, tuple]:
+        """(cost, hops, edge, number of the node before) by number of the nodes within max_cost; if targets are given, of those needed for them."""
+        start = self.number(origin)
+        if start < 0:
+            return {}
+        left = None if targets is None else {self.number(t) for t in targets} - {-1}
+        found, done, heap = {start: (0, 0, None, None)}, {}, [(0, 0, start)]
+        while heap and (left is None or left):
+            cost, hops, at = heapq.heappop(heap)
+            if at in done:
+                continue
+            done[at] = found[at]
+            if left is not None:
+                left.discard(at)
+            a, b = self.starts[at], self.starts[at + 1]
+            for to, step, edge in zip(self.ends[a:b].tolist(), self.costs[a:b].tolist(), self.edges[a:b].tolist()):
+                after = cost + step
+                if after > max_cost:
+                    continue
+                known = found.get(to)
+                if known is None or (after, hops + 1) < known[:2]:
+                    found[to] = (after, hops + 1, edge, at)
+                    heapq.heappush(heap, (after, hops + 1, to))
+                elif (after, hops + 1) == known[:2] and (edge, self.nodes[at]) < (known[2], self.nodes[known[3]]):
+                    found[to] = (after, hops + 1, edge, at)
+        return done
+
+
+def broadcast_adjacency(edges: DataFrame, most_edges: int):
+    """The broadcast Adjacency, or None if there are more than most_edges edges."""
+    ways = arcs(edges).select("src", "dst", "cost", "edge_id")
+    if ways.limit(2 * most_edges + 1).count() > 2 * most_edges:
+        return None
+    return edges.sparkSession.sparkContext.broadcast(Adjacency(ways.toPandas()))
+
+
+def cheapest(origins: DataFrame, edges: DataFrame, max_cost: float, most_edges: int = MOST_EDGES) -> DataFrame:
+    """TREE rows of all nodes within max_cost (included) of origins(origin)."""
+    kind = edges.schema["cost"].dataType.simpleString()
+    starts = origins.select(F.col("origin").cast("long")).distinct()
+    shared = broadcast_adjacency(edges, most_edges)
+    if shared is None:
+        return cheapest_by_joins(starts, edges, max_cost)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = shared.value
+        names = graph.nodes.tolist()
+        kinds = [pa.int64(), pa.int64(), number, pa.int32(), pa.int64(), pa.int64()]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], TREE)
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for origin in batch.column(0).to_pylist():
+                found = graph.search(origin, max_cost)
+                rows += [(origin, names[n], c, h, e, None if p is None else names[p]) for n, (c, h, e, p) in found.items()] or [(origin, origin, 0, 0, None, None)]
+                if len(rows) >= 10_000:
+                    yield out(rows)
+                    rows = []
+            if rows:
+                yield out(rows)
+
+    number = pa.int64() if kind == "bigint" else pa.float64()
+    schema = f"origin long, node long, cost {'long' if kind == 'bigint' else 'double'}, hops int, edge_id long, prev long"
+    return starts.mapInArrow(work, schema)
+
+
+def cheapest_by_joins(origins: DataFrame, edges: DataFrame, max_cost: float) -> DataFrame:
+    """The same by rounds of joins; what is known stays dealt out by origin and node, and only what a round tries is shuffled."""
+    spark = origins.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ways = arcs(edges).filter(F.col("cost") <= max_cost).select("src", "dst", F.col("cost").alias("step"), F.col("edge_id").alias("by"))
     kind = edges.schema["cost"].dataType
-    best = origins.select("origin", F.col("origin").alias("node"), F.lit(0).cast(kind).alias("cost")).distinct().checkpoint()
-    frontier = best
-    while not frontier.isEmpty():
-        tried = frontier.join(ways, frontier["node"] == ways["src"]).select("origin", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost")).filter(F.col("cost") <= max_cost)
-        tried = tried.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
-        known = best.select("origin", "node", F.col("cost").alias("known"))
-        frontier = tried.join(known, ["origin", "node"], "left").filter("known is null or cost < known").select("origin", "node", "cost").checkpoint()
-        best = best.unionByName(frontier).groupBy("origin", "node").agg(F.min("cost").alias("cost")).checkpoint()
-    return best
+    start = [F.lit(0).cast(kind).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("edge_id"), F.lit(None).cast("long").alias("prev")]
+    known = origins.select("origin", F.col("origin").alias("node"), F.struct(*start).alias("label"), F.lit(True).alias("better")).repartition(n, "origin", "node").checkpoint()
+    while not (frontier := known.filter("better")).isEmpty():
+        label = F.struct((F.col("label.cost") + F.col("step")).alias("cost"), (F.col("label.hops") + 1).alias("hops"), F.col("by").alias("edge_id"), F.col("node").alias("prev"))
+        tried = frontier.join(ways, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), label.alias("tried")).filter(F.col("tried.cost") <= max_cost)
+        tried = tried.repartition(n, "origin", "node").groupBy("origin", "node").agg(F.min("tried").alias("tried"))
+        both = known.drop("better").join(tried, ["origin", "node"], "full")
+        least = F.least("label", "tried")  # nulls are left out
+        # a better last edge alone changes nothing beyond the node
+        nearer = F.col("tried").isNotNull() & (F.col("label").isNull() | (F.struct("tried.cost", "tried.hops") < F.struct("label.cost", "label.hops")))
+        known = both.select("origin", "node", least.alias("label"), nearer.alias("better")).checkpoint()
+    return known.select("origin", "node", "label.*")
+
+
+def reachable(origins: DataFrame, edges: DataFrame, max_cost: float, most_edges: int = MOST_EDGES) -> DataFrame:
+    """origin, node, cost of all nodes within max_cost (included) of origins(origin)."""
+    return cheapest(origins, edges, max_cost, most_edges).select("origin", "node", "cost")
 
 
 def reachable_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,73 +165,90 @@ def reachable_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
     return usable.join(a, "from_id").join(b, ["origin", "to_id"], "left_semi").select("origin", "edge_id")
 
 
-class Adjacency:
-    """Edges by start, in the order of edges; nodes by number."""
-
-    def __init__(self, frame: pd.DataFrame):
-        self.nodes = np.unique(np.concatenate([frame["src"].to_numpy(), frame["dst"].to_numpy()]))
-        src, dst = np.searchsorted(self.nodes, frame["src"].to_numpy()), np.searchsorted(self.nodes, frame["dst"].to_numpy())
-        order = np.lexsort((frame["edge_id"].to_numpy(), src))
-        self.starts = np.searchsorted(src[order], np.arange(len(self.nodes) + 1)).tolist()
-        self.ends, self.costs, self.edges = dst[order].tolist(), frame["cost"].to_numpy()[order].tolist(), frame["edge_id"].to_numpy()[order].tolist()
-        self.place = {n: i for i, n in enumerate(self.nodes.tolist())}
-
-    def search(self, origin: int, targets: set[int], max_cost: float) -> dict[int, tuple[float, list[int], list[int]]]:
-        """Cost, nodes and edges of the cheapest route to each target within max_cost."""
-        start, left = self.place.get(origin), {self.place[t] for t in targets if t in self.place}
-        found = {origin: (0, [origin], [])} if origin in targets else {}
-        if start is None:
-            return found
-        cost, via, done, heap = {start: 0}, {}, set(), [(0, 0, start)]
-        pushed = 0
-        while heap and left:
-            c, _, at = heapq.heappop(heap)
-            if at in done:
-                continue
-            done.add(at)
-            left.discard(at)
-            for k in range(self.starts[at], self.starts[at + 1]):
-                to, after = self.ends[k], c + self.costs[k]
-                if after <= max_cost and after < cost.get(to, float("inf")):
-                    cost[to], via[to] = after, (at, self.edges[k])
-                    pushed += 1
-                    heapq.heappush(heap, (after, pushed, to))
-        for target in targets:
-            at = self.place.get(target)
-            if at in done and target != origin:
-                nodes, edges = [at], []
-                while nodes[-1] != start:
-                    before, edge = via[nodes[-1]]
-                    nodes.append(before)
-                    edges.append(edge)
-                found[target] = (cost[at], [self.nodes[n].item() for n in nodes[::-1]], edges[::-1])
-        return found
+ROUTE = "origin long, target long, cost double, node_ids array<long>, edge_ids array<long>"
 
 
 def routes(pairs: DataFrame, edges: DataFrame, max_cost: float, most_edges: int = MOST_EDGES) -> DataFrame:
     """origin, target, cost, node_ids, edge_ids of pairs(origin, target); nulls where there is no route within max_cost.
 
-    The adjacency is broadcast if it has at most 2 * most_edges arcs. Otherwise
-    costs come from reachable() and node_ids and edge_ids are null.
+    A node's route to itself has cost 0, one node and no edge.
     """
-    ways = arcs(edges)
-    if ways.limit(2 * most_edges + 1).count() > 2 * most_edges:
-        reached = reachable(pairs.select("origin").distinct(), edges, max_cost).select("origin", F.col("node").alias("target"), "cost")
-        nothing = F.lit(None).cast("array<long>")
-        return pairs.join(reached, ["origin", "target"], "left").select("origin", "target", F.col("cost").cast("double").alias("cost"), nothing.alias("node_ids"), nothing.alias("edge_ids"))
-    shared = pairs.sparkSession.sparkContext.broadcast(ways.select("src", "dst", "cost", "edge_id").toPandas())
+    asked = pairs.select(F.col("origin").cast("long"), F.col("target").cast("long"))
+    shared = broadcast_adjacency(edges, most_edges)
+    if shared is None:
+        return routes_by_joins(asked, edges, max_cost)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = Adjacency(shared.value)
+        graph = shared.value
         for frame in frames:
             rows = []
             for origin, targets in frame.groupby("origin")["target"]:
-                found = graph.search(origin, set(targets.tolist()), max_cost)
-                rows += [(origin, t, *found.get(t, (None, None, None))) for t in targets.tolist()]
+                found = graph.search(origin, max_cost, set(targets.tolist()))
+                for target in targets.tolist():
+                    at = graph.number(target)
+                    if target == origin:
+                        rows.append((origin, target, 0.0, [origin], []))
+                    elif at not in found:
+                        rows.append((origin, target, None, None, None))
+                    else:
+                        nodes, steps = [at], []
+                        while found[nodes[-1]][3] is not None:
+                            steps.append(found[nodes[-1]][2])
+                            nodes.append(found[nodes[-1]][3])
+                        rows.append((origin, target, float(found[at][0]), graph.nodes[nodes[::-1]].tolist(), steps[::-1]))
             yield pd.DataFrame(rows, columns=["origin", "target", "cost", "node_ids", "edge_ids"])
 
     # a search serves all targets of an origin in the batch
-    return pairs.select("origin", "target").repartition("origin").sortWithinPartitions("origin").mapInPandas(work, "origin long, target long, cost double, node_ids array<long>, edge_ids array<long>")
+    return asked.repartition("origin").sortWithinPartitions("origin").mapInPandas(work, ROUTE)
+
+
+def routes_by_joins(pairs: DataFrame, edges: DataFrame, max_cost: float) -> DataFrame:
+    """The same from the trees of cheapest_by_joins: each round takes all open routes one edge back."""
+    tree = cheapest_by_joins(pairs.select("origin").distinct(), edges, max_cost)
+    steps = tree.select("origin", F.col("node").alias("at"), "edge_id", "prev")
+    ends = tree.select("origin", F.col("node").alias("target"), F.col("cost").cast("double").alias("cost"))
+    found = pairs.distinct().join(ends, ["origin", "target"])
+    walks = found.select("origin", "target", "cost", F.col("target").alias("at"), F.array("target").alias("node_ids"), F.array().cast("array<long>").alias("edge_ids")).checkpoint()
+    done = walks.filter("at = origin")
+    while not (walks := walks.filter("at <> origin")).isEmpty():
+        met = walks.join(steps, ["origin", "at"])
+        walks = met.select("origin", "target", "cost", F.col("prev").alias("at"), F.concat(F.array("prev"), "node_ids").alias("node_ids"), F.concat(F.array("edge_id"), "edge_ids").alias("edge_ids")).checkpoint()
+        done = done.unionByName(walks.filter("at = origin"))
+    return pairs.join(done.drop("at"), ["origin", "target"], "left").select("origin", "target", "cost", "node_ids", "edge_ids")
+
+
+def route_shapes(found: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """found(origin, target, node_ids, edge_ids, ...) with `distance` and `line`, an array of x, y; null without a route.
+
+    The line is the shapes(edge_id, from_id, distance, line) of the edges, read
+    backwards where an edge is walked from its end. Where a shape begins with
+    the position that the one before ended with, it is there once; gaps stay. A
+    route without edges is the place of its node(node_id, lon, lat).
+    """
+    key = ["origin", "target"]
+    steps = found.select(*key, "node_ids", F.posexplode("edge_ids").alias("k", "edge_id"))
+    shapes = edges.select("edge_id", "from_id", "distance", "line")
+    turned = F.when(F.col("from_id") == F.get("node_ids", F.col("k")), F.col("line")).otherwise(F.reverse("line"))
+    parts = steps.join(shapes, "edge_id").select(*key, F.struct("k", turned.alias("line"), "distance").alias("part"))
+    # a route is one row: no longer than its edges
+    whole = parts.groupBy(*key).agg(F.sum("part.distance").alias("distance"), F.array_sort(F.collect_list("part")).alias("parts"))
+    before = lambda i: F.element_at(F.get(F.col("parts"), i - 1)["line"], -1)
+    joined = F.transform("parts", lambda p, i: F.when((i > 0) & (before(i) == F.get(p["line"], F.lit(0))), F.slice(p["line"], 2, F.greatest(F.size(p["line"]) - 1, F.lit(0)))).otherwise(p["line"]))
+    whole = whole.select(*key, "distance", F.flatten(joined).alias("line"))
+    at = nodes.select(F.col("node_id").alias("origin"), F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("place"))
+    rows = found.join(whole, key, "left").join(at, "origin", "left")
+    stays = F.size("edge_ids") == 0
+    line, metres = F.when(stays, F.col("place")).otherwise(F.col("line")), F.when(stays, F.lit(0.0)).otherwise(F.col("distance"))
+    return rows.select(*found.columns, metres.alias("distance"), line.alias("line"))
+
+
+def snapped(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """requests(request_id, node_id, lon, lat) as request_id, node_id, start_distance: the node that is asked for if there is one, else the nearest to lon and lat."""
+    from .spatial import nearest_node
+
+    known = requests.join(nodes.select("node_id"), "node_id", "left_semi").select("request_id", "node_id", F.lit(0.0).alias("start_distance"))
+    others = requests.join(nodes.select("node_id"), "node_id", "left_anti").select(F.col("request_id").alias("point_id"), "lon", "lat")
+    return known.unionByName(nearest_node(others, nodes).select(F.col("point_id").alias("request_id"), "node_id", F.col("metres").alias("start_distance")))
 
 
 def patch_edges(edges: DataFrame, patches: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,19 +111,111 @@ def segments_in_boxes(segments: DataFrame, boxes: DataFrame, cell: float) -> Dat
     return met.select("box_id", "line_id").distinct()
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 0.25, few: int = 10_000) -> DataFrame:
+class NodeTree:
+    """Boxes around runs of positions on the unit sphere, in the order of a space-filling curve, and boxes around runs of boxes."""
+
+    LEAF, FAN = 8, 8
+
+    def __init__(self, lon: np.ndarray, lat: np.ndarray):
+        at = self.on_sphere(lon, lat)
+        # a million steps between the outermost positions, whatever they are
+        low, span = at.min(0), max(float(np.ptp(at, axis=0).max()), 1e-12)
+        cells = np.minimum((at - low) / span * (1 << 20), (1 << 20) - 1).astype(np.int64)
+        curve = np.zeros(len(at), np.int64)
+        for bit in range(20):
+            for axis in range(3):
+                curve |= (cells[:, axis] >> bit & 1) << (3 * bit + axis)
+        self.order = np.argsort(curve, kind="stable")
+        self.at = at[self.order].T.copy()
+        #: from the leaves up: least and greatest corners
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        low, high, fan = self.at, self.at, self.LEAF
+        while not self.levels or low.shape[1] > 1:
+            starts = np.arange(0, low.shape[1], fan)
+            low, high, fan = np.minimum.reduceat(low, starts, axis=1), np.maximum.reduceat(high, starts, axis=1), self.FAN
+            self.levels.append((low, high))
+
+    @staticmethod
+    def on_sphere(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+        x, y = np.radians(lon), np.radians(lat)
+        return np.column_stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)])
+
+    def children(self, node: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the children of nodes, a row for each node, and which of them there are."""
+        fan, n = (self.FAN, self.levels[level - 1][0].shape[1]) if level else (self.LEAF, self.at.shape[1])
+        child = node[:, None] * fan + np.arange(fan)
+        return np.minimum(child, n - 1), child < n
+
+    def far(self, points: np.ndarray, node: np.ndarray, level: int) -> np.ndarray:
+        """Squared distances between points (3, ...) and boxes of a level, or positions below level 0."""
+        total = np.zeros(node.shape)
+        for axis in range(3):
+            if level < 0:
+                gap = points[axis] - self.at[axis][node]
+            else:
+                low, high = (corner[axis][node] for corner in self.levels[level])
+                gap = np.maximum(0, np.maximum(low - points[axis], points[axis] - high))
+            total += gap * gap
+        return total
+
+    def nearest(self, lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of points, ascending, and of the positions that are nearest to them; several if they are equally near but for rounding."""
+        points = self.on_sphere(lon, lat).T.copy()
+        # down to the nearest box at each level: a bound for what is nearest
+        node = np.zeros(len(lon), np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            child, there = self.children(node, level)
+            far = np.where(there, self.far(points[:, :, None], child, level - 1), np.inf)
+            node, bound = child[np.arange(len(lon)), far.argmin(1)], far.min(1)
+        bound = bound * (1 + 1e-9) + 1e-15
+        q, node = np.arange(len(lon)), np.zeros(len(lon), np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            child, there = self.children(node, level)
+            near = there & (self.far(points[:, q][:, :, None], child, level - 1) <= bound[q][:, None])
+            q, node = np.repeat(q, near.sum(1)), child[near]
+        far = self.far(points[:, q], node, -1)
+        best = np.full(len(lon), np.inf)
+        np.minimum.at(best, q, far)
+        near = far <= best[q] * (1 + 1e-9) + 1e-15
+        return q[near], self.order[node[near]]
+
+
+def nearest_node(points: DataFrame, nodes: DataFrame, few: int = 4_000_000) -> DataFrame:
     """point_id, node_id, metres: the nearest of nodes(node_id, lon, lat), the smallest id of equally near ones.
 
-    Up to `few` nodes are broadcast and tested one by one. More are put in grid
-    cells; a point looks in its own cell and those around it, in rings that
-    double, until what it found is nearer than anything beyond the ring can be.
+    Up to `few` nodes, 24 bytes each, are broadcast, and each batch of points
+    searches a tree of them. More are put in grid cells and joined. Both give
+    the same rows.
     """
+    if nodes.limit(few + 1).count() > few:
+        return nearest_by_cells(points, nodes)
+    columns = nodes.select("node_id", F.col("lon").cast("double"), F.col("lat").cast("double")).orderBy("node_id").toPandas()
+    shared = points.sparkSession.sparkContext.broadcast(tuple(columns[c].to_numpy() for c in columns))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lons, lats = shared.value
+        tree = NodeTree(lons, lats) if len(ids) else None
+        for batch in batches:
+            lon, lat = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat"))
+            for a in range(0, len(lon) if tree else 0, 4096):
+                q, n = tree.nearest(lon[a : a + 4096], lat[a : a + 4096])
+                offsets = np.searchsorted(q, np.arange(min(4096, len(lon) - a) + 1)).astype(np.int32)
+                near = pa.StructArray.from_arrays([pa.array(ids[n]), pa.array(lons[n]), pa.array(lats[n])], ["node_id", "lon", "lat"])
+                part = batch.slice(a, len(offsets) - 1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), near)], [*part.schema.names, "near"])
+
+    asked = points.select("point_id", F.col("lon").cast("double"), F.col("lat").cast("double")).filter("lon is not null and lat is not null")
+    schema = f"point_id {points.schema['point_id'].dataType.simpleString()}, lon double, lat double, near array<struct<node_id:long,lon:double,lat:double>>"
+    metres = lambda n: F.struct(haversine_m(F.col("lon"), F.col("lat"), n["lon"], n["lat"]).alias("metres"), n["node_id"].alias("node_id"))
+    best = asked.mapInArrow(work, schema).select("point_id", F.array_min(F.transform("near", metres)).alias("b"))
+    return best.filter("b is not null").select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.metres").alias("metres"))
+
+
+def nearest_by_cells(points: DataFrame, nodes: DataFrame, cell: float = 0.25) -> DataFrame:
+    """nearest_node by joins: a point looks in its own cell and those around it, in rings that grow, until what it found is nearer than anything beyond the ring can be."""
     best = lambda pairs: pairs.groupBy("point_id").agg(F.min(F.struct("metres", "node_id")).alias("b"))
     named = nodes.select("node_id", F.col("lon").alias("nlon"), F.col("lat").alias("nlat"))
     metres = haversine_m(F.col("lon"), F.col("lat"), F.col("nlon"), F.col("nlat"))
-    if named.limit(few + 1).count() <= few:
-        pairs = points.join(F.broadcast(named)).withColumn("metres", metres)  # `few` rows at most
-        return best(pairs).select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.metres").alias("metres"))
     # columns go round the world, in n of at least `cell` degrees
     n = int(360 // cell)
     column = lambda lon: F.pmod(F.floor((lon + 180.0) * n / 360.0), F.lit(n))
@@ -141,7 +234,7 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 0.25, few: i
         final = found.filter(F.col("b").isNotNull() & ((F.col("b.metres") <= sure) | F.lit(whole)))
         part = final.select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.metres").alias("metres"))
         done = part if done is None else done.unionByName(part)
-        left = found.filter(~(F.col("b").isNotNull() & (F.col("b.metres") <= sure))).select(*points.columns).checkpoint()
+        left = found.filter(~F.coalesce(F.col("b.metres") <= sure, F.lit(False))).select(*points.columns).checkpoint()
         if whole or left.isEmpty():
             return done
         reach *= 4
