@@ -281,6 +281,6 @@ def decontamination(docs: DataFrame, items: DataFrame, share: float = SHARE, id_
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
+    """The rows of docs that hold no item, with all their columns; rows of one id are judged together, those without one stay."""
     gone = contamination(docs, items, share, id_col, text_col).select(F.col("doc_id").alias("_gone"))
-    return without(docs, gone, id_col)
+    return without(docs, gone, {"_gone": docs[id_col]})

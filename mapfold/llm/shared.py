@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -24,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset, as
-    in tests on one machine, a temporary folder takes its place.
+    The cluster names it in spark.checkpoint.dir. Where that is unset, a
+    temporary folder takes its place if driver and executors are one process on
+    one machine, as in tests; a cluster without it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="mapfold-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -44,16 +48,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str, most: int = BROADCAST_IDS) -> DataFrame:
-    """The rows of docs whose id isn't in gone(_gone), with all their columns; null ids stay.
+def forget(table: DataFrame) -> None:
+    """Deletes the files of a table that written() made and that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {uri.rpartition("/")[0] for uri in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    Up to `most` ids are broadcast, so that the texts needn't be shuffled; more
-    are joined on the id.
+
+def reading_tasks(spark: SparkSession, pieces: int, most: int = 32) -> int:
+    """The number of tasks for pieces of files: one each at first, then up to `most` pieces a task beyond what the cluster runs at once."""
+    return max(1, min(pieces, max(4 * spark.sparkContext.defaultParallelism, -(-pieces // most))))
+
+
+def text_key(text: Column) -> Column:
+    """Tells texts of one id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column], most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs whose keys aren't a row of gone, with all their columns; nulls equal nulls.
+
+    keys has, by gone's columns, what they are in docs. Up to `most` rows are
+    broadcast, so that the texts needn't be shuffled; more are joined.
     """
-    ids = written(gone.filter("_gone is not null").distinct(), "gone")
-    if ids.count() <= most:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs[id_col] == ids["_gone"], "left_anti")
+    rows = written(gone.select(*keys).distinct(), "gone")
+    if rows.count() <= most:
+        rows = F.broadcast(rows)
+    return docs.join(rows, [of_docs.eqNullSafe(rows[name]) for name, of_docs in keys.items()], "left_anti")
 
 
 def worker_state(name: str, build: Callable[[], object]) -> object:

@@ -11,52 +11,70 @@ import re
 from collections.abc import Callable
 
 _ODD = re.compile(r" (?:\s|\Z)")
-#: A comma or full stop that belongs to a run of punctuation.
-_RUN = re.compile(r"[\W_][.,] ")
-#: Stand for a comma and a full stop after a word, which are pre-tokens of their own.
-COMMA, STOP = "\x01", "\x02"
+#: White space of Latin-1, each after a space.
+_AFTER = tuple(f" {c}" for c in map(chr, range(256)) if c.isspace())
+#: Letters of the longest stretch that is kept, and bytes of an entry besides its letters.
+LONGEST, ENTRY = 1024, 190
 #: The first stretch of a text has no space before it; it is the only member of a tuple.
 Unit = str | tuple[str]
 
 
+def odd(text: str) -> bool:
+    """Whether a space has white space, or nothing, after it."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _ODD.search(text) is not None
+    return text.endswith(" ") or any(pair in text for pair in (_AFTER if not text.isascii() else _AFTER[:-2]))
+
+
 def units(text: str) -> list[Unit]:
-    """The stretches of text, without the space that each but the first begins with; COMMA and STOP have none."""
-    if COMMA not in text and STOP not in text and not _RUN.search(text):
-        text = text.replace(", ", f" {COMMA} ").replace(". ", f" {STOP} ")
+    """The stretches of text, without the space that each but the first begins with."""
     parts = text.split(" ")
-    if not _ODD.search(text):
-        return [(parts[0],), *parts[1:]]
-    out = [parts[0]]
-    for part in parts[1:]:
-        if not part or part[0].isspace():
-            out[-1] += " " + part
-        else:
-            out.append(part)
-    return [(out[0],), *out[1:]]
+    if odd(text):
+        out = [parts[0]]
+        for part in parts[1:]:
+            if not part or part[0].isspace():
+                out[-1] += " " + part
+            else:
+                out.append(part)
+        parts = out
+    parts[0] = (parts[0],)
+    return parts
 
 
 def unit_text(unit: Unit) -> str:
-    if type(unit) is tuple:
-        return unit[0]
-    mark = "," if unit[0] == COMMA else "." if unit[0] == STOP else None
-    return " " + unit if mark is None else mark + unit[1:]
+    return unit[0] if type(unit) is tuple else " " + unit
 
 
 class Cache:
-    """A worker's memory of encoded stretches, bounded by `most` entries.
+    """A worker's memory of encoded stretches, bounded by about `most` bytes.
 
-    When it is full, only what the current slice of texts uses is kept.
+    `size` tells the bytes of what encode gives for a stretch, if that is more
+    than a number. Stretches longer than LONGEST are never kept. When the
+    memory is full, only what the current slice of texts uses is kept.
     """
 
-    def __init__(self, encode: Callable[[list], list], most: int = 300_000):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode: Callable[[list], list], size: Callable[[object], int] | None = None, most: int = 128 << 20):
+        self.encode, self.size, self.most, self.known, self.held = encode, size, most, {}, 0
+
+    def cost(self, found: dict) -> int:
+        # a dict's entry and the objects' heads, and the letters; first stretches are in tuples
+        letters = sum(len(u) if type(u) is str else len(u[0]) for u in found)
+        return ENTRY * len(found) + 2 * letters + (sum(map(self.size, found.values())) if self.size else 0)
 
     def get(self, wanted: set) -> dict:
         """A dict that holds all of wanted."""
         known = self.known
         missing = [u for u in wanted if u not in known]
-        if len(known) + len(missing) > self.most:
+        if not missing:
+            return known
+        found = dict(zip(missing, self.encode(missing)))
+        long = {u: found.pop(u) for u in [u for u in missing if len(u if type(u) is str else u[0]) > LONGEST]}
+        added = self.cost(found)
+        if self.held + added > self.most:
             known = self.known = {u: known[u] for u in wanted if u in known}
-        if missing:
-            known.update(zip(missing, self.encode(missing)))
-        return known
+            self.held = self.cost(known)
+        known.update(found)
+        self.held += added
+        return {u: long[u] if u in long else known[u] for u in wanted} if long else known

@@ -54,6 +54,43 @@ def test_blocks_round_trip(n):
     assert np.array_equal(np.concatenate([token_blocks.unpack_block(b, min(token_blocks.BLOCK, n - i * token_blocks.BLOCK)) for i, b in enumerate(blocks)]), ids)
 
 
+def test_op3_reads_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(token_blocks, "SEGMENT", 50)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('some words of text number ', id) AS text")
+    files = token_blocks.write_id_files(docs, WORDS, 2)
+    read = token_blocks.read_id_files(files)
+    assert read.rdd.getNumPartitions() > 4
+    assert sorted(tuple(r) for r in read.collect()) == want_files(texts(docs))
+
+
+def test_op3_one_id_fills_several_files(spark):
+    docs = spark.range(300).selectExpr("CASE WHEN id % 3 > 0 THEN 7 END AS doc_id", "concat(id, ' text') AS text")
+    files = token_blocks.write_id_files(docs, WORDS, 2)
+    assert files.count() > 2
+    assert sorted(map(tuple, token_blocks.read_id_files(files).collect()), key=key) == sorted(want_files(texts(docs)), key=key)
+
+
+@pytest.mark.parametrize("words", ["Word,\nWORD... ¡hola! été*** x'y it's 12a a1, --- ÅNGSTRÖM İx ǅ ﬁ", "a,b ,, . 'tis rock'n'roll don't!!! naïve\u0301 e\u0301 ª º"])
+def test_stretches_are_encoded_as_the_whole(words):
+    encoder = token_blocks.WordEncoder(WORDS)
+    for text in (words, " ".join(f"{w}{s}" for w in words.split() for s in ("", ",", ".", "!?", "'"))):
+        assert np.frombuffer(next(encoder.texts([text])), "<u4").tolist() == word_ids(text)[:-1]
+
+
+def test_caches_are_bounded_by_bytes():
+    cache = units.Cache(lambda missing: [b"x" * 10] * len(missing), len, most=20_000)
+    for a in range(0, 3000, 50):
+        wanted = {f"word{i}" for i in range(a, a + 50)} | {"y" * 5000}
+        got = cache.get(wanted)
+        assert all(got[w] == b"x" * 10 for w in wanted) and cache.held <= 20_000 and "y" * 5000 not in cache.known
+
+
+def test_megabytes_without_a_space(spark):
+    docs = spark.createDataFrame([(1, "日本語" * 100_000), (2, "ab1+/" * 60_000)], "doc_id long, text string")
+    assert sorted(map(tuple, token_blocks.token_files(docs, WORDS).collect())) == want_files(texts(docs))
+    assert sorted(map(tuple, token_counts.count_tokens(docs, BYTES).collect())) == want_counts(texts(docs))
+
+
 def test_ids_come_back(odd):
     got = {r.doc_id: list(r.ids) for r in token_blocks.token_files(odd.filter("doc_id < 8"), WORDS, with_ids=True).collect()}
     assert got == {d: word_ids(t) for d, t in texts(odd) if d is not None and d < 8}
