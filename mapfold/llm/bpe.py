@@ -14,6 +14,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import slices, worker_state
-from .units import Cache, unit_text, units
+from .units import Cache, Unit, unit_text, units
 
 NONE = np.int64(1) << 40
 #: Pre-tokens longer than this, or few of one length, take a tree of their own.
@@ -56,7 +57,7 @@ class Encoder:
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.decimal = {rank: b"%d " % rank for rank in ranks.values()}
-        self.cache = Cache(self.encode_units)
+        self.cache = Cache(self.encode_units, lambda v: 130 + len(v[0]) + len(v[1]))
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         pair = left << 32 | right
@@ -162,10 +163,18 @@ class Encoder:
                         out[at] = ids
         return out
 
+    def words_of(self, unit: Unit) -> list[bytes]:
+        """The pre-tokens of a stretch."""
+        if type(unit) is str and unit.isascii():
+            # a space and letters are one, and so are signs after them
+            word = unit.rstrip(punctuation)
+            if word.isalpha():
+                return [b" " + word.encode(), unit[len(word) :].encode()] if len(word) < len(unit) else [b" " + word.encode()]
+        return [w.encode("utf-8") for w in self.find(unit_text(unit))]
+
     def encode_units(self, missing: list) -> list[tuple[bytes, bytes]]:
         """For each stretch its ids as little-endian 32-bit numbers, and in decimal with a space after each."""
-        # a space and letters are one pre-token
-        cut = [[b" " + u.encode()] if type(u) is str and u.isascii() and u.isalpha() else [w.encode("utf-8") for w in self.find(unit_text(u))] for u in missing]
+        cut = list(map(self.words_of, missing))
         words = list(set(chain.from_iterable(cut)))
         ids = dict(zip(words, self.encode_words(words)))
         flat, ends = [], [0]
