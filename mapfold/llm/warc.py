@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import NewFile, OldFile
-from .shared import shared_path, utf8, written
+from .shared import reading_tasks, shared_path, utf8, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a split, of one read, and of an archive file before the next is begun.
 SPLIT, READ, FILE = 8 << 20, 1 << 20, 128 << 20
+#: Digests of 64 letters that may be broadcast at most.
+BROADCAST_DIGESTS = 1 << 18
 #: Payloads shorter than this are always stored.
 REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -76,25 +78,36 @@ class Window:
     """A file's bytes from some place on, read as they are asked for."""
 
     def __init__(self, file: OldFile, start: int):
-        self.file, self.start, self.data, self.size = file, start, b"", file.size
+        # the bytes before `at` in data are done with
+        self.file, self.base, self.at, self.data, self.size = file, start, 0, b"", file.size
+
+    @property
+    def start(self) -> int:
+        return self.base + self.at
 
     def more(self) -> bool:
-        at = self.start + len(self.data)
-        if at >= self.size:
+        end = self.base + len(self.data)
+        if end >= self.size:
             return False
-        self.data += self.file.read(at, READ)
+        # what is done with is left out once for each read, not for each record
+        self.data, self.base, self.at = self.data[self.at :] + self.file.read(end, READ), self.start, 0
         return True
 
     def move(self, start: int) -> None:
-        self.data, self.start = self.data[start - self.start :], start
+        self.at = start - self.base
+
+    def find(self, what: bytes) -> int:
+        """Where what is next in the bytes that were read, or -1."""
+        found = self.data.find(what, self.at)
+        return found if found < 0 else self.base + found
 
     def member(self) -> tuple[bytes, int] | None:
         """The member at the window's start, decoded, and where it ends; None if there is none."""
         unpack, out, fed = zlib.decompressobj(31), [], 0
         while True:
-            if fed >= len(self.data) and not self.more():
+            if self.at + fed >= len(self.data) and not self.more():
                 return None
-            part = self.data[fed : fed + (READ if fed else 4096)]
+            part = self.data[self.at + fed : self.at + fed + (READ if fed else 4096)]
             try:
                 out.append(unpack.decompress(part))
             except zlib.error:
@@ -112,14 +125,14 @@ def members(file: OldFile, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """Offset and decoded bytes of the records that start in a range."""
     window = Window(file, start)
     while window.start < end:
-        found = window.data.find(MAGIC)
+        found = window.find(MAGIC)
         if found < 0:
             # keep what may be the beginning of a magic number
-            window.move(window.start + max(0, len(window.data) - 2))
+            window.move(max(window.start, window.base + len(window.data) - 2))
             if window.start >= end or not window.more():
                 return
             continue
-        window.move(window.start + found)
+        window.move(found)
         if window.start >= end:
             return
         whole = window.member()
@@ -137,7 +150,13 @@ def classed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # digests that several pages have; a task's copies are one row before the shuffle
     several = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    joined = rows.join(several.select("digest", "first"), "digest", "left")
+    several = written(several.select(F.col("digest").alias("_digest"), "first"), "warc-copies")
+    if several.count() <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(several), F.col("digest") == F.col("_digest"), "left")
+    else:
+        # payloads that can't be a revisit have no key; adaptive joins split what is left of a hot one
+        key = F.when(F.octet_length("payload") >= least, F.col("digest"))
+        joined = rows.withColumn("_key", key).join(several, F.col("_key") == F.col("_digest"), "left")
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
 
@@ -163,7 +182,9 @@ def write_warc(rows: DataFrame) -> DataFrame:
 
 def read_warc(archives: DataFrame, split: int = SPLIT) -> DataFrame:
     """RECORD of all records of archives(uri, size), read by ranges of `split` bytes."""
-    ranges = archives.filter("size > 0").select("uri", F.explode(F.expr(f"sequence(0L, (size - 1) div {split})")).alias("k")).repartition("uri", "k")
+    full = archives.filter("size > 0")
+    n = full.agg(F.coalesce(F.sum(F.expr(f"(size - 1) div {split} + 1")), F.lit(0))).first()[0]
+    ranges = full.select("uri", F.explode(F.expr(f"sequence(0L, (size - 1) div {split})")).alias("k")).repartition(reading_tasks(archives.sparkSession, n))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split(" ")[0] for f in RECORD.split(", ")]
