@@ -5,8 +5,8 @@ into k + 1 pieces; whatever text matches it has one piece unchanged, so the
 pieces, searched as plain strings, locate every candidate. The regex library
 then matches the phrase with at most k edits in a window about each candidate
 and gives the span and the number of edits. One word of each phrase tells it
-from sister licenses (the 2 of a version, the nc of its terms): it must stand
-in the span unchanged.
+from sister licenses (the 2 of a version, the nc of its terms): the span must
+hold it, with one edit if it is long enough, and no word of a sister in its place.
 """
 
 from __future__ import annotations
@@ -20,13 +20,16 @@ from pyspark.sql import functions as F
 
 from .shared import worker_state
 
-# Phrase, label, word that must be intact, edits that are allowed.
+# Phrase, label, word that tells it from its sisters, edits that are allowed.
 NOTICES = [
     ("under the mit license", "mit", "mit", 2),
     ("apache license version 2", "apache-2", "2", 2),
     ("cc by nc", "cc-by-nc", "nc", 1),
 ]
 
+# Words that stand in that word's place in the notices of sister licenses.
+SISTERS = set("bsd gpl lgpl agpl mpl epl isc cc0 ms nd sa".split())
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,last_word:long,edits:int>>"
 
 #: ASCII bytes that are not of [0-9a-z] part words; capitals become small.
@@ -40,11 +43,24 @@ def pieces(phrase: str, edits: int) -> list[tuple[int, str]]:
     return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def telling(sure: str):
+    """A test of a span: whether it holds the word, and no other of its kind."""
+    near = regex.compile(rf"(?:{regex.escape(sure)}){{e<={int(len(sure) > 2)}}}")
+
+    def test(span: str) -> bool:
+        words = span.split()
+        if any(w in SISTERS or (sure.isdigit() and w.isdigit() and w != sure) for w in words):
+            return False
+        return near.search(span) is not None
+
+    return test
+
+
 class Finder:
     def __init__(self, notices: list[tuple[str, str, str, int]]):
         self.base = [(f" {p} ", len(p), label) for p, label, _, _ in notices]
         self.fuzzy = [
-            (p, label, f" {sure} ", k, [(at, s) for at, s in pieces(p, k)], regex.compile(rf"(?e)(?<= )(?:{regex.escape(p)}){{e<={k}}}(?= )"))
+            (p, label, k, pieces(p, k), regex.compile(rf"(?e)(?<= )(?:{regex.escape(p)}){{e<={k}}}(?= )"), telling(sure))
             for p, label, sure, k in notices
         ]
 
@@ -66,10 +82,7 @@ class Finder:
     def near(self, joined: str) -> list[tuple[int, int, str, int]]:
         """(start, end, label, edits) of the misspelled places."""
         out = set()
-        for phrase, label, sure, k, seeds, pattern in self.fuzzy:
-            if sure not in joined:
-                continue
-            done = -1
+        for phrase, label, k, seeds, pattern, tells in self.fuzzy:
             starts = set()
             for offset, seed in seeds:
                 at = joined.find(seed)
@@ -81,11 +94,9 @@ class Finder:
                 low = joined.rfind(" ", 0, max(1, start - k))
                 high = joined.find(" ", start + len(phrase) + k)
                 window = joined[max(low, 0) : high + 1 if high >= 0 else len(joined)]
-                if max(low, 0) + len(window) <= done or sure not in window:
-                    continue
                 for m in pattern.finditer(window, overlapped=True):
                     edits = sum(m.fuzzy_counts)
-                    if edits and sure in f" {m[0]} ":
+                    if edits and tells(m[0]):
                         out.add((max(low, 0) + m.start(), max(low, 0) + m.end(), label, edits))
         best: dict[tuple[str, int], tuple[int, int, str, int]] = {}
         for hit in sorted(out):

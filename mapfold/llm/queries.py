@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, exact_dedup, licenses, sharding, simhash, token_blocks, token_counts, toxicity, warc
 from .shared import table
@@ -14,7 +15,7 @@ def op7_proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
