@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, without, worker_state
+from .shared import slices, worker_state
+from .units import Cache
 
 #: Labelled rows that the model is fitted on, taken by hash: at most this many.
 FIT_ROWS = 8000
-#: Terms of the lexicon at most, and letters of the shortest and longest beginning.
-TERMS, SHORT, LONG = 512, 4, 8
+#: Letters of the shortest and longest beginning of a word that is a term.
+SHORT, LONG = 4, 8
 #: What a misspelled hit counts, words of context, and words that a word of saying reaches.
 MISSPELLED, CONTEXT, SAYING = 0.45, 12, 4
 END = "$"
@@ -141,8 +142,9 @@ def word_of(part: str) -> str:
 class Scanner:
     """What the stretches between spaces of a text are: codes of HIT, NEAR, OPEN, CLOSE and SAID."""
 
-    def __init__(self, terms: list[str], clean: list[str], most: int = 200_000):
-        self.automaton, self.clean, self.known, self.most = Automaton(terms), set(clean), {}, most
+    def __init__(self, terms: list[str], clean: list[str]):
+        self.automaton, self.clean = Automaton(terms), set(clean)
+        self.cache = Cache(lambda missing: list(map(self.code, missing)), most=64 << 20)
 
     def code(self, part: str) -> int:
         word = word_of(part)
@@ -162,13 +164,7 @@ class Scanner:
         return code
 
     def codes(self, texts: list[list[str]]) -> dict[str, int]:
-        known, wanted = self.known, set(chain.from_iterable(texts))
-        missing = wanted.difference(known)
-        if len(known) + len(missing) > self.most:
-            known = self.known = {p: known[p] for p in wanted if p in known}
-        for part in missing:
-            known[part] = self.code(part)
-        return known
+        return self.cache.get(set(chain.from_iterable(texts)))
 
     def features(self, parts: list[str], known: dict[str, int]) -> tuple[float, float, int]:
         """Sums of the hits that are abuse and that are quotation, and the number of words."""
@@ -187,6 +183,15 @@ class Scanner:
                 abuse += weight
         return abuse, quoted, len(parts)
 
+    def measure(self, texts: pa.Array) -> list[tuple[float, float, int]]:
+        """features() of each text."""
+        found, rows = texts.to_pylist(), []
+        for a, b in slices(pa.compute.binary_length(texts).to_pylist()):
+            parts = [t.split() for t in found[a:b]]
+            known = self.codes(parts)
+            rows += [self.features(p, known) for p in parts]
+        return rows
+
 
 def inputs(rows: np.ndarray) -> np.ndarray:
     """rows: abuse, quotation, words. The model's inputs."""
@@ -237,7 +242,7 @@ def choose(found: list[tuple[str, int, int]], base: float, candidates: int) -> l
         if any(k.startswith(term) and good[term] < 1.2 * good[k] for k in kept):
             continue  # as many texts have the longer term
         kept[term] = score[term]
-    return sorted(sorted(kept, key=lambda t: (-kept[t], t))[:TERMS])
+    return sorted(kept)
 
 
 def held_out(id_col: str):
@@ -249,7 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).filter(~held_out(id_col))
     usable = usable.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).alias("y"))
     chosen = F.broadcast(usable.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(chosen, "_id").select("text", F.col("y").cast("int").alias("y"))
+    # the sample is read several times; lost blocks are computed anew
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(chosen, "_id").select("text", F.col("y").cast("int").alias("y")).persist()
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,8 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = rows.groupBy().agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
     base = max(totals["toxic"], 0.5) / max(totals["n"], 1)
     candidates = counted.filter("toxic + clean >= 3").count()
-    # more than 4 * TERMS never matter: the list is bounded
-    found = counted.filter("toxic >= 3 and toxic >= 4 * clean").orderBy(F.desc(F.col("toxic") * F.log(F.col("toxic") / (F.col("toxic") + F.col("clean")) / base)), "term").limit(16 * TERMS).collect()
+    # terms and words of the sample, so of fit_rows texts
+    found = counted.filter("toxic >= 3 and toxic >= 4 * clean").collect()
     lexicon = choose([tuple(r) for r in found], base, candidates)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,9 +280,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield batch.filter(pa.array([automaton.match(t.rstrip(END)) > 0 for t in batch.column(0).to_pylist()], pa.bool_()))
 
     words = counted.filter("clean > 0 and 4 * clean > toxic").filter(F.col("term").endswith(END)).select("term")
-    clean = [r[0].rstrip(END) for r in words.mapInArrow(near, "term string").orderBy("term").limit(1 << 16).collect()]
-    counted.unpersist()
-    got = measured(rows.select(F.col("y").cast("long").alias("_id"), "text"), lexicon, clean).collect()  # fit_rows rows at most
+    clean = [r[0].rstrip(END) for r in words.mapInArrow(near, "term string").collect()]
+    clean.sort()
+    # where rows repeat an id, fit_rows of them at most
+    got = measured(rows.select(F.col("y").cast("long").alias("_id"), "text"), lexicon, clean).orderBy(F.xxhash64("abuse", "quoted", "n_words", "_id")).limit(fit_rows).collect()
+    counted.unpersist(), rows.unpersist()
     if not got:
         return lexicon, clean, [-4.0, 0.0, 0.0, 0.0]
     table = np.array([[r["abuse"], r["quoted"], r["n_words"]] for r in got], float)
@@ -291,12 +299,7 @@ def measured(texts: DataFrame, lexicon: list[str], clean: list[str]) -> DataFram
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = worker_state(f"toxicity_{key}", lambda: Scanner(*shared.value))
         for batch in batches:
-            found = batch.column(1).to_pylist()
-            rows: list[tuple[float, float, int]] = []
-            for a, b in slices(pa.compute.binary_length(batch.column(1)).to_pylist()):
-                parts = [t.split() for t in found[a:b]]
-                known = scanner.codes(parts)
-                rows += [scanner.features(p, known) for p in parts]
+            rows = scanner.measure(batch.column(1))
             abuse, quoted, words = (list(c) for c in zip(*rows)) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(abuse, pa.float64()), pa.array(quoted, pa.float64()), pa.array(words, pa.int64())], ["_id", "abuse", "quoted", "n_words"])
 
@@ -323,6 +326,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted to be toxic, with all their columns."""
-    gone = toxicity(docs, labels, id_col, text_col).filter("predicted = 1").select(F.col("doc_id").alias("_gone"))
-    return without(docs, gone, id_col)
+    """The rows of docs that are not predicted to be toxic, with all their columns; each row is judged by its own text."""
+    lexicon, clean, weights = fit(docs, labels, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, clean))
+    key, at = hashlib.sha256(repr((lexicon, clean)).encode()).hexdigest(), docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = worker_state(f"toxicity_{key}", lambda: Scanner(*shared.value))
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string()).fill_null("")
+            rows = np.array(scanner.measure(texts), float).reshape(-1, 3)
+            yield batch.filter(pa.array(inputs(rows) @ np.array(weights) < 0))
+
+    return docs.mapInArrow(keep, docs.schema)

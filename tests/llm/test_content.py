@@ -57,12 +57,39 @@ def test_op9_odd_rows(spark, odd, none):
         ("CC-BY-NC and cc b nc", "cc-by-nc"),
         ("CC BY ND", ""),
         ("xcc by ncx", ""),
+        ("apache license version2", "apache-2"),
+        ("apache license version 22", ""),
+        ("cc bync", "cc-by-nc"),
+        ("under the mlt license", "mit"),
+        ("under the MPL license", ""),
     ],
 )
 def test_op9_misspelled(text, labels):
     assert licenses.Finder(licenses.NOTICES).row(text)[5] == labels
 
 
+def test_op9_finds_all_misspellings_within_the_bound():
+    """Random edits against the edit distance: what keeps the telling word is found, and nothing beyond the bound."""
+    import random
+
+    rng, finder, found, missed = random.Random(4), licenses.Finder(licenses.NOTICES), 0, 0
+    for phrase, label, sure, most in licenses.NOTICES:
+        for _ in range(300):
+            text = list(phrase)
+            for _ in range(rng.randint(1, most + 2)):
+                at = rng.randrange(len(text))
+                text[at : at + rng.choice((0, 1, 1))] = rng.choice(("", "e", "x", "q"))
+            text = "".join(text)
+            distance = brute_distance(text, phrase)
+            got = label in finder.row(f"word {text} word")[5].split(",")
+            if got and text != phrase:
+                # a match may take in a part of the words about it, within the bound
+                assert min(brute_distance(x, phrase) for x in (text, f"word {text}", f"{text} word", text.strip())) <= most, text
+            if 0 < distance <= most and f" {sure} " in f" {text} " and not text.startswith(" ") and not text.endswith(" "):
+                found, missed = found + got, missed + (not got)
+    assert found > 200 and missed == 0
+
+
 ITEM = "If a train leaves Paris at 9 and runs 120 km per hour toward Berlin, how long until it meets the 85 km per hour train from Berlin to Paris tonight?"
 CHANGED = "if a train leaves Madrid at 7 and runs 95 km per hour toward Lisbon, how long until it meets the 60 km per hour train from Lisbon to Madrid tonight?"
 MIXED = CHANGED.replace("from Lisbon to Madrid", "from Rome to Oslo").replace("and runs 95", "and runs 7")
@@ -126,6 +153,15 @@ def test_op2_held_out(spark, sf_dir):
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.96
 
 
+def test_drop_toxic_is_by_row(spark, sf_dir):
+    """A clean text stays though a toxic one has its id; what goes is what the query predicts."""
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r.doc_id for r in toxicity.toxicity(docs, labels).filter("predicted = 1").collect()}
+    assert toxic and {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()} == {r.doc_id for r in docs.collect()} - toxic
+    twice = docs.unionByName(docs.filter(docs.doc_id.isin(list(toxic))).withColumn("text", toxicity.F.lit("A kind and clean text.")))
+    assert toxicity.drop_toxic(twice, labels).filter("text = 'A kind and clean text.'").count() == len(toxic)
+
+
 def test_op2_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(0, 0, 1), (4, 1, 0), (5, None, 1), (None, 1, 1), (99, 1, 0)], "doc_id long, toxic int, quality int")
     rows = toxicity.toxicity(odd, labels).collect()

@@ -31,8 +31,9 @@ def want_copies(rows):
 
 
 @pytest.mark.parametrize("bucket_bytes", [exact_dedup.BUCKET_BYTES, 1])
-def test_op10_odd_rows(odd, none, bucket_bytes):
-    got = [tuple(r) for r in exact_dedup.exact_dedup(odd, bucket_bytes=bucket_bytes, most_bits=6).collect()]
+@pytest.mark.parametrize("hot_rows", [exact_dedup.HOT_ROWS, 1])
+def test_op10_odd_rows(odd, none, bucket_bytes, hot_rows):
+    got = [tuple(r) for r in exact_dedup.exact_dedup(odd, bucket_bytes=bucket_bytes, most_bits=6, hot_rows=hot_rows).collect()]
     want = want_copies([(r.doc_id, r.text) for r in odd.collect()])
     assert sorted(got, key=key) == sorted(want, key=key)
     assert exact_dedup.exact_dedup(none).collect() == []
@@ -46,6 +47,47 @@ def test_directory_doubles_only_where_buckets_are_full(spark):
     assert next(r.depth for r in rows if r.cell == (1 << 30) - 1) == 1
 
 
+def many_texts(spark):
+    """Texts of 400 groups, one of them with a third of all rows."""
+    return spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot  text' ELSE concat('text ', id % 400, repeat(' x', id % 7)) END AS text")
+
+
+@pytest.mark.parametrize("bucket_bytes", [20, 2000])
+def test_op10_many_buckets(spark, bucket_bytes):
+    docs = many_texts(spark)
+    want = want_copies([(r.doc_id, r.text) for r in docs.collect()])
+    got = [tuple(r) for r in exact_dedup.exact_dedup(docs, bucket_bytes=bucket_bytes, most_bits=12).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_op10_documents_are_found_by_the_directory(spark, monkeypatch):
+    """Without a part of the directory the documents of its buckets are lost: nothing else leads to them."""
+    docs, whole = many_texts(spark), exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: whole(*a).filter("cell < 2048"))
+    rows = exact_dedup.exact_dedup(docs, bucket_bytes=20, most_bits=12).collect()
+    lost = docs.withColumn("key", exact_dedup.F.xxhash64(exact_dedup.normalised(docs.text))).filter("shiftrightunsigned(key, 52) >= 2048").count()
+    assert lost and len(rows) == 3000 - lost
+
+
+def test_op10_owners_compare_bytes(spark):
+    """Texts whose keys collide are chained in their bucket."""
+    texts = spark.createDataFrame([(i, 7, f"text {i % 3}", 1, False) for i in range(9)], "doc_id long, key long, body string, n long, hot boolean")
+    cells = spark.createDataFrame([(0, 0, 0)], "cell long, depth int, bucket long")
+    rows = exact_dedup.pages(texts, cells, 2, 12).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.chain) for r in rows} == {(i, i % 3, 3, i % 3) for i in range(9)}
+
+
+def rows_of_one_id(spark):
+    return spark.createDataFrame([(1, "a b c d e f"), (5, "a b c d e f"), (5, "unique text that is quite another")], "doc_id long, text string")
+
+
+def test_drops_are_by_row(spark):
+    """A text of its own stays though a copy has its id."""
+    docs = rows_of_one_id(spark)
+    for kept in (exact_dedup.drop_copies(docs), simhash.keep_one(docs)):
+        assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f"), (5, "unique text that is quite another")]
+
+
 def test_drop_copies_keeps_columns(odd):
     kept = exact_dedup.drop_copies(odd)
     assert kept.columns == odd.columns
@@ -82,7 +124,9 @@ def brute_components(rows, radius=4):
     return [(d, f"{prints[i]:016x}", least[find(i)]) for i, (d, _) in enumerate(rows)]
 
 
-def test_op4_whole_table(spark, sf_dir):
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_op4_whole_table(spark, sf_dir, sf):
+    sf_dir = sf_dir.replace("0.001", sf)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in queries.op4_simhash_near_dedup(spark, sf_dir).collect()) == sorted(brute_components(rows))
 
@@ -103,6 +147,26 @@ def planted_codes(n, seed):
     return np.unique(np.concatenate([codes, near]))
 
 
+def test_gray_index_searches_groups_of_their_own():
+    codes = planted_codes(4000, 5)
+    group = np.sort(np.random.default_rng(1).integers(0, 300, len(codes)))
+    group = np.unique(group, return_inverse=True)[1]
+    a, b = simhash.group_links(codes, group, np.full(len(codes), -1), 14)
+    root = np.arange(len(codes))
+    near = (np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 14) & (group[:, None] == group[None, :])
+    simhash.forest(len(codes), *np.nonzero(np.triu(near, 1)), root)
+    moved = np.flatnonzero(root != np.arange(len(codes)))
+    assert len(moved) and set(zip(codes[moved], codes[root[moved]])) == set(zip(a, b))
+
+
+def test_masks_of_blocks():
+    levels = simhash.block_masks(3, 4)
+    assert [len(m) for m in levels] == [5, 25, 125]
+    # the blocks of a level are apart, and each child has its parent's bits
+    for masks, children in zip(levels, levels[1:]):
+        assert all(c & masks[k // 5] == masks[k // 5] for k, c in enumerate(children))
+
+
 @pytest.mark.parametrize("n", [1, 2, 9, 700])
 def test_gray_index_finds_all_pairs(n):
     codes = planted_codes(n, n)
@@ -111,7 +175,7 @@ def test_gray_index_finds_all_pairs(n):
     assert set(zip(q.tolist(), c.tolist())) == set(zip(*(x.tolist() for x in want)))
 
 
-@pytest.mark.parametrize("part", [simhash.PART, 50])
+@pytest.mark.parametrize("part", [simhash.PART, 50, 7])
 def test_links_join_a_crowded_block(spark, part):
     """Thousands of codes about one centre, split over parts or not, and strays."""
     rng = np.random.default_rng(3)
@@ -182,6 +246,11 @@ def want_pages(rows):
     return out
 
 
+def test_op1_reads_in_many_tasks(spark, pages):
+    archives = warc.write_warc(warc.classed(pages))
+    assert warc.read_warc(archives, 64).rdd.getNumPartitions() > 4
+
+
 @pytest.mark.parametrize("split", [warc.SPLIT, 64])
 def test_op1_odd_rows(pages, split):
     got = [tuple(r) for r in warc.archive_pages(pages, split=split).collect()]
