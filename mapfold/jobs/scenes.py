@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +22,15 @@ WORLD = sql("pts_world")
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or where that is unset under a temporary one."""
+    """A new folder under spark.checkpoint.dir; where that is unset, under a temporary one if driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="mapfold-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
-    import uuid
-
     return f"{base.rstrip('/')}/mapfold/{name}-{uuid.uuid4().hex}"
 
 
@@ -41,16 +43,20 @@ def city_items(spark: SparkSession, d: str) -> DataFrame:
 def agg_cluster(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of all zooms from 14 down: number of points and the sum of a property."""
     shared(spark, "clusters")
-    levels = K.cluster_points(city_items(spark, d), 50, 14)
+    levels = K.cluster_points(city_items(spark, d), 50, 14).levels
     return levels.select("z", "item_id", "n", scaled(F.col("x"), 10**9).alias("x"), scaled(F.col("y"), 10**9).alias("y"), scaled(F.col("value")).alias("value"))
 
 
-@query(f"SELECT CAST(unnest(range(8, 15)) AS INTEGER) AS z, (SELECT count(*) FROM events) AS points, {scaled_sql('(SELECT sum(value) FROM events)', 10)} AS value")
+@query(f"""SELECT CAST(unnest(range(8, 15)) AS INTEGER) AS z, (SELECT count(*) FROM events) AS points, {scaled_sql('(SELECT sum(value) FROM events)', 10)} AS total, {scaled_sql('(SELECT max(value) FROM events)')} AS most, {scaled_sql('(SELECT min(value) FROM events)')} AS least,
+(SELECT CAST(bool_and(event_id % 2 = 0) AS INTEGER) FROM events) AS even, (SELECT CAST(bool_or(event_id % 97 = 5) AS INTEGER) FROM events) AS odd, {scaled_sql('(SELECT sum(ln(1 + (event_id % 3) / 1000e0)) FROM events)')} AS product""")
 def agg_cluster_props(spark: SparkSession, d: str) -> DataFrame:
-    """Each level holds all points, and the sum of their property."""
+    """Each level holds all points, and what reducers make of their properties: sum, extremes, all, any and product."""
     shared(spark, "clusters")
-    levels = K.cluster_points(city_items(spark, d), 50, 14, min_zoom=8)
-    return levels.groupBy("z").agg(F.sum("n").alias("points"), scaled(F.sum("value"), 10).alias("value"))
+    items = city_items(spark, d).withColumns({"most": F.col("value"), "least": F.col("value"), "even": F.col("item_id") % 2 == 0, "odd": F.col("item_id") % 97 == 5, "product": 1 + (F.col("item_id") % 3) / 1000})
+    kinds = {"value": "+", "most": "max", "least": "min", "even": "all", "odd": "any", "product": "*"}
+    levels = K.cluster_points(items, 50, 14, min_zoom=8, reducers=kinds).levels
+    whole = levels.groupBy("z").agg(F.sum("n").alias("points"), F.sum("value").alias("total"), F.max("most").alias("most"), F.min("least").alias("least"), F.min("even").cast("int").alias("even"), F.max("odd").cast("int").alias("odd"), F.sum(F.log("product")).alias("product"))
+    return whole.select("z", "points", scaled(F.col("total"), 10).alias("total"), scaled(F.col("most")).alias("most"), scaled(F.col("least")).alias("least"), "even", "odd", scaled(F.col("product")).alias("product"))
 
 
 @query()
@@ -68,9 +74,9 @@ def agg_cluster_leaves(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     shared(spark, "clusters")
-    levels = K.cluster_points(city_items(spark, d), 50, 12, min_zoom=10).checkpoint()
+    links = K.cluster_points(city_items(spark, d), 50, 12, min_zoom=10).links
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("item_id"))
-    return K.leaves(levels).withColumn("rank", rank).filter("rank <= 10").select("cluster_id", "item_id", "rank")
+    return K.leaves(links).withColumn("rank", rank).filter("rank <= 10").select("cluster_id", "item_id", "rank")
 
 
 PIXELS = "(SELECT DISTINCT user_id AS tile_id FROM events), (SELECT unnest(range(0, 64)) AS i)"

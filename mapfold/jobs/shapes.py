@@ -195,7 +195,7 @@ def top_hits(spark: SparkSession, d: str) -> DataFrame:
 def join_query_source(spark: SparkSession, d: str) -> DataFrame:
     """Level 9 of a clustered source: clusters of at least 20 points, with the zones, which aren't points."""
     shared(spark, "clusters")
-    level = cluster.cluster_points(city_items(spark, d), 50, 10, min_zoom=9).filter("z = 9 and n >= 20")
+    level = cluster.cluster_points(city_items(spark, d), 50, 10, min_zoom=9).levels.filter("z = 9 and n >= 20")
     zones = view(spark, d, "zones").select(F.col("zone_id").cast("long").alias("item_id"), F.lit("polygon").alias("kind"), F.lit(1).cast("long").alias("n"))
     return level.select("item_id", F.lit("cluster").alias("kind"), "n").unionByName(zones)
 
@@ -204,7 +204,7 @@ def join_query_source(spark: SparkSession, d: str) -> DataFrame:
 def set_passthrough(spark: SparkSession, d: str) -> DataFrame:
     """Features that can't be clustered are on each level, unchanged."""
     shared(spark, "clusters")
-    levels = cluster.cluster_points(city_items(spark, d), 50, 10, min_zoom=8).select("z", "item_id", F.lit("point").alias("kind"))
+    levels = cluster.cluster_points(city_items(spark, d), 50, 10, min_zoom=8).levels.select("z", "item_id", F.lit("point").alias("kind"))
     other = view(spark, d, "zones").select(F.explode(F.sequence(F.lit(8), F.lit(10))).alias("z"), F.col("zone_id").cast("long").alias("item_id"), F.lit("polygon").alias("kind"))
     return levels.unionByName(other).filter("kind = 'polygon'").groupBy("z").agg(F.count("*").alias("lines"))
 
@@ -213,7 +213,7 @@ def set_passthrough(spark: SparkSession, d: str) -> DataFrame:
 def win_cluster_ids(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of clusters in the order in which they are made: by zoom from the highest, then by seed."""
     shared(spark, "clusters")
-    made = cluster.cluster_points(city_items(spark, d), 50, 12, min_zoom=8).filter("children is not null and item_id = -(seq + 1) * 32 - z")
+    made = cluster.cluster_points(city_items(spark, d), 50, 12, min_zoom=8).levels.filter("made")
     ordered = made.withColumn("at", (F.lit(12) - F.col("z")) * F.lit(1 << 40) + F.col("seq"))
     return changes.ranked(ordered, "at", 1 << 20).select("item_id", F.col("_rank").alias("cluster_id"))
 
@@ -222,19 +222,20 @@ def win_cluster_ids(spark: SparkSession, d: str) -> DataFrame:
 def top_leaves(spark: SparkSession, d: str) -> DataFrame:
     """Leaves 11 to 20 of each cluster of zoom 11."""
     shared(spark, "clusters")
-    levels = cluster.cluster_points(city_items(spark, d), 50, 11, min_zoom=11).checkpoint()
+    links = cluster.cluster_points(city_items(spark, d), 50, 11, min_zoom=11).links
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("item_id"))
-    return cluster.leaves(levels).withColumn("rank", rank).filter("rank between 11 and 20").select("cluster_id", "item_id", "rank")
+    return cluster.leaves(links).withColumn("rank", rank).filter("rank between 11 and 20").select("cluster_id", "item_id", "rank")
 
 
 @query()
 def udaf_reducer(spark: SparkSession, d: str) -> DataFrame:
-    """Reducers of a property over the leaves of clusters: +, max, min, all, any."""
+    """Reducers of properties, carried through the levels to the clusters of zoom 9: +, *, max, min, all, any."""
     shared(spark, "clusters")
-    levels = cluster.cluster_points(city_items(spark, d), 50, 11, min_zoom=11).checkpoint()
-    values = table(spark, d, "events").select(F.col("event_id").alias("item_id"), "value", (F.col("event_type") == "view").alias("seen"))
-    rows = cluster.leaves(levels).join(values, "item_id").groupBy("cluster_id")
-    return rows.agg(scaled(F.sum("value"), 10).alias("sum"), scaled(F.max("value")).alias("max"), scaled(F.min("value")).alias("min"), F.bool_and("seen").alias("all"), F.bool_or("seen").alias("any"))
+    seen = table(spark, d, "events").select(F.col("event_id").alias("item_id"), (F.col("event_type") == "view").alias("all"))
+    items = city_items(spark, d).join(seen, "item_id").withColumns({"max": F.col("value"), "min": F.col("value"), "any": F.col("all"), "product": 1 + (F.col("item_id") % 3) / 1000})
+    kinds = {"value": "+", "product": "*", "max": "max", "min": "min", "all": "all", "any": "any"}
+    level = cluster.cluster_points(items, 50, 11, min_zoom=9, reducers=kinds).levels.filter("z = 9 and n > 1")
+    return level.select(F.col("item_id").alias("cluster_id"), scaled(F.col("value"), 10).alias("sum"), scaled(F.col("product")).alias("product"), scaled(F.col("max")).alias("max"), scaled(F.col("min")).alias("min"), (F.col("all") > 0).alias("all"), (F.col("any") > 0).alias("any"))
 
 
 @query(f"SELECT edge_id, CASE WHEN cost % 7 = 0 THEN NULL ELSE CAST(floor(cost * 1.5 + 0.5) AS BIGINT) END AS cost FROM {GEDGES_SQL}")
@@ -263,7 +264,8 @@ def tiled(spark: SparkSession, d: str, encode=T.encode_points) -> DataFrame:
     p, n = view(spark, d, "pts_world"), 64
     wx, wy = M.world_x(p.lon) * n, M.world_y(p.lat) * n
     rows = p.select(F.lit(6).alias("z"), F.pmod(F.floor(wx), F.lit(n)).alias("x"), F.floor(wy).alias("y"), "event_id", F.floor((wx - F.floor(wx)) * 4096).cast("int").alias("px"), F.floor((wy - F.floor(wy)) * 4096).cast("int").alias("py"), "event_type")
-    packed = rows.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("event_id", "px", "py", "event_type"))).alias("items"))
+    # a tile of many points is several blobs of bounded size
+    packed = rows.groupBy("z", "x", "y", F.expr("event_id div 65536")).agg(F.array_sort(F.collect_list(F.struct("event_id", "px", "py", "event_type"))).alias("items"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -292,15 +294,15 @@ def udf_decoder(spark: SparkSession, d: str) -> DataFrame:
     def decode(data: bytes) -> list[tuple]:
         return [("own", 4096, i, f["id"], 1, [[(f["x"], f["y"])]], "{}") for i, f in enumerate(json.loads(data))]
 
-    rows = table(spark, d, "events").groupBy(F.lit(3).alias("z"), (F.col("user_id") % 8).alias("x"), (F.col("event_id") % 8).alias("y")).agg(F.to_json(F.collect_list(F.struct(F.col("event_id").alias("id"), F.lit(1).alias("x"), F.lit(2).alias("y")))).cast("binary").alias("data"))
+    rows = table(spark, d, "events").groupBy(F.lit(30).alias("z"), F.lit(0).alias("x"), F.expr("event_id div 1000").alias("y")).agg(F.to_json(F.collect_list(F.struct(F.col("event_id").alias("id"), F.lit(1).alias("x"), F.lit(2).alias("y")))).cast("binary").alias("data"))
     return T.decode_mvt(rows, decode).agg(F.count("layer").alias("features"), F.count("error").cast("int").alias("errors"))
 
 
 @query("SELECT p_partkey * 3 AS tile_id, CAST(least(3, p_size % 4 + 1) AS BIGINT) AS run, p_partkey * 100 AS \"offset\", CAST(p_size AS BIGINT) AS length FROM part")
 def io_pmtiles_index(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as entries of archives' directories, encoded by brand and read again."""
-    entries = table(spark, d, "part").selectExpr("p_brand", "p_partkey * 3 AS tile_id", "bigint(least(3, p_size % 4 + 1)) AS run", "p_partkey * 100 AS offset", "bigint(p_size) AS length")
-    packed = entries.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("tile_id", "run", "offset", "length"))).alias("e"))
+    """Parts as entries of archives' directories, a thousand keys each, encoded and read again."""
+    entries = table(spark, d, "part").selectExpr("p_partkey div 1000 AS archive", "p_partkey * 3 AS tile_id", "bigint(least(3, p_size % 4 + 1)) AS run", "p_partkey * 100 AS offset", "bigint(p_size) AS length")
+    packed = entries.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("tile_id", "run", "offset", "length"))).alias("e"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -329,10 +331,10 @@ def io_detect(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS id, count(*) AS refs, sum(l_partkey) AS total FROM lineitem GROUP BY l_orderkey")
 def io_osm(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as OSM ways in JSON, a file for each of a hundred groups, read again."""
+    """Orders as OSM ways in JSON, a file for each thousand, read again."""
     element = F.to_json(F.struct(F.lit("way").alias("type"), F.col("l_orderkey").alias("id"), F.col("refs").alias("nodes")))
     way = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("refs"))
-    files = way.groupBy((F.col("l_orderkey") % 100).cast("string").alias("source")).agg(F.concat(F.lit('{"elements":['), F.concat_ws(",", F.collect_list(element)), F.lit("]}")).alias("value"))
+    files = way.groupBy(F.expr("string(l_orderkey div 1000)").alias("source")).agg(F.concat(F.lit('{"elements":['), F.concat_ws(",", F.collect_list(element)), F.lit("]}")).alias("value"))
     rows = O.elements_of(files.select("source", F.try_parse_json("value").alias("v")))
     return rows.select("id", F.size("nodes").cast("long").alias("refs"), F.aggregate("nodes", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 

@@ -1,29 +1,59 @@
 """Point clusters per zoom: greedy in input order, exact and without a task that holds all points.
 
-At a level, a point only ever takes points from its own grid cell and the eight
-around it. Connected components of filled cells are therefore independent, and
-within one the order is the input's. Each level labels the components, runs the
-greedy scan in each, and hands its output to the next lower zoom. When few
-points are left, one task does the remaining levels.
+At a level, whatever is free in input order takes the free items within reach,
+and stays alone if there are none. So what takes is the first of all items
+within its reach, or within reach of earlier takers only through others: rounds
+find takers that no open item with an earlier place can take, and leave out what
+they reach. A square that is narrower than the reach has one taker at most, so
+a round looks at the first open item of each square alone, and a crowded square
+costs no more than others. Every item then belongs to the first taker within
+its reach. Links between levels are rows, so no row grows with a cluster.
+
+When few items are left, one task does the remaining levels. Clusters of three
+and more items at least (min_points) don't follow that rule, as an item that
+finds too few takes none; for those, connected components of filled squares are
+scanned one by one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: So many points may be scanned as one group.
-FEW = 200_000
-ITEMS = "item_id long, seq long, x double, y double, n long, value double"
-LEVEL = "z int, item_id long, seq long, x double, y double, n long, value double, children array<long>"
+#: So many items may be scanned as one group: 4 MB.
+FEW = 50_000
+#: Rounds of joins before components are scanned.
+ROUNDS = 12
+#: Side of the squares that have one taker at most, in reaches: their diagonal is shorter than the reach.
+SIDE = 0.7
+#: How properties of a cluster's items become one: sums, products, extremes, all true, any true; nulls are left out.
+REDUCERS = ("+", "*", "max", "min", "all", "any")
+ITEM = ["item_id", "seq", "x", "y", "n"]
+
+
+class Clusters(NamedTuple):
+    """levels: z, item_id, seq, x, y, n, made and the properties; made is true at the level where a cluster is made.
+
+    links: z, cluster_id, child_id, place, child_seq: the items that a cluster
+    of a level was made of; they are in the order of place and child_seq.
+    """
+
+    levels: DataFrame
+    links: DataFrame
+
+
+def cluster_id(seq, z):
+    """A cluster's id: below zero, of its taker's place and the zoom."""
+    return -(seq + 1) * 32 - z
 
 
 def scan(x: np.ndarray, y: np.ndarray, n: np.ndarray, reach: float, least: int) -> list[list[int]]:
-    """Groups of places, seeds first, in the order of seeds; the arrays are in input order."""
+    """Groups of places, takers first, in the order of takers; the arrays are in input order."""
     cells: dict[tuple[int, int], list[int]] = {}
     cx, cy = np.floor(x / reach).astype(np.int64).tolist(), np.floor(y / reach).astype(np.int64).tolist()
     for i, key in enumerate(zip(cx, cy)):
@@ -33,110 +63,220 @@ def scan(x: np.ndarray, y: np.ndarray, n: np.ndarray, reach: float, least: int)
         if not free[i]:
             continue
         free[i] = False
-        around = [k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in cells.get((cx[i] + dx, cy[i] + dy), ())]
-        near = [k for k in around if free[k] and (x[k] - x[i]) ** 2 + (y[k] - y[i]) ** 2 <= far]
-        if not near or n[i] + sum(n[k] for k in near) < least:
+        around = np.array([k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in cells.get((cx[i] + dx, cy[i] + dy), ())], np.int64)
+        near = around[free[around] & ((x[around] - x[i]) ** 2 + (y[around] - y[i]) ** 2 <= far)]
+        if not len(near) or n[i] + n[near].sum() < least:
             out.append([i])
         else:
             free[near] = False
-            out.append([i, *near])
+            out.append([i, *near.tolist()])
     return out
 
 
-def merge(frame: pd.DataFrame, z: int, radius: float, least: int) -> pd.DataFrame:
-    """The level z of items in frame. A cluster's id is -(seq of its seed + 1) * 32 - z, and it keeps its seed's place."""
+def reduced(values: np.ndarray, kind: str) -> float:
+    values = values[~np.isnan(values)]
+    if not len(values):
+        return float("nan")
+    return float({"+": np.sum, "*": np.prod, "max": np.max, "min": np.min, "all": np.min, "any": np.max}[kind](values))
+
+
+def merge(frame: pd.DataFrame, z: int, reach: float, least: int, props: dict[str, str]) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The level z of items in frame, and its links. A cluster keeps its taker's place."""
     frame = frame.sort_values("seq", kind="stable").reset_index(drop=True)
-    x, y, n, value = (frame[c].to_numpy() for c in ("x", "y", "n", "value"))
+    x, y, n = (frame[c].to_numpy() for c in ("x", "y", "n"))
     ids, seqs = frame["item_id"].to_numpy(), frame["seq"].to_numpy()
-    rows = []
-    for group in scan(x, y, n, radius / (512 * 2.0**z), least):
-        seed = group[0]
+    values = {name: frame[name].to_numpy(float) for name in props}
+    cx, cy = np.floor(x / reach), np.floor(y / reach)
+    rows, links = [], []
+    for group in scan(x, y, n, reach, least):
+        taker = group[0]
         if len(group) == 1:
-            rows.append((z, ids[seed], seqs[seed], x[seed], y[seed], n[seed], value[seed], None))
-        else:
-            total = n[group].sum()
-            rows.append((z, -(seqs[seed] + 1) * 32 - z, seqs[seed], (x[group] * n[group]).sum() / total, (y[group] * n[group]).sum() / total, total, value[group].sum(), ids[group].tolist()))
-    return pd.DataFrame(rows, columns=["z", "item_id", "seq", "x", "y", "n", "value", "children"])
+            rows.append((z, ids[taker], seqs[taker], x[taker], y[taker], n[taker], False, *(v[taker] for v in values.values())))
+            continue
+        total, own = n[group].sum(), cluster_id(seqs[taker], z)
+        rows.append((z, own, seqs[taker], (x[group] * n[group]).sum() / total, (y[group] * n[group]).sum() / total, total, True, *(reduced(values[p][group], kind) for p, kind in props.items())))
+        places = np.where(np.arange(len(group)) == 0, 0, 3 * (cx[group] - cx[taker]) + cy[group] - cy[taker] + 5)
+        links += [(z, own, c, int(p), s) for c, p, s in zip(ids[group].tolist(), places, seqs[group].tolist())]
+    return pd.DataFrame(rows, columns=["z", *ITEM, "made", *props]), pd.DataFrame(links, columns=["z", "item_id", "child_id", "place", "seq"])
 
 
-def grouped(items: DataFrame, key: str | None, levels: list[int], radius: float, least: int) -> DataFrame:
+def grouped(items: DataFrame, key: str | None, levels: list[int], reach_of, least: int, props: dict[str, str]) -> Clusters:
     """The levels of items, each group of key for itself."""
+    columns = [*ITEM, *props]
+    names = ["z", *ITEM, "made", *props, "child_id", "place"]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for rows in frame["items"]:
-                now = pd.DataFrame([tuple(r[c] for c in ("item_id", "seq", "x", "y", "n", "value")) for r in rows], columns=["item_id", "seq", "x", "y", "n", "value"])
+                now = pd.DataFrame([tuple(r[c] for c in columns) for r in rows], columns=columns)
                 for z in levels:
-                    now = merge(now, z, radius, least)
-                    out.append(now)
-            if out:
-                yield pd.concat(out)
+                    now, links = merge(now, z, reach_of(z), least, props)
+                    yield (pd.concat([now, links]) if len(links) else now).reindex(columns=names).astype({"n": "Int64", "made": "boolean", "child_id": "Int64", "place": "Int32"})
+
+    schema = "z int, item_id long, seq long, x double, y double, n long, made boolean, " + "".join(f"{p} double, " for p in props) + "child_id long, place int"
+    packed = (items.groupBy(key) if key else items.groupBy()).agg(F.collect_list(F.struct(*columns)).alias("items"))
+    both = packed.select("items").mapInPandas(work, schema).checkpoint()
+    level = both.filter("child_id is null").select("z", *ITEM, "made", *(F.nanvl(p, F.lit(None).cast("double")).alias(p) for p in props))
+    return Clusters(level, both.filter("child_id is not null").select("z", F.col("item_id").alias("cluster_id"), "child_id", "place", F.col("seq").alias("child_seq")))
+
+
+def squares(x: Column, y: Column, side: float) -> list[Column]:
+    return [F.floor(x / side).alias("cx"), F.floor(y / side).alias("cy")]
 
-    packed = (items.groupBy(key) if key else items.groupBy()).agg(F.collect_list(F.struct("item_id", "seq", "x", "y", "n", "value")).alias("items"))
-    return packed.select("items").mapInPandas(work, LEVEL)
 
+def around(rows: DataFrame, steps: int) -> DataFrame:
+    """rows once for each square within `steps` of their own."""
+    moves = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-steps, steps + 1) for dy in range(-steps, steps + 1)))
+    return rows.withColumn("move", F.explode(moves)).withColumn("cx", F.col("cx") + F.col("move.dx")).withColumn("cy", F.col("cy") + F.col("move.dy")).drop("move")
 
-def cell_components(cells: DataFrame) -> DataFrame:
-    """cx, cy, label of filled cells(cx, cy): the least cell of those connected by sides or corners."""
-    key = F.struct("cx", "cy")
-    nodes = cells.select("cx", "cy", key.alias("label")).checkpoint()
+
+def takers(items: DataFrame, reach: float, by: list[str], rounds: int = ROUNDS) -> tuple[DataFrame | None, DataFrame]:
+    """The takers that `rounds` find among items(by, seq, x, y, cx, cy), and the items that are still open; groups of `by` are apart."""
+    cell, far = [*by, "cx", "cy"], reach * reach
+    still = items.select(*cell, "seq", "x", "y").checkpoint()
+    found = None
+    for _ in range(rounds):
+        firsts = still.groupBy(*cell).agg(F.min(F.struct("seq", "x", "y")).alias("f")).select(*cell, F.col("f.seq").alias("tseq"), F.col("f.x").alias("tx"), F.col("f.y").alias("ty")).checkpoint()
+        if firsts.isEmpty():
+            break
+        asked = around(firsts, 2)
+        near = (F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)) <= far
+        late = still.join(asked, cell).filter(near & (F.col("seq") < F.col("tseq"))).select(*by, "tseq").distinct()
+        new = firsts.join(late, [*by, "tseq"], "left_anti").checkpoint()
+        found = new if found is None else found.unionByName(new)
+        gone = still.join(around(new, 2), cell).filter(near).select(*by, "seq").distinct()
+        still = still.join(gone, [*by, "seq"], "left_anti").select(*cell, "seq", "x", "y").checkpoint()
+    return found, still
+
+
+def level_by_joins(items: DataFrame, reach: float, z: Column, props: dict[str, str], by: list[str]) -> Clusters:
+    """The level of items, for clusters of two items and more; z may be a column of by."""
+    at = items.withColumns({"cx": F.floor(F.col("x") / (SIDE * reach)), "cy": F.floor(F.col("y") / (SIDE * reach))})
+    first, still = takers(at, reach, by)
+    if not still.isEmpty():
+        # chains of items, each of which waits for the one before: their components are apart from all else
+        rest = chained(still, reach, by)
+        first = rest if first is None else first.unionByName(rest)
+    cell = [*by, "cx", "cy"]
+    near = (F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)) <= reach * reach
+    taken = at.join(around(first, 2), cell).filter(near).groupBy(*by, "seq").agg(F.min(F.struct("tseq", "tx", "ty")).alias("t"))
+    met = items.join(taken, [*by, "seq"]).withColumn("tseq", F.col("t.tseq"))
+    sums = {"+": F.sum, "*": F.product, "max": F.max, "min": F.min, "all": F.min, "any": F.max}
+    only = F.min(F.when(F.col("seq") == F.col("tseq"), F.struct("item_id", "x", "y"))).alias("only")
+    rows = met.groupBy(*by, "tseq").agg(F.count("*").alias("size"), only, F.sum(F.col("x") * F.col("n")).alias("sx"), F.sum(F.col("y") * F.col("n")).alias("sy"), F.sum("n").alias("n"), *(sums[kind](p).alias(p) for p, kind in props.items()))
+    made = F.col("size") > 1
+    pick = lambda total, own: F.when(made, F.col(total) / F.col("n")).otherwise(F.col(f"only.{own}"))
+    level = rows.select(*by, z.cast("int").alias("z"), F.when(made, cluster_id(F.col("tseq"), z)).otherwise(F.col("only.item_id")).alias("item_id"), F.col("tseq").alias("seq"), pick("sx", "x").alias("x"), pick("sy", "y").alias("y"), "n", made.alias("made"), *props).checkpoint()
+    clusters = level.filter("made").select(*by, F.col("seq").alias("tseq"), F.col("item_id").alias("cluster_id"))
+    step = lambda c: F.floor(F.col(c) / reach) - F.floor(F.col(f"t.t{c}") / reach)
+    place = F.when(F.col("seq") == F.col("tseq"), 0).otherwise(3 * step("x") + step("y") + 5).cast("int")
+    links = met.join(clusters, [*by, "tseq"]).select(*by, z.cast("int").alias("z"), "cluster_id", F.col("item_id").alias("child_id"), place.alias("place"), F.col("seq").alias("child_seq"))
+    return Clusters(level, links)
+
+
+def chained(still: DataFrame, reach: float, by: list[str]) -> DataFrame:
+    """The takers among what rounds left open, each component of squares for itself."""
+    cell = [*by, "cx", "cy"]
+    labels = cell_components(still.select(*cell).distinct(), by, 2)
+    packed = still.join(labels, cell).groupBy(*by, "label").agg(F.collect_list(F.struct("seq", "x", "y", "cx", "cy")).alias("items"))
+    columns = ["seq", "x", "y", "cx", "cy"]
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k, rows in enumerate(frame["items"]):
+                now = pd.DataFrame([tuple(r[c] for c in columns) for r in rows], columns=columns).sort_values("seq", kind="stable").reset_index(drop=True)
+                first = [g[0] for g in scan(now["x"].to_numpy(), now["y"].to_numpy(), np.ones(len(now), int), reach, 2)]
+                out = now.iloc[first].rename(columns={"seq": "tseq", "x": "tx", "y": "ty"})
+                yield out.assign(**{b: frame[b].iloc[k] for b in by})[[*by, "cx", "cy", "tseq", "tx", "ty"]]
+
+    schema = ", ".join(f"{b} {still.schema[b].dataType.simpleString()}" for b in by) + ", " * bool(by) + "cx long, cy long, tseq long, tx double, ty double"
+    return packed.select(*by, "items").mapInPandas(work, schema).checkpoint()
+
+
+def cell_components(cells: DataFrame, by: list[str] = [], steps: int = 1) -> DataFrame:  # noqa: B006
+    """by, cx, cy, label of filled cells(by, cx, cy): the least cell of those connected by at most `steps` sides or corners."""
+    key, cell = F.struct("cx", "cy"), [*by, "cx", "cy"]
+    nodes = cells.select(*cell, key.alias("label")).checkpoint()
     while True:
-        spread = nodes.select(F.explode(F.array(*(F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))).alias("at"), "label")
-        least = spread.groupBy(F.col("at.cx").alias("cx"), F.col("at.cy").alias("cy")).agg(F.min("label").alias("near"))
-        hooked = nodes.join(least, ["cx", "cy"]).select("cx", "cy", F.least("label", "near").alias("label"))
+        least = around(nodes, steps).groupBy(*cell).agg(F.min("label").alias("near"))
+        hooked = nodes.join(least, cell).select(*cell, F.least("label", "near").alias("label"))
         # jump: the label of the label
-        of_label = hooked.select(key.alias("label"), F.col("label").alias("up"))
-        after = hooked.join(of_label, "label").select("cx", "cy", F.least("label", "up").alias("label")).checkpoint()
-        changed = after.join(nodes.withColumnRenamed("label", "old"), ["cx", "cy"]).filter("label <> old").limit(1).count()
+        of_label = hooked.select(*by, key.alias("label"), F.col("label").alias("up"))
+        after = hooked.join(of_label, [*by, "label"]).select(*cell, F.least("label", "up").alias("label")).checkpoint()
+        changed = after.join(nodes.withColumnRenamed("label", "old"), cell).filter("label <> old").limit(1).count()
         nodes = after
         if not changed:
             return nodes
 
 
-def cluster_points(points: DataFrame, radius: float = 50, max_zoom: int = 14, min_points: int = 2, min_zoom: int = 0, few: int = FEW) -> DataFrame:
-    """LEVEL rows of points(item_id, seq, x, y, value), x and y in world units, for the zooms max_zoom to min_zoom.
+def with_properties(points: DataFrame, props: dict[str, str]) -> DataFrame:
+    unknown = set(props.values()).difference(REDUCERS)
+    if unknown:
+        raise ValueError(f"unknown reducers: {sorted(unknown)}")
+    return points.select("item_id", "seq", "x", "y", F.lit(1).cast("long").alias("n"), *(F.col(p).cast("double").alias(p) for p in props))
+
 
-    Items pass through a level unchanged if nothing is near them; children is
-    null for those. `seq` is the input order and must be unique.
+def cluster_points(points: DataFrame, radius: float = 50, max_zoom: int = 14, min_points: int = 2, min_zoom: int = 0, few: int = FEW, reducers: dict[str, str] | None = None) -> Clusters:
+    """Clusters of points(item_id, seq, x, y, properties), x and y in world units, for the zooms max_zoom to min_zoom.
+
+    Items pass through a level unchanged if nothing is near them. `seq` is the
+    input order and must be unique. reducers names the properties that clusters
+    have, with one of REDUCERS each: by default the sum of `value`. True is 1.
     """
-    items = points.select("item_id", "seq", "x", "y", F.lit(1).cast("long").alias("n"), F.col("value").cast("double").alias("value"))
-    done = None
+    props = {"value": "+"} if reducers is None else reducers
+    items = with_properties(points, props)
+    reach_of = lambda z: radius / (512 * 2.0**z)
+    done: list[Clusters] = []
     for z in range(max_zoom, min_zoom - 1, -1):
         if items.limit(few + 1).count() <= few:
-            rest = grouped(items, None, list(range(z, min_zoom - 1, -1)), radius, min_points)
-            return rest if done is None else done.unionByName(rest)
-        reach = radius / (512 * 2.0**z)
-        at = items.withColumn("cx", F.floor(F.col("x") / reach)).withColumn("cy", F.floor(F.col("y") / reach))
-        labels = cell_components(at.select("cx", "cy").distinct())
-        level = grouped(at.join(labels, ["cx", "cy"]), "label", [z], radius, min_points).checkpoint()
-        done = level if done is None else done.unionByName(level)
-        items = level.select("item_id", "seq", "x", "y", "n", "value")
-    return done
+            done.append(grouped(items, None, list(range(z, min_zoom - 1, -1)), reach_of, min_points, props))
+            break
+        if min_points <= 2:
+            level = level_by_joins(items, reach_of(z), F.lit(z), props, [])
+        else:
+            at = items.select("*", *squares(F.col("x"), F.col("y"), reach_of(z)))
+            labels = cell_components(at.select("cx", "cy").distinct())
+            level = grouped(at.join(labels, ["cx", "cy"]), "label", [z], reach_of, min_points, props)
+        done.append(level)
+        items = level.levels.select(*ITEM, *props)
+    levels, links = done[0]
+    for more in done[1:]:
+        levels, links = levels.unionByName(more.levels), links.unionByName(more.links)
+    return Clusters(levels, links)
 
 
-def cluster_tiles(tile_points: DataFrame, radius: float = 50, min_points: int = 2, extent: int = 4096) -> DataFrame:
-    """The same scan within each tile(z, x, y) of tile_points(z, x, y, item_id, seq, px, py, value), px and py in tile units."""
+def cluster_tiles(tile_points: DataFrame, radius: float = 50, min_points: int = 2, extent: int = 4096, few: int = FEW) -> DataFrame:
+    """The same within each tile(z, x, y) of tile_points(z, x, y, item_id, seq, px, py, value), px and py in tile units: z, x, y, seq, px, py, n, value.
+
+    Tiles of up to `few` points are scanned one by one, others by joins; clusters
+    of three and more items at least are scanned in all.
+    """
+    reach = radius * extent / 512
+    tile = ["tile_z", "tile_x", "tile_y"]
+    items = tile_points.select(F.col("z").alias("tile_z"), F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "item_id", "seq", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(1).cast("long").alias("n"), F.col("value").cast("double").alias("value"))
+    full = items.groupBy(*tile).agg(F.count("*").alias("size")).filter((F.col("size") > few) & F.lit(min_points <= 2)).select(*tile).checkpoint()
+    props, columns = {"value": "+"}, [*ITEM, "value"]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for z, x, y, rows in zip(frame["z"], frame["x"], frame["y"], frame["items"]):
-                now = pd.DataFrame([tuple(r[c] for c in ("item_id", "seq", "px", "py", "n", "value")) for r in rows], columns=["item_id", "seq", "x", "y", "n", "value"])
-                level = merge(now, 0, radius * extent, min_points)
-                level = level.rename(columns={"x": "px", "y": "py"}).drop(columns="z")
-                out.append(level.assign(z=z, x=x, y=y))
+            for z, x, y, rows in zip(frame["tile_z"], frame["tile_x"], frame["tile_y"], frame["items"]):
+                level = merge(pd.DataFrame([tuple(r[c] for c in columns) for r in rows], columns=columns), 0, reach, min_points, props)[0]
+                out.append(level.assign(z=z, tile_x=x, tile_y=y))
             if out:
-                yield pd.concat(out)[["z", "x", "y", "seq", "px", "py", "n", "value"]]
+                yield pd.concat(out)[["z", "tile_x", "tile_y", "seq", "x", "y", "n", "value"]]
 
-    packed = tile_points.groupBy("z", "x", "y").agg(F.collect_list(F.struct("item_id", "seq", "px", "py", F.lit(1).cast("long").alias("n"), "value")).alias("items"))
-    return packed.mapInPandas(work, "z int, x long, y long, seq long, px double, py double, n long, value double")
+    packed = items.join(full, tile, "left_anti").groupBy(*tile).agg(F.collect_list(F.struct(*columns)).alias("items"))
+    found = packed.mapInPandas(work, "z int, tile_x long, tile_y long, seq long, x double, y double, n long, value double")
+    if not full.isEmpty():
+        crowded = level_by_joins(items.join(full, tile, "left_semi"), reach, F.col("tile_z"), props, tile).levels
+        found = found.unionByName(crowded.select(*found.columns))
+    return found.select("z", F.col("tile_x").alias("x"), F.col("tile_y").alias("y"), "seq", F.col("x").alias("px"), F.col("y").alias("py"), "n", "value")
 
 
-def leaves(levels: DataFrame) -> DataFrame:
+def leaves(links: DataFrame) -> DataFrame:
     """cluster_id, item_id of all points below each cluster: one join a level, from the clusters down."""
-    made = levels.filter("children is not null").select(F.col("item_id").alias("cluster_id"), F.posexplode("children").alias("place", "child")).dropDuplicates(["cluster_id", "place"])
-    made = made.select("cluster_id", F.col("child").alias("item_id")).checkpoint()
+    made = links.select("cluster_id", F.col("child_id").alias("item_id")).checkpoint()
     down, out = made, made.filter("item_id >= 0")
     while not (inner := down.filter("item_id < 0")).isEmpty():
         down = inner.join(made.select(F.col("cluster_id").alias("item_id"), F.col("item_id").alias("below")), "item_id").select("cluster_id", F.col("below").alias("item_id")).checkpoint()
@@ -145,6 +285,6 @@ def leaves(levels: DataFrame) -> DataFrame:
 
 
 def expansion_zoom(levels: DataFrame, max_zoom: int) -> DataFrame:
-    """cluster_id and the zoom at which it comes apart: one above the lowest at which it was made, at most max_zoom + 1."""
-    made = levels.filter("children is not null").groupBy(F.col("item_id").alias("cluster_id")).agg(F.max("z").alias("z"))
+    """cluster_id and the zoom at which it comes apart: one above that at which it was made, at most max_zoom + 1."""
+    made = levels.filter("made").select(F.col("item_id").alias("cluster_id"), "z")
     return made.select("cluster_id", F.least(F.col("z") + 1, F.lit(max_zoom + 1)).alias("zoom"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import parse_color
@@ -109,69 +109,136 @@ def line_anchors(lines: DataFrame, spacing: float) -> DataFrame:
     return found.select("line_id", "place", F.coalesce("p.x", F.element_at("steps", -1)["bx"]).alias("x"), F.coalesce("p.y", F.element_at("steps", -1)["by"]).alias("y"))
 
 
-def merge_lines(lines: list[list[tuple]], most: int = 256) -> list[list[tuple]]:
-    """Lines joined end to start, without turning any around; one line, or more than `most`, stay as they are."""
-    if not 1 < len(lines) <= most:
-        return lines
-    starts: dict[tuple, list[int]] = {}
-    for i, line in enumerate(lines):
-        starts.setdefault(line[0], []).append(i)
-    left, out = set(range(len(lines))), []
-    ends = {line[-1] for line in lines}
-    # lines that nothing leads to come first, so that chains are whole
-    for i in sorted(range(len(lines)), key=lambda k: (lines[k][0] in ends, k)):
-        if i not in left:
-            continue
-        left.discard(i)
-        line = list(lines[i])
+def merge_lines(lines: list[list[tuple]]) -> list[list[tuple]]:
+    """Lines joined end to start, without turning any around."""
+    return [line for _, line in merge_steps(lines)]
+
+
+def merge_steps(lines: list[list[tuple]]) -> list[tuple[int, list[tuple]]]:
+    """The same, each with the place of the line that was taken for it.
+
+    Lines are taken from the end of the list. One that was taken is extended, at
+    either end, by what is left, the last of the list first, until nothing
+    fits; after each addition what comes earlier in the list is tried before the
+    list is gone through again.
+    """
+    left = dict(enumerate(lines))
+    by_start: dict[tuple, list[int]] = {}
+    by_end: dict[tuple, list[int]] = {}
+    for i, line in left.items():
+        by_start.setdefault(line[0], []).append(i)
+        by_end.setdefault(line[-1], []).append(i)
+
+    def last_below(places: list[int], bound: float) -> int:
+        while places and places[-1] not in left:
+            places.pop()
+        return next((i for i in reversed(places) if i < bound and i in left), -1)
+
+    out = []
+    while left:
+        i, line = left.popitem()
+        before, middle, after, bound = [], line, [], float("inf")
+        first, last = line[0], line[-1]
         while True:
-            following = next((k for k in reversed(starts.get(line[-1], ())) if k in left), None)
-            if following is None:
-                break
-            left.discard(following)
-            line += lines[following][1:]
-        out.append(line)
+            following, leading = last_below(by_start.get(last, []), bound), last_below(by_end.get(first, []), bound)
+            k = max(following, leading)
+            if k < 0:
+                if bound == float("inf"):
+                    break
+                bound = float("inf")
+                continue
+            other, bound = left.pop(k), k
+            if k == following:
+                after.append(other[1:])
+                last = other[-1]
+            else:
+                before.append(other[:-1])
+                first = other[0]
+        out.append((i, [p for part in (*reversed(before), middle, *after) for p in part]))
     return out
 
 
-def merged_lines(lines: DataFrame, by: str) -> DataFrame:
-    """by, line_no, line of lines(by, seq, line): the lines of a group joined."""
+def merged_lines(lines: DataFrame, by: str, most: int | None = None) -> DataFrame:
+    """by, line_no, line of lines(by, seq, line): the lines of a group joined, in the order of seq; lines without positions are left out.
+
+    Groups of more than `most` lines stay as they are, if it is given: 256 is
+    what browsers draw. Lines that don't meet, over any others, are groups of
+    their own: the task that joins a group holds what is connected alone.
+    """
+    kind, lines = lines.schema[by].dataType.simpleString(), lines.filter(F.size("line") > 0)
+    ends = lines.select(by, "seq", F.explode(F.array(F.get("line", F.lit(0)), F.element_at("line", -1))).alias("at"))
+    if most is not None:
+        small = lines.groupBy(by).agg(F.count("*").alias("n")).filter(F.col("n") <= most).select(by)
+        ends = ends.join(small, by, "left_semi")
+    labels = connected(ends, by)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(key, i, [{"x": x, "y": y} for x, y in line]) for key, parts in zip(frame[by], frame["parts"]) for i, line in enumerate(merge_lines([[(p["x"], p["y"]) for p in part["line"]] for part in parts]))]
-            yield pd.DataFrame(rows, columns=[by, "line_no", "line"])
-
-    grouped = lines.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("parts"))
-    return grouped.mapInPandas(work, f"{by} {lines.schema[by].dataType.simpleString()}, line_no int, line {LINE}")
-
-
-def place_labels(boxes: list[tuple], most: int = 2000) -> list[bool]:
-    """Which of (priority, sort key, w, s, e, n, allow overlap, ignore placement) are shown; higher priority first, then lower sort key."""
+            rows = []
+            for key, parts in zip(frame[by], frame["parts"]):
+                merged = merge_steps([[(p["x"], p["y"]) for p in part["line"]] for part in parts])
+                rows += [(key, parts[i]["seq"], [{"x": x, "y": y} for x, y in line]) for i, line in merged]
+            yield pd.DataFrame(rows, columns=[by, "taken", "line"])
+
+    packed = lines.join(labels, [by, "seq"], "left").withColumn("label", F.coalesce("label", "seq"))
+    packed = packed.groupBy(by, "label").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("parts"))
+    found = packed.select(by, "parts").mapInPandas(work, f"{by} {kind}, taken long, line {LINE}")
+    number = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("taken"))) - 1
+    return found.select(by, number.alias("line_no"), "line")
+
+
+def connected(ends: DataFrame, by: str) -> DataFrame:
+    """by, seq, label of ends(by, seq, at): the least seq of those that share positions, over any others."""
+    nodes = ends.select(by, "seq", F.col("seq").alias("label")).distinct().checkpoint()
+    ends = ends.distinct().checkpoint()
+    while True:
+        at = ends.join(nodes, [by, "seq"]).groupBy(by, "at").agg(F.min("label").alias("near"))
+        near = ends.join(at, [by, "at"]).groupBy(by, "seq").agg(F.min("near").alias("near"))
+        hooked = nodes.join(near, [by, "seq"]).select(by, "seq", F.least("label", "near").alias("label"))
+        up = hooked.select(by, F.col("seq").alias("label"), F.col("label").alias("up"))
+        after = hooked.join(up, [by, "label"]).select(by, "seq", F.least("label", "up").alias("label")).checkpoint()
+        changed = not after.join(nodes.withColumnRenamed("label", "old"), [by, "seq"]).filter("label <> old").isEmpty()
+        nodes = after
+        if not changed:
+            return nodes
+
+
+def place_labels(boxes: list[tuple], most: int | None = None) -> list[bool]:
+    """Which of (priority, sort key, w, s, e, n, allow overlap, ignore placement) are shown; higher priority first, then lower sort key, of `most` at most if it is given."""
     order = sorted(range(len(boxes)), key=lambda i: (-boxes[i][0], boxes[i][1], i))[:most]
-    taken, shown = np.empty((0, 4)), [False] * len(boxes)
+    taken, n_taken, shown = np.empty((16, 4)), 0, [False] * len(boxes)
     for i in order:
         _, _, w, s, e, n, overlap, ignore = boxes[i]
-        free = not ((taken[:, 0] < e) & (taken[:, 2] > w) & (taken[:, 1] < n) & (taken[:, 3] > s)).any()
+        held = taken[:n_taken]
+        free = not ((held[:, 0] < e) & (held[:, 2] > w) & (held[:, 1] < n) & (held[:, 3] > s)).any()
         shown[i] = bool(overlap or free)
         if shown[i] and not ignore:
-            taken = np.vstack([taken, (w, s, e, n)])
+            if n_taken == len(taken):
+                taken = np.vstack([taken, np.empty_like(taken)])
+            taken[n_taken] = (w, s, e, n)
+            n_taken += 1
     return shown
 
 
-def thin_labels(labels: DataFrame, by: list[str]) -> DataFrame:
+def thin_labels(labels: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
     """by, label_id of the labels(by, label_id, priority, sort_key, w, s, e, n) that fit, each group of `by` for itself.
 
-    Of a group's labels the first 2000 in order are candidates.
+    Of a group's labels the first `most` in order are candidates, if it is
+    given: 2000 is what browsers take. Columns allow_overlap and
+    ignore_placement may be there: such labels are shown whatever they overlap,
+    or leave their place to others.
     """
-    columns = ["priority", "sort_key", "w", "s", "e", "n"]
+    columns = ["priority", "sort_key", "w", "s", "e", "n", "allow_overlap", "ignore_placement"]
+    for name in columns[6:]:
+        if name not in labels.columns:
+            labels = labels.withColumn(name, F.lit(False))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
                 items = sorted(row.items, key=lambda r: r["label_id"])
-                shown = place_labels([(*(r[c] for c in columns), False, False) for r in items])
+                shown = place_labels([tuple(r[c] for c in columns) for r in items], most)
                 out += [(*(getattr(row, b) for b in by), r["label_id"]) for r, ok in zip(items, shown) if ok]
             yield pd.DataFrame(out, columns=[*by, "label_id"])
 
@@ -189,13 +256,14 @@ def grid_interval(zoom: float, latitude: float = 0.0) -> float:
     return min(INTERVALS, key=lambda i: abs(math.log(max(1.0, pixels * i) / 100)))
 
 
-def graticule(views: DataFrame, interval: float) -> DataFrame:
-    """views(view_id, w, s, e, n): a row for each grid line: kind (meridian or parallel) and value, 500 at most of a kind."""
+def graticule(views: DataFrame, interval: float, most: int | None = None) -> DataFrame:
+    """views(view_id, w, s, e, n): a row for each grid line: kind (meridian or parallel) and value; `most` at most of a kind, if it is given."""
+    few = lambda lines: lines if most is None else F.slice(lines, 1, most)
     span = lambda a, b: F.filter(F.sequence(F.ceil(a / interval), F.greatest(F.ceil(a / interval), F.floor(b / interval))), lambda k: k * interval <= b)
     south, north = F.greatest(F.col("s"), F.lit(-85.0)), F.least(F.col("n"), F.lit(85.0))
     lines = F.concat(
-        F.transform(F.slice(span(F.col("w"), F.col("e")), 1, 500), lambda k: F.struct(F.lit("meridian").alias("kind"), (k * interval).alias("value"))),
-        F.transform(F.slice(span(south, north), 1, 500), lambda k: F.struct(F.lit("parallel").alias("kind"), (k * interval).alias("value"))),
+        F.transform(few(span(F.col("w"), F.col("e"))), lambda k: F.struct(F.lit("meridian").alias("kind"), (k * interval).alias("value"))),
+        F.transform(few(span(south, north)), lambda k: F.struct(F.lit("parallel").alias("kind"), (k * interval).alias("value"))),
     )
     return views.select("view_id", F.explode(lines).alias("l")).select("view_id", "l.kind", "l.value")
 

@@ -180,15 +180,15 @@ class NodeTree:
         return q[near], self.order[node[near]]
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, few: int = 4_000_000) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 0.25, few: int = 4_000_000) -> DataFrame:
     """point_id, node_id, metres: the nearest of nodes(node_id, lon, lat), the smallest id of equally near ones.
 
     Up to `few` nodes, 24 bytes each, are broadcast, and each batch of points
-    searches a tree of them. More are put in grid cells and joined. Both give
-    the same rows.
+    searches a tree of them. More are put in grid cells of `cell` degrees and
+    joined. Both give the same rows.
     """
     if nodes.limit(few + 1).count() > few:
-        return nearest_by_cells(points, nodes)
+        return nearest_by_cells(points, nodes, cell)
     columns = nodes.select("node_id", F.col("lon").cast("double"), F.col("lat").cast("double")).orderBy("node_id").toPandas()
     shared = points.sparkSession.sparkContext.broadcast(tuple(columns[c].to_numpy() for c in columns))
 

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.mercator import MAX_LAT
 
-#: Rings longer than this aren't tested for crossings with themselves.
-CROSSING_POSITIONS = 256
-
 
 def issues(features: DataFrame) -> DataFrame:
     """feature_seq, severity, code of features(feature_seq, geom_type, parts), a row for each code of a feature."""
@@ -33,19 +30,33 @@ def issues(features: DataFrame) -> DataFrame:
     return plain.unionByName(crossings(features.filter(ring)))
 
 
-def crosses(ring: np.ndarray) -> bool:
-    """Whether two edges of a closed ring (n, 2) that aren't neighbours meet."""
-    a, b = ring[:-1], ring[1:]
+def crosses(ring: np.ndarray, block: int = 256) -> bool:
+    """Whether two edges of a closed ring (n, 2) cross; those that share an end don't.
+
+    Edges are put in the order of their western ends, and a block of them meets
+    those that begin before it ends.
+    """
+    order = np.argsort(np.minimum(ring[:-1, 0], ring[1:, 0]), kind="stable")
+    a, b = ring[:-1][order], ring[1:][order]
+    west, east = np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 0], b[:, 0])
     side = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
-    ai, bi, aj, bj = a[:, None], b[:, None], a[None], b[None]
-    meet = (side(ai, bi, aj) * side(ai, bi, bj) < 0) & (side(aj, bj, ai) * side(aj, bj, bi) < 0)
-    return bool(np.triu(meet, 2).any())
+    for start in range(0, len(a), block):
+        end = int(np.searchsorted(west, east[start : start + block].max(), "right"))
+        ai, bi = a[start : start + block, None], b[start : start + block, None]
+        for other in range(start, end, 16 * block):
+            aj, bj = a[None, other : min(end, other + 16 * block)], b[None, other : min(end, other + 16 * block)]
+            if ((side(ai, bi, aj) * side(ai, bi, bj) < 0) & (side(aj, bj, ai) * side(aj, bj, bi) < 0)).any():
+                return True
+    return False
+
 
+def crossings(polygons: DataFrame, most: int | None = None) -> DataFrame:
+    """feature_seq, severity, code of polygons with a ring that crosses itself; rings of over `most` positions aren't tested, if it is given."""
 
-def crossings(polygons: DataFrame) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            hit = [any(crosses(np.array([(p["x"], p["y"]) for p in ring], float)) for ring in parts if 4 <= len(ring) <= CROSSING_POSITIONS) for parts in frame["parts"]]
+            tested = [[ring for ring in parts if len(ring) >= 4 and (most is None or len(ring) <= most)] for parts in frame["parts"]]
+            hit = [any(crosses(np.array([(p["x"], p["y"]) for p in ring], float)) for ring in parts) for parts in tested]
             yield pd.DataFrame({"feature_seq": frame["feature_seq"][hit], "severity": "error", "code": "self-intersection"})
 
     return polygons.select("feature_seq", "parts").mapInPandas(work, "feature_seq long, severity string, code string")

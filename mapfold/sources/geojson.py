@@ -57,27 +57,37 @@ def feature_code(v: Column) -> Column:
     )
 
 
-def to_rows(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """records(source, record, v): the feature rows and the errors. A record with a bad feature gives none of its features."""
+def place_in_read() -> Column:
+    """A number for each row of a read: 2**24 for each task, so 2**43 in all."""
+    at = F.monotonically_increasing_id()
+    return F.shiftright(at, 33) * F.lit(1 << 24) + at.bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def to_rows(records: DataFrame, place_bits: int = 32) -> tuple[DataFrame, DataFrame]:
+    """records(source, record, v): the feature rows and the errors. A record with a bad feature gives none of its features.
+
+    feature_seq is record * 2**place_bits and the feature's place in its record.
+    """
     opened = records.withColumn("features", features_of(F.col("v")))
-    failed = opened.filter("features is null").select("source", "record", F.when(F.col("v").isNull(), "json").otherwise("type").alias("code"))
-    each = opened.filter("features is not null").select("source", "record", F.posexplode("features").alias("place", "f")).withColumn("code", feature_code(F.col("f")))
-    bad = each.filter("code is not null").groupBy("source", "record").agg(F.min_by("code", "place").alias("code"))
-    good = each.join(bad.select("source", "record"), ["source", "record"], "left_anti")
+    # the first code of a record's features, within the record: no join and no shuffle
+    code = F.get(F.filter(F.transform("features", feature_code), lambda c: c.isNotNull()), F.lit(0))
+    refused = F.when(F.col("v").isNull(), "json").when(F.col("features").isNull(), "type").otherwise(code)
+    errors = opened.select("source", "record", refused.alias("code")).filter("code is not null")
+    good = opened.select("source", "record", F.posexplode_outer(F.when(code.isNull(), F.col("features"))).alias("place", "f")).filter("place is not null")
     given = F.try_variant_get("f", "$.id", "variant")
     kind = F.schema_of_variant(given)
     props = F.try_variant_get("f", "$.properties", "variant")
     geometry = F.try_variant_get("f", "$.geometry", "variant")
     rows = good.select(
         "source",
-        (F.col("record") * F.lit(1 << 32) + F.col("place")).alias("feature_seq"),
+        (F.col("record") * F.lit(1 << place_bits) + F.col("place")).alias("feature_seq"),
         F.when(kind != "VOID", F.variant_get(given, "$", "string")).alias("fid"),
         F.when(kind == "STRING", "str").when(kind != "VOID", "num").alias("fid_type"),
         text_of(geometry, "$.type").alias("geom_type"),
         F.when(~F.is_variant_null(geometry), F.to_json(geometry)).alias("geometry"),
         F.coalesce(props, F.parse_json(F.lit("{}"))).alias("props"),
     )
-    return rows, failed.unionByName(bad)
+    return rows, errors
 
 
 def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -88,8 +98,8 @@ def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_feature_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A feature a line: files of any size, split between tasks. `record` is the place of a line within the read."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.input_file_name().alias("source"), F.monotonically_increasing_id().alias("record"), "value")
-    return to_rows(lines.select("source", "record", F.try_parse_json("value").alias("v")))
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.input_file_name().alias("source"), place_in_read().alias("record"), "value")
+    return to_rows(lines.select("source", "record", F.try_parse_json("value").alias("v")), 20)
 
 
 def sequence_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -104,6 +114,18 @@ def sequence_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, errors.unionByName(lead)
 
 
+def read_sequence(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same of files of any size, which are split at RS between tasks. `record` is the place of a record within the read."""
+    read = spark.read.option("lineSep", RS).text(path)
+    each = read.select(F.input_file_name().alias("source"), F.col("_metadata.file_block_start").alias("start"), place_in_read().alias("record"), "value")
+    # what is before the first RS of a file is no record: one row for each file
+    first = each.filter("start = 0").groupBy("source").agg(F.min("record").alias("record"), F.min_by("value", "record").alias("value"))
+    lead = first.filter(F.col("value").rlike(r"\S")).select("source", "record", F.lit("leading-text").alias("code"))
+    kept = each.filter(F.col("value").rlike(r"\S")).join(first.select("source", "record"), ["source", "record"], "left_anti")
+    rows, errors = to_rows(kept.select("source", "record", F.try_parse_json("value").alias("v")), 20)
+    return rows, errors.unionByName(lead)
+
+
 def read_geojson_seq(spark: SparkSession, path: str, on_error: str = "fail") -> tuple[DataFrame, DataFrame]:
     rows, errors = sequence_rows(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value"))
     if on_error == "fail":
@@ -114,8 +136,8 @@ def read_geojson_seq(spark: SparkSession, path: str, on_error: str = "fail") ->
 
 
 def format_of(value: Column) -> Column:
-    """geojsonseq, osm, topojson, geojson or null."""
-    v = F.try_parse_json(value)
+    """geojsonseq, osm, topojson, geojson or null. A sequence is told by its first sign; the rest is parsed."""
+    v = F.try_parse_json(F.when(~value.rlike(r"^\s*\x1e"), value))
     kind = text_of(v, "$.type")
     return F.when(value.rlike(r"^\s*\x1e"), "geojsonseq").when(F.schema_of_variant(F.try_variant_get(v, "$.elements", "variant")).startswith("ARRAY"), "osm").when(kind == "Topology", "topojson").when(kind.isin("FeatureCollection", "Feature", *TYPES), "geojson")
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FEATURES = "z int, x long, y long, layer string, extent int, feature_seq int, fid long, kind int, parts array<array<struct<x:int,y:int>>>, props string, error string"
+FEATURES = "z int, x long, y long, layer string, extent int, feature_seq int, fid long, fid_text string, fid_type string, kind int, parts array<array<struct<x:int,y:int>>>, props string, error string"
 
 
 class Wire:
@@ -138,24 +138,36 @@ def decode_tile(data: bytes) -> list[tuple[str, int, int, int | None, int, list,
     return out
 
 
+def id_columns(fid: int | float | str | None) -> tuple[int | None, str | None, str | None]:
+    """fid, fid_text and fid_type of an id."""
+    if fid is None:
+        return None, None, None
+    if isinstance(fid, str):
+        return None, fid, "str"
+    whole = int(fid) if fid == int(fid) else None
+    return whole if whole is not None and -(1 << 63) <= whole < 1 << 63 else None, str(fid if whole is None else whole), "num"
+
+
 def decode_mvt(tiles: DataFrame, decode=decode_tile) -> DataFrame:
     """FEATURES of tiles(z, x, y, data); a tile that can't be decoded gives one row with its error.
 
+    fid_text has every id, and fid_type is num or str; fid has whole numbers below 2^63.
+
     `decode` may be any function from bytes to rows like decode_tile's.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split(" ")[0] for f in ("z", "x", "y", "layer", "extent", "feature_seq", "fid", "kind", "parts", "props", "error")]
+        names = [f.split(" ")[0] for f in ("z", "x", "y", "layer", "extent", "feature_seq", "fid", "fid_text", "fid_type", "kind", "parts", "props", "error")]
         part = pa.list_(pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), part, pa.string(), pa.string()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), part, pa.string(), pa.string()]
         for batch in batches:
             rows: list[tuple] = []
             for z, x, y, data in zip(*(batch.column(c).to_pylist() for c in ("z", "x", "y", "data"))):
                 try:
                     found = decode(data)
-                    rows += [(z, x, y, name, extent, place, fid if fid is None or fid < 1 << 63 else None, kind, [[{"x": a, "y": b} for a, b in p] for p in parts], props, None) for name, extent, place, fid, kind, parts, props in found]
+                    rows += [(z, x, y, name, extent, place, *id_columns(fid), kind, [[{"x": a, "y": b} for a, b in p] for p in parts], props, None) for name, extent, place, fid, kind, parts, props in found]
                 except (ValueError, IndexError, UnicodeDecodeError, struct.error) as error:
-                    rows.append((z, x, y, None, None, None, None, None, None, None, str(error)))
+                    rows.append((z, x, y, *[None] * 9, str(error)))
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -326,7 +338,7 @@ def decode_columnar(data: bytes) -> list[tuple[str, int, int, int | None, int, l
             if not parts:
                 raise ValueError("a feature has no parts")
             held = {k: v[i] for k, v in props.items() if v[i] is not None}
-            out.append((name, extent, i, ids[i] if isinstance(ids[i], int) else None, kind, parts, json.dumps(held, ensure_ascii=False, separators=(",", ":"))))
+            out.append((name, extent, i, ids[i], kind, parts, json.dumps(held, ensure_ascii=False, separators=(",", ":"))))
         if layer.at != len(layer.data):
             raise ValueError("bytes after a layer")
     if wire.at != len(data):

@@ -15,25 +15,50 @@ from ..operators import changes
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """The Parquet table `name` of a folder as a stream of its files."""
-    kind = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(kind).option("pathGlobFilter", f"{name}.parquet")
-    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
+    """The Parquet table `name` of a folder, one file or a folder of files, as a stream of its files."""
+    path = f"{folder}/{name}.parquet"
+    kind = spark.read.parquet(path).schema  # fails where there is no such table
+    reader = spark.readStream.schema(kind)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the whole versions in a folder, ascending."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    names = [(f.getPath().getName(), f.getPath()) for f in system.listStatus(at)]
+    whole = [int(n.partition("=")[2]) for n, p in names if n.startswith("version=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(whole)
 
 
 def keep_versions(stream: DataFrame, first: DataFrame, path: str, step: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str) -> DataFrame:
-    """step(state, batch) for each micro-batch of all that is there now; the last version of the state."""
+    """step(state, batch) for each micro-batch of all that is there now; the last version of the state.
+
+    A restart goes on from the versions that are there: `first` is written only
+    where there are none. The version before that of a batch stays, so the
+    batch can be run again; older ones are deleted.
+    """
     spark = first.sparkSession
-    first.write.mode("overwrite").parquet(f"{path}/version=0")
-    last = [0]
+    if not versions(spark, path):
+        first.write.mode("overwrite").parquet(f"{path}/version=0")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         state = spark.read.schema(first.schema).parquet(f"{path}/version={batch_id}")
         step(state, batch).write.mode("overwrite").parquet(f"{path}/version={batch_id + 1}")
-        last[0] = batch_id + 1
+        for old in versions(spark, path):
+            if old < batch_id:
+                at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(first.schema).parquet(f"{path}/version={last[0]}")
+    return spark.read.schema(first.schema).parquet(f"{path}/version={versions(spark, path)[-1]}")
 
 
 def source_updates(features: DataFrame, diffs: DataFrame, path: str, checkpoint: str) -> DataFrame:

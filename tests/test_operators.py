@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from mapfold.functions import expressions as X
 from mapfold.functions import geometry
-from mapfold.operators import changes, cluster, density, elevation, graph, spatial, validate
+from mapfold.operators import changes, cluster, density, elevation, graph, shapes, spatial, validate
 from mapfold.sources import geojson, osm, tiles
+from mapfold.streaming import updates
 
 
 def evaluate(spark, expression, props=None, zoom=0.0):
@@ -150,25 +151,71 @@ def twin_levels(rows, radius, low, high, least):
     return out
 
 
+@pytest.mark.parametrize("least", [2, 3])
 @pytest.mark.parametrize("few", [10_000, 30])
-def test_clusters_equal_a_plain_scan(spark, few):
+def test_clusters_equal_a_plain_scan(spark, few, least):
     rows = points(spark, 150)
     df = spark.createDataFrame(rows, "item_id long, seq long, x double, y double, value double").repartition(5)
-    got = [(r.z, r.item_id, r.seq, round(r.x, 12), round(r.y, 12), r.n, round(r.value, 6)) for r in cluster.cluster_points(df, 50, 12, 3, min_zoom=8, few=few).collect()]
-    assert sorted(got) == sorted(twin_levels(rows, 50, 8, 12, 3))
+    got = [(r.z, r.item_id, r.seq, round(r.x, 12), round(r.y, 12), r.n, round(r.value, 6)) for r in cluster.cluster_points(df, 50, 12, least, min_zoom=8, few=few).levels.collect()]
+    assert sorted(got) == sorted(twin_levels(rows, 50, 8, 12, least))
+
+
+@pytest.mark.parametrize("rounds", [0, 2, 12])
+def test_takers_of_a_chain_and_a_crowd(spark, rounds, monkeypatch):
+    """Items in a row, each of which waits for the one before, and many at one place."""
+    rows = [(i, i, i * 0.004, 0.5, 1.0) for i in range(60)] + [(i, i, 0.7 + (i % 3) * 1e-6, 0.7, 1.0) for i in range(60, 160)]
+    monkeypatch.setattr(cluster.takers, "__defaults__", (rounds,))
+    df = spark.createDataFrame(rows, "item_id long, seq long, x double, y double, value double")
+    found = cluster.cluster_points(df, 50, 4, min_zoom=4, few=3)
+    got = [(r.z, r.item_id, r.seq, round(r.x, 12), round(r.y, 12), r.n, round(r.value, 6)) for r in found.levels.collect()]
+    assert sorted(got) == sorted(twin_levels(rows, 50, 4, 4, 2))
+    assert found.links.groupBy("cluster_id").count().agg({"count": "sum"}).first()[0] == sum(r[5] for r in got if r[1] < 0)
+
+
+@pytest.mark.parametrize("few", [10_000, 20])
+def test_reducers_are_carried_through_the_levels(spark, few):
+    rows = [(i, s, x, y, v, v, v, 1 + v / 1000, i % 2 == 0, i % 50 == 7) for i, s, x, y, v in points(spark, 120)]
+    df = spark.createDataFrame(rows, "item_id long, seq long, x double, y double, total double, most double, least double, product double, every boolean, some boolean")
+    kinds = {"total": "+", "most": "max", "least": "min", "product": "*", "every": "all", "some": "any"}
+    found = cluster.cluster_points(df, 50, 12, min_zoom=8, few=few, reducers=kinds)
+    of = {r[0]: r for r in rows}
+    below = {}
+    for r in cluster.leaves(found.links).collect():
+        below.setdefault(r.cluster_id, []).append(of[r.item_id])
+    made = found.levels.filter("made").collect()
+    assert made and all(len(below[r.item_id]) == r.n for r in made)
+    for r in made:
+        v = [x[4] for x in below[r.item_id]]
+        assert (round(r.total, 6), r.most, r.least) == (round(sum(v), 6), max(v), min(v))
+        assert round(r.product, 6) == round(math.prod(1 + x / 1000 for x in v), 6)
+        assert (r.every, r.some) == (float(all(x[8] for x in below[r.item_id])), float(any(x[9] for x in below[r.item_id])))
 
 
 def test_cluster_tree(spark):
     df = spark.createDataFrame(points(spark, 100), "item_id long, seq long, x double, y double, value double")
-    levels = cluster.cluster_points(df, 50, 10, min_zoom=4).checkpoint()
+    levels, links = cluster.cluster_points(df, 50, 10, min_zoom=4)
     below = {}
-    for r in cluster.leaves(levels).collect():
+    for r in cluster.leaves(links).collect():
         below.setdefault(r.cluster_id, set()).add(r.item_id)
-    sizes = {r.item_id: r.n for r in levels.filter("children is not null").collect()}
+    sizes = {r.item_id: r.n for r in levels.filter("made").collect()}
     assert {c: len(v) for c, v in below.items()} == sizes
     assert all(5 <= r.zoom <= 11 for r in cluster.expansion_zoom(levels, 10).collect())
 
 
+@pytest.mark.parametrize("few", [10_000, 5])
+def test_clusters_of_tiles_equal_a_plain_scan(spark, few):
+    rng = random.Random(6)
+    rows = [(3, i % 4, 0, i, i, rng.uniform(0, 4096), rng.uniform(0, 4096), float(i)) for i in range(80)]
+    df = spark.createDataFrame(rows, "z int, x long, y long, item_id long, seq long, px double, py double, value double")
+    got = sorted((r.x, r.seq, round(r.px, 6), round(r.py, 6), r.n, r.value) for r in cluster.cluster_tiles(df, few=few).collect())
+    want = []
+    for x in range(4):
+        mine = [(r[3], r[4], r[5], r[6], r[7]) for r in rows if r[1] == x]
+        # a radius of 50 in tiles of 512: the twin's reach at zoom 0 is radius / 512
+        want += [(x, s, round(px, 6), round(py, 6), n, v) for _, _, s, px, py, n, v in twin_levels(mine, 50 * 4096, 0, 0, 2)]
+    assert got == sorted(want)
+
+
 def test_cell_components_join_corners(spark):
     cells = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (5, 5), (5, 6), (9, 0)], "cx long, cy long")
     labels = {}
@@ -221,8 +268,8 @@ def test_routes(spark):
     for most in (10, 0):
         rows = {(r.origin, r.target): r for r in graph.routes(pairs, edges, 20, most).collect()}
         assert {k: r.cost for k, r in rows.items()} == {(1, 4): 6, (4, 3): 14, (1, 1): 0, (1, 9): None, (5, 1): 10}
-        if most:
-            assert list(rows[1, 4].node_ids) == [1, 2, 3, 4] and list(rows[1, 4].edge_ids) == [1, 2, 3]
+        assert list(rows[1, 4].node_ids) == [1, 2, 3, 4] and list(rows[1, 4].edge_ids) == [1, 2, 3]
+        assert list(rows[1, 1].node_ids) == [1] and list(rows[1, 1].edge_ids) == [] and rows[1, 9].node_ids is None
     near = graph.routes(pairs, edges, 5).filter("origin = 1 and target = 4").first()
     assert near.cost is None
 
@@ -248,7 +295,131 @@ def test_both_engines_agree_on_random_graphs(spark):
     origins = spark.createDataFrame([(0,), (7,)], "origin long")
     assert {(r.origin, r.node): r.cost for r in graph.reachable(origins, edges, 90).collect()} == want
     pairs = spark.createDataFrame([(o, t) for o in (0, 7) for t in range(40)], "origin long, target long")
-    assert {(r.origin, r.target): r.cost for r in graph.routes(pairs, edges, 90).collect() if r.cost is not None} == want
+    found = [{(r.origin, r.target): (r.cost, r.node_ids, r.edge_ids) for r in graph.routes(pairs, edges, 90, most).collect()} for most in (graph.MOST_EDGES, 0)]
+    assert {k: v[0] for k, v in found[0].items() if v[0] is not None} == want
+    # a route's nodes and edges are the same from both engines, ties included
+    assert found[0] == found[1]
+    trees = [sorted(map(tuple, graph.cheapest(origins, edges, 90, most).collect()), key=str) for most in (graph.MOST_EDGES, 0)]
+    assert trees[0] == trees[1]
+
+
+def test_route_shapes(spark):
+    """Edges walked backwards, a joint that is there once, positions that repeat within an edge, gaps, and a route without edges."""
+    a, b, c, d = (11.0, 48.0), (12.0, 48.0), (13.0, 48.0), (14.0, 48.0)
+    nodes = spark.createDataFrame([(i, *p) for i, p in enumerate((a, b, c, d))], "node_id long, lon double, lat double")
+    lines = [(1, 0, 1, 1, False, 10.0, [a, (11.5, 48.0), b]), (2, 2, 1, 2, False, 20.0, [c, c, (12.5, 48.0), b]), (3, 2, 3, 3, False, 30.0, [(13.1, 48.0), d])]
+    edges = spark.createDataFrame(lines, f"{EDGES}, distance double, line array<struct<x:double,y:double>>")
+    pairs = spark.createDataFrame([(0, 3), (3, 0), (0, 0), (0, 9)], "origin long, target long")
+    want = [a, (11.5, 48.0), b, (12.5, 48.0), c, c, (13.1, 48.0), d]
+    for most in (10, 0):
+        found = graph.route_shapes(graph.routes(pairs, edges, 100, most), nodes, edges)
+        rows = {(r.origin, r.target): (r.cost, r.distance, r.line and [tuple(p) for p in r.line]) for r in found.collect()}
+        assert rows == {(0, 3): (6, 60, want), (3, 0): (6, 60, want[::-1]), (0, 0): (0, 0, [a]), (0, 9): (None, None, None)}
+
+
+def test_starts_are_snapped_to_nodes(spark):
+    nodes = spark.createDataFrame([(1, 10.0, 48.0), (2, 11.0, 48.0), (3, -179.9, 0.0)], "node_id long, lon double, lat double")
+    asked = spark.createDataFrame([(1, 2, None, None), (2, None, 10.1, 48.0), (3, 99, 179.9, 0.0)], "request_id long, node_id long, lon double, lat double")
+    rows = {r.request_id: (r.node_id, r.start_distance) for r in graph.snapped(asked, nodes).collect()}
+    assert rows[1] == (2, 0) and rows[2][0] == 1 and rows[3][0] == 3 and 7_000 < rows[2][1] < 8_000
+
+
+def test_nearest_engines_give_the_same_rows(spark):
+    """Both engines over the whole world, its seam and poles, with nodes that are equally near."""
+    rng = random.Random(8)
+    nodes = [(i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(200)] + [(500, 50.0, 10.0), (400, 50.0, 10.0)]
+    asked = [(i, rng.choice([-180.0, 180.0, rng.uniform(-180, 180)]), rng.choice([-89.9, 89.9, rng.uniform(-90, 90)])) for i in range(60)] + [(99, 50.0, 10.0)]
+    p, n = spark.createDataFrame(asked, "point_id long, lon double, lat double"), spark.createDataFrame(nodes, "node_id long, lon double, lat double")
+    found = [{r.point_id: (r.node_id, round(r.metres, 3)) for r in spatial.nearest_node(p, n, cell=30, few=few).collect()} for few in (10**6, 0)]
+    assert found[0] == found[1] and found[0][99] == (400, 0) and len(found[0]) == 61
+    assert spatial.nearest_node(p, n.limit(0)).collect() == []
+
+
+def twin_merge(parts):
+    """Lines taken from the end, each extended at both ends by the last that fits, over and over."""
+    waiting, out = list(enumerate(parts)), []
+    while waiting:
+        k, line = waiting.pop()
+        again = True
+        while again:
+            again = False
+            for i in range(len(waiting) - 1, -1, -1):
+                other = waiting[i][1]
+                if line[-1] == other[0]:
+                    line = line + other[1:]
+                elif other[-1] == line[0]:
+                    line = other + line[1:]
+                else:
+                    continue
+                del waiting[i]
+                again = True
+        out.append((k, line))
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 60])
+def test_merged_lines_equal_a_plain_loop(spark, most):
+    rng = random.Random(11)
+    rows = [(g, i, [(float(rng.randrange(n)), 0.0), (float(rng.randrange(n)), 1.0) if i % 9 == 0 else (float(rng.randrange(n)), 0.0)]) for g, n, size in ((1, 12, 50), (2, 300, 80), (3, 3, 6)) for i in range(size)]
+    df = spark.createDataFrame(rows, "g long, seq long, line array<struct<x:double,y:double>>")
+    got = sorted((r.g, r.line_no, [tuple(p) for p in r.line]) for r in shapes.merged_lines(df, "g", most).collect())
+    want = []
+    for g in (1, 2, 3):
+        mine = [line for k, _, line in rows if k == g]
+        if most is not None and len(mine) > most:
+            merged = list(enumerate(mine))[::-1]
+        else:
+            merged = twin_merge(mine)
+        want += [(g, i, line) for i, (_, line) in enumerate(sorted(merged, key=lambda m: -m[0]))]
+    assert got == sorted(want)
+
+
+def test_labels_may_overlap_or_leave_their_place(spark):
+    rows = [(1, 1, 5, 0.0, 0.0, 0.0, 2.0, 2.0, False, False), (1, 2, 4, 0.0, 1.0, 1.0, 3.0, 3.0, True, False), (1, 3, 3, 0.0, 2.5, 2.5, 4.0, 4.0, False, False), (1, 4, 9, 0.0, 9.0, 9.0, 10.0, 10.0, False, True), (1, 5, 1, 0.0, 9.0, 9.0, 10.0, 10.0, False, False)]
+    df = spark.createDataFrame(rows, "g long, label_id long, priority long, sort_key double, w double, s double, e double, n double, allow_overlap boolean, ignore_placement boolean")
+    assert sorted(r.label_id for r in shapes.thin_labels(df, ["g"]).collect()) == [1, 2, 4, 5]
+    assert sorted(r.label_id for r in shapes.thin_labels(df.drop("allow_overlap", "ignore_placement"), ["g"], most=3).collect()) == [1, 4]
+    many = spark.range(5000).selectExpr("1 AS g", "id AS label_id", "0 AS priority", "double(id) AS sort_key", "3.0D * id AS w", "0D AS s", "3.0D * id + 1 AS e", "1D AS n")
+    assert shapes.thin_labels(many, ["g"]).count() == 5000
+
+
+def test_long_rings_are_tested_for_crossings():
+    turn = np.linspace(0, 2 * np.pi, 3001)
+    ring = np.column_stack([np.cos(turn), np.sin(turn)])
+    ring[-1] = ring[0]
+    assert not validate.crosses(ring)
+    ring[1500] = (2.0, 0.5)
+    assert validate.crosses(ring)
+
+
+def test_named_colours():
+    assert len(expressions_colours()) == 149 and X.parse_color("RebeccaPurple") == (102, 51, 153, 1) and X.parse_color("mediumseagreen") == (60, 179, 113, 1)
+
+
+def expressions_colours():
+    from mapfold.functions import expressions
+
+    return expressions.NAMED
+
+
+def test_sequences_are_split_between_tasks(spark, tmp_path):
+    point = lambda i: json.dumps({"type": "Feature", "id": f"f{i}", "properties": {}, "geometry": {"type": "Point", "coordinates": [1, 2]}})
+    (tmp_path / "a.json").write_text("\n" + "".join(f"\x1e{point(i)}\n" for i in range(400)) + "\x1e{bad\n")
+    (tmp_path / "b.json").write_text("leading\x1e" + point(999))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows, errors = geojson.read_sequence(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 3
+        assert sorted(r.fid for r in rows.collect()) == sorted([f"f{i}" for i in range(400)] + ["f999"])
+        assert sorted((r.source.rsplit("/", 1)[1], r.code) for r in errors.collect()) == [("a.json", "json"), ("b.json", "leading-text")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_tile_ids_of_all_kinds():
+    assert tiles.id_columns(None) == (None, None, None) and tiles.id_columns(5) == (5, "5", "num") and tiles.id_columns(5.0) == (5, "5", "num")
+    assert tiles.id_columns("a") == (None, "a", "str") and tiles.id_columns(1.5) == (None, "1.5", "num") and tiles.id_columns(2**63) == (None, str(2**63), "num")
 
 
 def test_diff_order_and_errors(spark):
@@ -342,8 +513,6 @@ def test_tolerance():
 
 
 def test_kernels():
-    from mapfold.operators import shapes
-
     line = np.array([(0, 0), (1, 0.01), (2, 0), (3, 1)], float)
     assert shapes.simplified(line, 0.1, False).tolist() == [[0, 0], [2, 0], [3, 1]]
     triangle = np.array([(0, 0), (0.01, 0), (0, 0.01), (0, 0)], float)
@@ -352,12 +521,32 @@ def test_kernels():
     assert sorted(map(tuple, square.tolist())) == [(0, 0), (0, 2), (2, 0), (2, 2)]
     assert len(shapes.clipped(np.array([(5, 5), (6, 5), (6, 6)], float), 0, 2)) == 0
     assert shapes.merge_lines([[(0, 0), (1, 0)], [(2, 0), (3, 0)], [(1, 0), (2, 0)]]) == [[(0, 0), (1, 0), (2, 0), (3, 0)]]
-    assert shapes.merge_lines([[(0, 0), (1, 0)], [(2, 0), (1, 0)]]) == [[(0, 0), (1, 0)], [(2, 0), (1, 0)]]
+    # taken from the end of the list
+    assert shapes.merge_lines([[(0, 0), (1, 0)], [(2, 0), (1, 0)]]) == [[(2, 0), (1, 0)], [(0, 0), (1, 0)]]
+    # A from 0 to 1, B from 2 to 1, C from 1 to 3: C is taken first and B, the last that fits, leads to it
+    assert shapes.merge_lines([[(0, 0), (1, 0)], [(2, 0), (1, 0)], [(1, 0), (3, 0)]]) == [[(2, 0), (1, 0), (3, 0)], [(0, 0), (1, 0)]]
     assert shapes.place_labels([(0, 0, 0, 0, 2, 2, False, False), (1, 0, 1, 1, 3, 3, False, False), (0, 1, 3, 3, 4, 4, False, False), (0, 2, 0, 0, 1, 1, True, True)]) == [False, True, True, True]
     assert shapes.grid_interval(2) == 30 and shapes.grid_interval(10) == 0.1 and shapes.grid_interval(10, 80) == 1
     assert len(shapes.color_table([(0, "transparent"), (1, "red")])) == 256
 
 
+def test_streamed_state_goes_on_after_a_restart(spark, tmp_path):
+    first = spark.createDataFrame([("1", "at", {"a": "b"})], "fid string, geometry string, props map<string,string>")
+    schema = "op string, fid string, geometry string, clear boolean, unset array<string>, props map<string,string>"
+    folder, state, progress = (f"{tmp_path}/{n}" for n in ("diffs.parquet", "state", "progress"))
+    row = lambda fid, at: spark.createDataFrame([("update" if fid == "1" else "add", fid, at, None, None, {})], schema).coalesce(1)
+    row("1", "moved").write.parquet(folder)
+    # a table that is a folder of files is read too
+    run = lambda: {r.fid: r.geometry for r in updates.source_updates(first, updates.read_table_stream(spark, str(tmp_path), "diffs"), state, progress).collect()}
+    assert run() == {"1": "moved"}
+    assert run() == {"1": "moved"}
+    row("2", "new").write.mode("append").parquet(folder)
+    assert run() == {"1": "moved", "2": "new"}
+    assert len(updates.versions(spark, state)) == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        updates.read_table_stream(spark, str(tmp_path), "nothing")
+
+
 def test_windows_of_history_and_ids(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, "x-1"), (5, None)], "feature_seq long, fid string")
     assert [r.fid for r in changes.repair_ids(df, "x").orderBy("feature_seq").collect()] == ["a", "x-2", "x-3", "x-1", "x-4"]
