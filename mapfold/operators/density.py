@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import mercator as M
 
+#: Pixels on a side of the tiles that heat is summed in.
+TILE = 256
+
 
 def tile_counts(points: DataFrame, z: int, weight: str = "weight") -> DataFrame:
     """z, x, y, n, weight of the tiles that have points."""
@@ -41,31 +48,64 @@ def heat_cells(points: DataFrame, z: int, cell: float = 4, intensity: float = 1.
     return cells.select("cx", "cy", "weight", ((F.col("cx") + 0.5) * cell).alias("x"), ((F.col("cy") + 0.5) * cell).alias("y"), M.clamp(F.col("weight") * intensity, 0.0, 1.0).alias("alpha"))
 
 
-def heat_density(cells: DataFrame, radius: int = 30, cap: float = 1.0) -> DataFrame:
-    """px, py, density: each cell's alpha spread over a cone of `radius` pixels, added up and capped.
+def stamped(cells: DataFrame, reach: int, stamp: Callable[[float, int], np.ndarray]) -> DataFrame:
+    """px, py, density: the stamps of cells(ox, oy, strength, n), squares of 2 reach + 1 pixels about ox, oy, added up.
 
-    Every cell gives at most (2 radius + 1) squared rows, which are summed
-    within tasks before the shuffle.
+    Cells are dealt to the tiles of TILE pixels that their stamps touch, so a
+    pixel is summed in one task, which holds one tile at a time, however many
+    cells it has. Pixels without a density above zero give no row.
     """
+    side = lambda c: F.sequence(F.floor((F.col(c) - reach) / TILE), F.floor((F.col(c) + reach) / TILE))
+    dealt = cells.select("ox", "oy", F.col("strength").cast("double").alias("strength"), F.col("n").cast("long").alias("n"))
+    dealt = dealt.withColumn("tx", F.explode(side("ox"))).withColumn("ty", F.explode(side("oy")))
+    dealt = dealt.repartition("tx", "ty").sortWithinPartitions("tx", "ty")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, grid = None, np.zeros((TILE, TILE))
+
+        def done() -> pa.RecordBatch:
+            y, x = np.nonzero(grid > 0)
+            return pa.RecordBatch.from_arrays([pa.array(x + tile[0] * TILE), pa.array(y + tile[1] * TILE), pa.array(grid[y, x])], ["px", "py", "density"])
+
+        for batch in batches:
+            for ox, oy, strength, n, tx, ty in zip(*(c.to_pylist() for c in batch.columns)):
+                if (tx, ty) != tile:
+                    if tile is not None:
+                        yield done()
+                    tile, grid = (tx, ty), np.zeros((TILE, TILE))
+                # the part of the stamp that is in the tile
+                x, y = ox - reach - tx * TILE, oy - reach - ty * TILE
+                low, left = max(0, y), max(0, x)
+                whole = stamp(strength, n)
+                part = whole[low - y : TILE - y, left - x : TILE - x]
+                grid[low : low + part.shape[0], left : left + part.shape[1]] += part
+        if tile is not None:
+            yield done()
+
+    return dealt.mapInArrow(work, "px long, py long, density double")
+
+
+def heat_density(cells: DataFrame, radius: int = 30, cap: float = 1.0) -> DataFrame:
+    """px, py, density: each cell's alpha spread over a cone of `radius` pixels, added up and capped."""
     radius = min(150, max(2, radius))
-    span = F.sequence(F.lit(-radius), F.lit(radius))
-    spread = cells.filter("alpha > 0").select("alpha", F.floor("x").alias("ox"), F.floor("y").alias("oy"), F.explode(span).alias("dx")).select("*", F.explode(span).alias("dy"))
-    distance = F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double"))
-    spread = spread.withColumn("v", F.col("alpha") * (1 - distance / radius)).filter("v > 0")
-    return spread.groupBy((F.col("ox") + F.col("dx")).alias("px"), (F.col("oy") + F.col("dy")).alias("py")).agg(F.least(F.lit(cap), F.sum("v")).alias("density"))
+    away = np.arange(-radius, radius + 1)
+    cone = np.maximum(0, 1 - np.sqrt(away[:, None] ** 2 + away**2) / radius)
+    held = cells.filter("alpha > 0").select(F.floor("x").alias("ox"), F.floor("y").alias("oy"), F.col("alpha").alias("strength"), F.lit(1).alias("n"))
+    return stamped(held, radius, lambda alpha, n: alpha * cone).select("px", "py", F.least(F.lit(cap), "density").alias("density"))
 
 
 def style_heat(points: DataFrame, z: int, radius: int = 30, intensity: float = 1.0, tile: int = 512) -> DataFrame:
-    """px, py, density by the Gaussian kernel of style layers: weight * intensity * 0.3989422804 * exp(-4.5 t²)."""
-    pixels = tile * (1 << z)
+    """px, py, density by the Gaussian kernel of style layers: weight * intensity * 0.3989422804 * exp(-4.5 t²), each held at 1."""
+    pixels, peak = tile * (1 << z), 0.3989422804
     at = points.select(F.floor(M.world_x(F.col("lon")) * pixels).alias("ox"), F.floor(M.world_y(F.col("lat")) * pixels).alias("oy"), (F.col("weight") * intensity).alias("strength")).filter("strength > 0")
-    # points of one pixel have one kernel only if none of them is held at 1: they are added by strength
-    at = at.groupBy("ox", "oy", "strength").agg(F.count("*").alias("n"))
-    span = F.sequence(F.lit(1 - radius), F.lit(radius - 1))
-    spread = at.select("*", F.explode(span).alias("dx")).select("*", F.explode(span).alias("dy"))
-    t2 = (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / F.lit(float(radius * radius))
-    value = F.least(F.lit(1.0), F.col("strength") * 0.3989422804 * F.exp(-4.5 * t2)) * F.col("n")
-    return spread.filter(t2 < 1).groupBy((F.col("ox") + F.col("dx")).alias("px"), (F.col("oy") + F.col("dy")).alias("py")).agg(F.sum(value).alias("density"))
+    # points that are nowhere held at 1 are added by pixel, others by strength
+    held = F.when(F.col("strength") * peak > 1, F.col("strength"))
+    at = at.groupBy("ox", "oy", held.alias("held")).agg(F.count("*").alias("n"), F.sum("strength").alias("sum"))
+    at = at.select("ox", "oy", F.coalesce("held", "sum").alias("strength"), F.when(F.col("held").isNotNull(), F.col("n")).otherwise(0).alias("n"))
+    away = np.arange(1 - radius, radius)
+    t2 = (away[:, None] ** 2 + away**2) / (radius * radius)
+    bell = np.where(t2 < 1, peak * np.exp(-4.5 * t2), 0.0)
+    return stamped(at, radius - 1, lambda strength, n: np.minimum(1.0, strength * bell) * n if n else strength * bell)
 
 
 def extent(features: DataFrame, *by: str) -> DataFrame:
