@@ -110,16 +110,27 @@ def with_feature_state(features: DataFrame, state: DataFrame) -> DataFrame:
     return features.join(maps, ["source", "fid"], "left")
 
 
-def dispatch(events: DataFrame, ticks: DataFrame) -> DataFrame:
-    """tick_ms with the events(event_id, time_ms) that it emits: those after the tick before, up to it.
+def dispatch(events: DataFrame, ticks: DataFrame, blocks: int = 1024) -> DataFrame:
+    """tick_ms with the events(scenario_id, event_id, time_ms) that a tick of ticks(scenario_id, time_ms) emits: those after the tick before, up to it.
 
-    The first tick emits from the beginning. As-of join by a union and a window
-    over the scenario's events, partitioned by scenario_id.
+    The first tick emits from the beginning. The time of the ticks is cut in
+    `blocks`: an event's tick is the first of its block that isn't before it, or
+    else the first of the scenario's next block, so a scenario's events may be
+    in any number of tasks.
     """
-    both = events.select("scenario_id", "time_ms", F.lit(0).alias("tick"), "event_id").unionByName(ticks.select("scenario_id", "time_ms", F.lit(1).alias("tick")), allowMissingColumns=True)
-    ahead = Window.partitionBy("scenario_id").orderBy(F.col("time_ms").desc(), F.col("tick").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    at = F.last(F.when(F.col("tick") == 1, F.col("time_ms")), ignorenulls=True).over(ahead)
-    return both.withColumn("tick_ms", at).filter("tick = 0 and tick_ms is not null").select("scenario_id", "event_id", "tick_ms")
+    span = ticks.agg(F.min("time_ms").alias("low"), F.max("time_ms").alias("high")).first()
+    low, high = span["low"] or 0, span["high"] or 0
+    width = max(1, -(-(high - low + 1) // blocks))
+    block = F.floor((F.greatest("time_ms", F.lit(low)) - low) / width).alias("block")
+    asked = events.filter(F.col("time_ms") <= high).select("scenario_id", "event_id", "time_ms", block)
+    held = ticks.select("scenario_id", "time_ms", block).groupBy("scenario_id", "block").agg(F.sort_array(F.collect_set("time_ms")).alias("here"))
+    # the first tick of the blocks after: `blocks` rows a scenario at most
+    first = held.select("scenario_id", "block", F.get("here", F.lit(0)).alias("first"))
+    every = asked.select("scenario_id", "block").union(held.select("scenario_id", "block")).distinct()
+    later = F.first("first", ignorenulls=True).over(Window.partitionBy("scenario_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing))
+    known = every.join(held, ["scenario_id", "block"], "left").join(first, ["scenario_id", "block"], "left").select("scenario_id", "block", "here", later.alias("later"))
+    at = F.coalesce(F.get(F.filter("here", lambda t: t >= F.col("time_ms")), F.lit(0)), F.col("later"))
+    return asked.join(known, ["scenario_id", "block"]).select("scenario_id", "event_id", at.alias("tick_ms")).filter("tick_ms is not null")
 
 
 def entity_frames(frames: DataFrame, patches: DataFrame) -> DataFrame:

@@ -35,35 +35,47 @@ def cells_of(box: Column, cell: Column | float) -> tuple[Column, Column]:
     return F.sequence(F.floor(box["w"] / cell), F.floor(box["e"] / cell)), F.sequence(F.floor(box["s"] / cell), F.floor(box["n"] / cell))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, rule: str = "nonzero", salts: int = 16, most_cells: int = 256) -> DataFrame:
+#: Positions of polygons that are broadcast at most: 16 MB.
+BROADCAST_POSITIONS = 1 << 20
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, rule: str = "nonzero", salts: int = 16, most_cells: int = 256, most_positions: int = BROADCAST_POSITIONS) -> DataFrame:
     """point_id, poly_id of points(point_id, lon, lat) in polygons(poly_id, parts).
 
     Polygons are dealt to cells of about their own size: each gets the level of
     a grid (cells of 1, 2, 4, ... degrees / 8) at which its box has at most
     most_cells cells, and points are dealt to each level that is in use. A cell
-    may hold any number of points: they are salted over `salts` tasks.
+    may hold any number of points: they are salted over `salts` tasks. Only ids
+    and boxes are dealt; the rings follow for the points that are in a box, by
+    broadcast if all polygons have most_positions positions at most.
     """
     boxed = polygons.withColumn("box", geo.bbox(F.col("parts"))).filter("box is not null")
     area = (F.col("box.e") - F.col("box.w") + 0.125) * (F.col("box.n") - F.col("box.s") + 0.125)
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.sqrt(area / most_cells) * 8))).cast("int")
     boxed = boxed.withColumn("level", level).withColumn("cell", F.pow(F.lit(2.0), F.col("level")) / 8)
     columns, rows = cells_of(F.col("box"), F.col("cell"))
-    dealt = boxed.withColumn("cx", F.explode(columns)).withColumn("cy", F.explode(rows)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = boxed.select("poly_id", "box", "level", F.explode(columns).alias("cx"), rows.alias("rows")).withColumn("cy", F.explode("rows")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("rows")
     levels = F.broadcast(boxed.select("level", "cell").distinct())  # a dozen levels at most: cells double up to the whole world
     at = points.crossJoin(levels).withColumn("cx", F.floor(F.col("lon") / F.col("cell"))).withColumn("cy", F.floor(F.col("lat") / F.col("cell"))).drop("cell")
     at = at.withColumn("salt", F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int"))
-    near = at.join(dealt.select("poly_id", "parts", "box", "level", "cx", "cy", "salt"), ["level", "cx", "cy", "salt"])
-    near = near.filter((F.col("lon") >= F.col("box.w") - 1e-7) & (F.col("lon") <= F.col("box.e") + 1e-7) & (F.col("lat") >= F.col("box.s") - 1e-7) & (F.col("lat") <= F.col("box.n") + 1e-7))
+    near = at.join(dealt, ["level", "cx", "cy", "salt"])
+    near = near.filter((F.col("lon") >= F.col("box.w") - 1e-7) & (F.col("lon") <= F.col("box.e") + 1e-7) & (F.col("lat") >= F.col("box.s") - 1e-7) & (F.col("lat") <= F.col("box.n") + 1e-7)).select("point_id", "poly_id", "lon", "lat")
+    schema = near.select("point_id", "poly_id").schema
+    as_rings = lambda parts: [np.array([(p["x"], p["y"]) for p in part]) for part in parts]
+    shared = None
+    if polygons.agg(F.coalesce(F.sum(F.size(F.flatten("parts"))), F.lit(0))).first()[0] <= most_positions:
+        shared = points.sparkSession.sparkContext.broadcast({r["poly_id"]: as_rings(r["parts"]) for r in boxed.select("poly_id", "parts").collect()})
+    else:
+        near = near.join(boxed.select("poly_id", "parts"), "poly_id").select("point_id", "poly_id", "lon", "lat", "parts")
 
     def test(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for poly_id, group in frame.groupby("poly_id", sort=False):
-                rings = [np.array([(p["x"], p["y"]) for p in part]) for part in group["parts"].iloc[0]]
+                rings = shared.value[poly_id] if shared is not None else as_rings(group["parts"].iloc[0])
                 inside = in_rings(group["lon"].to_numpy(), group["lat"].to_numpy(), rings, rule)
                 yield group.loc[inside, ["point_id", "poly_id"]]
 
-    schema = near.select("point_id", "poly_id").schema
-    return near.select("point_id", "poly_id", "lon", "lat", "parts").mapInPandas(test, schema)
+    return near.mapInPandas(test, schema)
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -240,28 +252,45 @@ def nearest_by_cells(points: DataFrame, nodes: DataFrame, cell: float = 0.25) ->
         reach *= 4
 
 
-def snapshot(frames: DataFrame, times: DataFrame) -> DataFrame:
+def with_next(rows: DataFrame, key: str, at: str, columns: list[str], width: int) -> DataFrame:
+    """rows with `next`, a struct of `at` and columns of the row of the same key that follows, or null.
+
+    Rows are ordered within blocks of `width` and the first row of a block
+    follows the last of the block before, so a key may have any number of rows.
+    """
+    block = F.floor(F.col(at) / width).alias("_block")
+    held = rows.select("*", block, F.struct(at, *columns).alias("_row"))
+    first = held.groupBy(key, "_block").agg(F.min("_row").alias("_first"))
+    ahead = first.select(key, "_block", F.lead("_first").over(Window.partitionBy(key).orderBy("_block")).alias("_ahead"))
+    inside = held.withColumn("_next", F.lead("_row").over(Window.partitionBy(key, "_block").orderBy(at)))
+    return inside.join(ahead, [key, "_block"]).select(*rows.columns, F.coalesce("_next", "_ahead").alias("next"))
+
+
+def snapshot(frames: DataFrame, times: DataFrame, blocks: int = 1024) -> DataFrame:
     """entity_id, time_ms, lon, lat, status of frames(entity_id, time_ms, lon, lat, status) at times(time_ms).
 
     The latest frame at or before a time counts; the position moves in a
     straight line to the next frame, the shorter way around the world. Entities
-    are absent before their first frame.
+    are absent before their first frame. Times are cut in `blocks`, and a frame
+    meets those of the blocks until the next frame.
     """
-    line = Window.partitionBy("entity_id").orderBy("time_ms")
-    next_of = frames.withColumn("t1", F.lead("time_ms").over(line)).withColumn("lon1", F.lead("lon").over(line)).withColumn("lat1", F.lead("lat").over(line))
-    # frames first among equal times
-    asked = frames.select("entity_id").distinct().crossJoin(times).select("entity_id", "time_ms", F.lit(1).alias("probe"))
-    held = next_of.select("entity_id", "time_ms", F.lit(0).alias("probe"), F.struct(F.col("time_ms").alias("t0"), "lon", "lat", "status", "t1", "lon1", "lat1").alias("f"))
-    both = held.unionByName(asked, allowMissingColumns=True)
-    seen = F.last("f", ignorenulls=True).over(Window.partitionBy("entity_id").orderBy("time_ms", "probe").rowsBetween(Window.unboundedPreceding, 0))
-    rows = both.withColumn("f", seen).filter("probe = 1 and f is not null")
-    f = F.col("f")
-    share = (F.col("time_ms") - f["t0"]) / (f["t1"] - f["t0"])
-    step = f["lon1"] - f["lon"]
+    span = times.agg(F.min("time_ms").alias("low"), F.max("time_ms").alias("high")).first()
+    low, high = span["low"] or 0, span["high"] or 0
+    width = max(1, -(-(high - low + 1) // blocks))
+    f = with_next(frames.select("entity_id", "time_ms", "lon", "lat", "status"), "entity_id", "time_ms", ["lon", "lat"], width)
+    f = f.select("entity_id", F.col("time_ms").alias("t0"), "lon", "lat", "status", F.col("next.time_ms").alias("t1"), F.col("next.lon").alias("lon1"), F.col("next.lat").alias("lat1"))
+    until = F.coalesce(F.col("t1"), F.lit(high))
+    f = f.filter((F.col("t0") <= high) & (until >= low))
+    block = lambda t: F.floor((t - low) / width)
+    met = f.withColumn("block", F.explode(F.sequence(block(F.greatest("t0", F.lit(low))), block(F.least(until, F.lit(high))))))
+    asked = times.select("time_ms", block(F.col("time_ms")).alias("block")).distinct()
+    rows = met.join(asked, "block").filter((F.col("t0") <= F.col("time_ms")) & (F.col("t1").isNull() | (F.col("t1") > F.col("time_ms"))))
+    share = (F.col("time_ms") - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    step = F.col("lon1") - F.col("lon")
     step = F.when(step > 180, step - 360).when(step < -180, step + 360).otherwise(step)
-    moved = F.pmod(f["lon"] + step * share + 540.0, F.lit(360.0)) - 180.0
-    between = f["t1"].isNotNull() & (F.col("time_ms") > f["t0"])
-    return rows.select("entity_id", "time_ms", F.when(between, moved).otherwise(f["lon"]).alias("lon"), F.when(between, f["lat"] + (f["lat1"] - f["lat"]) * share).otherwise(f["lat"]).alias("lat"), f["status"].alias("status"))
+    moved = F.pmod(F.col("lon") + step * share + 540.0, F.lit(360.0)) - 180.0
+    between = F.col("t1").isNotNull() & (F.col("time_ms") > F.col("t0"))
+    return rows.select("entity_id", "time_ms", F.when(between, moved).otherwise(F.col("lon")).alias("lon"), F.when(between, F.col("lat") + (F.col("lat1") - F.col("lat")) * share).otherwise(F.col("lat")).alias("lat"), "status")
 
 
 def archive_lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:

@@ -251,6 +251,40 @@ def test_nearest_node_across_the_antimeridian(spark, cell):
     assert {r.point_id: r.node_id for r in spatial.nearest_node(points, nodes, cell=cell, few=0).collect()} == {1: 1, 2: 3, 3: 5}
 
 
+@pytest.mark.parametrize("blocks", [1, 7, 1024])
+def test_snapshots_and_ticks_equal_plain_loops(spark, blocks):
+    """An entity with most of the rows, gaps of many blocks, and frames before and after all times."""
+    rng = random.Random(3)
+    frames = sorted({(0 if rng.random() < 0.7 else rng.randrange(1, 6), rng.randrange(-500, 2000)) for _ in range(300)})
+    rows = [(e, t, float(t % 90), float(t % 40), f"s{t}") for e, t in frames]
+    times = sorted({rng.randrange(0, 1500) for _ in range(40)})
+    got = {(r.entity_id, r.time_ms): (round(r.lon, 6), round(r.lat, 6), r.status) for r in spatial.snapshot(spark.createDataFrame(rows, "entity_id long, time_ms long, lon double, lat double, status string"), spark.createDataFrame([(t,) for t in times], "time_ms long"), blocks).collect()}
+    want = {}
+    for e in range(6):
+        line = [r for r in rows if r[0] == e]
+        for t in times:
+            past = [r for r in line if r[1] <= t]
+            if past:
+                a, b = past[-1], next((r for r in line if r[1] > t), None)
+                k = (t - a[1]) / (b[1] - a[1]) if b else 0
+                want[e, t] = (round(a[2] + (b[2] - a[2]) * k, 6), round(a[3] + (b[3] - a[3]) * k, 6), a[4]) if b else (a[2], a[3], a[4])
+    assert got == want and len(want) > 100
+    events = spark.createDataFrame([(e, i, t) for i, (e, t) in enumerate(frames)], "scenario_id long, event_id long, time_ms long")
+    ticks = [(e, t) for e in range(6) for t in times if (t + e) % 3]
+    emitted = {(r.scenario_id, r.event_id): r.tick_ms for r in changes.dispatch(events, spark.createDataFrame(ticks, "scenario_id long, time_ms long"), blocks).collect()}
+    plain = {(e, i): min((k for s, k in ticks if s == e and k >= t), default=None) for i, (e, t) in enumerate(frames)}
+    assert emitted == {k: v for k, v in plain.items() if v is not None}
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_points_in_polygons_by_broadcast_or_join(spark, most):
+    square = lambda x, y, r: [[{"x": x + a * r, "y": y + b * r} for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]]
+    polygons = spark.createDataFrame([(i, square(float(i), 0.0, 1.5)) for i in range(5)] + [(9, square(-50.0, -50.0, 100.0))], "poly_id long, parts array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([(i, i * 0.25, 0.5) for i in range(24)], "point_id long, lon double, lat double")
+    want = {(i, p) for i in range(24) for p in range(5) if p <= i * 0.25 <= p + 1.5} | {(i, 9) for i in range(24)}
+    assert {tuple(r) for r in spatial.points_in_polygons(points, polygons, most_positions=most).collect()} == want
+
+
 def test_bounds_cross_the_antimeridian(spark):
     row = density.bounds(spark.createDataFrame([(170.0, -8.0), (175.0, 2.0), (-170.0, 12.0)], "lon double, lat double")).first()
     assert (row.w, row.s, row.e, row.n) == (170, -8, -170, 12)
