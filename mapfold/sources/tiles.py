@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FEATURES = "z int, x long, y long, layer string, extent int, feature_seq int, fid long, fid_text string, fid_type string, kind int, parts array<array<struct<x:int,y:int>>>, props string, error string"
 
@@ -197,20 +198,25 @@ def directory(data: bytes) -> list[tuple[int, int, int, int]]:
     return list(zip(ids, runs, offsets, lengths))
 
 
-def archive_index(data: bytes, depth: int = 4) -> list[tuple[int, int, int, int]]:
-    """All entries of an archive, those of leaf directories in their places."""
-    if data[:7] != b"PMTiles" or data[7] != 3:
+def archive_root(head: bytes) -> tuple[int, int, int, int, bool]:
+    """Start and size of an archive's root directory, where leaf directories and tiles begin, and whether directories are compressed."""
+    if head[:7] != b"PMTiles" or head[7] != 3:
         raise ValueError("not a version 3 archive")
-    root, root_size, _, _, leaf, _, tiles, _ = struct.unpack_from("<8Q", data, 8)
-    compression, max_zoom = data[97], data[101]
-    if max_zoom > 26 or compression not in (1, 2):
+    root, root_size, _, _, leaf, _, tiles, _ = struct.unpack_from("<8Q", head, 8)
+    if head[101] > 26 or head[97] not in (1, 2):
         raise ValueError("unsupported zoom or compression")
-    plain = gzip.decompress if compression == 2 else bytes
+    return root, root_size, leaf, tiles, head[97] == 2
+
+
+def archive_index(data: bytes, depth: int = 4) -> list[tuple[int, int, int, int]]:
+    """All entries of an archive, those of leaf directories in their places."""
+    root, root_size, leaf, tiles, packed = archive_root(data)
 
     def walk(start: int, size: int, left: int) -> Iterator[tuple[int, int, int, int]]:
         if left < 0:
             raise ValueError("directories are too deep")
-        for tile_id, run, offset, length in directory(plain(data[start : start + size])):
+        found = data[start : start + size]
+        for tile_id, run, offset, length in directory(gzip.decompress(found) if packed else found):
             if run:
                 yield tile_id, run, tiles + offset, length
             else:
@@ -219,6 +225,54 @@ def archive_index(data: bytes, depth: int = 4) -> list[tuple[int, int, int, int]
     return list(walk(root, root_size, depth))
 
 
+#: What a task knows of a directory, and of an entry: entries have a run above zero, directories have none.
+RANGES = "source string, tile_id long, run long, offset long, length long, leaf long, tiles long, packed boolean, error string"
+
+
+def read_archives(archives: DataFrame, depth: int = 4) -> DataFrame:
+    """source, tile_id, run, offset, length, error of archives(source), their URIs, of which the header and the directories alone are read.
+
+    The directories of a level are a row each and are read by any number of
+    tasks, so an archive may be of any size. An archive or directory that can't
+    be read gives a row with its error.
+    """
+    names = [f.split(" ")[0] for f in RANGES.split(", ")]
+    kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.string()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for source, _, _, start, size, leaf, tiles, packed, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    system, path = fs.FileSystem.from_uri(source)
+                    with system.open_input_file(path) as file:
+                        if leaf is None:
+                            start, size, leaf, tiles, packed = archive_root(file.read_at(127, 0))
+                        found = file.read_at(size, start)
+                    for tile_id, run, offset, length in directory(gzip.decompress(found) if packed else found):
+                        rows.append((source, tile_id, run, (tiles if run else leaf) + offset, length, leaf, tiles, packed, None))
+                except (ValueError, IndexError, struct.error, OSError) as error:
+                    rows.append((source, *[None] * 7, str(error)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 9, kinds)], names)
+
+    nothing = {c: F.lit(None).cast("long") for c in ("tile_id", "run", "offset", "length", "leaf", "tiles")}
+    open_ones = archives.select("source").withColumns(nothing | {"packed": F.lit(None).cast("boolean"), "error": F.lit(None).cast("string")})
+    found = None
+    for level in range(depth + 1):
+        read = open_ones.repartition("source", "offset").mapInArrow(work, RANGES).checkpoint()
+        entries = read.filter("run > 0 or error is not null")
+        found = entries if found is None else found.unionByName(entries)
+        open_ones = read.filter("run = 0")
+        if open_ones.isEmpty():
+            break
+    else:
+        deep = open_ones.select("source").distinct().withColumns(nothing | {"packed": F.lit(None).cast("boolean"), "error": F.lit("directories are too deep")})
+        found = found.unionByName(deep)
+    return found.select("source", "tile_id", "run", "offset", "length", "error")
+
+
 def read_archive_index(files: DataFrame) -> DataFrame:
     """source, tile_id, run, offset, length, error of files(path, content), as the binaryFile source gives them."""
 

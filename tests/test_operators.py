@@ -542,6 +542,20 @@ def test_tile_archives(spark):
     assert rows[3].error
 
 
+def test_tile_archives_are_read_by_ranges(spark, tmp_path):
+    leaf = gzip.compress(b"".join(map(varint, [2, 5, 3, 1, 2, 10, 20, 1, 0])))
+    root = gzip.compress(b"".join(map(varint, [2, 0, 5, 1, 0, 7, len(leaf), 1, 1])))
+    head = b"PMTiles\x03" + struct.pack("<8Q", 127, len(root), 0, 0, 127 + len(root), len(leaf), 1000, 0) + bytes(25) + bytes([2, 1, 1, 0, 3]) + bytes(25)
+    (tmp_path / "a.pmtiles").write_bytes(head + root + leaf)
+    (tmp_path / "b.pmtiles").write_bytes(b"nothing" * 30)
+    uris = spark.createDataFrame([(f"file://{tmp_path}/{n}.pmtiles",) for n in "abc"], "source string")
+    rows = tiles.read_archives(uris).orderBy("source", "tile_id").collect()
+    assert [(r.tile_id, r.run, r.offset, r.length) for r in rows[:3]] == [(0, 1, 1000, 7), (5, 1, 1000, 10), (8, 2, 1010, 20)]
+    assert len(rows) == 5 and rows[3].error and rows[4].error
+    deep = [r.error for r in tiles.read_archives(uris.filter("source like '%a.pmtiles'"), 0).collect() if r.error]
+    assert deep == ["directories are too deep"]
+
+
 def test_tolerance():
     assert geometry.lod_tolerance(14, 0.1) > 0 and geometry.lod_tolerance(14, 100) == 0
 
