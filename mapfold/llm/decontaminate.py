@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_IDS, slices, without, worker_state, written
+from .units import Cache
 
 WORDS, SHARE = 5, 0.8
 #: Windows with fewer words that are no placeholders are loose.
@@ -71,8 +72,8 @@ def mixed(hashes: np.ndarray) -> np.ndarray:
 class Canon:
     """Words of texts as rows of numbers: hash, flags. Stretches between spaces are remembered."""
 
-    def __init__(self, most: int = 300_000):
-        self.units, self.known, self.most = set(UNITS), {}, most
+    def __init__(self):
+        self.units, self.cache = set(UNITS), Cache(lambda missing: list(map(self.stretch, missing)), len)
         self.holders = np.array([0, *(hash64(b"\0<%d>" % k) for k in (NUMBER, NAME, UNIT))], np.uint64)
 
     def word(self, word: str) -> tuple[int, int]:
@@ -94,13 +95,8 @@ class Canon:
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The number of words of each text, and for all words the hash and the kind of placeholder, or 0, in the forms TYPED and FIRSTS."""
-        parts, known = [t.split() for t in texts], self.known
-        wanted = set(chain.from_iterable(parts))
-        missing = wanted.difference(known)
-        if len(known) + len(missing) > self.most:
-            self.known = known = {p: known[p] for p in wanted if p in known}
-        for part in missing:
-            known[part] = self.stretch(part)
+        parts = [t.split() for t in texts]
+        known = self.cache.get(set(chain.from_iterable(parts)))
         data = [b"".join(map(known.__getitem__, p)) for p in parts]
         counts = np.array([len(x) // 16 for x in data], np.int64)
         rows = np.frombuffer(b"".join(data), np.uint64).reshape(-1, 2)
