@@ -57,7 +57,8 @@ class Encoder:
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.decimal = {rank: b"%d " % rank for rank in ranks.values()}
-        self.cache = Cache(self.encode_units, lambda v: 130 + len(v[0]) + len(v[1]))
+        size = lambda v: 130 + len(v[0]) + len(v[1])
+        self.cache, self.words = Cache(self.encode_units, size, 96 << 20), Cache(self.packed_words, size, 96 << 20)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         pair = left << 32 | right
@@ -172,19 +173,21 @@ class Encoder:
                 return [b" " + word.encode(), unit[len(word) :].encode()] if len(word) < len(unit) else [b" " + word.encode()]
         return [w.encode("utf-8") for w in self.find(unit_text(unit))]
 
-    def encode_units(self, missing: list) -> list[tuple[bytes, bytes]]:
-        """For each stretch its ids as little-endian 32-bit numbers, and in decimal with a space after each."""
-        cut = list(map(self.words_of, missing))
-        words = list(set(chain.from_iterable(cut)))
-        ids = dict(zip(words, self.encode_words(words)))
+    def packed_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """For each pre-token its ids as little-endian 32-bit numbers, and in decimal with a space after each."""
         flat, ends = [], [0]
-        for ws in cut:
-            for w in ws:
-                flat += ids[w]
+        for ids in self.encode_words(words):
+            flat += ids
             ends.append(len(flat))
         numbers, decimals = np.array(flat, "<u4").tobytes(), list(map(self.decimal.__getitem__, flat))
         return [(numbers[4 * a : 4 * b], b"".join(decimals[a:b])) for a, b in zip(ends, ends[1:])]
 
+    def encode_units(self, missing: list) -> list[tuple[bytes, bytes]]:
+        """The same for stretches; their pre-tokens are remembered too, as words stand with several signs."""
+        cut = list(map(self.words_of, missing))
+        known = self.words.get(set(chain.from_iterable(cut)))
+        return [known[ws[0]] if len(ws) == 1 else (b"".join([known[w][0] for w in ws]), b"".join([known[w][1] for w in ws])) for ws in cut]
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 

@@ -60,7 +60,7 @@ class Cache:
 
     def cost(self, found: dict) -> int:
         # a dict's entry and the objects' heads, and the letters; first stretches are in tuples
-        letters = sum(len(u) if type(u) is str else len(u[0]) for u in found)
+        letters = sum(len(u[0]) if type(u) is tuple else len(u) for u in found)
         return ENTRY * len(found) + 2 * letters + (sum(map(self.size, found.values())) if self.size else 0)
 
     def get(self, wanted: set) -> dict:
@@ -70,7 +70,7 @@ class Cache:
         if not missing:
             return known
         found = dict(zip(missing, self.encode(missing)))
-        long = {u: found.pop(u) for u in [u for u in missing if len(u if type(u) is str else u[0]) > LONGEST]}
+        long = {u: found.pop(u) for u in [u for u in missing if len(u[0] if type(u) is tuple else u) > LONGEST]}
         added = self.cost(found)
         if self.held + added > self.most:
             known = self.known = {u: known[u] for u in wanted if u in known}
