@@ -3,8 +3,9 @@
 Keys are 64-bit hashes of the normalised text. The directory starts as one
 bucket; a bucket that holds more than its capacity of distinct text bytes is
 split on the next bit of the key, which doubles the directory where that needs
-a bit more than before. The capacity is BUCKET_BYTES, or more where 2**MOST_BITS
-cells would hold more than that on average, so the directory may be broadcast.
+a bit more than before. A text counts as half a bucket at most, as no split
+makes it smaller. The capacity is BUCKET_BYTES, or more where 2**MOST_BITS cells
+would hold more than that on average, so the directory may be broadcast.
 
 Each text goes to the bucket that the directory gives for its key. An owner
 task holds a range of buckets, so a range of keys: it sorts their texts by
@@ -46,7 +47,8 @@ def directory(keys: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_bits: int
     the capacity, or a whole cell.
     """
     distinct = keys.groupBy("key", "n_bytes").agg(F.lit(1).alias("one"))
-    cells = distinct.groupBy(unsigned_hex_bits(F.col("key"), most_bits).alias("cell")).agg(F.sum("n_bytes").alias("held"))
+    counted = F.least(F.col("n_bytes"), F.lit(max(1, bucket_bytes // 2)))
+    cells = distinct.groupBy(unsigned_hex_bits(F.col("key"), most_bits).alias("cell")).agg(F.sum(counted).alias("held"))
     levels = cells.select("cell", "held", F.explode(F.sequence(F.lit(0), F.lit(most_bits))).alias("depth"))
     levels = levels.withColumn("prefix", F.expr(f"shiftright(cell, {most_bits} - depth)"))
     held = levels.groupBy("depth", "prefix").agg(F.sum("held").alias("held"))
@@ -57,19 +59,25 @@ def directory(keys: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_bits: int
     return shortest.select("cell", "depth", F.expr(f"shiftleft(shiftright(cell, {most_bits} - depth), {most_bits} - depth)").alias("bucket"))
 
 
-def in_buckets(rows: DataFrame, cells: DataFrame, most_bits: int) -> DataFrame:
-    """rows(key, ...) with the depth and bucket that the directory gives for their key."""
+def shortened(cells: DataFrame, most_bits: int) -> tuple[DataFrame, int]:
+    """The directory with cells of as many bits as its deepest bucket has, and their number."""
+    bits = cells.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    return cells.select(F.shiftright("cell", most_bits - bits).alias("cell"), "depth", "bucket").distinct(), bits
+
+
+def in_buckets(rows: DataFrame, cells: DataFrame, bits: int) -> DataFrame:
+    """rows(key, ...) with the depth and bucket that the directory, whose cells have so many bits, gives for their key."""
     named = cells.withColumnRenamed("cell", "_cell")
-    return rows.join(F.broadcast(named), unsigned_hex_bits(F.col("key"), most_bits) == named["_cell"]).drop("_cell")  # 2**most_bits rows at most
+    return rows.join(F.broadcast(named), unsigned_hex_bits(F.col("key"), bits) == named["_cell"]).drop("_cell")  # 2**bits rows at most
 
 
-def pages(texts: DataFrame, cells: DataFrame, owners: int, most_bits: int) -> DataFrame:
+def pages(texts: DataFrame, cells: DataFrame, bits: int, owners: int, most_bits: int) -> DataFrame:
     """The written index of texts(doc_id, key, body, n, hot): depth, bucket, key, chain, doc_id, sha, n_bytes, keep_id, group_size, hot.
 
     A row stands for n documents, of which doc_id is the least. chain numbers,
     from 0, the different texts whose keys are equal.
     """
-    placed = in_buckets(texts, cells, most_bits).withColumn("owner", F.expr(f"int((bucket * {owners}L) div {1 << most_bits})"))
+    placed = in_buckets(texts, cells, bits).withColumn("owner", F.expr(f"int((bucket * {owners}L) div {1 << most_bits})"))
     owned = placed.repartitionById(owners, F.col("owner"))
     same = Window.partitionBy("owner", "bucket", "key", "body")
     collided = Window.partitionBy("owner", "bucket", "key").orderBy("body")
@@ -87,7 +95,8 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, most
     counts = written(keys.groupBy("key", "n_bytes").agg(F.count("*").alias("n")), "dedup-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
     capacity = max(bucket_bytes, 2 * total["bytes"] >> most_bits)
-    cells = written(directory(counts, capacity, most_bits), "dedup-directory")
+    whole = written(directory(counts, capacity, most_bits), "dedup-directory")
+    cells, bits = shortened(whole, most_bits)
     owners = min(1 << most_bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["bytes"] // OWNED_BYTES))
 
     many = counts.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > max(hot_rows, total["rows"] >> HOT_BITS)).select("key")
@@ -95,13 +104,13 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, most
     cold = texts.join(many, "key", "left_anti").select("doc_id", "key", "body", F.lit(1).cast("long").alias("n"), F.lit(False).alias("hot"))
     # a task's copies are one row before the shuffle
     hot = texts.join(many, "key", "left_semi").groupBy("key", "body").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    index = pages(cold.unionByName(hot.withColumn("hot", F.lit(True))), cells, owners, most_bits)
+    index = pages(cold.unionByName(hot.withColumn("hot", F.lit(True))), cells, bits, owners, most_bits)
 
     columns = ["doc_id", "key", "sha", "n_bytes", "keep_id", "group_size"]
     place = ["bucket", "key", "sha", "n_bytes"]
     # a row for each text of a hot key, which are fewer than 2**HOT_BITS but for collisions
     entries = F.broadcast(index.filter("hot").select(*place, "keep_id", "group_size"))
-    asked = in_buckets(keys.join(many, "key", "left_semi"), cells, most_bits)
+    asked = in_buckets(keys.join(many, "key", "left_semi"), cells, bits)
     return index.filter("not hot").select(*columns).unionByName(asked.join(entries, place).select(*columns))
 
 

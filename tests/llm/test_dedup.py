@@ -73,10 +73,17 @@ def test_op10_owners_compare_bytes(spark):
     """Texts whose keys collide are chained in their bucket."""
     texts = spark.createDataFrame([(i, 7, f"text {i % 3}", 1, False) for i in range(9)], "doc_id long, key long, body string, n long, hot boolean")
     cells = spark.createDataFrame([(0, 0, 0)], "cell long, depth int, bucket long")
-    rows = exact_dedup.pages(texts, cells, 2, 12).collect()
+    rows = exact_dedup.pages(texts, cells, 0, 2, 12).collect()
     assert {(r.doc_id, r.keep_id, r.group_size, r.chain) for r in rows} == {(i, i % 3, 3, i % 3) for i in range(9)}
 
 
+def test_op10_directory_is_no_deeper_than_its_buckets(spark):
+    """Long texts alone don't deepen it."""
+    keys = spark.range(1000).selectExpr("xxhash64(id) AS key", "CASE WHEN id % 100 = 0 THEN 1000000 ELSE 100 END AS n_bytes")
+    cells, bits = exact_dedup.shortened(exact_dedup.directory(keys, 10_000, 17), 17)
+    assert 3 <= bits <= 8 and cells.count() <= 1 << bits
+
+
 def rows_of_one_id(spark):
     return spark.createDataFrame([(1, "a b c d e f"), (5, "a b c d e f"), (5, "unique text that is quite another")], "doc_id long, text string")
 
