@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 # Factors of red, green and blue, and what is taken off.
 ENCODINGS = {"mapbox": (6553.6, 25.6, 0.1, 10000.0), "terrarium": (256.0, 1.0, 1 / 256, 32768.0)}
 
+# Fixed values of the published shading formula: below these zooms slopes are damped by so much a zoom, at others by DAMPED.
+DAMPINGS, DAMPED = ((2, 0.4), (4.5, 0.35)), 0.3
+# The zoom from which nothing is damped, the binary logarithm of the scale, the factor and limit of slopes, and the curve of exaggeration.
+UNDAMPED, SCALE, SLOPE, STEEPEST, CURVE = 15, 28.2562, 0.625, 4, (1.875, 1.75)
+
 
 def heights(rgba: bytes, encoding: tuple[float, float, float, float]) -> np.ndarray:
     """Elevations of a tile as (size, size); not a number where alpha is 0."""
@@ -46,17 +51,17 @@ def hillshade(height: np.ndarray, z: int, y: int, direction: float = 335.0, exag
     near = {(dy, dx): np.where(np.isnan(side(dy, dx)), h, side(dy, dx)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
     sobel = lambda a, b: sum(w * (near[p] - near[q]) for w, p, q in zip((1, 2, 1), a, b))
     edge = np.where((np.arange(size) == 0) | (np.arange(size) == size - 1), 2.0, 1.0)
-    damped = (z - 15) * (0.4 if z < 2 else 0.35 if z < 4.5 else 0.3) if z < 15 else 0.0
-    unit = 2 ** (damped + 28.2562 - z) / size
+    damped = min(0.0, z - UNDAMPED) * next((share for below, share in DAMPINGS if z < below), DAMPED)
+    unit = 2 ** (damped + SCALE - z) / size
     latitude = np.arctan(np.sinh(math.pi * (1 - 2 * (y + (np.arange(size) + 0.5) / size) / 2**z)))
     stretch = np.cos(latitude)[:, None]
-    dx = np.clip(sobel([(-1, 1), (0, 1), (1, 1)], [(-1, -1), (0, -1), (1, -1)]) * edge[None, :] / unit, -4, 4) / stretch
-    dy = np.clip(sobel([(1, -1), (1, 0), (1, 1)], [(-1, -1), (-1, 0), (-1, 1)]) * edge[:, None] / unit, -4, 4) / stretch
-    slope = np.arctan(0.625 * np.hypot(dx, dy))
+    dx = np.clip(sobel([(-1, 1), (0, 1), (1, 1)], [(-1, -1), (0, -1), (1, -1)]) * edge[None, :] / unit, -STEEPEST, STEEPEST) / stretch
+    dy = np.clip(sobel([(1, -1), (1, 0), (1, 1)], [(-1, -1), (-1, 0), (-1, 1)]) * edge[:, None] / unit, -STEEPEST, STEEPEST) / stretch
+    slope = np.arctan(SLOPE * np.hypot(dx, dy))
     aspect = np.where(dx != 0, np.arctan2(dy, -dx), np.where(dy > 0, math.pi / 2, -math.pi / 2))
     steep = slope
     if exaggeration != 0.5:
-        base = 1.875 - 1.75 * exaggeration
+        base = CURVE[0] - CURVE[1] * exaggeration
         steep = (base**slope - 1) / (base ** (math.pi / 2) - 1) * (math.pi / 2)
     strength = min(1.0, 2 * exaggeration)
     light = np.abs(np.mod((aspect + math.radians(direction) + math.pi) / math.pi + 0.5, 2) - 1)[..., None]
