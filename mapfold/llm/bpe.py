@@ -58,7 +58,7 @@ class Encoder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.decimal = {rank: b"%d " % rank for rank in ranks.values()}
         size = lambda v: 130 + len(v[0]) + len(v[1])
-        self.cache, self.words = Cache(self.encode_units, size, 96 << 20), Cache(self.packed_words, size, 96 << 20)
+        self.cache, self.words = Cache(self.encode_units, size, 48 << 20), Cache(self.packed_words, size, 32 << 20)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         pair = left << 32 | right
@@ -211,12 +211,14 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_state(f"bpe_{vocabulary}_{pattern}", lambda: load_encoder(vocabulary, pattern))
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
         for batch in batches:
-            found = batch.column(1).to_pylist()
-            n_tokens, shas, backs, kept = [], [], [], []
+            # a slice of the texts at a time, so that no batch of ids is larger
             for a, b in slices(pa.compute.binary_length(batch.column(1)).to_pylist()):
-                cut = [units(t) for t in found[a:b]]
+                part = batch.slice(a, b - a)
+                cut = [units(t) for t in part.column(1).to_pylist()]
                 known = bpe.cache.get(set(chain.from_iterable(cut)))
+                n_tokens, shas, backs, kept = [], [], [], []
                 for c in cut:
                     got = [known[u] for u in c]
                     ids = np.frombuffer(b"".join([x for x, _ in got]), "<u4")
@@ -225,11 +227,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
                     backs.append(hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
                     if with_ids:
                         kept.append(ids.astype(np.int32))
-            columns = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                columns = [part.column(0), pa.array(n_tokens, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.list_(pa.int32()))] * with_ids], names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return texts.mapInArrow(encode, schema)

@@ -73,7 +73,7 @@ class Canon:
     """Words of texts as rows of numbers: hash, flags. Stretches between spaces are remembered."""
 
     def __init__(self):
-        self.units, self.cache = set(UNITS), Cache(lambda missing: list(map(self.stretch, missing)), len)
+        self.units, self.cache = set(UNITS), Cache(lambda missing: list(map(self.stretch, missing)), len, 48 << 20)
         self.holders = np.array([0, *(hash64(b"\0<%d>" % k) for k in (NUMBER, NAME, UNIT))], np.uint64)
 
     def word(self, word: str) -> tuple[int, int]:

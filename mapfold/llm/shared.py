@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import sys
 import tempfile
@@ -90,6 +92,12 @@ def worker_state(name: str, build: Callable[[], object]) -> object:
         box.name = box.state = None
     if box.name != name:
         box.state = None
+        if box.name is not None:
+            # what the last operator held goes back to the system
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+            if trim is not None:
+                trim(0)
         box.name, box.state = name, build()
     return box.state
 

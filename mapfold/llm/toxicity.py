@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, worker_state
+from .shared import slices, text_key, without, worker_state
 from .units import Cache
 
 #: Labelled rows that the model is fitted on, taken by hash: at most this many.
@@ -144,7 +144,7 @@ class Scanner:
 
     def __init__(self, terms: list[str], clean: list[str]):
         self.automaton, self.clean = Automaton(terms), set(clean)
-        self.cache = Cache(lambda missing: list(map(self.code, missing)), most=64 << 20)
+        self.cache = Cache(lambda missing: list(map(self.code, missing)), most=32 << 20)
 
     def code(self, part: str) -> int:
         word = word_of(part)
@@ -185,9 +185,9 @@ class Scanner:
 
     def measure(self, texts: pa.Array) -> list[tuple[float, float, int]]:
         """features() of each text."""
-        found, rows = texts.to_pylist(), []
+        rows: list[tuple[float, float, int]] = []
         for a, b in slices(pa.compute.binary_length(texts).to_pylist()):
-            parts = [t.split() for t in found[a:b]]
+            parts = [t.split() for t in texts.slice(a, b - a).to_pylist()]
             known = self.codes(parts)
             rows += [self.features(p, known) for p in parts]
         return rows
@@ -292,18 +292,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def measured(texts: DataFrame, lexicon: list[str], clean: list[str]) -> DataFrame:
-    """texts(_id, text) as _id, abuse, quoted, n_words."""
+    """texts(_id, text) as _id, text_key, abuse, quoted, n_words."""
     shared = texts.sparkSession.sparkContext.broadcast((lexicon, clean))
     key = hashlib.sha256(repr((lexicon, clean)).encode()).hexdigest()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = worker_state(f"toxicity_{key}", lambda: Scanner(*shared.value))
         for batch in batches:
-            rows = scanner.measure(batch.column(1))
+            rows = scanner.measure(batch.column(2))
             abuse, quoted, words = (list(c) for c in zip(*rows)) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(abuse, pa.float64()), pa.array(quoted, pa.float64()), pa.array(words, pa.int64())], ["_id", "abuse", "quoted", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(abuse, pa.float64()), pa.array(quoted, pa.float64()), pa.array(words, pa.int64())], ["_id", "text_key", "abuse", "quoted", "n_words"])
 
-    return texts.select("_id", "text").mapInArrow(work, "_id long, abuse double, quoted double, n_words long")
+    return texts.select("_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(work, "_id long, text_key long, abuse double, quoted double, n_words long")
+
+
+def scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int) -> DataFrame:
+    """_id, text_key, abuse, quoted, score of each row of docs."""
+    lexicon, clean, weights = fit(docs, labels, id_col, text_col, label_col, fit_rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = measured(texts, lexicon, clean)
+    x = [F.lit(1.0), F.log1p("abuse"), F.log1p("quoted"), F.log1p(1000 * F.col("abuse") / F.greatest(F.col("n_words"), F.lit(20)))]
+    z = sum((F.lit(w) * c for w, c in zip(weights[1:], x[1:])), F.lit(weights[0]))
+    return rows.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -316,26 +326,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     repeated rows, an empty table an empty one. Texts are read whole. Other
     columns play no part, whatever their names.
     """
-    lexicon, clean, weights = fit(docs, labels, id_col, text_col, label_col, fit_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = measured(texts, lexicon, clean)
-    x = [F.lit(1.0), F.log1p("abuse"), F.log1p("quoted"), F.log1p(1000 * F.col("abuse") / F.greatest(F.col("n_words"), F.lit(20)))]
-    z = sum((F.lit(w) * c for w, c in zip(weights[1:], x[1:])), F.lit(weights[0]))
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    return rows.select(F.col("_id").alias("doc_id"), F.coalesce(held_out("_id"), F.lit(False)).alias("held_out"), score.alias("score"), "abuse", "quoted").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = scored(docs, labels, id_col, text_col, label_col, fit_rows)
+    return rows.select(F.col("_id").alias("doc_id"), F.coalesce(held_out("_id"), F.lit(False)).alias("held_out"), "score", "abuse", "quoted").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted to be toxic, with all their columns; each row is judged by its own text."""
-    lexicon, clean, weights = fit(docs, labels, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, clean))
-    key, at = hashlib.sha256(repr((lexicon, clean)).encode()).hexdigest(), docs.columns.index(text_col)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = worker_state(f"toxicity_{key}", lambda: Scanner(*shared.value))
-        for batch in batches:
-            texts = batch.column(at).cast(pa.string()).fill_null("")
-            rows = np.array(scanner.measure(texts), float).reshape(-1, 3)
-            yield batch.filter(pa.array(inputs(rows) @ np.array(weights) < 0))
-
-    return docs.mapInArrow(keep, docs.schema)
+    """The rows of docs that are not predicted to be toxic, with all their columns. A row goes by its id and text: others of its id stay."""
+    gone = scored(docs, labels, id_col, text_col, "toxic", FIT_ROWS).filter("score >= 0.5").select(F.col("_id").alias("_gone"), F.col("text_key").alias("_gone_text"))
+    return without(docs, gone, {"_gone": docs[id_col], "_gone_text": text_key(docs[text_col])})
