@@ -91,7 +91,8 @@ def sc_tile_to_geo(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def agg_merge_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The segments of a user's way, joined again by day."""
+    """The segments of a user's way, joined again."""
+    shared(spark, "lines")
     p = view(spark, d, "pts_city")
     way = Window.partitionBy("user_id").orderBy("time_ms", "event_id")
     at = lambda c: F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")) if c == 0 else F.struct(F.lead("lon").over(way).alias("x"), F.lead("lat").over(way).alias("y"))

@@ -153,3 +153,46 @@ def test_agg_label_thin(spark, sf_dir, items):
                 shown.append((w, s))
                 want.add((*tile, i))
     assert {tuple(r) for r in rows_of(spark, sf_dir, "agg_label_thin")} == want
+
+
+def test_st_edit_log(spark, sf_dir):
+    """Each state of a document by its place in a list, of which undo and redo move the end."""
+    logs = {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/events.parquet").collect(), key=lambda r: r.event_id):
+        k = r.event_id % 7
+        op = "add" if k <= 2 else {3: "update", 4: "remove", 5: "undo"}.get(k, "clear" if r.event_id % 101 == 6 else "redo")
+        logs.setdefault(r.user_id, []).append((op, str(r.event_id % 13), r.event_type))
+    want = set()
+    for user, steps in logs.items():
+        states, at = [{}], 0
+        for op, fid, value in steps:
+            if op == "undo":
+                at = max(0, at - 1)
+            elif op == "redo":
+                at = min(len(states) - 1, at + 1)
+            else:
+                now = states[at]
+                if op in ("update", "remove") and fid not in now:
+                    continue
+                after = {} if op == "clear" else {k: v for k, v in now.items() if (op, k) != ("remove", fid)}
+                if op in ("add", "update"):
+                    after[fid] = value
+                states, at = [*states[: at + 1], after][-21:], min(at + 1, 20)
+        want.add((user, ",".join(sorted(states[at])), at, len(states) - 1 - at))
+    assert {tuple(r) for r in rows_of(spark, sf_dir, "st_edit_log")} == want
+
+
+def test_dem_relief(spark, sf_dir):
+    stops = [(0.0, (0, 0, 0, 1.0)), (100.0, (0, 255, 0, 1.0)), (250.0, (255, 0, 0, 0.5))]
+    for r in rows_of(spark, sf_dir, "dem_relief"):
+        want = b""
+        for i in range(64):
+            h = (r.tile_id * 7 + i * 3) % 256 + (r.tile_id + i) % 256 / 256
+            if i % 11 == 5:
+                want += bytes(4)
+                continue
+            (a, low), (b, high) = next(((s, t) for s, t in zip(stops, stops[1:]) if h <= t[0]), (stops[-1], stops[-1]))
+            t = (h - a) / (b - a) if b > a else 0
+            alpha = low[3] + (high[3] - low[3]) * t
+            want += bytes(round((low[c] * low[3] + (high[c] * high[3] - low[c] * low[3]) * t) / alpha) for c in range(3)) + bytes([round(alpha * 255)])
+        assert r.rgba == want.hex().upper(), r.tile_id
