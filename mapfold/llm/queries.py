@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, licenses, sharding, simhash, token_blocks, token_counts, toxicity, warc
+from . import bpe, centroids, decontaminate, divergence, exact_dedup, licenses, sharding, simhash, token_blocks, token_counts, toxicity, warc
 from .shared import table
 
 
@@ -50,7 +50,37 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_toxicity, op3_token_files, op4_simhash_near_dedup, op5_benchmark_templates, op6_token_counts, op7_proportional_shards, op8_byte_bpe, op9_license_notices, op10_exact_dedup,)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(op1_warc_pages, op2_toxicity, op3_token_files, op4_simhash_near_dedup, op5_benchmark_templates, op6_token_counts, op7_proportional_shards),
+        *(op8_byte_bpe, op9_license_notices, op10_exact_dedup, op11_source_divergence, op12_centroid_clusters),
+    )
+}
+
+#: A round of clustering in SQL: what is nearest to the centroids before, and the floors of its means.
+NEAREST = """
+near{i} AS (
+  SELECT r, vec_id, v, c, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM (
+      SELECT r, vec_id, kept.v, c, list_sum(list_transform(list_zip(kept.v, here.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+      FROM kept, centroids{i} AS here)) WHERE place = 1
+)"""
+MEANS = """
+centroids{j} AS (
+  SELECT old.c, coalesce(new.v, old.v) AS v FROM centroids{i} AS old LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY k) AS v
+    FROM (SELECT c, k, CAST(sum(v[k]) AS BIGINT) AS s, count(*) AS n FROM near{i}, range(1, 65) AS ks(k) GROUP BY c, k) GROUP BY c
+  ) AS new ON old.c = new.c
+)"""
 
 SQL: dict[str, str] = {
     "op1_warc_pages": r"""
@@ -105,5 +135,55 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256,
        CAST(strlen(body) AS BIGINT) AS n_bytes
 FROM texts WINDOW same AS (PARTITION BY body)
+""",
+    "op11_source_divergence": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+terms AS (SELECT r, lang, source, unnest(words) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM terms GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n_lang FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM terms t JOIN kept k ON t.lang = k.lang AND t.term = k.term GROUP BY t.lang, t.source, t.term),
+sums AS (SELECT lang, source, sum(n) AS n_all FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.n_all, 0) + 5 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.total + 5)) // (l.n_lang + 5 * l.v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang
+  LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term
+  LEFT JOIN sums s ON g.lang = s.lang AND g.source = s.source
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source
+  ) f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+),
+rows_out AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows_out)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""",
+    "op12_centroid_clusters": r"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 1048576)) = 0
+),
+centroids0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept ORDER BY h, v LIMIT 16)),
+"""
+    + ",".join(NEAREST.format(i=i) + "," + MEANS.format(i=i, j=i + 1) for i in range(3))
+    + ","
+    + NEAREST.format(i=3)
+    + """
+SELECT vec_id, CAST(near3.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY near3.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near3 JOIN (SELECT c, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM centroids3) AS names ON near3.c = names.c
 """,
 }
