@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, decontaminate, divergence, exact_dedup, licenses, sharding, simhash, token_blocks, token_counts, toxicity, warc
+from . import bpe, centroids, decontaminate, divergence, exact_dedup, jaccard, licenses, sharding, simhash, token_blocks, token_counts, toxicity, warc
 from .shared import table
 
 
@@ -58,11 +58,15 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         *(op1_warc_pages, op2_toxicity, op3_token_files, op4_simhash_near_dedup, op5_benchmark_templates, op6_token_counts, op7_proportional_shards),
-        *(op8_byte_bpe, op9_license_notices, op10_exact_dedup, op11_source_divergence, op12_centroid_clusters),
+        *(op8_byte_bpe, op9_license_notices, op10_exact_dedup, op11_source_divergence, op12_centroid_clusters, op13_ngram_jaccard),
     )
 }
 
@@ -185,5 +189,23 @@ centroids0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT
 SELECT vec_id, CAST(near3.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
        CAST(sum(d) OVER (PARTITION BY near3.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
 FROM near3 JOIN (SELECT c, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM centroids3) AS names ON near3.c = names.c
+""",
+    "op13_ngram_jaccard": r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM docs
+),
+postings AS MATERIALIZED (SELECT r, len(s) AS n, unnest(s) AS g FROM sets),
+links AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM postings a JOIN postings b ON a.g = b.g AND a.r <> b.r AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+reach AS (SELECT r, r AS other FROM docs UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.other = links.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
+FROM sets s JOIN (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN docs ON reach.other = docs.r GROUP BY reach.r) c ON s.r = c.r
 """,
 }
