@@ -42,6 +42,8 @@ TRAILER = 32 + len(MAGIC)
 SEGMENT = 1 << 20
 #: First letters of a text that decide its file among the texts of one id.
 HEAD = 64
+#: Bytes of text that a file takes, on average, where there are more than a file for each reducer.
+FILE_BYTES = 64 << 20
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -263,16 +265,20 @@ class WordEncoder:
 
 
 def write_id_files(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes docs to files in ascending order of their ids; the files: first_id, first_text, uri, n_docs, n_ids.
+    """Encodes docs to files in ascending order of their ids; the files: first_id, first_text, first_hash, uri, n_docs, n_ids.
 
     The vocabulary must drop white space between words, as those with word ends
     do. end_id is appended to each document. Rows that repeat an id are in the
-    order of their texts; null ids come first. Files are ranges of ids and of
-    the first letters of their texts, so rows that share an id may be many.
+    order of the first letters of their texts, then of a hash; null ids come
+    first. Files are ranges in this order, so an id may fill several, whatever
+    its texts begin with; only rows of one id and text are of one file.
     """
     folder = shared_path(docs.sparkSession, "token-ids")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = texts.repartitionByRange("doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // FILE_BYTES))
+    order = ["doc_id", F.substring("text", 1, HEAD), F.xxhash64("text")]
+    ordered = texts.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "text").withColumn("hash", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_state(f"id_files_{vocabulary}", lambda: WordEncoder(vocabulary))
@@ -280,17 +286,17 @@ def write_id_files(docs: DataFrame, vocabulary: str, end_id: int, id_col: str =
         for batch in batches:
             doc_ids, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if out is None and doc_ids:
-                out, first = IdFile(folder), (doc_ids[0], found[0][:HEAD])
+                out, first = IdFile(folder), (doc_ids[0], found[0][:HEAD], batch.column(2)[0].as_py())
             for a, b in slices(pa.compute.binary_length(batch.column(1)).to_pylist()):
                 for doc_id, ids in zip(doc_ids[a:b], encoder.texts(found[a:b])):
                     out.add(doc_id, ids + end)
         if out is not None:
             n_docs = len(out.docs)
             uri, n_ids = out.close()
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*first, uri, n_docs, n_ids), kinds)], ["first_id", "first_text", "uri", "n_docs", "n_ids"])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*first, uri, n_docs, n_ids), kinds)], ["first_id", "first_text", "first_hash", "uri", "n_docs", "n_ids"])
 
-    return written(ordered.mapInArrow(write, "first_id long, first_text string, uri string, n_docs long, n_ids long"), "token-id-files")
+    return written(ordered.mapInArrow(write, "first_id long, first_text string, first_hash long, uri string, n_docs long, n_ids long"), "token-id-files")
 
 
 def read_id_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -300,7 +306,7 @@ def read_id_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
     segments of about SEGMENT ids, any of which may be in a task of its own.
     """
     # one row for each file, and a file for each task that wrote: none of them for a document
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_text", "uri").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_text", "first_hash", "uri").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     segments = placed.select("uri", "base", F.explode(F.expr(f"sequence(0L, (n_ids - 1) div {SEGMENT})")).alias("segment"))
     n = files.agg(F.coalesce(F.sum(F.expr(f"(n_ids - 1) div {SEGMENT} + 1")), F.lit(0))).first()[0]

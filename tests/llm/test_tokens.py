@@ -1,7 +1,9 @@
 """Token files, token counts and byte-level BPE against the tokenizer libraries."""
 
+import functools
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -18,8 +20,13 @@ def texts(df):
     return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
 
 
+@functools.cache
+def word_tokenizer():
+    return Tokenizer.from_file(WORDS)
+
+
 def word_ids(text):
-    return [*Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids, 2]
+    return [*word_tokenizer().encode(text, add_special_tokens=False).ids, 2]
 
 
 def want_files(rows):
@@ -70,6 +77,16 @@ def test_op3_one_id_fills_several_files(spark):
     assert sorted(map(tuple, token_blocks.read_id_files(files).collect()), key=key) == sorted(want_files(texts(docs)), key=key)
 
 
+def test_op3_one_id_and_beginning_fill_several_files(spark):
+    docs = spark.range(300).selectExpr("7 AS doc_id", "concat(repeat('the same words ', 20), id) AS text")
+    files = token_blocks.write_id_files(docs, WORDS, 2)
+    assert files.count() > 2
+    rows = token_blocks.read_id_files(files).collect()
+    assert Counter(r.ids_crc32 for r in rows) == Counter(r[3] for r in want_files(texts(docs)))
+    starts = sorted((r.start, r.n_tokens) for r in rows)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and starts[0][0] == 0
+
+
 @pytest.mark.parametrize("words", ["Word,\nWORD... ¡hola! été*** x'y it's 12a a1, --- ÅNGSTRÖM İx ǅ ﬁ", "a,b ,, . 'tis rock'n'roll don't!!! naïve\u0301 e\u0301 ª º"])
 def test_stretches_are_encoded_as_the_whole(words):
     encoder = token_blocks.WordEncoder(WORDS)
