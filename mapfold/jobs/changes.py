@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes as C
 from ..operators import graph as G
+from ..operators import scenario as S
 from .inputs import GEDGES_SQL, gedges, scaled, scaled_sql, sql, table, view
 from .registry import query
 from .scalars import hav
@@ -92,15 +93,75 @@ def st_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return C.dispatch(frames, ticks)
 
 
-@query(f"""WITH b AS (SELECT entity_id, time_ms, lon, lat, status, 0 AS p FROM {FRAMES} UNION ALL
-SELECT entity_id, time_ms + (event_id % 2) * 1000, NULL, CASE WHEN event_id % 4 = 0 THEN 10e0 END, 'patched', 1 FROM {FRAMES} WHERE event_id % 9 = 0),
-f AS (SELECT entity_id, time_ms, p, last_value(lon IGNORE NULLS) OVER w AS lon, last_value(lat IGNORE NULLS) OVER w AS lat, last_value(status IGNORE NULLS) OVER w AS status FROM b
-WINDOW w AS (PARTITION BY entity_id ORDER BY time_ms, p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT entity_id, time_ms, {scaled_sql('lon')} AS lon, {scaled_sql('lat')} AS lat, status FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, time_ms ORDER BY p DESC) AS k FROM f) WHERE k = 1""")
+WAY = "pos.x + step * share"
+ENTITIES_SQL = f"""WITH fr AS (SELECT entity_id, time_ms, lon, lat, status, event_id, lead(time_ms) OVER w AS t1, lead(lon) OVER w AS lon1, lead(lat) OVER w AS lat1 FROM {FRAMES} WINDOW w AS (PARTITION BY entity_id ORDER BY time_ms)),
+b AS (SELECT entity_id, time_ms, 0 AS p, CAST(NULL AS BIGINT) AS seq, lon, lat, status, event_id AS k, CAST(NULL AS BIGINT) AS pk, time_ms AS f FROM fr
+UNION ALL SELECT entity_id, time_ms + (event_id % 2) * 600000, 1, event_id, CASE WHEN event_id % 4 = 0 THEN 10e0 END, CASE WHEN event_id % 4 = 0 THEN 20e0 END, CASE WHEN event_id % 8 <> 0 THEN 'patched' END, NULL, CASE WHEN event_id % 5 <> 0 THEN event_id END, NULL FROM {FRAMES} WHERE event_id % 9 = 0),
+s AS (SELECT *, max(f) OVER (PARTITION BY entity_id ORDER BY time_ms, p, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t0 FROM b),
+v AS (SELECT entity_id, time_ms, p, seq, t0, lon, lat, last_value(CASE WHEN lon IS NOT NULL THEN {{'t': time_ms, 'x': lon, 'y': lat}} END IGNORE NULLS) OVER w AS pos,
+last_value(CASE WHEN p = 0 OR status IS NOT NULL THEN {{'s': status}} END IGNORE NULLS) OVER w AS st, last_value(k IGNORE NULLS) OVER w AS k, last_value(pk IGNORE NULLS) OVER w AS pk
+FROM s WINDOW w AS (PARTITION BY entity_id, t0 ORDER BY time_ms, p, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+j AS (SELECT v.*, t1, lat1, (v.time_ms - pos.t) / (t1 - pos.t)::DOUBLE AS share, CASE WHEN lon1 - pos.x > 180 THEN lon1 - pos.x - 360 WHEN lon1 - pos.x < -180 THEN lon1 - pos.x + 360 ELSE lon1 - pos.x END AS step,
+row_number() OVER (PARTITION BY v.entity_id, v.time_ms ORDER BY p DESC, seq DESC) AS place FROM v JOIN fr ON fr.entity_id = v.entity_id AND fr.time_ms = v.t0)
+SELECT entity_id, time_ms, {scaled_sql(f"CASE WHEN lon IS NOT NULL THEN lon WHEN t1 IS NOT NULL THEN {WAY} - floor(({WAY} + 180) / 360) * 360 ELSE pos.x END")} AS lon,
+{scaled_sql("CASE WHEN lon IS NOT NULL THEN lat WHEN t1 IS NOT NULL THEN pos.y + (lat1 - pos.y) * share ELSE pos.y END")} AS lat, st.s AS status, 'k=' || k || coalesce(',p=' || pk, '') AS props FROM j WHERE place = 1"""
+
+
+def entity_rows(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames and patches made of keyframes (with event_id)."""
+    own = frames.selectExpr("entity_id", "time_ms", "lon", "lat", "status", "map('k', string(event_id)) AS props")
+    patches = frames.filter("event_id % 9 = 0").selectExpr(
+        "entity_id", "time_ms + (event_id % 2) * 600000 AS time_ms", "event_id AS seq", "CASE WHEN event_id % 4 = 0 THEN 10e0 END AS lon", "CASE WHEN event_id % 4 = 0 THEN 20e0 END AS lat",
+        "CASE WHEN event_id % 8 <> 0 THEN 'patched' END AS status", "CASE WHEN event_id % 5 <> 0 THEN map('p', string(event_id)) ELSE CAST(map() AS map<string,string>) END AS props",
+    )
+    return own, patches
+
+
+def shown_track(track: DataFrame) -> DataFrame:
+    props = F.array_join(F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("props")
+    return track.select("entity_id", "time_ms", scaled(F.col("lon")).alias("lon"), scaled(F.col("lat")).alias("lat"), "status", props)
+
+
+@query(ENTITIES_SQL)
 def st_entity_state(spark: SparkSession, d: str) -> DataFrame:
-    frames = view(spark, d, "keyframes").drop("event_id")
-    patches = view(spark, d, "keyframes").filter("event_id % 9 = 0").selectExpr("entity_id", "time_ms + (event_id % 2) * 1000 AS time_ms", "CASE WHEN event_id % 4 = 0 THEN 10e0 END AS lat", "'patched' AS status")
-    return C.entity_frames(frames, patches).select("entity_id", "time_ms", scaled(F.col("lon")).alias("lon"), scaled(F.col("lat")).alias("lat"), "status")
+    """Tracks after patches, each of which sees those before it."""
+    return shown_track(S.entity_frames(*entity_rows(view(spark, d, "keyframes")))[0])
+
+
+OPS = ["event_id AS seq", "(user_id * 7 + event_id % 3) % 300 AS entity_id", "CASE WHEN event_id % 5 < 2 THEN 'remove' ELSE 'add' END AS op", "event_id % 11 = 0 AS late"]
+
+
+@query(f"""WITH o AS (SELECT {', '.join(OPS)} FROM events), g AS (SELECT * FROM o WHERE NOT (op = 'add' AND late)),
+q AS (SELECT *, lag(op) OVER (PARTITION BY entity_id ORDER BY seq) AS prev, entity_id IN (SELECT user_id FROM events) AS there, last_value(op) OVER (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final,
+max(CASE WHEN op = 'remove' THEN seq END) OVER (PARTITION BY entity_id) AS gone FROM g),
+w AS (SELECT *, op = 'add' AND (prev = 'add' OR (prev IS NULL AND there)) AS twice FROM q)
+SELECT 'frame' AS kind, entity_id, time_ms, CAST(NULL AS VARCHAR) AS code FROM {FRAMES} WHERE entity_id NOT IN (SELECT entity_id FROM w WHERE op = 'remove')
+UNION ALL SELECT 'frame', entity_id, seq * 10 + k, NULL FROM w, (SELECT unnest([0, 1]) AS k) WHERE op = 'add' AND NOT twice AND final = 'add' AND (gone IS NULL OR seq > gone)
+UNION ALL SELECT 'error', entity_id, seq, 'duplicate' FROM w WHERE twice UNION ALL SELECT 'error', entity_id, seq, 'duration' FROM o WHERE op = 'add' AND late""")
+def st_entity_ops(spark: SparkSession, d: str) -> DataFrame:
+    """Entities added and removed by a log, with the errors of the log."""
+    frames = entity_rows(view(spark, d, "keyframes"))[0]
+    ops = table(spark, d, "events").selectExpr(*OPS)
+    end = 1 << 60
+    added = ops.filter("op = 'add'").select("seq", F.explode(F.expr(f"array(seq * 10, CASE WHEN late THEN {end + 1} ELSE seq * 10 + 1 END)")).alias("time_ms"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"), F.lit("new").alias("status"), F.expr("map('n', string(seq))").alias("props"))
+    tracks, errors = S.entity_set(frames, ops, added, end)
+    return tracks.select(F.lit("frame").alias("kind"), "entity_id", "time_ms", F.lit(None).cast("string").alias("code")).unionByName(errors.select(F.lit("error").alias("kind"), "entity_id", F.col("seq").alias("time_ms"), "code"))
+
+
+@query("""WITH i AS (SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 'injected-' || (event_id % 500) ELSE 'own-' || (event_id % 700) END AS id, CASE WHEN event_id % 4 <> 0 THEN event_id * 7 % 1000 END AS t, event_id % 1000 AS clock FROM events),
+n AS (SELECT seq, coalesce(t, clock) AS t, coalesce(id, 'injected-' || (1 + coalesce(sum(CASE WHEN id IS NULL THEN 2 ELSE 1 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS id FROM i),
+e AS (SELECT 'own-' || (o_orderkey % 90) AS id, o_orderkey % 90 AS t FROM orders GROUP BY 1, 2),
+g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) = 1 AND id NOT IN (SELECT id FROM e) AS fresh FROM n WHERE t <= 950)
+SELECT id AS event_id, t AS time_ms, CAST(NULL AS VARCHAR) AS code FROM e UNION ALL SELECT id, t, NULL FROM g WHERE fresh UNION ALL SELECT id, seq, 'duplicate' FROM g WHERE NOT fresh UNION ALL SELECT id, seq, 'duration' FROM n WHERE t > 950""")
+def st_inject_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """A timeline after injected events, with default times and ids, and the errors."""
+    events = table(spark, d, "orders").selectExpr("concat('own-', o_orderkey % 90) AS event_id", "o_orderkey % 90 AS time_ms").distinct()
+    asked = table(spark, d, "events").selectExpr(
+        "event_id AS seq", "CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN concat('injected-', event_id % 500) ELSE concat('own-', event_id % 700) END AS event_id",
+        "CASE WHEN event_id % 4 <> 0 THEN event_id * 7 % 1000 END AS time_ms", "event_id % 1000 AS clock_ms",
+    )
+    timeline, errors = S.inject(events, asked, 950)
+    return timeline.withColumn("code", F.lit(None).cast("string")).unionByName(errors.select("event_id", F.col("seq").alias("time_ms"), "code"))
 
 
 @query()

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import mercator as M
 from ..operators import cluster as K
 from ..operators import elevation as E
+from ..streaming import entities
 from ..streaming import updates as U
-from .changes import STATE_SQL, state_changes
+from .changes import ENTITIES_SQL, STATE_SQL, entity_rows, shown_track, state_changes
 from .inputs import scaled, scaled_sql, sql, table, view
 from .registry import query
 from .scalars import X, Y
@@ -113,6 +114,16 @@ def st_feature_state_stream(spark: SparkSession, d: str) -> DataFrame:
     return U.feature_state(stream, shared(spark, "state"), shared(spark, "state-progress"))
 
 
+@query(ENTITIES_SQL)
+def st_entity_state_stream(spark: SparkSession, d: str) -> DataFrame:
+    """st_entity_state from a stream of the events' files, by state that is kept by entity."""
+    lon, lat = "((event_id * 7919 + user_id * 104729) % 360000) / 1000e0 - 180 AS lon", "((event_id * 6271 + user_id * 1299709) % 170000) / 1000e0 - 85 AS lat"
+    frames = U.read_table_stream(spark, d, "events").selectExpr("user_id AS entity_id", "unix_millis(CAST(ts AS TIMESTAMP)) AS time_ms", lon, lat, "event_type AS status", "event_id")
+    own, patches = entity_rows(frames)
+    rows = own.withColumns({"patch": F.lit(0), "seq": F.lit(0).cast("long")}).unionByName(patches.withColumn("patch", F.lit(1)))
+    return shown_track(entities.tracks(rows, shared(spark, "tracks"), shared(spark, "tracks-progress")))
+
+
 @query("SELECT event_id, user_id FROM events")
 def st_inject(spark: SparkSession, d: str) -> DataFrame:
     """Events streamed twice over; each id comes through once."""

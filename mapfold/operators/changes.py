@@ -133,19 +133,6 @@ def dispatch(events: DataFrame, ticks: DataFrame, blocks: int = 1024) -> DataFra
     return asked.join(known, ["scenario_id", "block"]).select("scenario_id", "event_id", at.alias("tick_ms")).filter("tick_ms is not null")
 
 
-def entity_frames(frames: DataFrame, patches: DataFrame) -> DataFrame:
-    """frames(entity_id, time_ms, lon, lat, status) with patches of the same columns upserted.
-
-    A patch replaces the frame at exactly its time; null columns of a patch are
-    inherited from the latest frame before it.
-    """
-    both = frames.withColumn("_p", F.lit(0)).unionByName(patches.withColumn("_p", F.lit(1)), allowMissingColumns=True)
-    line = Window.partitionBy("entity_id").orderBy("time_ms", "_p")
-    upto = line.rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.select("entity_id", "time_ms", "_p", *(F.last(c, ignorenulls=True).over(upto).alias(c) for c in ("lon", "lat", "status")))
-    return last_per_key(filled, ["entity_id", "time_ms"], ["_p"]).drop("_p")
-
-
 def replay(steps: list[tuple[str, str | None, str | None]], history: int = 20) -> tuple[dict[str, str], int, int]:
     """The features after (op, fid, value) steps, and the sizes of the undo and redo stacks."""
     now: dict[str, str] = {}

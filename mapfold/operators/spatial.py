@@ -85,20 +85,46 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return F.sqrt(F.pow(px - ax - t * dx, F.lit(2)) + F.pow(py - ay - t * dy, F.lit(2)))
 
 
-def points_near_segments(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
+def level_of(size: Column) -> Column:
+    """The level of a grid whose cells, 2 ** level wide, are as wide as size; sizes of less than a millionth of a millionth are of the finest."""
+    return F.ceil(F.log2(F.greatest(size, F.lit(1e-12)))).cast("int")
+
+
+def box_of(reach: Column) -> Column:
+    """The box of a segment (ax, ay, bx, by), larger by reach on each side."""
+    return F.struct((F.least("ax", "bx") - reach).alias("w"), (F.least("ay", "by") - reach).alias("s"), (F.greatest("ax", "bx") + reach).alias("e"), (F.greatest("ay", "by") + reach).alias("n"))
+
+
+def size_of(box: Column) -> Column:
+    return F.greatest(box["e"] - box["w"], box["n"] - box["s"])
+
+
+def in_cells(rows: DataFrame, box: Column) -> DataFrame:
+    """A row for each cell (cx, cy) of its `level` that its box touches: four at most where the box isn't wider than a cell."""
+    columns, lines = cells_of(box, F.pow(F.lit(2.0), F.col("level")))
+    return rows.withColumn("cx", F.explode(columns)).withColumn("cy", F.explode(lines))
+
+
+def with_reach(segments: DataFrame, reach: float | None) -> DataFrame:
+    return segments.withColumn("reach", F.lit(float(reach))) if reach is not None else segments
+
+
+def points_near_segments(points: DataFrame, segments: DataFrame, reach: float | None = None) -> DataFrame:
     """point_id, line_id and distance of points(point_id, x, y) within reach of segments(line_id, ax, ay, bx, by).
 
-    Grid cells are as large as the reach, so a segment is dealt to the cells of
-    its box and one more on each side, and a point to its own.
+    Without a reach for all, segments have one each, in the column `reach`. A
+    segment is dealt to the cells of a grid of its own size, four at most
+    however long it is, and a point to one cell of each level that is in use:
+    levels double, so they are a few dozen at most.
     """
-    box = F.struct(F.least("ax", "bx").alias("w"), F.least("ay", "by").alias("s"), F.greatest("ax", "bx").alias("e"), F.greatest("ay", "by").alias("n"))
-    grown = F.struct((box["w"] - reach).alias("w"), (box["s"] - reach).alias("s"), (box["e"] + reach).alias("e"), (box["n"] + reach).alias("n"))
-    cell = 4 * reach
-    columns, rows = cells_of(grown, cell)
-    dealt = segments.withColumn("cx", F.explode(columns)).withColumn("cy", F.explode(rows))
-    at = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    pairs = at.join(dealt, ["cx", "cy"]).withColumn("distance", segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    return pairs.filter(F.col("distance") <= reach).groupBy("point_id", "line_id").agg(F.min("distance").alias("distance"))
+    grown = with_reach(segments, reach).withColumn("_box", box_of(F.col("reach"))).withColumn("level", level_of(size_of(F.col("_box"))))
+    dealt = in_cells(grown, F.col("_box"))
+    levels = F.broadcast(grown.select("level").distinct())
+    cell = F.pow(F.lit(2.0), F.col("level"))
+    at = points.crossJoin(levels).withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
+    pairs = at.join(dealt, ["level", "cx", "cy"]).filter(F.col("x").between(F.col("_box.w"), F.col("_box.e")) & F.col("y").between(F.col("_box.s"), F.col("_box.n")))
+    pairs = pairs.withColumn("distance", segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))))
+    return pairs.filter(F.col("distance") <= F.col("reach")).groupBy("point_id", "line_id").agg(F.min("distance").alias("distance"))
 
 
 def segment_touches_box(ax: Column, ay: Column, bx: Column, by: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
@@ -111,18 +137,74 @@ def segment_touches_box(ax: Column, ay: Column, bx: Column, by: Column, w: Colum
     return enter <= leave
 
 
-def segments_in_boxes(segments: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
-    """box_id, line_id of boxes(box_id, w, s, e, n) that any segment(line_id, ax, ay, bx, by) touches."""
-    box = F.struct(F.least("ax", "bx").alias("w"), F.least("ay", "by").alias("s"), F.greatest("ax", "bx").alias("e"), F.greatest("ay", "by").alias("n"))
-    columns, rows = cells_of(box, cell)
-    dealt = segments.withColumn("cx", F.explode(columns)).withColumn("cy", F.explode(rows))
-    own = F.struct("w", "s", "e", "n")
-    columns, rows = cells_of(own, cell)
-    asked = boxes.withColumn("cx", F.explode(columns)).withColumn("cy", F.explode(rows))
-    met = dealt.join(asked, ["cx", "cy"]).filter(segment_touches_box(*(F.col(c) for c in ("ax", "ay", "bx", "by", "w", "s", "e", "n"))))
+def segments_in_boxes(segments: DataFrame, boxes: DataFrame, reach: float | None = 0.0) -> DataFrame:
+    """box_id, line_id of boxes(box_id, w, s, e, n) that any segment(line_id, ax, ay, bx, by) touches, or comes within its reach of on each axis.
+
+    Both sides are dealt to the level of their own size and to the coarser ones
+    that the other side uses, four cells each at most, and meet at the coarser
+    of their two levels.
+    """
+    segments = with_reach(segments, reach).withColumn("_box", box_of(F.col("reach"))).withColumn("own", level_of(size_of(F.col("_box"))))
+    asked = boxes.select("box_id", "w", "s", "e", "n", F.struct("w", "s", "e", "n").alias("_asked")).withColumn("theirs", level_of(size_of(F.col("_asked"))))
+    used = segments.select(F.col("own").alias("level")).union(asked.select("theirs")).distinct()
+
+    def dealt(rows: DataFrame, level: str, box: str) -> DataFrame:
+        return in_cells(rows.join(F.broadcast(used), F.col("level") >= F.col(level)), F.col(box))
+
+    met = dealt(segments, "own", "_box").join(dealt(asked, "theirs", "_asked"), ["level", "cx", "cy"]).filter(F.col("level") == F.greatest("own", "theirs"))
+    far = F.col("reach")
+    met = met.filter(segment_touches_box(*(F.col(c) for c in ("ax", "ay", "bx", "by")), F.col("w") - far, F.col("s") - far, F.col("e") + far, F.col("n") + far))
     return met.select("box_id", "line_id").distinct()
 
 
+def hit_reach(features: DataFrame, tolerance: float) -> DataFrame:
+    """features(kind, width, radius, stroke, size) with `reach`: how far from its line or point each kind is hit; null for areas."""
+    half = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / 2
+    circle = F.coalesce(F.col("radius"), F.lit(0.0)) + half("stroke")
+    by_kind = F.when(F.col("kind") == "line", half("width")).when(F.col("kind") == "circle", circle).when(F.col("kind") == "symbol", F.greatest(F.lit(6.0), half("size")))
+    return features.withColumn("reach", by_kind + tolerance)
+
+
+def edges_of(features: DataFrame, closed: bool = False) -> DataFrame:
+    """line_id, reach, ax, ay, bx, by of features(feature_id, kind, parts, reach): a segment for each two positions that follow, a dot for each position of circles and symbols; areas have the edge from the last to the first too."""
+    part = features.select(F.col("feature_id").alias("line_id"), "kind", "reach", F.explode("parts").alias("part")).filter(F.size("part") > 0)
+    ring = F.when(F.lit(closed) & (F.col("kind") == "fill"), F.concat("part", F.slice("part", 1, 1))).otherwise(F.col("part"))
+    pairs = F.when(F.col("kind").isin("circle", "symbol"), F.arrays_zip(F.col("part").alias("a"), F.col("part").alias("b"))).otherwise(F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("a"), F.slice(ring, 2, F.size(ring)).alias("b")))
+    each = part.withColumn("e", F.explode(pairs)).filter("e.a is not null and e.b is not null")
+    return each.select("line_id", "reach", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+
+
+def features_at(points: DataFrame, features: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """point_id, feature_id of the features(feature_id, kind, parts, width, radius, stroke, size) that points(point_id, x, y) hit.
+
+    Kinds: a line is hit within half its width, a circle within its radius and
+    half its stroke, a symbol within half its size and 6 at least, each plus
+    the tolerance; nothing has a reach of 0. A fill is hit inside its rings, by
+    the nonzero rule, and on their edges, whatever the tolerance.
+    """
+    reached = hit_reach(features, tolerance)
+    lines = points_near_segments(points, edges_of(reached.filter("kind <> 'fill' and reach > 0"))).select("point_id", F.col("line_id").alias("feature_id"))
+    areas = reached.filter("kind = 'fill'").select(F.col("feature_id").alias("poly_id"), "parts")
+    inside = points_in_polygons(points.select("point_id", F.col("x").alias("lon"), F.col("y").alias("lat")), areas).select("point_id", F.col("poly_id").alias("feature_id"))
+    return lines.unionByName(inside).distinct()
+
+
+def features_in_boxes(features: DataFrame, boxes: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """box_id, feature_id of the features (see features_at) that boxes(box_id, w, s, e, n) meet.
+
+    A box is larger by the tolerance on each side, for lines by half their
+    width and for circles by their radius and half their stroke too, and meets
+    a feature whose line, point or edge it touches, or an area that holds its
+    middle.
+    """
+    reached = hit_reach(features, tolerance).withColumn("reach", F.when(F.col("kind").isin("fill", "symbol"), tolerance).otherwise(F.col("reach")))
+    touched = segments_in_boxes(edges_of(reached, closed=True), boxes, None).select("box_id", F.col("line_id").alias("feature_id"))
+    middles = boxes.select(F.col("box_id").alias("point_id"), ((F.col("w") + F.col("e")) / 2).alias("lon"), ((F.col("s") + F.col("n")) / 2).alias("lat"))
+    areas = reached.filter("kind = 'fill'").select(F.col("feature_id").alias("poly_id"), "parts")
+    inside = points_in_polygons(middles, areas).select(F.col("point_id").alias("box_id"), F.col("poly_id").alias("feature_id"))
+    return touched.unionByName(inside).distinct()
+
+
 class NodeTree:
     """Boxes around runs of positions on the unit sphere, in the order of a space-filling curve, and boxes around runs of boxes."""
 

@@ -57,16 +57,16 @@ def feature_code(v: Column) -> Column:
     )
 
 
-def place_in_read() -> Column:
-    """A number for each row of a read: 2**24 for each task, so 2**43 in all."""
-    at = F.monotonically_increasing_id()
-    return F.shiftright(at, 33) * F.lit(1 << 24) + at.bitwiseAND(F.lit((1 << 33) - 1))
+def numbered(rows: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Rows and errors of a read, with feature_seq a number for each row of it: unique over its files, ascending within each split, and never too large."""
+    return rows[0].withColumn("feature_seq", F.monotonically_increasing_id()), rows[1]
 
 
-def to_rows(records: DataFrame, place_bits: int = 32) -> tuple[DataFrame, DataFrame]:
+def to_rows(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """records(source, record, v): the feature rows and the errors. A record with a bad feature gives none of its features.
 
-    feature_seq is record * 2**place_bits and the feature's place in its record.
+    feature_seq is record * 2**32 and the feature's place in its record: unique
+    within a source whose records are numbered.
     """
     opened = records.withColumn("features", features_of(F.col("v")))
     # the first code of a record's features, within the record: no join and no shuffle
@@ -80,7 +80,7 @@ def to_rows(records: DataFrame, place_bits: int = 32) -> tuple[DataFrame, DataFr
     geometry = F.try_variant_get("f", "$.geometry", "variant")
     rows = good.select(
         "source",
-        (F.col("record") * F.lit(1 << place_bits) + F.col("place")).alias("feature_seq"),
+        (F.col("record") * F.lit(1 << 32) + F.col("place")).alias("feature_seq"),
         F.when(kind != "VOID", F.variant_get(given, "$", "string")).alias("fid"),
         F.when(kind == "STRING", "str").when(kind != "VOID", "num").alias("fid_type"),
         text_of(geometry, "$.type").alias("geom_type"),
@@ -93,13 +93,13 @@ def to_rows(records: DataFrame, place_bits: int = 32) -> tuple[DataFrame, DataFr
 def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Whole documents, one a file."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value")
-    return to_rows(files.select("source", F.lit(1).cast("long").alias("record"), F.try_parse_json("value").alias("v")))
+    return numbered(to_rows(files.select("source", F.lit(1).cast("long").alias("record"), F.try_parse_json("value").alias("v"))))
 
 
 def read_feature_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A feature a line: files of any size, split between tasks. `record` is the place of a line within the read."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.input_file_name().alias("source"), place_in_read().alias("record"), "value")
-    return to_rows(lines.select("source", "record", F.try_parse_json("value").alias("v")), 20)
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.input_file_name().alias("source"), F.monotonically_increasing_id().alias("record"), "value")
+    return numbered(to_rows(lines.select("source", "record", F.try_parse_json("value").alias("v"))))
 
 
 def sequence_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,17 +117,17 @@ def sequence_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_sequence(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The same of files of any size, which are split at RS between tasks. `record` is the place of a record within the read."""
     read = spark.read.option("lineSep", RS).text(path)
-    each = read.select(F.input_file_name().alias("source"), F.col("_metadata.file_block_start").alias("start"), place_in_read().alias("record"), "value")
+    each = read.select(F.input_file_name().alias("source"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("record"), "value")
     # what is before the first RS of a file is no record: one row for each file
     first = each.filter("start = 0").groupBy("source").agg(F.min("record").alias("record"), F.min_by("value", "record").alias("value"))
     lead = first.filter(F.col("value").rlike(r"\S")).select("source", "record", F.lit("leading-text").alias("code"))
     kept = each.filter(F.col("value").rlike(r"\S")).join(first.select("source", "record"), ["source", "record"], "left_anti")
-    rows, errors = to_rows(kept.select("source", "record", F.try_parse_json("value").alias("v")), 20)
+    rows, errors = numbered(to_rows(kept.select("source", "record", F.try_parse_json("value").alias("v"))))
     return rows, errors.unionByName(lead)
 
 
 def read_geojson_seq(spark: SparkSession, path: str, on_error: str = "fail") -> tuple[DataFrame, DataFrame]:
-    rows, errors = sequence_rows(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value"))
+    rows, errors = numbered(sequence_rows(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value")))
     if on_error == "fail":
         first = errors.orderBy("source", "record").first()
         if first is not None:

@@ -66,16 +66,47 @@ def source_updates(features: DataFrame, diffs: DataFrame, path: str, checkpoint:
     return keep_versions(diffs, features.select("fid", "geometry", "props"), path, changes.apply_diff, checkpoint)
 
 
-def feature_state(updates: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """source, fid, key, value after a stream of state changes (see changes.feature_state)."""
-    empty = updates.sparkSession.createDataFrame([], "source string, fid long, key string, value long, seq long")
+def keep_log(stream: DataFrame, empty: DataFrame, path: str, merge: Callable[[DataFrame], DataFrame], checkpoint: str, every: int = 16) -> DataFrame:
+    """merge(rows) of all rows that a stream has now and had before.
+
+    merge must give the same for merged rows as for the rows themselves, in any
+    order. A micro-batch writes its own merged rows, so what is written follows
+    the batch; after `every` batches the deltas and the base are merged into a
+    new base, and what it was made of is deleted. Batches that run again write
+    the same.
+    """
+    spark = empty.sparkSession
+    read = lambda *folders: spark.read.schema(empty.schema).parquet(*folders) if folders else empty
+
+    def parts() -> tuple[list[str], list[int]]:
+        base, deltas = versions(spark, f"{path}/base")[-1:], versions(spark, f"{path}/delta")
+        return [f"{path}/base/version={b}" for b in base], [d for d in deltas if not base or d > base[0]]
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        merge(batch.select(*empty.columns)).write.mode("overwrite").parquet(f"{path}/delta/version={batch_id}")
+        base, deltas = parts()
+        if len(deltas) >= every:
+            merge(read(*base, *(f"{path}/delta/version={d}" for d in deltas))).write.mode("overwrite").parquet(f"{path}/base/version={batch_id}")
+            for old in [*base, *(f"{path}/delta/version={d}" for d in deltas)]:
+                at = spark._jvm.org.apache.hadoop.fs.Path(old)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    base, deltas = parts()
+    return merge(read(*base, *(f"{path}/delta/version={d}" for d in deltas)))
+
+
+def last_changes(rows: DataFrame) -> DataFrame:
+    """Of state changes those that still count, removals too: the last of each key, and the last that removed a feature or a source whole."""
+    same = ["source", "fid", "key", ((F.col("op") == "remove") & F.col("key").isNull()).alias("whole")]
+    last = rows.groupBy(*same).agg(F.max(F.struct("seq", "op", "value")).alias("r"))
+    return last.select("source", "fid", "key", "r.value", "r.op", "r.seq")
 
-    def step(state: DataFrame, batch: DataFrame) -> DataFrame:
-        both = state.withColumn("op", F.lit("set")).unionByName(batch)
-        seqs = both.filter("key is not null").groupBy("source", "fid", "key").agg(F.max("seq").alias("seq"))
-        return changes.feature_state(both).join(seqs, ["source", "fid", "key"]).select("source", "fid", "key", "value", "seq")
 
-    return keep_versions(updates, empty, path, step, checkpoint).drop("seq")
+def feature_state(updates: DataFrame, path: str, checkpoint: str, every: int = 16) -> DataFrame:
+    """source, fid, key, value after a stream of state changes in any order of arrival (see changes.feature_state)."""
+    empty = updates.sparkSession.createDataFrame([], "source string, fid long, key string, value long, op string, seq long")
+    return changes.feature_state(keep_log(updates, empty, path, last_changes, checkpoint, every))
 
 
 def injected(events: DataFrame, late: str = "1 hour") -> DataFrame:
