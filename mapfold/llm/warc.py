@@ -157,7 +157,7 @@ def classed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         # payloads that can't be a revisit have no key; adaptive joins split what is left of a hot one
         key = F.when(F.octet_length("payload") >= least, F.col("digest"))
         joined = rows.withColumn("_key", key).join(several, F.col("_key") == F.col("_digest"), "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def write_warc(rows: DataFrame) -> DataFrame:

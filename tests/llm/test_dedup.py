@@ -273,3 +273,11 @@ def test_op1_reader_skips_damage_and_false_magic(tmp_path):
     path.write_bytes(good[0] + bytes(damaged) + b"\x1f\x8b\x08junk" + good[2] + good[3][:-5])
     found = [warc.parse(data)["record_id"] for _, data in warc.members(OldFile(f"file://{path}"), 0, path.stat().st_size)]
     assert found == ["urn:page:0", "urn:page:2"]
+
+
+def test_op1_a_page_without_an_id_revisits_one_that_has_one(spark):
+    html = "x" * 200
+    pages = spark.createDataFrame([(None, "u", html), (5, "u", html), (6, "u", html), (None, "v", "y" * 200), (None, "w", "y" * 200), (7, "w", None)], "page_id long, url string, html string")
+    rows = warc.archive_pages(pages).collect()
+    found = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in rows)
+    assert found == [(0, 200, "response", 0), (0, 200, "response", 0), (0, 200, "revisit", 5), (5, 200, "response", 0), (6, 200, "revisit", 5), (7, 0, "response", 0)]
