@@ -34,24 +34,51 @@ LINK, OF, WORDS = 85, 100, 4
 GROWTH, PARTS = 1.6, 3
 #: Members of a bucket that meet in one group; one in DELEGATES goes on to meet those of other groups.
 PART, DELEGATES = 1024, 512
-#: Bits of the longest parity sketch.
-SKETCH = 1 << 15
+#: Bits of parity sketches: four for each shingle up to MEDIUM, then as many as leave the bound useful, up to SKETCH.
+MEDIUM, SKETCH = 1 << 12, 1 << 15
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """The hashes (uint64, ascending) of the text's different shingles; fewer words are one shingle, none are none."""
-    import xxhash
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that leaves no pattern."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and ASCII white space
-    if not found:
+
+#: A number for each byte, letters by their lower case, and for each of the first places in a word; and which bytes are of words.
+OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+OF_PLACE = mixed(np.arange(1001, 1001 + (1 << 12), dtype=np.uint64)) | np.uint64(1)
+IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """The hash (uint64) of each word, whatever the case of its ASCII letters."""
+    data = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], IN_WORD[data], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    sizes = edges[1::2] - edges[::2]
+    if not len(sizes):
         return np.zeros(0, np.uint64)
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.append(0, ends[:-1] + 1)[: len(found) - words + 1].tolist()
-    parts = {joined[a:b] for a, b in zip(starts, ends[words - 1 :].tolist())}
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts)))
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+    of_place = OF_PLACE if sizes.max() <= len(OF_PLACE) else mixed(np.arange(1001, 1001 + sizes.max(), dtype=np.uint64)) | np.uint64(1)
+    return mixed(np.add.reduceat(OF_BYTE[data[inside[1:-1]]] * of_place[place], starts) + sizes.astype(np.uint64))
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The hashes (uint64, ascending) of the text's different shingles; fewer words are one shingle, none are none.
+
+    A shingle's hash is made of its words' hashes and their number.
+    """
+    each = word_hashes(text.encode("utf-8", "surrogatepass"))
+    if not len(each):
+        return each
+    n = min(words, len(each))
+    out = np.full(len(each) - n + 1, n, np.uint64)
+    for k in range(n):
+        out = mixed(out + each[k : k + len(out)])
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def digest(values: np.ndarray) -> int:
@@ -76,13 +103,6 @@ def differences(sizes: int) -> int:
     return sizes * (OF - LINK) // (OF + LINK)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that leaves no pattern."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The signatures (int64) of sets that aren't empty, and whose each is."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -121,8 +141,9 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """The parities of the numbers of values whose last bits are 0, 1, ...; four bits a value at least, up to SKETCH."""
-    bits = min(SKETCH, max(64, 1 << (4 * len(values) - 1).bit_length()))
+    """The parities of the numbers of values whose last bits are 0, 1, ..."""
+    power = lambda n: 1 << (n - 1).bit_length()
+    bits = min(SKETCH, max(64, min(MEDIUM, power(4 * len(values))), power(-(-len(values) // 2))))
     return np.packbits(np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -198,7 +219,7 @@ def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def of_texts(docs: DataFrame, kind: str, words: int) -> DataFrame:
-    """From docs (doc_id, text) by kind: heads (doc_id, n, h; null h without words), signatures (sig, h), or sets (h, n, sketch, s)."""
+    """From docs (doc_id, text) by kind: heads (doc_id, n, h; null h without words), signatures (sig, h), sketches (h, n, sketch), or sets (h, n, s)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,13 +234,16 @@ def of_texts(docs: DataFrame, kind: str, words: int) -> DataFrame:
                 if kind == "signatures":
                     found, owners = signatures(sets)
                     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(hashes[owners])], ["sig", "h"])
+                    continue
+                columns = [pa.array(hashes), pa.array(map(len, sets), pa.int64())]
+                if kind == "sketches":
+                    columns.append(pa.array(map(sketch, sets), pa.binary()))
                 else:
                     ends = pa.array(np.append(0, np.cumsum([len(s) for s in sets])), pa.int32())
-                    flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-                    columns = [pa.array(hashes), pa.array(map(len, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))]
-                    yield pa.RecordBatch.from_arrays(columns, ["h", "n", "sketch", "s"])
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, ["h", "n", "sketch" if kind == "sketches" else "s"])
 
-    schemas = {"heads": "doc_id long, n long, h long", "signatures": "sig long, h long", "sets": "h long, n long, sketch binary, s array<long>"}
+    schemas = {"heads": "doc_id long, n long, h long", "signatures": "sig long, h long", "sketches": "h long, n long, sketch binary", "sets": "h long, n long, s array<long>"}
     return docs.mapInArrow(work, schemas[kind])
 
 
@@ -229,8 +253,37 @@ def of_them(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys, rows[name].eqNullSafe(keys[name]), "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b that are linked."""
+def of_sets(texts: DataFrame, heads: DataFrame, wanted: DataFrame, kind: str, words: int) -> DataFrame:
+    """The sketches or sets of the h in wanted, each from one text; a table."""
+    ids = written(heads.join(wanted, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    rows = of_them(of_texts(of_them(texts, ids.select("doc_id").distinct(), "doc_id"), kind, words), ids.select("h"), "h")
+    found = written(rows.groupBy("h").agg(*(F.first(c).alias(c) for c in rows.columns[1:])), kind)
+    forget(ids)
+    return found
+
+
+def both_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b, and the other columns of the rows of h = a and h = b."""
+    a, b = (rows.select(*(F.col(c).alias(name if c == "h" else f"{c}_{name}") for c in rows.columns)) for name in "ab")
+    return pairs.join(a, "a").join(b, "b").filter(F.least("n_a", "n_b") * OF >= F.greatest("n_a", "n_b") * LINK)
+
+
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs a, b that the sketches don't rule out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                x, y = folded([x, y])
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= differences(n))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both_of(pairs, sketches).select("a", "b", F.col("n_a") + F.col("n_b"), "sketch_a", "sketch_b").mapInArrow(work, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, heads: DataFrame, words: int) -> DataFrame:
+    """The pairs a, b of a table that are linked; a table."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,9 +294,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(OF * shared >= LINK * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    a, b = (sets.select(F.col("h").alias(name), F.col("n").alias(f"n_{name}"), F.col("s").alias(f"s_{name}")) for name in "ab")
-    sized = pairs.join(a, "a").join(b, "b").filter(F.least("n_a", "n_b") * OF >= F.greatest("n_a", "n_b") * LINK)
-    return sized.select("a", "b", "s_a", "s_b").mapInArrow(work, "a long, b long")
+    sets = of_sets(texts, heads, pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "sets", words)
+    found = written(both_of(pairs, sets).select("a", "b", "s_a", "s_b").mapInArrow(work, "a long, b long"), "set-links")
+    forget(sets)
+    return found
 
 
 def set_links(texts: DataFrame, heads: DataFrame, words: int = WORDS, part: int = PART) -> DataFrame:
@@ -256,37 +310,33 @@ def set_links(texts: DataFrame, heads: DataFrame, words: int = WORDS, part: int
     twos = buckets.filter(two).select(F.col("low").alias("a"), F.col("high").alias("b"))
     members = of_them(of_texts(texts, "signatures", words), buckets.filter(~two).select("sig"), "sig")
     members = written(members.distinct(), "members")
+    sketches = of_sets(texts, heads, members.select("h").union(twos.select("a")).union(twos.select("b")).distinct(), "sketches", words)
 
-    # one text for each set that is in a bucket
-    wanted = members.select("h").union(twos.select("a")).union(twos.select("b")).distinct()
-    ids = written(heads.join(wanted, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    sets = of_texts(of_them(texts, ids.select("doc_id").distinct(), "doc_id"), "sets", words)
-    sets = written(of_them(sets, ids.select("h"), "h").groupBy("h").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "s"))), "sets")
-
-    known = members.join(sets.select("h", "n", "sketch"), "h")
     many = members.groupBy("sig").agg(F.expr(f"(count(*) + {part - 1}) div {part}").alias("parts"))
-    dealt = known.join(many, "sig").withColumn("part", F.pmod(F.xxhash64("h"), "parts"))
+    dealt = members.join(many, "sig").withColumn("part", F.pmod(F.xxhash64("h"), "parts"))
     # a few of each part of a crowded bucket meet in a group of their own
     delegates = dealt.filter((F.col("parts") > 1) & (F.pmod(F.xxhash64("h", F.lit(1)), F.lit(DELEGATES)) == 0))
     delegates = delegates.withColumn("part", -1 - F.pmod(F.xxhash64("h"), F.expr(f"parts div {DELEGATES} + 1")))
-    columns = ["sig", "part", "h", "n", "sketch"]
-    rows = dealt.select(*columns).union(delegates.select(*columns)).repartition("sig", "part").sortWithinPartitions("sig", "part", "h")
-    first = written(rows.mapInArrow(forest_pairs, "a long, b long").union(twos).distinct(), "pairs")
-    links = written(verified(first, sets), "set-links")
+    # sketches come last, and go through one exchange
+    columns = ["sig", "part", "h"]
+    rows = dealt.select(*columns).union(delegates.select(*columns)).join(sketches, "h").select(*columns, "n", "sketch").repartition("sig", "part").sortWithinPartitions("sig", "part", "h")
+    first = written(rows.mapInArrow(forest_pairs, "a long, b long").union(possible(twos.distinct(), sketches)).distinct(), "pairs")
+    links = verified(first, texts, heads, words)
 
     # buckets whose sets aren't all of one root: those of other roots than most meet all the rest
-    rooted = known.join(components(links).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    rooted = written(rooted, "rooted")
-    roots = rooted.groupBy("sig", "root").agg(F.count("*").alias("m")).groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("of_main"), F.sum("m").alias("m"))
-    roots = roots.filter("of_main < m").select("sig", "main", F.expr(f"(m + {part - 1}) div {part}").alias("parts"), F.expr(f"(m - of_main + {part - 1}) div {part}").alias("others"))
-    apart = rooted.join(roots, "sig")
+    roots = components(links).withColumnRenamed("node", "h")
+    rooted = written(members.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "rooted")
+    of_root = rooted.groupBy("sig", "root").agg(F.count("*").alias("m")).groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("of_main"), F.sum("m").alias("m"))
+    of_root = of_root.filter("of_main < m").select("sig", "main", F.expr(f"(m + {part - 1}) div {part}").alias("parts"), F.expr(f"(m - of_main + {part - 1}) div {part}").alias("others"))
+    apart = rooted.join(of_root, "sig")
     outer = apart.withColumns({"part": F.pmod(F.xxhash64("h"), "parts"), "other": F.explode(F.expr("sequence(0L, others - 1)")), "inner": F.lit(False)})
     inner = apart.filter("root <> main").withColumns({"part": F.explode(F.expr("sequence(0L, parts - 1)")), "other": F.pmod(F.xxhash64("h"), "others"), "inner": F.lit(True)})
-    columns = ["sig", "part", "other", "inner", "h", "n", "root", "sketch"]
-    rows = outer.select(*columns).union(inner.select(*columns)).repartition("sig", "part", "other").sortWithinPartitions("sig", "part", "other", "h")
-    second = rows.mapInArrow(open_pairs, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    found = written(links.union(verified(second, sets)), "set-links")
-    for table in (buckets, members, ids, sets, first, links, rooted):
+    columns = ["sig", "part", "other", "inner", "h"]
+    rows = outer.select(*columns, "root").union(inner.select(*columns, "root")).join(sketches, "h").select(*columns, "n", "root", "sketch").repartition("sig", "part", "other").sortWithinPartitions("sig", "part", "other", "h")
+    second = written(rows.mapInArrow(open_pairs, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    more = verified(second, texts, heads, words)
+    found = written(links.union(more), "set-links")
+    for table in (buckets, members, sketches, first, second, links, more, rooted):
         forget(table)
     return found
 
