@@ -30,7 +30,9 @@ def repair_ids(features: DataFrame, prefix: str, order: str = "feature_seq") ->
     ranges of the order, so no task numbers all rows; numbers whose name is
     taken are left out.
     """
-    line = Window.partitionBy(F.col("fid").cast("string")).orderBy(order)
+    # null ids need no place among each other: they are spread, as most features may have none
+    spread = F.when(F.col("fid").isNull(), F.pmod(F.xxhash64(order), F.lit(4096)))
+    line = Window.partitionBy(F.col("fid").cast("string"), spread).orderBy(order)
     marked = features.withColumn("_again", F.col("fid").isNull() | (F.row_number().over(line) > 1))
     fresh = marked.filter("_again").select(order)
     n = fresh.count()
