@@ -72,13 +72,18 @@ def agg_cluster_tile(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def agg_cluster_leaves(spark: SparkSession, d: str) -> DataFrame:
-    """Leaves of each cluster of zooms 10 to 12, the first ten of each: limit and offset are a rank."""
-    from pyspark.sql import Window
+    """The first ten leaves of each cluster of zooms 8 to 12, depth first."""
+    shared(spark, "clusters")
+    return K.leaves_in_order(K.cluster_points(city_items(spark, d), 50, 12, min_zoom=8)).select("cluster_id", "item_id", "rank")
+
 
+@query()
+def agg_cluster_children(spark: SparkSession, d: str) -> DataFrame:
+    """The children of each cluster of zooms 8 to 12, in order, points and clusters."""
     shared(spark, "clusters")
-    links = K.cluster_points(city_items(spark, d), 50, 12, min_zoom=10).links
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("item_id"))
-    return K.leaves(links).withColumn("rank", rank).filter("rank <= 10").select("cluster_id", "item_id", "rank")
+    items = city_items(spark, d)
+    found = K.children(K.cluster_points(items, 50, 12, min_zoom=8), items)
+    return found.select("cluster_id", "rank", "item_id", scaled(F.col("x"), 10**9).alias("x"), scaled(F.col("y"), 10**9).alias("y"), "n", "cluster")
 
 
 PIXELS = "(SELECT DISTINCT user_id AS tile_id FROM events), (SELECT unnest(range(0, 64)) AS i)"

@@ -221,11 +221,9 @@ def win_cluster_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def top_leaves(spark: SparkSession, d: str) -> DataFrame:
-    """Leaves 11 to 20 of each cluster of zoom 11."""
+    """Leaves 11 to 20 of each cluster of zooms 10 and 11, depth first."""
     shared(spark, "clusters")
-    links = cluster.cluster_points(city_items(spark, d), 50, 11, min_zoom=11).links
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("item_id"))
-    return cluster.leaves(links).withColumn("rank", rank).filter("rank between 11 and 20").select("cluster_id", "item_id", "rank")
+    return cluster.leaves_in_order(cluster.cluster_points(city_items(spark, d), 50, 11, min_zoom=10), 10, 10)
 
 
 @query()

@@ -22,7 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: So many items may be scanned as one group: 4 MB.
@@ -288,3 +288,77 @@ def expansion_zoom(levels: DataFrame, max_zoom: int) -> DataFrame:
     """cluster_id and the zoom at which it comes apart: one above that at which it was made, at most max_zoom + 1."""
     made = levels.filter("made").select(F.col("item_id").alias("cluster_id"), "z")
     return made.select("cluster_id", F.least(F.col("z") + 1, F.lit(max_zoom + 1)).alias("zoom"))
+
+
+def before(rows: DataFrame, by: list[str], order: list[str], value: Column, most_cells: int = 1 << 18) -> DataFrame:
+    """rows with `_before`: the sum of value over the rows of the same `by` that come earlier in the order of whole-number columns.
+
+    Ranges of the last column are summed first and the sums added up, so a group
+    of any size is many windows; the order within a group must be without ties.
+    """
+    *lead, last = order
+    low, high = rows.agg(F.min(last), F.max(last)).first()
+    size = max(4096, ((high or 0) - (low or 0)) // most_cells + 1)
+    cell = [*by, *lead, "_cell"]
+    at = rows.withColumns({"_value": value, "_cell": F.floor((F.col(last) - F.lit(low or 0)) / size)})
+    sums = at.groupBy(*cell).agg(F.sum("_value").alias("_sum"))
+
+    def gone(column: str, window: WindowSpec) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    starts = sums.select(*cell, gone("_sum", Window.partitionBy(*by).orderBy(*lead, "_cell")).alias("_start"))
+    total = F.col("_start") + gone("_value", Window.partitionBy(*cell).orderBy(last))
+    return at.join(starts, cell).withColumn("_before", total).drop("_value", "_cell", "_start")
+
+
+class Tour(NamedTuple):
+    """A walk through all clusters, children in order, each leaf counted once.
+
+    spans: cluster_id, start, n: the cluster's leaves are those of places start
+    to start + n - 1. places: item_id, at: the place of each leaf.
+    """
+
+    spans: DataFrame
+    places: DataFrame
+
+
+def tour(found: Clusters) -> Tour:
+    """The walk through found: sizes give each child its offset in its cluster; starts go down from zoom to zoom, a join for each."""
+    made = found.levels.filter("made").select(F.col("item_id").alias("cluster_id"), "seq", "n", F.pmod(-F.col("item_id"), F.lit(32)).cast("int").alias("z"))
+    sizes = made.select(F.col("cluster_id").alias("child_id"), F.col("n").alias("size"))
+    links = found.links.join(sizes, "child_id", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+    children = before(links, ["cluster_id"], ["place", "child_seq"], F.col("size")).select("z", "cluster_id", "child_id", F.col("size").alias("n"), "_before").checkpoint()
+    roots = made.join(children.select(F.col("child_id").alias("cluster_id")), "cluster_id", "left_anti")
+    starts = before(roots, [], ["seq"], F.col("n")).select("cluster_id", F.col("_before").alias("start"), "n").checkpoint()
+    spans, places = starts, None
+    for z in sorted(r.z for r in children.select("z").distinct().collect()):  # a row a zoom
+        here = children.filter(F.col("z") == z).join(spans.select("cluster_id", "start"), "cluster_id")
+        rows = here.select("child_id", (F.col("start") + F.col("_before")).alias("at"), "n").checkpoint()
+        spans = spans.unionByName(rows.filter("child_id < 0").select(F.col("child_id").alias("cluster_id"), F.col("at").alias("start"), "n"))
+        leaf = rows.filter("child_id >= 0").select(F.col("child_id").alias("item_id"), "at")
+        places = leaf if places is None else places.unionByName(leaf)
+    if places is None:
+        places = children.select(F.col("child_id").alias("item_id"), F.col("_before").alias("at"))
+    return Tour(spans, places)
+
+
+def leaves_in_order(found: Clusters, limit: int | None = 10, offset: int = 0) -> DataFrame:
+    """cluster_id, item_id, rank (from 1) of each cluster's leaves offset + 1 to offset + limit, depth first and children in order; all from offset on if limit is None.
+
+    Leaves that aren't asked for are never made: a cluster asks for places, each of which one leaf has.
+    """
+    spans, places = tour(found)
+    last = F.col("n") if limit is None else F.least("n", F.lit(offset + limit))
+    asked = spans.withColumn("last", last).filter(F.col("last") > offset)
+    step = 1 << 16  # so that no array grows with a cluster
+    asked = asked.withColumn("first", F.explode(F.sequence(F.lit(offset).cast("long"), F.col("last") - 1, F.lit(step).cast("long"))))
+    asked = asked.select("cluster_id", "start", F.explode(F.sequence("first", F.least(F.col("first") + step, "last") - 1)).alias("k"))
+    return asked.select("cluster_id", (F.col("start") + F.col("k")).alias("at"), (F.col("k") + 1).alias("rank")).join(places, "at").select("cluster_id", "item_id", "rank")
+
+
+def children(found: Clusters, points: DataFrame) -> DataFrame:
+    """cluster_id, rank (from 1), item_id, x, y, n, cluster: the children of each cluster in order, as features; points as they were given."""
+    ranked = before(found.links, ["cluster_id"], ["place", "child_seq"], F.lit(1).cast("long"))
+    own = points.select("item_id", "x", "y", F.lit(1).cast("long").alias("n"), F.lit(False).alias("cluster"))
+    features = own.unionByName(found.levels.filter("made").select("item_id", "x", "y", "n", F.lit(True).alias("cluster")))
+    return ranked.select("cluster_id", (F.col("_before") + 1).alias("rank"), F.col("child_id").alias("item_id")).join(features, "item_id").select("cluster_id", "rank", "item_id", "x", "y", "n", "cluster")

@@ -172,6 +172,22 @@ def test_takers_of_a_chain_and_a_crowd(spark, rounds, monkeypatch):
     assert found.links.groupBy("cluster_id").count().agg({"count": "sum"}).first()[0] == sum(r[5] for r in got if r[1] < 0)
 
 
+@pytest.mark.parametrize("few", [10_000, 20])
+def test_leaves_in_order(spark, few):
+    """All leaves of five levels, and ranges of them, whichever engine makes the clusters; none of an empty table."""
+    df = spark.createDataFrame(points(spark, 150), "item_id long, seq long, x double, y double, value double")
+    found = cluster.cluster_points(df, 50, 12, min_zoom=8, few=few)
+    kids = {}
+    for r in sorted(found.links.collect(), key=lambda r: (r.place, r.child_seq)):
+        kids.setdefault(r.cluster_id, []).append(r.child_id)
+    walk = lambda i: [leaf for c in kids[i] for leaf in walk(c)] if i in kids else [i]
+    want = {(c, i, k) for c in kids for k, i in enumerate(walk(c), 1)}
+    assert {tuple(r) for r in cluster.leaves_in_order(found, None).collect()} == want and want
+    assert {tuple(r) for r in cluster.leaves_in_order(found, 3, 2).collect()} == {w for w in want if 3 <= w[2] <= 5}
+    nothing = cluster.cluster_points(df.limit(0), 50, 12, min_zoom=11)
+    assert cluster.leaves_in_order(nothing).count() == 0 and cluster.children(nothing, df).count() == 0
+
+
 @pytest.mark.parametrize("few", [10_000, 20])
 def test_reducers_are_carried_through_the_levels(spark, few):
     rows = [(i, s, x, y, v, v, v, 1 + v / 1000, i % 2 == 0, i % 50 == 7) for i, s, x, y, v in points(spark, 120)]

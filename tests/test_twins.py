@@ -71,16 +71,56 @@ def test_agg_cluster_tile(spark, sf_dir, items):
     assert all(abs(w[5] * 100 - g[5]) < 1 and abs(w[6] * 100 - g[6]) < 1 for w, g in zip(want, got))
 
 
-def leaves_of(levels):
-    return {i: sorted(below) for _, i, *_, below, children in levels if children}
+def in_child_order(items, high, low, radius=50):
+    """Children of each cluster in the order of a search through the nine squares around its taker, column by column, and x, y, n of every item."""
+    now = [(i, s, x, y, 1) for i, s, x, y, v in items]
+    of, at = {}, {p[0]: p[2:] for p in now}
+    for z in range(high, low - 1, -1):
+        reach, squares, level, free = radius / (512 * 2.0**z), {}, [], [True] * len(now)
+        for k, p in enumerate(now):
+            squares.setdefault((math.floor(p[2] / reach), math.floor(p[3] / reach)), []).append(k)
+        for k, (i, s, x, y, n) in enumerate(now):
+            if not free[k]:
+                continue
+            free[k] = False
+            cx, cy = math.floor(x / reach), math.floor(y / reach)
+            met = [m for c in range(cx - 1, cx + 2) for r in range(cy - 1, cy + 2) for m in squares.get((c, r), [])]
+            near = [m for m in met if free[m] and (now[m][2] - x) ** 2 + (now[m][3] - y) ** 2 <= reach**2]
+            if not near:
+                level.append((i, s, x, y, n))
+                continue
+            for m in near:
+                free[m] = False
+            group, own = [now[k], *(now[m] for m in near)], -(s + 1) * 32 - z
+            total = sum(q[4] for q in group)
+            of[own] = [q[0] for q in group]
+            level.append((own, s, sum(q[2] * q[4] for q in group) / total, sum(q[3] * q[4] for q in group) / total, total))
+            at[own] = level[-1][2:]
+        now = level
+    return of, at
+
+
+def depth_first(of, i):
+    return [leaf for c in of[i] for leaf in depth_first(of, c)] if i in of else [i]
 
 
 def test_leaves(spark, sf_dir, items):
-    for name, high, low, first, last in (("agg_cluster_leaves", 12, 10, 1, 10), ("top_leaves", 11, 11, 11, 20)):
-        want = {(c, i, k) for c, below in leaves_of(twin(items, high, low)).items() for k, i in enumerate(below, 1) if first <= k <= last}
+    for name, high, low, first, last in (("agg_cluster_leaves", 12, 8, 1, 10), ("top_leaves", 11, 10, 11, 20)):
+        of, _ = in_child_order(items, high, low)
+        want = {(c, i, k) for c in of for k, i in enumerate(depth_first(of, c), 1) if first <= k <= last}
         assert {tuple(r) for r in rows_of(spark, sf_dir, name)} == want and want
 
 
+def test_agg_cluster_children(spark, sf_dir, items):
+    of, at = in_child_order(items, 12, 8)
+    want = {(c, k): (i, at[i]) for c, mine in of.items() for k, i in enumerate(mine, 1)}
+    got = {(r.cluster_id, r.rank): r for r in rows_of(spark, sf_dir, "agg_cluster_children")}
+    assert got.keys() == want.keys() and want
+    for key, (i, (x, y, n)) in want.items():
+        r = got[key]
+        assert (r.item_id, r.n, r.cluster) == (i, n, i in of) and abs(r.x - x * 1e9) < 1 and abs(r.y - y * 1e9) < 1
+
+
 def test_win_cluster_ids(spark, sf_dir, items):
     made = [(-z, s, i) for z, i, s, *_, children in twin(items, 12, 8) if children]
     assert {r.item_id: r.cluster_id for r in rows_of(spark, sf_dir, "win_cluster_ids")} == {i: k for k, (_, _, i) in enumerate(sorted(made), 1)}
