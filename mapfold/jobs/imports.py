@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import inspection as I
 from ..operators import validate as V
 from ..sources import geojson as J
 from ..sources import osm as O
 from .inputs import WAYS_SQL, scaled, scaled_sql, sql, table, view, ways
 from .registry import query
+from .scenes import shared
 
 NODES, WORLD = sql("osm_nodes"), sql("pts_world")
 
@@ -162,6 +164,43 @@ def val_inspect(spark: SparkSession, d: str) -> DataFrame:
     return V.issues(inspected(spark, d)).select("feature_seq", "severity", "code")
 
 
+#: forms of features, by event_id % 9, and the code and path of what is wrong with each
+FORMS = {
+    0: ('{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]}}', None, None),
+    1: ('{"type":"Feature","id":"far","geometry":{"type":"Point","coordinates":[200,2]}}', "mercator-range", ".geometry.coordinates"),
+    2: ('{"type":"Feature","geometry":{"type":"LineString","coordinates":[[1,2]]}}', "line-length", ".geometry"),
+    3: ('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1]]]}}', "ring-open", ".geometry.coordinates[0]"),
+    4: ('{"type":"Feature","geometry":{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]},{"type":"LineString","coordinates":[[0,0],["x",1]]}]}}', "coordinate", ".geometry.geometries[1].coordinates[1]"),
+    5: ('{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[[]]}}', "polygon", ".geometry"),
+    6: ('{"type":"Feature","geometry":{"type":"Circle","coordinates":[1,2]}}', "geometry-type", ".geometry"),
+    7: ('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[2,2],[2,0],[0,2],[0,0]]]}}', "self-intersection", ".geometry.coordinates[0]"),
+    8: ('{"type":"Thing"}', "feature", ""),
+}
+
+
+def formed(spark: SparkSession, d: str) -> DataFrame:
+    """A feature of one of the forms for each event."""
+    text = F.get(F.array(*(F.lit(FORMS[k][0]) for k in range(9))), (F.col("event_id") % 9).cast("int"))
+    return table(spark, d, "events").select(F.col("event_id").alias("feature_seq"), F.parse_json(text).alias("v"))
+
+
+FORMED = ", ".join(f"({k}, '{code}', '{path}')" for k, (_, code, path) in FORMS.items() if code)
+
+
+@query(f"SELECT event_id AS feature_seq, CASE WHEN k = 1 THEN 'far' END AS fid, CASE WHEN k = 1 THEN 'warning' ELSE 'error' END AS severity, code, '$.features[' || event_id || ']' || path AS path FROM events JOIN (VALUES {FORMED}) AS f(k, code, path) ON event_id % 9 = k")
+def val_inspect_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every issue of features of all forms, with its path."""
+    shared(spark, "inspection")
+    return I.inspect(formed(spark, d)).issues.select("feature_seq", "fid", "severity", "code", "path")
+
+
+@query("""SELECT false AS valid, count(*) AS feature_count, sum([1, 1, 1, 4, 3, 0, 0, 5, 0][event_id % 9 + 1]) AS coordinate_count, count(*) FILTER (WHERE event_id % 9 > 1) + CASE WHEN count(*) > 500 THEN 1 ELSE 0 END AS errors, count(*) FILTER (WHERE event_id % 9 = 1) AS warnings FROM events""")
+def val_inspect_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Whether all is valid, and the totals, with a limit of 500 features, which is an error."""
+    shared(spark, "inspection")
+    return I.inspect(formed(spark, d), most_features=500).summary
+
+
 @query(f"SELECT event_id, {scaled_sql('lon')} AS x, {scaled_sql('greatest(-85.05112878, least(85.05112878, lat))')} AS y FROM {BAD}")
 def val_normalize(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.geometry import normalized

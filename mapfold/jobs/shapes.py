@@ -102,6 +102,7 @@ def agg_merge_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def agg_label_thin(spark: SparkSession, d: str) -> DataFrame:
+    shared(spark, "labels")
     p, n = view(spark, d, "pts_city"), 1 << 12
     wx, wy = M.world_x(p.lon) * n, M.world_y(p.lat) * n
     box = p.select(F.floor(wx).alias("x"), F.floor(wy).alias("y"), F.col("event_id").alias("label_id"), (F.col("event_id") % 3).alias("priority"), F.col("weight").alias("sort_key"), ((wx - F.floor(wx)) * 512).alias("w"), ((wy - F.floor(wy)) * 512).alias("s"))

@@ -220,30 +220,92 @@ def place_labels(boxes: list[tuple], most: int | None = None) -> list[bool]:
     return shown
 
 
-def thin_labels(labels: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
+#: So many labels of a group may be placed in one task.
+FEW_LABELS = 50_000
+
+
+def thin_labels(labels: DataFrame, by: list[str], most: int | None = None, few: int = FEW_LABELS) -> DataFrame:
     """by, label_id of the labels(by, label_id, priority, sort_key, w, s, e, n) that fit, each group of `by` for itself.
 
     Of a group's labels the first `most` in order are candidates, if it is
     given: 2000 is what browsers take. Columns allow_overlap and
     ignore_placement may be there: such labels are shown whatever they overlap,
-    or leave their place to others.
+    or leave their place to others. Nulls in priority and sort_key count as 0,
+    in the two flags as false; labels without a whole box are left out. Groups
+    of up to `few` labels are placed one by one, others by rounds of joins.
     """
     columns = ["priority", "sort_key", "w", "s", "e", "n", "allow_overlap", "ignore_placement"]
     for name in columns[6:]:
         if name not in labels.columns:
             labels = labels.withColumn(name, F.lit(False))
+    filled = [F.coalesce(name, F.lit(0)).alias(name) for name in columns[:2]] + columns[2:6] + [F.coalesce(name, F.lit(False)).alias(name) for name in columns[6:]]
+    labels = labels.dropna(subset=columns[2:6]).select(*by, "label_id", *filled)
+    if most is not None:
+        order = Window.partitionBy(*by).orderBy(F.desc("priority"), "sort_key", "label_id")
+        labels = labels.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most).drop("_k")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
                 items = sorted(row.items, key=lambda r: r["label_id"])
-                shown = place_labels([tuple(r[c] for c in columns) for r in items], most)
+                shown = place_labels([tuple(r[c] for c in columns) for r in items])
                 out += [(*(getattr(row, b) for b in by), r["label_id"]) for r, ok in zip(items, shown) if ok]
             yield pd.DataFrame(out, columns=[*by, "label_id"])
 
     schema = ", ".join(f"{b} {labels.schema[b].dataType.simpleString()}" for b in by) + ", label_id long"
-    return labels.groupBy(*by).agg(F.collect_list(F.struct("label_id", *columns)).alias("items")).mapInPandas(work, schema)
+    group = F.struct(*by)  # null is equal to null in a struct
+    full = labels.groupBy(*by).agg(F.count("*").alias("size")).filter(F.col("size") > few).select(group.alias("_group")).checkpoint()
+    if full.isEmpty():
+        return labels.groupBy(*by).agg(F.collect_list(F.struct("label_id", *columns)).alias("items")).mapInPandas(work, schema)
+    keyed = labels.withColumn("_group", group)
+    small = keyed.join(full, "_group", "left_anti").groupBy(*by).agg(F.collect_list(F.struct("label_id", *columns)).alias("items")).mapInPandas(work, schema)
+    crowded = by_rounds(keyed.join(full, "_group", "left_semi").select("_group", "label_id", *columns))
+    return small.unionByName(crowded.select(*(F.col("_group")[b].alias(b) for b in by), "label_id"))
+
+
+def by_rounds(labels: DataFrame) -> DataFrame:
+    """_group, label_id of the labels that are shown, by rounds of joins: no task holds a group.
+
+    A label is dealt to squares of its own size, four at most, and of the larger
+    sizes in use. In a square, those of its size wait for whatever is earlier,
+    smaller ones for earlier ones of its size. What waits for nothing is shown,
+    what it overlaps is not, and the rest goes on. A round shows one blocker of
+    its size at most in a square, so a crowded square isn't all pairs; only
+    labels that are shown anyway meet all others of their squares.
+    """
+    box, square = ["w", "s", "e", "n"], ["_group", "level", "cx", "cy"]
+    size = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"), F.lit(2.0**-20))
+    order = F.struct((-F.col("priority")).alias("p"), "sort_key", "label_id", "_row").alias("ord")
+    rows = labels.withColumn("_row", F.monotonically_increasing_id()).select("_group", "label_id", "_row", order, *box, "allow_overlap", (~F.col("ignore_placement")).alias("holds"), F.ceil(F.log2(size)).cast("int").alias("own")).checkpoint()
+    levels = sorted(r.own for r in rows.select("own").distinct().collect())  # some dozens at most: sizes from 2**-20 by powers of two
+
+    def dealt(some: DataFrame) -> DataFrame:
+        at = some.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda v: v >= F.col("own"))))
+        cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.pow(F.lit(2.0), "level")), F.floor(F.col(b) / F.pow(F.lit(2.0), "level"))))
+        return at.withColumn("cx", cells("w", "e")).withColumn("cy", cells("s", "n")).withColumn("is_own", F.col("level") == F.col("own"))
+
+    def covered(waiting: DataFrame, taken: DataFrame) -> DataFrame:
+        """_row of the waiting that what is taken overlaps and precedes."""
+        other = taken.select(*square, F.col("is_own").alias("b_own"), F.col("ord").alias("b_ord"), *(F.col(c).alias(f"b_{c}") for c in box))
+        over = (F.col("b_w") < F.col("e")) & (F.col("b_e") > F.col("w")) & (F.col("b_s") < F.col("n")) & (F.col("b_n") > F.col("s"))
+        met = waiting.join(other, square).filter((F.col("is_own") | F.col("b_own")) & over & (F.col("b_ord") < F.col("ord")))
+        return met.select("_row").distinct()
+
+    free = rows.filter("allow_overlap")
+    left = rows.filter("not allow_overlap")
+    shown = free.select("_group", "label_id")
+    if not free.filter("holds").isEmpty():
+        left = left.join(covered(dealt(left), dealt(free.filter("holds"))), "_row", "left_anti").checkpoint()
+    while not left.isEmpty():
+        at = dealt(left)
+        first = at.filter("holds").groupBy(*square).agg(F.min("ord").alias("any"), F.min(F.when(F.col("is_own"), F.col("ord"))).alias("large"))
+        waits = at.join(first, square).filter(F.when(F.col("is_own"), F.col("any")).otherwise(F.col("large")) < F.col("ord")).select("_row").distinct()
+        now = left.join(waits, "_row", "left_anti").checkpoint()
+        shown = shown.unionByName(now.select("_group", "label_id"))
+        rest = left.join(now.select("_row"), "_row", "left_anti")
+        left = rest.join(covered(dealt(rest), dealt(now.filter("holds"))), "_row", "left_anti").checkpoint()
+    return shown
 
 
 # Distances of grid lines in degrees.
