@@ -92,7 +92,11 @@ def of_variant(v: Column) -> Value:
 
 
 def member(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, '$["' + key.replace("\\", "\\\\").replace('"', '\\"') + '"]', "variant")
+    """A property by name; paths have no escapes, so names with both quotes, and the empty name, are looked up in a map."""
+    sign = next((q for q in "\"'" if q not in key), None)
+    if not key or sign is None:
+        return F.try_variant_get(v, "$", "map<string,variant>")[key]
+    return F.try_variant_get(v, f"$[{sign}{key}{sign}]", "variant")
 
 
 def choose(pairs: list[tuple[Column, Value]], other: Value) -> Value:

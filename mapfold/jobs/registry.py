@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Registers the queries of all modules."""
-    from . import changes, density, imports, scalars, scenes, shapes, spatial, styles  # noqa: F401
+    from . import changes, density, imports, layers, scalars, scenes, shapes, spatial, styles  # noqa: F401
