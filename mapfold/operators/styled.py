@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..functions.expressions import Row, Value, compile_expression, compile_filter, is_legacy, legacy_function, member, to_number
+from ..functions.expressions import Row, Value, compile_expression, compile_filter, is_legacy, legacy_function, member
 from .spatial import features_at
 
 #: The kinds of geometry (1 points, 2 lines, 3 polygons) that a layer type draws.
@@ -28,6 +28,8 @@ NUMBERS = {
 }
 #: Layer type -> property of the color.
 COLORS = {"circle": "circle-color", "symbol": "text-color", "fill": "fill-color", "fill-extrusion": "fill-extrusion-color", "line": "line-color"}
+#: The greatest finite number.
+MOST = 1.7976931348623157e308
 PAINT = ["color", "opacity", "width", "radius", "stroke", "stroke_opacity", "size"]
 
 
@@ -89,8 +91,9 @@ def instruction(layer: dict, row: Row) -> Column:
 
 
 def finite(v: Value) -> Column:
-    n = F.when(~v.is_null(), to_number(v).num)
-    return F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n)
+    """The number that a value counts as; null if it is none, not finite, or not there. Each slot is named once: expressions are deep."""
+    n = F.coalesce(v.num, v.bool.cast("double"), F.trim(v.str).try_cast("double"))
+    return F.when(F.abs(n) <= MOST, n)
 
 
 def row_of(features: DataFrame, zoom: float) -> Row:
