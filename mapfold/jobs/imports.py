@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inspection as I
 from ..operators import validate as V
+from ..operators.spatial import with_next
 from ..sources import geojson as J
 from ..sources import osm as O
 from .inputs import WAYS_SQL, scaled, scaled_sql, sql, table, view, ways
@@ -90,6 +91,25 @@ def agg_topo_stitch(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("line_id", F.size("line").cast("long").alias("n"), scaled(F.aggregate("line", F.lit(0.0), lambda a, p: a + p["x"])).alias("x"))
 
 
+@query(f"""WITH e AS (SELECT user_id, event_id, xor(event_id, 5461) AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM {sql('pts_city')}),
+l AS (SELECT user_id, min(seq) AS ring, arg_min(r, seq) AS r0, arg_min(event_id % 3 = 0, seq) AS back FROM e GROUP BY user_id),
+p AS (SELECT e.user_id AS relation_id, ring, event_id, n, CASE WHEN back THEN (r0 + 1 - r + n) % n ELSE (r - r0 + n) % n END AS place FROM e JOIN l ON e.user_id = l.user_id WHERE n >= 3)
+SELECT relation_id, ring, place, event_id AS x, NULL AS code FROM p UNION ALL SELECT relation_id, ring, n, event_id, NULL FROM p WHERE place = 0
+UNION ALL SELECT DISTINCT user_id, NULL, NULL, NULL, 'open-outer' FROM e WHERE n < 3""")
+def agg_ring_walks(spark: SparkSession, d: str) -> DataFrame:
+    """One ring through all events of a user, from ways between two events each, in any order and a third of them turned around."""
+    shared(spark, "rings")
+    p = view(spark, d, "pts_city").select("user_id", "event_id")
+    steps = with_next(p, "user_id", "event_id", [], 4096).filter("next is not null").select("user_id", "event_id", F.col("next.event_id").alias("to"))
+    back = p.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.min("event_id").alias("to"))
+    at = lambda c: F.struct(F.col(c).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    line = F.when(F.col("event_id") % 3 == 0, F.array(at("to"), at("event_id"))).otherwise(F.array(at("event_id"), at("to")))
+    ways_ = steps.unionByName(back).select(F.col("user_id").alias("relation_id"), F.col("event_id").bitwiseXOR(F.lit(5461)).alias("pos"), F.lit("outer").alias("role"), line.alias("line"), F.lit(None).cast("string").alias("code"))
+    rings, errors = O.relation_positions(ways_)
+    found = rings.select("relation_id", "ring", "place", F.col("x").cast("long").alias("x"), F.lit(None).cast("string").alias("code"))
+    return found.unionByName(errors, allowMissingColumns=True)
+
+
 @query()
 def agg_rings(spark: SparkSession, d: str) -> DataFrame:
     """Relations of the two ways between stops a and b of an order, out and back: one ring each."""

@@ -113,7 +113,8 @@ def with_layers(features: DataFrame, layers: list[dict], zoom: float, value) ->
 
     All layers are tested in one pass without a shuffle: a feature gets an
     array of those that draw it, which is exploded. Layers that aren't shown,
-    and types without features such as backgrounds, give no rows.
+    and types without features such as backgrounds, give no rows; nor do
+    features without a known type of geometry.
     """
     row = row_of(features, zoom)
     drawn = [(place, layer) for place, layer in enumerate(layers) if layer["type"] in KINDS and shown(layer, zoom)]

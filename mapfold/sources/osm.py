@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.changes import last_per_key
+from ..operators.rings import ring_positions
 
 # Tags that make a closed way an area, whatever their value.
 AREA_TAGS = "landuse landcover amenity shop tourism office military".split()
@@ -154,6 +155,22 @@ def relation_rings(lines: DataFrame) -> DataFrame:
     return grouped.mapInPandas(work, "relation_id long, role string, ring_no int, ring array<struct<x:double,y:double>>, code string")
 
 
+def relation_positions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """relation_id, role, ring, place, x, y of relation_lines' rows, and relation_id, code of the relations with an error.
+
+    The rings of relation_rings, a row for each position, with the least pos of
+    a ring's ways as its name: rings are put in order by rounds of joins, so
+    neither a relation nor a ring is held in one task. Of several errors the
+    code is that of the first member, or of the first role that isn't closed.
+    """
+    coded = lines.filter("code is not null").groupBy("relation_id").agg(F.min_by("code", "pos").alias("code")).checkpoint()
+    good = lines.join(coded, "relation_id", "left_anti").filter("relation_id is not null and role is not null")
+    rings, broken = ring_positions(good.select(F.struct("relation_id", "role").alias("of"), F.col("pos").cast("long").alias("seq"), "line"), "of")
+    open_ = broken.groupBy(F.col("of.relation_id").alias("relation_id")).agg(F.concat(F.lit("open-"), F.min("of.role")).alias("code"))
+    errors = coded.unionByName(open_)
+    return rings.select("of.relation_id", "of.role", "ring", "place", "x", "y").join(errors, "relation_id", "left_anti"), errors
+
+
 def delta_arcs(deltas: DataFrame, scale: tuple[float, float] | None = None, translate: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """arc_id, pos, x, y of deltas(arc_id, pos, x, y): running sums, scaled and moved; as they are without a scale."""
     if scale is None:
