@@ -220,7 +220,10 @@ def rgba_text(r: Column, g: Column, b: Column, a: Column) -> Column:
 
 
 def mix(a: Value, b: Value, t: Column) -> Value:
-    """Between two outputs of a ramp: numbers and colours blend, others snap at the middle."""
+    """Between two outputs of a ramp: numbers and colours blend, known arrays of one length do so item by item, others snap at the middle."""
+    if isinstance(a.known, list) and isinstance(b.known, list) and len(a.known) == len(b.known):
+        items = [item_text(mix(literal(x), literal(y), t)) for x, y in zip(a.known, b.known)]
+        return Value(json=F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]")))
     ca, cb = (parse_color(v.known) if isinstance(v.known, str) else None for v in (a, b))
     if ca and cb:
         return Value(str=rgba_text(*(F.lit(float(x)) + (float(y) - float(x)) * t for x, y in zip(ca, cb))))
@@ -228,6 +231,12 @@ def mix(a: Value, b: Value, t: Column) -> Value:
     return replace(snapped, num=F.coalesce(a.num + (b.num - a.num) * t, snapped.num))
 
 
+def item_text(v: Value) -> Column:
+    """A value as an item of a JSON array."""
+    quoted = F.regexp_replace(F.to_json(F.array(v.str)), r"^\[|\]$", "")
+    return F.coalesce(F.when(v.str.isNotNull(), quoted), number_text(v.num), v.bool.cast("string"), v.json, F.lit("null"))
+
+
 class Compiler:
     def __init__(self, row: Row, strict: bool = True):
         self.row, self.strict, self.names = row, strict, {}

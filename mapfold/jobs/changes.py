@@ -184,6 +184,16 @@ def st_corridor(spark: SparkSession, d: str) -> DataFrame:
     return C.corridor(at, F.lit(4.0)).select("z", "x", "y").distinct()
 
 
+@query("""WITH m AS (SELECT event_id, sin(radians(event_id % 360)) AS sx, cos(radians(event_id % 360)) AS cx, (lon + 180) / 360 * 4096 AS px, (0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * 4096 AS py,
+CAST(ceil(least(16e0, greatest(0e0, CASE WHEN user_id % 7 <> 0 THEN (user_id % 50) * 60e0 / (2 * pi() * 6371008.8 * cos(radians(lat)) / 4096) ELSE 0e0 END))) AS BIGINT) AS steps FROM """ + sql("pts_city") + """ WHERE event_id % 9 <> 0),
+t AS (SELECT event_id, steps, CAST(floor(px + sx * step + cx * side + 0.5) AS BIGINT) AS x, CAST(floor(py - cx * step + sx * side + 0.5) AS BIGINT) AS y FROM m, (SELECT unnest(range(1, 17)) AS step), (SELECT unnest(range(-1, 2)) AS side) WHERE step <= steps)
+SELECT DISTINCT event_id, ((x % 4096) + 4096) % 4096 AS x, y FROM t WHERE y >= 0 AND y < 4096""")
+def st_corridor_ahead(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles that moving positions reach within a minute at their own speeds."""
+    p = view(spark, d, "pts_city").selectExpr("event_id", "12 AS z", "lon", "lat", "CASE WHEN event_id % 9 <> 0 THEN event_id % 360 END AS heading", "CASE WHEN user_id % 7 <> 0 THEN user_id % 50 END AS speed", "60 AS seconds")
+    return C.corridor_ahead(p).select("event_id", "x", "y")
+
+
 COST = 8_000_000
 ARCS_SQL = f"""SELECT from_id AS src, to_id AS dst, cost, edge_id FROM {GEDGES_SQL} WHERE NOT closed AND cost <= {COST}"""
 BACK_SQL = f"""SELECT to_id, from_id, cost, edge_id FROM {GEDGES_SQL} WHERE NOT closed AND NOT one_way AND cost <= {COST}"""

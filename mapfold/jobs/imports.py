@@ -239,6 +239,29 @@ def val_heat_points(spark: SparkSession, d: str) -> DataFrame:
     return V.heat_points(raw)[0].select("event_id", scaled(F.col("weight")).alias("weight"), "time_ms")
 
 
+HEAT_TIME = "CASE event_id % 4 WHEN 1 THEN time_ms WHEN 2 THEN time_ms // 1000 * 1000 END"
+
+
+@query(f"""WITH p AS (SELECT *, CASE event_id % 6 WHEN 0 THEN 1e0 WHEN 1 THEN -1e0 WHEN 2 THEN event_id % 100 / 4e0 ELSE event_id % 50 END AS w FROM {WORLD} WHERE event_id % 5 <> 4)
+SELECT event_id, {scaled_sql('lon')} AS lon, {scaled_sql('w')} AS weight, {HEAT_TIME} AS time_ms, NULL AS code FROM p WHERE w >= 0 AND event_id % 8 <> 7
+UNION ALL SELECT event_id, {scaled_sql('lon / 2')}, {scaled_sql('w')}, {HEAT_TIME}, NULL FROM p WHERE w >= 0 AND event_id % 8 <> 7 AND event_id % 5 = 0
+UNION ALL SELECT event_id, NULL, NULL, NULL, CASE WHEN w < 0 THEN 'weight' ELSE 'time' END FROM p WHERE w < 0 OR event_id % 8 = 7""")
+def val_heat_features(spark: SparkSession, d: str) -> DataFrame:
+    """Point and MultiPoint features as heat points, with the features that are refused."""
+    p = view(spark, d, "pts_world")
+    at = lambda x: F.struct(x.alias("x"), F.col("lat").alias("y"))
+    many, line = F.col("event_id") % 5 == 0, F.col("event_id") % 5 == 4
+    parts = F.when(many, F.array(F.array(at(F.col("lon"))), F.array(at(F.col("lon") / 2)))).otherwise(F.array(F.array(at(F.col("lon")))))
+    weight = F.expr("CASE event_id % 6 WHEN 0 THEN 'null' WHEN 1 THEN '-1' WHEN 2 THEN concat('\"', event_id % 100 / 4, '\"') ELSE string(event_id % 50) END")
+    stamp = F.date_format(F.timestamp_millis("time_ms"), "yyyy-MM-dd HH:mm:ss")
+    time = F.when(F.col("event_id") % 8 == 7, '"soon"').when(F.col("event_id") % 4 == 1, F.col("time_ms").cast("string")).when(F.col("event_id") % 4 == 2, F.concat(F.lit('"'), stamp, F.lit('"'))).otherwise('""')
+    props = F.parse_json(F.concat(F.lit('{"weight":'), weight, F.lit(',"time":'), time, F.lit("}")))
+    kind = F.when(many, "MultiPoint").when(line, "LineString").otherwise("Point")
+    points, refused = V.heat_features(p.select(F.col("event_id").alias("feature_id"), kind.alias("geometry_type"), parts.alias("parts"), props.alias("props")))
+    found = points.select(F.col("feature_id").alias("event_id"), scaled(F.col("lon")).alias("lon"), scaled(F.col("weight")).alias("weight"), "time_ms")
+    return found.unionByName(refused.withColumnRenamed("feature_id", "event_id"), allowMissingColumns=True)
+
+
 @query("SELECT count(*) AS features, count(*) + 2 * count(*) FILTER (WHERE event_id % 5 = 0) AS coordinates FROM events")
 def val_budget(spark: SparkSession, d: str) -> DataFrame:
     return V.check_budget(inspected(spark, d), 10**9, 10**10)

@@ -73,6 +73,13 @@ def ex_interp(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
+@query(f"""SELECT event_id, {M.format('2 * least(greatest(k, 0), 100) / 100')} AS x, {M.format('10 - 20 * least(greatest(k, 0), 100) / 100')} AS y, CASE WHEN k < 50 THEN 'left' ELSE 'right' END AS side FROM {E}""")
+def ex_interp_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Items of arrays between stops: numbers blend, others snap at the middle."""
+    ramp = ["interpolate", ["linear"], ["get", "k"], 0, ["literal", [0, 10, "left"]], 100, ["literal", [2, -10, "right"]]]
+    return ask(spark, d, x=(["at", 0, ramp], "num"), y=(["at", 1, ramp], "num"), side=(["at", 2, ramp], "str"))
+
+
 @query(f"""SELECT event_id, t = 'view' AS is_view, v IS NULL OR v <> 7 AS not_7, coalesce(v < 50, false) AS below, coalesce(name > 'n5', false) AS later, t IN ('view', 'signup') AND k > 20 AS both, contains(t, 'i') AS has_i, false AS mixed FROM {E}""")
 def ex_compare(spark: SparkSession, d: str) -> DataFrame:
     return ask(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geodesy import RADIUS
+from ..functions.mercator import world_x, world_y
+
 
 def last_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of the rows of a key the last in order, at its own place."""
@@ -180,6 +184,33 @@ def edit_log(steps: DataFrame, history: int = 20) -> DataFrame:
     return logs.mapInPandas(work, "doc_id long, fids string, undo long, redo long")
 
 
+def tiles_ahead(speed: Column, seconds: Column, lat: Column, z: Column) -> Column:
+    """How many tiles of zoom z a speed in metres a second covers in so many seconds: 0 to 16, null with any null."""
+    metres = 2 * math.pi * RADIUS * F.greatest(F.lit(0.01), F.cos(F.radians(lat))) / F.pow(F.lit(2.0), z)
+    tiles = speed * seconds / metres
+    return F.when(tiles.isNotNull(), F.least(F.lit(16.0), F.greatest(F.lit(0.0), tiles)))
+
+
+def corridor_ahead(moving: DataFrame, distance: float = 0.0, width: int = 1) -> DataFrame:
+    """The rows of moving(z, lon, lat, heading, speed, seconds) with each tile x, y that lies ahead.
+
+    Ahead are the tiles from one step on to as many as the speed covers in the
+    given seconds, `distance` at least, and `width` to each side; the heading is
+    in degrees from north. Rows without a heading or position, and those that
+    reach no tile, have none; a null speed or time covers nothing. Columns wrap
+    around the world, rows beyond its edges are left out.
+    """
+    covered = F.coalesce(tiles_ahead(F.col("speed"), F.col("seconds"), F.col("lat"), F.col("z")), F.lit(0.0))
+    steps = F.ceil(F.greatest(F.lit(float(distance)), covered)).cast("int")
+    rows = moving.dropna(subset=["z", "lon", "lat", "heading"]).withColumn("_steps", steps).filter("_steps > 0")
+    rows = rows.withColumn("_step", F.explode(F.sequence(F.lit(1), F.col("_steps")))).withColumn("_side", F.explode(F.sequence(F.lit(-width), F.lit(width))))
+    n, turn = F.pow(F.lit(2.0), F.col("z")), F.radians("heading")
+    x = F.floor(world_x(F.col("lon")) * n + F.sin(turn) * F.col("_step") + F.cos(turn) * F.col("_side") + 0.5)
+    y = F.floor(world_y(F.col("lat")) * n - F.cos(turn) * F.col("_step") + F.sin(turn) * F.col("_side") + 0.5)
+    rows = rows.withColumn("x", F.pmod(x, n.cast("long"))).withColumn("y", y).filter((F.col("y") >= 0) & (F.col("y") < n))
+    return rows.drop("_steps", "_step", "_side").distinct()
+
+
 def corridor(positions: DataFrame, distance: Column, width: int = 1, most: int = 16) -> DataFrame:
     """Tiles x, y at zoom z ahead of positions(z, x, y, bearing): up to `distance` tiles on, `width` to each side."""
     reach = F.least(F.lit(most), F.ceil(distance)).cast("int")

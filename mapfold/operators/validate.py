@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import Row, compile_expression
 from ..functions.mercator import MAX_LAT
 
 
@@ -103,6 +104,32 @@ def heat_points(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~wrong).select(*keep, F.col("_w").alias("weight"), F.col("_t").alias("time_ms")), rows.filter(wrong).select(*raw.columns)
 
 
+def heat_features(features: DataFrame, weight: str = "weight", time: str = "time") -> tuple[DataFrame, DataFrame]:
+    """features(feature_id, geometry_type, parts, props) as points, and feature_id and code of those that are refused.
+
+    Points are feature_id, lon, lat, weight and time_ms, one for each position
+    of Point and MultiPoint features; other types have none and are no error.
+    `weight` and `time` name properties. A weight is 1 if it is null or absent,
+    and must be a finite number, or text of one, that isn't negative; a time is
+    null, empty, a number of milliseconds, or a date, in UTC without a zone.
+    Codes: weight, time, and coordinates for a position without finite numbers;
+    a feature with an error has no points.
+    """
+    read = lambda name: compile_expression(["get", name], Row(props=F.col("props")))
+    w, t, inf = read(weight), read(time), float("inf")
+    number = F.coalesce(w.num, w.bool.cast("double"), F.when(F.trim(w.str) == "", 0.0), F.trim(w.str).try_cast("double"))
+    number = F.when(w.is_null(), 1.0).otherwise(number)
+    millis = F.coalesce(t.num.cast("long"), F.unix_millis(F.try_to_timestamp(t.str)))
+    finite = lambda c: F.coalesce((F.abs(c) < inf), F.lit(False))
+    at = F.when(F.col("geometry_type").isin("Point", "MultiPoint"), F.flatten("parts"))
+    rows = features.select("feature_id", at.alias("at"), number.alias("weight"), millis.alias("time_ms"), (t.is_null() | (t.str == "")).alias("timeless")).filter("at is not null")
+    code = F.when(~finite(F.col("weight")) | (F.col("weight") < 0), "weight").when(F.col("time_ms").isNull() & ~F.coalesce("timeless", F.lit(False)), "time")
+    code = code.when(F.exists("at", lambda p: ~(finite(p["x"]) & finite(p["y"]))), "coordinates")
+    rows = rows.withColumn("code", code)
+    points = rows.filter("code is null").select("feature_id", F.explode("at").alias("p"), "weight", "time_ms")
+    return points.select("feature_id", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"), "weight", "time_ms"), rows.filter("code is not null").select("feature_id", "code")
+
+
 def track_errors(frames: DataFrame) -> DataFrame:
     """frames(entity_id, event_id, time_ms, lon, lat) with a code: time (repeated), range or clock (beyond 7 days or below 0)."""
     again = frames.groupBy("entity_id", "time_ms").agg(F.count("*").alias("_n")).filter("_n > 1")
