@@ -116,27 +116,37 @@ def with_feature_state(features: DataFrame, state: DataFrame) -> DataFrame:
     return features.join(maps, ["source", "fid"], "left")
 
 
-def dispatch(events: DataFrame, ticks: DataFrame, blocks: int = 1024) -> DataFrame:
+#: Ticks of a scenario in a block of time, and events, on average.
+BLOCK_TICKS, BLOCK_EVENTS = 64, 65_536
+
+
+def tick_blocks(events: DataFrame, ticks: DataFrame, most: int = 1024) -> int:
+    """In how many blocks the time of ticks is cut: as many as the scenario with the most ticks or events needs, `most` at most."""
+    counts = events.select("scenario_id", F.lit(0).alias("tick")).unionByName(ticks.select("scenario_id", F.lit(1).alias("tick"))).groupBy("scenario_id").agg(F.count_if(F.col("tick") == 1).alias("ticks"), F.count_if(F.col("tick") == 0).alias("events"))
+    need = counts.agg(F.max(F.greatest(F.col("ticks") / BLOCK_TICKS, F.col("events") / BLOCK_EVENTS))).first()[0]
+    return min(most, max(1, math.ceil(need or 0)))
+
+
+def dispatch(events: DataFrame, ticks: DataFrame, blocks: int | None = None) -> DataFrame:
     """tick_ms with the events(scenario_id, event_id, time_ms) that a tick of ticks(scenario_id, time_ms) emits: those after the tick before, up to it.
 
     The first tick emits from the beginning. The time of the ticks is cut in
-    `blocks`: an event's tick is the first of its block that isn't before it, or
-    else the first of the scenario's next block, so a scenario's events may be
-    in any number of tasks.
+    `blocks` (see tick_blocks): an event's tick is the first of its block that
+    isn't before it, or else the first of the scenario's next block, so a
+    scenario's events may be in any number of tasks.
     """
     span = ticks.agg(F.min("time_ms").alias("low"), F.max("time_ms").alias("high")).first()
     low, high = span["low"] or 0, span["high"] or 0
-    width = max(1, -(-(high - low + 1) // blocks))
+    width = max(1, -(-(high - low + 1) // (blocks or tick_blocks(events, ticks))))
     block = F.floor((F.greatest("time_ms", F.lit(low)) - low) / width).alias("block")
     asked = events.filter(F.col("time_ms") <= high).select("scenario_id", "event_id", "time_ms", block)
     held = ticks.select("scenario_id", "time_ms", block).groupBy("scenario_id", "block").agg(F.sort_array(F.collect_set("time_ms")).alias("here"))
-    # the first tick of the blocks after: `blocks` rows a scenario at most
-    first = held.select("scenario_id", "block", F.get("here", F.lit(0)).alias("first"))
-    every = asked.select("scenario_id", "block").union(held.select("scenario_id", "block")).distinct()
-    later = F.first("first", ignorenulls=True).over(Window.partitionBy("scenario_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing))
-    known = every.join(held, ["scenario_id", "block"], "left").join(first, ["scenario_id", "block"], "left").select("scenario_id", "block", "here", later.alias("later"))
+    # the first tick of the blocks after: `blocks` rows a scenario at most; sizes aren't known before ticks are made, so nothing is broadcast
+    every = held.unionByName(asked.select("scenario_id", "block").distinct(), allowMissingColumns=True).groupBy("scenario_id", "block").agg(F.first("here", ignorenulls=True).alias("here"))
+    later = F.first(F.get("here", F.lit(0)), ignorenulls=True).over(Window.partitionBy("scenario_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing))
+    known = every.select("scenario_id", "block", "here", later.alias("later"))
     at = F.coalesce(F.get(F.filter("here", lambda t: t >= F.col("time_ms")), F.lit(0)), F.col("later"))
-    return asked.join(known, ["scenario_id", "block"]).select("scenario_id", "event_id", at.alias("tick_ms")).filter("tick_ms is not null")
+    return asked.join(known.hint("merge"), ["scenario_id", "block"]).select("scenario_id", "event_id", at.alias("tick_ms")).filter("tick_ms is not null")
 
 
 def replay(steps: list[tuple[str, str | None, str | None]], history: int = 20) -> tuple[dict[str, str], int, int]:
