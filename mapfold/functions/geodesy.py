@@ -86,12 +86,17 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return bind(F.struct(haversine_m(lon1, lat1, lon2, lat2).alias("d"), vector(lon1, lat1).alias("u"), vector(lon2, lat2).alias("v")), path)
 
 
+def two_decimals(n: Column) -> Column:
+    """A number with two decimals, by its exact binary value (1.005 is less than it reads); a tie goes to the even digit."""
+    return F.call_function("format_number", n, F.lit("0.00"))
+
+
 def label_metres(metres: Column) -> Column:
-    return F.when(metres >= 1000, F.concat(F.format_string("%.2f", metres / 1000), F.lit(" km"))).otherwise(F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" m")))
+    return F.when(metres >= 1000, F.concat(two_decimals(metres / 1000), F.lit(" km"))).otherwise(F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" m")))
 
 
 def label_area(square: Column) -> Column:
-    return F.when(square >= 1e6, F.concat(F.format_string("%.2f", square / 1e6), F.lit(" km²"))).otherwise(F.concat(F.floor(square + 0.5).cast("string"), F.lit(" m²")))
+    return F.when(square >= 1e6, F.concat(two_decimals(square / 1e6), F.lit(" km²"))).otherwise(F.concat(F.floor(square + 0.5).cast("string"), F.lit(" m²")))
 
 
 def abbreviated(count: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-
+from mapfold.functions import geodesy
 from mapfold.operators import changes
 
 
@@ -24,3 +24,10 @@ def test_blocks_by_the_most_ticks_and_events_of_a_scenario(spark):
     assert changes.tick_blocks(events, ticks) == 12  # 750 ticks
     assert changes.tick_blocks(events, ticks, 5) == 5
     assert changes.tick_blocks(events.limit(0), ticks.limit(0)) == 1
+
+
+def test_two_decimals_by_the_exact_value(spark):
+    values = [1.005, 1.015, 1.125, 2.375, 1.0, 999.995, 12345.675]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.s for r in df.select(geodesy.two_decimals(F.col("v")).alias("s")).collect()] == [f"{v:.2f}" for v in values]
+    assert df.limit(1).select(geodesy.label_metres(F.col("v") * 1000).alias("s")).first().s == "1.00 km"
