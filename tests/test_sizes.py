@@ -1,9 +1,11 @@
 """Steps whose rows are more than their inputs show, and values at the edge of a digit."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from mapfold.functions import geodesy
-from mapfold.operators import changes
+from mapfold.operators import changes, density
 
 
 def plan(df):
@@ -31,3 +33,16 @@ def test_two_decimals_by_the_exact_value(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r.s for r in df.select(geodesy.two_decimals(F.col("v")).alias("s")).collect()] == [f"{v:.2f}" for v in values]
     assert df.limit(1).select(geodesy.label_metres(F.col("v") * 1000).alias("s")).first().s == "1.00 km"
+
+
+def test_sums_are_the_same_in_any_order(spark):
+    rng = random.Random(5)
+    values = [rng.randrange(0, 10_000) / 100 for _ in range(4001)]
+    values += [-v for v in values[:4000]]
+    want = values[4000]
+    for seed in range(4):
+        random.Random(seed).shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3 + seed)
+        assert df.agg(density.even_sum("v").alias("s")).first().s == want
+    odd = spark.createDataFrame([(1, float("inf")), (1, 1.0), (2, None), (3, None), (3, 2.5), (4, 1e300), (4, 1e299)], "k long, v double")
+    assert {r.k: r.s for r in odd.groupBy("k").agg(density.even_sum("v").alias("s")).collect()} == {1: float("inf"), 2: None, 3: 2.5, 4: 1e300 + 1e299}
