@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from mapfold.functions import geodesy
-from mapfold.operators import changes, density
+from mapfold.operators import changes, density, graph, spatial
 
 
 def plan(df):
@@ -46,3 +47,55 @@ def test_sums_are_the_same_in_any_order(spark):
         assert df.agg(density.even_sum("v").alias("s")).first().s == want
     odd = spark.createDataFrame([(1, float("inf")), (1, 1.0), (2, None), (3, None), (3, 2.5), (4, 1e300), (4, 1e299)], "k long, v double")
     assert {r.k: r.s for r in odd.groupBy("k").agg(density.even_sum("v").alias("s")).collect()} == {1: float("inf"), 2: None, 3: 2.5, 4: 1e300 + 1e299}
+
+
+def test_equal_positions_are_asked_once(spark):
+    """Many points of few positions, some without a position or an id."""
+    at = [(i, float(i % 3), 0.0) for i in range(60)] + [(60, None, 0.0), (None, 1.0, 0.0)]
+    points = spark.createDataFrame(at, "point_id long, x double, y double")
+    asked, members = spatial.asked_once(points, "point_id", ["x", "y"])
+    assert sorted(r.point_id for r in asked.collect()) == [0, 1, 2] and members.count() == 60
+    segments = spark.createDataFrame([(7, 0.0, 0.0, 1.0, 0.0), (8, 2.0, 0.5, 2.0, 1.0)], "line_id long, ax double, ay double, bx double, by double")
+    near = spatial.points_near_segments(points, segments, 0.5)
+    want = {(i, 7 if i % 3 < 2 else 8, 0.0 if i % 3 < 2 else 0.5) for i in range(60)}
+    assert sorted(tuple(r) for r in near.collect()) == sorted(want)
+    nodes = spark.createDataFrame([(1, 0.1, 0.0), (2, 2.1, 0.0)], "node_id long, lon double, lat double")
+    for few in (0, 10):
+        found = spatial.nearest_node(points.withColumnsRenamed({"x": "lon", "y": "lat"}), nodes, few=few)
+        assert "BroadcastHashJoin" not in plan(found)
+        assert {r.point_id: r.node_id for r in found.collect()} == {i: 1 if i % 3 < 2 else 2 for i in range(60)}
+
+
+def test_boxes_and_hits_of_many_are_never_broadcast(spark):
+    boxes = spark.range(40).selectExpr("id AS box_id", "double(id % 4) AS w", "0D AS s", "id % 4 + 0.5D AS e", "1D AS n")
+    segments = spark.createDataFrame([(7, 0.0, 0.0, 1.0, 0.0)], "line_id long, ax double, ay double, bx double, by double")
+    got = spatial.segments_in_boxes(segments, boxes)
+    assert sorted(r.box_id for r in got.collect()) == [i for i in range(40) if i % 4 < 2]
+    assert "_asked" not in got.columns
+    # what holds many rows, asked or met, is shuffled; only the levels in use are broadcast
+    assert plan(got).count("SortMergeJoin") >= 2
+
+
+def test_parts_of_routes_are_never_broadcast(spark):
+    found = spark.createDataFrame([(1, 3, [1, 2, 3], [10, 11])], "origin long, target long, node_ids array<long>, edge_ids array<long>")
+    nodes = spark.createDataFrame([(i, float(i), 0.0) for i in (1, 2, 3)], "node_id long, lon double, lat double")
+    line = lambda a, b: [(float(a), 0.0), (float(b), 0.0)]
+    edges = spark.createDataFrame([(10, 1, 5.0, line(1, 2)), (11, 3, 6.0, line(3, 2))], "edge_id long, from_id long, distance double, line array<struct<x:double,y:double>>")
+    got = graph.route_shapes(found, nodes, edges)
+    assert plan(got).count("SortMergeJoin") >= 2
+    r = got.first()
+    assert r.distance == 11.0 and [p.x for p in r.line] == [1.0, 2.0, 3.0]
+
+
+def test_nearest_search_keeps_few_boxes(monkeypatch):
+    """Points amid a grid of nodes: boxes overlap, so the first way down may end far off."""
+    c = np.arange(90_000)
+    tree = spatial.NodeTree(10 + (c % 200) / 100, 47 + np.floor(c / 200) / 100)
+    rng = np.random.default_rng(1)
+    lon, lat = rng.uniform(11.4, 11.8, 200), rng.uniform(48, 48.26, 200)
+    most, far = [0], spatial.NodeTree.far
+    monkeypatch.setattr(spatial.NodeTree, "far", lambda self, p, n, level: most.append(n.size) or far(self, p, n, level))
+    q, n = tree.nearest(lon, lat)
+    assert max(most) < 200 * 200
+    want = {(i, k) for i in range(200) for k in (int(np.rint((lat[i] - 47) * 100)) * 200 + int(np.rint((lon[i] - 10) * 100)),)}
+    assert want <= set(zip(q.tolist(), n.tolist()))
