@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mapfold.functions import geodesy
-from mapfold.operators import changes, density, graph, spatial
+from mapfold.operators import changes, density, graph, shapes, spatial
+from mapfold.sources import tiles
 
 
 def plan(df):
@@ -99,3 +101,36 @@ def test_nearest_search_keeps_few_boxes(monkeypatch):
     assert max(most) < 200 * 200
     want = {(i, k) for i in range(200) for k in (int(np.rint((lat[i] - 47) * 100)) * 200 + int(np.rint((lon[i] - 10) * 100)),)}
     assert want <= set(zip(q.tolist(), n.tolist()))
+
+
+def test_runs_of_rows_by_size():
+    assert list(shapes.runs([3, 3, 3, 9, 0, 1], 6)) == [(0, 2), (2, 1), (3, 1), (4, 2)]
+    assert list(shapes.runs([])) == [] and list(shapes.runs([0])) == [(0, 1)]
+
+
+def test_lines_are_changed_in_runs(spark, monkeypatch):
+    rows = [(i, [(float(k), float(i)) for k in range(i % 5)] if i % 7 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "line_id long, line array<struct<x:double,y:double>>").coalesce(1)
+    got = {r.line_id: r.line and [(p.x, p.y) for p in r.line] for r in shapes.each_line(df, lambda p: p[::-1] * 2).collect()}
+    assert {k: v or None for k, v in got.items()} == {i: [(2 * x, 2 * y) for x, y in line[::-1]] if line else None for i, line in rows}
+    assert got[7] is None and got[5] == []
+
+
+def test_tiles_are_handed_on_before_the_batch_is_done(spark):
+    df = spark.range(40).selectExpr("3 AS z", "id AS x", "id AS y", "encode(string(id), 'utf-8') AS data").coalesce(1)
+
+    def decode(data):
+        if data == b"39":
+            raise ValueError("bad")
+        return [("own", 4096, i, i, 1, [[(1, 2)]], "{}") for i in range(1000)]
+
+    got = tiles.decode_mvt(df, decode)
+
+    class Caught:  # stands for a table, and keeps the function that tasks run
+        select = lambda self, *names: self
+        mapInArrow = lambda self, work, schema: work
+
+    batch = pa.RecordBatch.from_pydict({"z": pa.array([3] * 40, pa.int32()), "x": list(range(40)), "y": list(range(40)), "data": [str(i).encode() for i in range(40)]})
+    made = [b.num_rows for b in tiles.decode_mvt(Caught(), decode)(iter([batch]))]
+    assert max(made) == 5000 and sum(made) == 39_001
+    assert got.filter("error is null").count() == 39_000 and got.filter("error is not null").count() == 1
