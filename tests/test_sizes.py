@@ -89,6 +89,26 @@ def test_parts_of_routes_are_never_broadcast(spark):
     assert r.distance == 11.0 and [p.x for p in r.line] == [1.0, 2.0, 3.0]
 
 
+def test_rounds_move_only_what_they_try(spark):
+    """What is known is read where it was written, in layers or merged, and gives the heap's trees."""
+    arcs = [(i, i % 12, (i * 7 + 1) % 12, 1 + i % 4, i % 5 == 0) for i in range(40)]
+    dear = [(100 + i, i % 12, (i + 5) % 12, 50, False) for i in range(60)]
+    edges = spark.createDataFrame(arcs + dear, "edge_id long, from_id long, to_id long, cost long, one_way boolean").filter("from_id <> to_id")
+    origins = spark.range(13).toDF("origin")
+    # edges that no way within 9 can take don't count
+    assert graph.broadcast_adjacency(edges, 9, 40) is not None and graph.broadcast_adjacency(edges, 50, 40) is None
+    want = {tuple(r) for r in graph.cheapest(origins, edges, 9).select(*graph.TREE).collect()}
+    for layers in (1, 8):
+        got = graph.cheapest_by_joins(origins, edges, 9, layers)
+        assert "Exchange" not in plan(got)
+        rows = got.select(*graph.TREE).collect()
+        assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    met = graph.reachable_edges(got, edges)
+    at = {(o, n) for o, n, *_ in want}
+    assert sorted(tuple(r) for r in met.collect()) == sorted((o, e.edge_id) for o in range(13) for e in edges.collect() if {(o, e.from_id), (o, e.to_id)} <= at)
+
+
 def test_hits_are_ranked_by_position(spark, sf_dir):
     """Ranks are made before the rows of a position's points, which nothing shuffles."""
     from mapfold.jobs import registry
