@@ -32,7 +32,8 @@ ROUNDS = 12
 #: Side of the squares that have one taker at most, in reaches: their diagonal is shorter than the reach.
 SIDE = 0.7
 #: How properties of a cluster's items become one: sums, products, extremes, all true, any true; nulls are left out.
-REDUCERS = ("+", "*", "max", "min", "all", "any")
+#: log* is the logarithm of the product of the positive ones, which doesn't pass the greatest double.
+REDUCERS = ("+", "*", "log*", "max", "min", "all", "any")
 ITEM = ["item_id", "seq", "x", "y", "n"]
 
 
@@ -77,7 +78,7 @@ def reduced(values: np.ndarray, kind: str) -> float:
     values = values[~np.isnan(values)]
     if not len(values):
         return float("nan")
-    return float({"+": np.sum, "*": np.prod, "max": np.max, "min": np.min, "all": np.min, "any": np.max}[kind](values))
+    return float({"+": np.sum, "*": np.prod, "log*": np.sum, "max": np.max, "min": np.min, "all": np.min, "any": np.max}[kind](values))
 
 
 def merge(frame: pd.DataFrame, z: int, reach: float, least: int, props: dict[str, str]) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -161,7 +162,7 @@ def level_by_joins(items: DataFrame, reach: float, z: Column, props: dict[str, s
     near = (F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)) <= reach * reach
     taken = at.join(around(first, 2), cell).filter(near).groupBy(*by, "seq").agg(F.min(F.struct("tseq", "tx", "ty")).alias("t"))
     met = items.join(taken, [*by, "seq"]).withColumn("tseq", F.col("t.tseq"))
-    sums = {"+": F.sum, "*": F.product, "max": F.max, "min": F.min, "all": F.min, "any": F.max}
+    sums = {"+": F.sum, "*": F.product, "log*": F.sum, "max": F.max, "min": F.min, "all": F.min, "any": F.max}
     only = F.min(F.when(F.col("seq") == F.col("tseq"), F.struct("item_id", "x", "y"))).alias("only")
     rows = met.groupBy(*by, "tseq").agg(F.count("*").alias("size"), only, F.sum(F.col("x") * F.col("n")).alias("sx"), F.sum(F.col("y") * F.col("n")).alias("sy"), F.sum("n").alias("n"), *(sums[kind](p).alias(p) for p, kind in props.items()))
     made = F.col("size") > 1
@@ -213,7 +214,7 @@ def with_properties(points: DataFrame, props: dict[str, str]) -> DataFrame:
     unknown = set(props.values()).difference(REDUCERS)
     if unknown:
         raise ValueError(f"unknown reducers: {sorted(unknown)}")
-    return points.select("item_id", "seq", "x", "y", F.lit(1).cast("long").alias("n"), *(F.col(p).cast("double").alias(p) for p in props))
+    return points.select("item_id", "seq", "x", "y", F.lit(1).cast("long").alias("n"), *((F.log(F.col(p)) if kind == "log*" else F.col(p).cast("double")).alias(p) for p, kind in props.items()))
 
 
 def cluster_points(points: DataFrame, radius: float = 50, max_zoom: int = 14, min_points: int = 2, min_zoom: int = 0, few: int = FEW, reducers: dict[str, str] | None = None) -> Clusters:

@@ -110,6 +110,14 @@ def test_rounds_move_only_what_they_try(spark):
     assert sorted(tuple(r) for r in met.collect()) == sorted((o, e.edge_id) for o in range(13) for e in edges.collect() if {(o, e.from_id), (o, e.to_id)} <= at)
 
 
+def test_products_beyond_the_greatest_double(spark, tmp_path):
+    """agg_cluster_props at a size whose product no double holds: by its SQL, sums of logarithms."""
+    items = spark.range(60).selectExpr("id AS item_id", "id AS seq", "0.5D + id % 2 * 0.25D AS x", "0.5D AS y", "if(id = 7, 0D, 1e200D) AS big")
+    for few in (0, 1000):
+        level = cluster.cluster_points(items, 50, 3, min_zoom=3, few=few, reducers={"big": "log*"}).levels.collect()
+        assert sorted(round(r.big) for r in level) == sorted(round(n * 200 * math.log(10)) for n in (30, 29))
+
+
 def test_a_tile_is_looked_up_once(spark):
     """However many requests ask for it; requests without a tile stay."""
     requests = spark.range(500).selectExpr("id AS request_id", "if(id = 3, NULL, id % 7) AS tile_id")
