@@ -53,27 +53,39 @@ def folded(frames: dict[int, Frame], patches: dict[tuple[int, int], Frame]) -> d
     return track
 
 
+def split(rows: dict[tuple[int, int, int], Frame]) -> tuple[dict[int, Frame], dict[tuple[int, int], Frame]]:
+    """Frames by time, and patches by time and seq, of rows by time, patch and seq."""
+    return {t: f for (t, patch, _), f in rows.items() if not patch}, {(t, seq): f for (t, patch, seq), f in rows.items() if patch}
+
+
 class Tracks(StatefulProcessor):
-    """Keeps an entity's frames and patches, and gives the rows of its track that new ones change."""
+    """Keeps an entity's frames and patches, and gives the rows of its track that new ones change.
+
+    What is new is added to the state at once, as every call to it costs about
+    as much as a hundred rows; only where it replaces a row the state is written anew.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getMapState("rows", "time_ms long, patch int, seq long", VALUE)
+        self.rows = handle.getListState("rows", f"time_ms long, patch int, seq long, {VALUE}")
         self.version = handle.getValueState("version", "n long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        kept = [{}, {}]
-        for (t, patch, seq), (lon, lat, status, props) in self.rows.iterator():
-            kept[patch][(t, seq) if patch else t] = (lon, lat, status, dict(props or {}))
-        before = folded(*kept)
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                given = None if pd.isna(r.lon) else (float(r.lon), float(r.lat))
-                value = (*(given or (None, None)), None if pd.isna(r.status) else r.status, dict(r.props if r.props is not None else {}))
-                kept[r.patch][(r.time_ms, r.seq) if r.patch else r.time_ms] = value
-                self.rows.updateValue((int(r.time_ms), int(r.patch), int(r.seq)), value)
         version = (self.version.get()[0] if self.version.exists() else 0) + 1
+        kept = {tuple(r[:3]): (*r[3:6], dict(r[6] or {})) for r in self.rows.get()} if version > 1 else {}
+        new = {}
+        for frame in rows:
+            given = frame[["lon", "lat"]].notna().all(axis=1)
+            columns = (frame[c].tolist() for c in ("time_ms", "patch", "seq", "lon", "lat", "status", "props"))
+            for here, t, patch, seq, lon, lat, status, props in zip(given.tolist(), *columns):
+                new[t, patch, seq] = (lon if here else None, lat if here else None, None if pd.isna(status) else status, dict(props if props is not None else {}))
+        after = kept | new
+        if len(after) == len(kept) + len(new):
+            self.rows.appendList([(*k, *v) for k, v in new.items()])
+        else:
+            self.rows.put([(*k, *v) for k, v in after.items()])
         self.version.update((version,))
-        changed = [(key[0], t, *f, version) for t, f in folded(*kept).items() if before.get(t) != f]
+        before = folded(*split(kept))
+        changed = [(key[0], t, *f, version) for t, f in folded(*split(after)).items() if before.get(t) != f]
         yield pd.DataFrame(changed, columns=["entity_id", "time_ms", "lon", "lat", "status", "props", "version"])
 
     def close(self) -> None:
