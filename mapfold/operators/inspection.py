@@ -1,9 +1,11 @@
 """Inspection of GeoJSON features of any form: every issue with its path and message, as rows.
 
 A feature that a few Columns show to be plain is never taken apart; only its
-rings are tested for crossings. The others are written once, and their nests
-opened level by level, a row for each part, so no row or task holds more than a
-feature; issues are written, so that no use of them inspects again. Numbers as text, true and false count as numbers, and null as 0.
+rings are tested for crossings. The nests of others are opened level by level, a
+row for each part, so no row or task holds more than a feature. What filters ask
+for is written before them, as Spark would work it out again for each mention in
+a filter: features with whether they are plain, geometries with their kind, and
+issues. Numbers as text, true and false count as numbers, and null as 0.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import NUMBERS
 from ..functions.mercator import MAX_LAT
 from ..sources.geojson import feature_code, positions, text_of
-from .validate import crosses
+from .validate import which_cross
 
 #: Collections may be nested so deep.
 DEPTH = 32
@@ -69,8 +71,13 @@ def number_of(v: Column) -> Column:
 
 
 def place_of(position: Column, k: int) -> Column:
-    """Coordinate k of a position of two values at least, or null."""
-    return F.when(F.size(items_of(position)) >= 2, number_of(F.try_variant_get(position, f"$[{k}]", "variant")))
+    """Coordinate k of a position of two values at least, or null; values that aren't all numbers are looked at one by one."""
+    values = F.try_variant_get(position, "$", "array<double>")
+    number = F.get(values, F.lit(k))
+    told = F.when((F.size(values) >= 2) & (F.abs(number) < float("inf")), number)
+    # nulls among numbers don't show in the schema
+    numbers = F.schema_of_variant(position).rlike(r"^ARRAY<(BIGINT|DOUBLE|FLOAT|DECIMAL\([0-9,]+\))>$")
+    return F.when(numbers & number.isNotNull(), told).when(F.size(items_of(position)) >= 2, number_of(F.try_variant_get(position, f"$[{k}]", "variant")))
 
 
 def same(a: Column, b: Column) -> Column:
@@ -142,7 +149,7 @@ def crossing(rings: DataFrame, most: int | None) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             with np.errstate(invalid="ignore"):
-                hit = [crosses(np.column_stack([x, y]).astype(float)) for x, y in zip(frame["x"], frame["y"])]
+                hit = which_cross([np.column_stack([x, y]).astype(float) for x, y in zip(frame["x"], frame["y"])])
             yield frame.loc[hit, HEAD]
 
     kept = tested.select(*HEAD, axis(0).alias("x"), axis(1).alias("y"))
@@ -158,14 +165,14 @@ def inspect(features: DataFrame, most_features: int | None = None, most_coordina
     feature. An empty table is valid.
     """
     rows = features.select("feature_seq", F.try_variant_get("v", "$.id", "string").alias("fid"), F.concat(F.lit("$.features["), "feature_seq", F.lit("]")).alias("path"), F.array().cast("array<int>").alias("at"), "v")
-    simple = plain(F.col("v"))
-    clean, odd = rows.filter(simple), rows.filter(~simple).checkpoint()
+    rows = rows.withColumn("simple", plain(F.col("v"))).checkpoint()
+    clean, odd = rows.filter("simple").drop("simple"), rows.filter("not simple").drop("simple")
     is_feature = F.coalesce(text_of(F.col("v"), "$.type") == "Feature", F.lit(False))
     leaves, nested = geometries(odd.filter(is_feature))
     kind = text_of(F.col("v"), "$.type")
     structure = F.schema_of_variant("v")
     coords = F.try_variant_get("v", "$.coordinates", "variant")
-    typed = leaves.select(*HEAD, F.when(~structure.startswith("ARRAY") & ~structure.startswith("OBJECT"), "geometry").when(kind.isNull() | ~kind.isin("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon"), "geometry-type").alias("code"), kind.alias("kind"), coords.alias("v"))
+    typed = leaves.select(*HEAD, F.when(~structure.startswith("ARRAY") & ~structure.startswith("OBJECT"), "geometry").when(kind.isNull() | ~kind.isin("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon"), "geometry-type").alias("code"), kind.alias("kind"), coords.alias("v")).checkpoint()
     wrong = issue(typed.filter("code is not null"), F.col("code"))
     geometry = typed.filter("code is null").drop("code")
     inside = geometry.withColumn("path", F.concat("path", F.lit(".coordinates")))
@@ -192,7 +199,7 @@ def inspect(features: DataFrame, most_features: int | None = None, most_coordina
         no_rings,
         issue(rings.filter(~full), "ring-length"),
         issue(rings.filter(full & is_open), "ring-open", LAST, 0),
-        issue(placed.withColumn("code", told).filter("code is not null"), F.col("code")),
+        issue(placed.select(*HEAD, F.explode(F.when(told.isNotNull(), F.array(told))).alias("code")), F.col("code")),
         crossing(rings_of(shapes)[0].unionByName(rings), most_ring),
     ]
     found = reduce(DataFrame.unionByName, tables)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -51,13 +51,33 @@ def crosses(ring: np.ndarray, block: int = 256) -> bool:
     return False
 
 
+def which_cross(rings: Sequence[np.ndarray], pairs: int = 1 << 20) -> np.ndarray:
+    """crosses(ring) of each of the rings (n, 2); those of one small size are tested at once, by `pairs` pairs of edges at most."""
+    sizes, hit = np.array([len(r) for r in rings], int), np.zeros(len(rings), bool)
+    side = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
+    for n in np.unique(sizes).tolist():
+        places = np.flatnonzero(sizes == n)
+        if n > 64:
+            hit[places] = [crosses(rings[i]) for i in places]
+            continue
+        step = max(1, pairs // max(1, n * n))
+        for some in (places[k : k + step] for k in range(0, len(places), step)):
+            ring = np.stack([rings[i] for i in some])
+            a, b = ring[:, :-1], ring[:, 1:]
+            ai, bi, aj, bj = a[:, :, None], b[:, :, None], a[:, None], b[:, None]
+            hit[some] = ((side(ai, bi, aj) * side(ai, bi, bj) < 0) & (side(aj, bj, ai) * side(aj, bj, bi) < 0)).any(axis=(1, 2))
+    return hit
+
+
 def crossings(polygons: DataFrame, most: int | None = None) -> DataFrame:
     """feature_seq, severity, code of polygons with a ring that crosses itself; rings of over `most` positions aren't tested, if it is given."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             tested = [[ring for ring in parts if len(ring) >= 4 and (most is None or len(ring) <= most)] for parts in frame["parts"]]
-            hit = [any(crosses(np.array([(p["x"], p["y"]) for p in ring], float)) for ring in parts) for parts in tested]
+            owner = np.repeat(np.arange(len(frame)), [len(parts) for parts in tested])
+            hit = np.zeros(len(frame), bool)
+            hit[owner[which_cross([np.array([(p["x"], p["y"]) for p in ring], float) for parts in tested for ring in parts])]] = True
             yield pd.DataFrame({"feature_seq": frame["feature_seq"][hit], "severity": "error", "code": "self-intersection"})
 
     return polygons.select("feature_seq", "parts").mapInPandas(work, "feature_seq long, severity string, code string")
