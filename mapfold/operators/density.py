@@ -15,15 +15,17 @@ from ..functions import mercator as M
 TILE = 256
 
 
-def even_sum(name: str) -> Column:
-    """The sum of doubles, the same in any order but for what is far below their last shown digit.
-
-    Each is cut at a multiple of 2 ** -20: the multiples add up without rounding
-    to 2 ** 33, and the rests are too small for their rounding to matter.
-    """
+def even_parts(name: str) -> tuple[Column, Column]:
+    """What doubles are cut to, multiples of 2 ** -20 that add up without rounding to 2 ** 33, and their rests, too small for their rounding to matter."""
     n = F.col(name).cast("double")
     cut = F.when(F.abs(n) < 2.0**32, F.rint(n * 2.0**20) / 2.0**20).otherwise(n)
-    return F.sum(cut) + F.sum(F.when(F.abs(n) < 2.0**32, n - cut).otherwise(F.when(n.isNotNull(), 0.0)))
+    return cut, F.when(F.abs(n) < 2.0**32, n - cut).otherwise(F.when(n.isNotNull(), 0.0))
+
+
+def even_sum(name: str) -> Column:
+    """The sum of doubles, the same in any order but for what is far below their last shown digit."""
+    cut, rest = even_parts(name)
+    return F.sum(cut) + F.sum(rest)
 
 
 def tile_counts(points: DataFrame, z: int, weight: str = "weight") -> DataFrame:
