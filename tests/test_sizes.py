@@ -214,3 +214,31 @@ def test_totals_are_the_same_in_any_order(spark, tmp_path):
         spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
         got = registry.queries()["agg_cluster_props"](spark, folder).select("z", "points", "total").collect()
         assert sorted(tuple(r) for r in got) == [(z, 4000, sum(cents) // 10 + 1) for z in range(8, 15)]
+
+
+def test_routes_from_both_ends(spark):
+    """Many equal ways, nodes without arcs and pairs without a way: as by one search from the origin, and by joins."""
+    rng = random.Random(2)
+    arcs = [(i, rng.randrange(40), rng.randrange(44), rng.randrange(0, 3), i % 3 == 0) for i in range(110)]
+    arcs += [(200 + i, 50 + i, 51 + i, 1, i % 2 == 0) for i in range(12)]
+    edges = spark.createDataFrame(arcs, "edge_id long, from_id long, to_id long, cost long, one_way boolean").filter("from_id <> to_id")
+    pairs = spark.range(66 * 20).selectExpr("id % 66 AS origin", "(id div 66) * 7 % 66 AS target").distinct()
+    want = {r.origin * 100 + r.target: tuple(r) for r in graph.routes(pairs, edges, 10**6).collect()}
+    assert len({k for k, r in want.items() if r[2] is not None}) > 300 and any(r[2] is None for r in want.values())
+    for most in (None, 0):
+        rows = graph.routes(pairs, edges, most_edges=most).collect()
+        assert len(rows) == len(want) and {r.origin * 100 + r.target: tuple(r) for r in rows} == want
+
+
+def test_routes_whatever_they_cost(spark, sf_dir):
+    """gr_adjacency_route answers every open arc's ends, gr_route every pair that is asked, as far as there is a way."""
+    from mapfold.jobs import registry
+    from mapfold.jobs.changes import asked_routes, open_edges
+
+    edges = open_edges(spark, sf_dir).filter("cost is not null")
+    cost = {(r.from_id, r.to_id): r.cost for r in edges.collect()}
+    rows = registry.queries()["gr_adjacency_route"](spark, sf_dir).collect()
+    assert {(r.origin, r.target) for r in rows} == set(cost) and len(rows) == len(cost)
+    assert all(r.cost <= cost[r.origin, r.target] for r in rows) and any(r.cost > 8_000_000 for r in rows)
+    routes = registry.queries()["gr_route"](spark, sf_dir).collect()
+    assert len(routes) == asked_routes(spark, sf_dir).count() and sum(r.cost is None for r in routes) < len(routes) / 10
