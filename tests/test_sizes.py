@@ -242,3 +242,55 @@ def test_routes_whatever_they_cost(spark, sf_dir):
     assert all(r.cost <= cost[r.origin, r.target] for r in rows) and any(r.cost > 8_000_000 for r in rows)
     routes = registry.queries()["gr_route"](spark, sf_dir).collect()
     assert len(routes) == asked_routes(spark, sf_dir).count() and sum(r.cost is None for r in routes) < len(routes) / 10
+
+
+def test_crowded_cells_meet_in_groups(spark, monkeypatch):
+    """Positions, boxes, segments and areas of one cell in many groups and blocks: as by plain loops, and each line once a group."""
+    from mapfold.operators import cells
+
+    for name, size in (("ASKED", 7), ("HELD", 9), ("PAIRS", 20)):
+        monkeypatch.setattr(cells, name, size)
+    rng = random.Random(4)
+    spot = lambda: (rng.randrange(60) / 64, rng.randrange(60) / 64)
+    points = [(i, *spot()) for i in range(60)]
+    lines = [(i % 17, *spot(), *spot()) for i in range(70)] + [(i % 17, *p, p[0], p[1] + 0.01) for i, p in enumerate(spot() for _ in range(30))] + [(3, 0.5, 0.5, 0.5, 0.5)]
+    p, s = spark.createDataFrame(points, "point_id long, x double, y double"), spark.createDataFrame(lines, "line_id long, ax double, ay double, bx double, by double")
+    near = {}
+    for i, x, y in points:
+        for k, ax, ay, bx, by in lines:
+            dx, dy = bx - ax, by - ay
+            t = min(1, max(0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else 0
+            far = math.sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2)
+            if far <= 0.05:
+                near[i, k] = min(far, near.get((i, k), 1))
+    got = spatial.points_near_segments(p, s, 0.05)
+    assert "MapInArrow" in plan(got)
+    rows = got.collect()
+    assert len(rows) == len(near) and {(r.point_id, r.line_id): r.distance for r in rows} == near
+    boxes = [(i, x, y, x + i % 3 / 40, y + i % 5 / 4) for i, x, y in points]
+    touched = segments_by_sql(spark, lines, boxes)
+    rows = spatial.segments_in_boxes(s, spark.createDataFrame(boxes, "box_id long, w double, s double, e double, n double")).collect()
+    assert len(rows) == len(touched) and {tuple(r) for r in rows} == touched and touched
+    rings = [(k, [[spot() for _ in range(3 + k % 3)] for _ in range(1 + k % 2)]) for k in range(25)] + [(99, [[]]), (98, [])]
+    areas = spark.createDataFrame([(k, [[{"x": x, "y": y} for x, y in ring] for ring in parts]) for k, parts in rings], "poly_id long, parts array<array<struct<x:double,y:double>>>")
+    x, y = (np.array([q[c] for q in points]) for c in (1, 2))
+    for rule in ("nonzero", "evenodd"):
+        want = {(points[i][0], k) for k, parts in rings if k < 90 for i in np.flatnonzero(spatial.in_rings(x, y, [np.array(r) for r in parts], rule))}
+        assert {tuple(r) for r in spatial.in_areas(p, areas, rule).collect()} == want and want
+
+
+def segments_by_sql(spark, lines, boxes):
+    """Pairs of boxes and segments by the Columns of the slab test, all against all."""
+    s = spark.createDataFrame(lines, "line_id long, ax double, ay double, bx double, by double")
+    b = spark.createDataFrame(boxes, "box_id long, w double, s double, e double, n double")
+    return {tuple(r) for r in s.crossJoin(b).filter(spatial.segment_touches_box(*(F.col(c) for c in ("ax", "ay", "bx", "by", "w", "s", "e", "n")))).select("box_id", "line_id").collect()}
+
+
+def test_layer_hits_are_ranked_by_position(spark, sf_dir):
+    """Ranks and tops are made before the rows of a position's points."""
+    from mapfold.jobs import registry
+
+    ranked = plan(registry.queries()["join_layer_hits"](spark, sf_dir))
+    assert ranked.index("SortMergeJoin") < ranked.index("Window")
+    top = plan(registry.queries()["top_layer_hits"](spark, sf_dir))
+    assert top.index("SortMergeJoin") < top.index("Aggregate")
