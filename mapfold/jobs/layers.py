@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import styled
 from .inputs import scaled, scaled_sql, sql, view
 from .registry import query
+from .scenes import shared
 from .spatial import LINES, city_lines
 
 CITY = sql("pts_city")
@@ -92,12 +93,12 @@ AND p.lon BETWEEN least(ax, bx) - 0.0021 AND greatest(ax, bx) + 0.0021 AND p.lat
 SELECT * FROM {hits_sql('user_id % 20 <> 2', 'event_id % 6 <> 2')} UNION ALL SELECT * FROM {PATH_HITS})""")
 def join_layer_hits(spark: SparkSession, d: str) -> DataFrame:
     """What is painted under each point, the topmost first, without the features of k 2."""
-    hits = styled.layer_hits(asked(spark, d), features(spark, d), LAYERS, 12, where=["!=", K, 2])
-    return styled.ranked_hits(hits).select("point_id", "layer", "feature_id", "rank")
+    shared(spark, "hits")
+    return styled.top_layer_hits(asked(spark, d), features(spark, d), LAYERS, 12, where=["!=", K, 2]).select("point_id", "layer", "feature_id", "rank")
 
 
 @query(f"SELECT point_id, layer, feature_id FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY place DESC, feature_seq DESC) AS k FROM {hits_sql('true', 'true')}) WHERE k = 1")
 def top_layer_hits(spark: SparkSession, d: str) -> DataFrame:
     """The topmost of areas and dots under each point."""
-    hits = styled.layer_hits(asked(spark, d), features(spark, d), LAYERS, 12, only=["areas", "dots", "heat", "gone"])
-    return styled.ranked_hits(hits, 1).select("point_id", "layer", "feature_id")
+    shared(spark, "hits")
+    return styled.top_layer_hits(asked(spark, d), features(spark, d), LAYERS, 12, 1, only=["areas", "dots", "heat", "gone"]).select("point_id", "layer", "feature_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.expressions import Row, Value, compile_expression, compile_filter, is_legacy, legacy_function, member
-from .spatial import features_at
+from .spatial import answered, asked_once, features_at_places
 
 #: The kinds of geometry (1 points, 2 lines, 3 polygons) that a layer type draws.
 KINDS = {"heatmap": (1,), "circle": (1,), "symbol": (1, 2, 3), "fill": (3,), "fill-extrusion": (3,), "line": (2,)}
@@ -194,6 +194,18 @@ def layer_hits(points: DataFrame, features: DataFrame, layers: list[dict], zoom:
     `only` names the layers that are asked, `where` is a filter on features.
     The tolerance is 0 to 32. Null ids and positions are hit by nothing.
     """
+    places, members = asked_once(points, "point_id", ["x", "y"])
+    return answered(hits_of_places(places, features, layers, zoom, only, where, tolerance), members, "point_id")
+
+
+def top_layer_hits(points: DataFrame, features: DataFrame, layers: list[dict], zoom: float, most: int | None = None, only: list[str] | None = None, where: object = None, tolerance: float = 3.0) -> DataFrame:
+    """ranked_hits of layer_hits: points of one position have the same, which are found and ranked once; rows of points are made last."""
+    places, members = asked_once(points, "point_id", ["x", "y"])
+    return answered(ranked_hits(hits_of_places(places, features, layers, zoom, only, where, tolerance), most), members, "point_id")
+
+
+def hits_of_places(points: DataFrame, features: DataFrame, layers: list[dict], zoom: float, only: list[str] | None, where: object, tolerance: float) -> DataFrame:
+    """layer_hits of different positions."""
     asked = [layer if layer["type"] != "heatmap" and (only is None or layer["id"] in only) else {**layer, "type": "background"} for layer in layers]
     kept = features.filter(compile_filter(where, row_of(features, zoom)) & F.col("feature_id").isNotNull())
     drawn = with_layers(kept, asked, zoom, instruction).filter(painted(F.col("value")))
@@ -205,11 +217,11 @@ def layer_hits(points: DataFrame, features: DataFrame, layers: list[dict], zoom:
     # one text names the layer and the feature, ids last: they may hold anything
     key = F.concat_ws(":", "place", F.coalesce(F.col("feature_seq").cast("string"), F.lit("")), F.col("feature_id").cast("string"))
     shapes = drawn.select(key.alias("feature_id"), kind.alias("kind"), parts.alias("parts"), *(F.col("value")[c].alias(c) for c in ("width", "radius", "stroke", "size")))
-    hits = features_at(points.dropna(subset=["point_id", "x", "y"]), shapes, float(min(32.0, max(0.0, tolerance))))
+    hits = features_at_places(points, shapes, float(min(32.0, max(0.0, tolerance))))
     cut = F.split("feature_id", ":", 3)
     names = F.array(*(F.lit(layer["id"]) for layer in layers))
     found = hits.select("point_id", cut[0].cast("int").alias("place"), cut[1].try_cast("long").alias("feature_seq"), cut[2].cast(features.schema["feature_id"].dataType).alias("feature_id"))
-    return found.select("point_id", F.get(names, F.col("place")).alias("layer"), "place", "feature_id", "feature_seq").distinct()
+    return found.select("point_id", F.get(names, F.col("place")).alias("layer"), "place", "feature_id", "feature_seq")
 
 
 def ranked_hits(hits: DataFrame, most: int | None = None) -> DataFrame:
